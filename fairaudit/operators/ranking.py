@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, materialize
 
 # A candidate set at most this large (distinct values in the bracket) is
 # settled on the driver; larger ones are narrowed by another pass.
@@ -36,10 +36,12 @@ def dense_index(values: DataFrame, order_col: str, index_col: str = "idx",
     the count of all rows in earlier partitions.
     """
     n_parts = partitions or values.sparkSession.sparkContext.defaultParallelism
-    ranged = (values.repartitionByRange(n_parts, order_col)
-              .sortWithinPartitions(order_col)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    # partition ids and row ids must be the same in every later use: the
+    # range bounds are sampled and the ids are positional, so fix them once.
+    ranged = materialize(values.repartitionByRange(n_parts, order_col)
+                         .sortWithinPartitions(order_col)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     offs, _ = bounded_broadcast(
         _partition_offsets(counts, "_pid", "_c").join(counts.select("_pid", "_m0"), "_pid"))
@@ -49,35 +51,48 @@ def dense_index(values: DataFrame, order_col: str, index_col: str = "idx",
                     (F.col("offset") + F.col("_mid") - F.col("_m0")).alias(index_col))
 
 
-def average_ranks(df: DataFrame, value_col: str, keys: list[str] | None = None,
-                  rank_col: str = "rank") -> DataFrame:
-    """1-based average rank of each distinct value (ties share the mean rank).
+def prefix_before(df: DataFrame, keys: list[str], order_col: str, values: list[str],
+                  suffix: str = "_before") -> DataFrame:
+    """For each row, the sum of ``values`` over rows with the same ``keys``
+    and a smaller ``order_col`` (one row per (keys, order) value expected).
 
-    Works on the (value, count) histogram, not on rows: rank of value v is
-    ``below(v) + (count(v) + 1) / 2``.
+    Distributed: range partitioning on (keys, order) spreads a key's rows over
+    many tasks; sums within a task come from a window on (partition, keys),
+    and the totals of earlier tasks from a table with one row per
+    (partition, key), broadcast after a size check.
     """
-    keys = keys or []
-    hist = (df.where(F.col(value_col).isNotNull())
-            .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_n")))
-    if keys:
-        # per key: the histogram per key is small enough for a partitioned window
-        w = (Window.partitionBy(*keys).orderBy(value_col)
-             .rowsBetween(Window.unboundedPreceding, -1))
-        below = F.coalesce(F.sum("_n").over(w), F.lit(0))
-        return hist.select(*keys, value_col, "_n",
-                           (below + (F.col("_n") + 1) / 2.0).alias(rank_col))
     n_parts = df.sparkSession.sparkContext.defaultParallelism
-    ranged = (hist.repartitionByRange(n_parts, value_col)
-              .sortWithinPartitions(value_col)
-              .withColumn("_pid", F.spark_partition_id()))
-    counts = ranged.groupBy("_pid").agg(F.sum("_n").alias("_c"))
-    offs, _ = bounded_broadcast(_partition_offsets(counts, "_pid", "_c"))
-    wp = (Window.partitionBy("_pid").orderBy(value_col)
+    # range bounds are sampled: fix the partition of every row once, so the
+    # in-partition sums and the per-partition totals agree
+    r = materialize(df.repartitionByRange(n_parts, *keys, order_col)
+                    .withColumn("_pid", F.spark_partition_id()))
+    w = (Window.partitionBy("_pid", *keys).orderBy(order_col)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    within = r.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_w_{v}") for v in values])
+    tot = r.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    wo = (Window.partitionBy(*keys).orderBy("_pid")
           .rowsBetween(Window.unboundedPreceding, -1))
-    within = ranged.select("*", F.coalesce(F.sum("_n").over(wp), F.lit(0)).alias("_below"))
-    j = within.join(offs, "_pid")
-    return j.select(value_col, "_n",
-                    (F.col("offset") + F.col("_below") + (F.col("_n") + 1) / 2.0).alias(rank_col))
+    offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}")
+                                      for v in values])
+    offs_b, _ = bounded_broadcast(offs)
+    j = within.join(offs_b, ["_pid", *keys])
+    return j.select(*df.columns, *[(F.col(f"_w_{v}") + F.col(f"_o_{v}")).alias(f"{v}{suffix}")
+                                   for v in values])
+
+
+def average_ranks(df: DataFrame, value_col: str, keys: list[str] | None = None,
+                  rank_col: str = "rank", count_col: str | None = None) -> DataFrame:
+    """1-based average rank of each distinct value per key (ties share the
+    mean rank): ``below(v) + (count(v) + 1) / 2`` on the (value, count)
+    histogram. ``count_col`` names a weight column when ``df`` is already a
+    histogram."""
+    keys = keys or []
+    nn = F.col(count_col) if count_col else F.lit(1)
+    hist = (df.where(F.col(value_col).isNotNull())
+            .groupBy(*keys, value_col).agg(F.sum(nn).alias("_n")))
+    pre = prefix_before(hist, keys, value_col, ["_n"])
+    return pre.select(*keys, value_col, "_n",
+                      (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(rank_col))
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
