@@ -56,6 +56,26 @@ def fairness_score(dp: Column, eo: Column, di: Column, cap: bool = True) -> Colu
     return F.round((parts[0] + parts[1] + parts[2]) / 3.0, 6)
 
 
+def fixed3(c: Column) -> Column:
+    """'%.3f' text of a double rounded from its exact binary value.
+
+    Java's formatter rounds the shortest decimal form half-up (0.2875 ->
+    0.288), the audit's text rounds the binary value (0.287). Applied to
+    audit rows only (one per slice), through an Arrow-batched pandas UDF.
+    """
+    global _FIXED3
+    if _FIXED3 is None:
+        _FIXED3 = F.pandas_udf(_fixed3_impl, "string")
+    return _FIXED3(c.cast("double"))
+
+
+def _fixed3_impl(s):
+    return s.map(lambda v: None if v is None or v != v else f"{v:.3f}")
+
+
+_FIXED3 = None
+
+
 def bin_column(c: Column, edges: list[float], labels: list[str]) -> Column:
     """Right-closed bins ``(e0, e1], (e1, e2], ...``; outside -> null."""
     out = None
