@@ -295,43 +295,54 @@ def stratify_ok(class_counts: list[tuple], test_size: float) -> bool:
     return m >= 2 and int(m * test_size) >= 1
 
 
+def first_k_by_hash(df: DataFrame, group: str, key: str, want: DataFrame, seed: int = 42,
+                    prefix_len: int = 4, out: str = "_first") -> DataFrame:
+    """Flag the first ``_want`` rows of each ``group`` in ``md5(seed:key)`` order.
+
+    ``want``: (group, _want). The cut is found from counts per (group, hash
+    prefix) -- at most groups x 16^prefix_len rows -- so only the rows of one
+    boundary prefix per group are numbered; no group is ever sorted whole.
+    """
+    from pyspark.sql import Window
+    d = (df.withColumn("_h", hash_order(F.col(key), seed))
+           .withColumn("_p", F.substring("_h", 1, prefix_len)))
+    pref = d.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    wv = want.withColumnRenamed(group, "_gw")
+    cum = (pref.join(wv, pref[group].eqNullSafe(wv["_gw"])).drop("_gw")
+           .select(group, "_p", "_n", "_want", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
+    plan = cum.select(F.col(group).alias("_gp"), F.col("_p").alias("_pp"),
+                      F.when(F.col("_before") + F.col("_n") <= F.col("_want"), F.lit("in"))
+                       .when(F.col("_before") >= F.col("_want"), F.lit("out"))
+                       .otherwise(F.lit("cut")).alias("_kind"),
+                      (F.col("_want") - F.col("_before")).alias("_take"))
+    plan_b, _ = bounded_broadcast(plan)
+    j = d.join(plan_b, d[group].eqNullSafe(plan_b["_gp"]) & (d["_p"] == plan_b["_pp"]), "left") \
+         .drop("_gp", "_pp")
+    wb = Window.partitionBy(group, "_p").orderBy("_h", key)
+    cut = j.where(F.col("_kind") == "cut").withColumn("_r", F.row_number().over(wb))
+    cut = cut.withColumn(out, F.col("_r") <= F.col("_take")).drop("_r")
+    rest = j.where(F.col("_kind").isNull() | (F.col("_kind") != "cut")).withColumn(out, F.col("_kind") == "in")
+    rest = rest.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    return rest.unionByName(cut).drop("_h", "_p", "_kind", "_take")
+
+
 def split(df: DataFrame, key: str, target: str, test_size: float = 0.2, seed: int = 42,
           stratify: bool = True, prefix_len: int = 4, out: str = "split") -> DataFrame:
     """Exact, repeatable train/test split (``split`` = 'train' | 'test').
 
-    Rows are ordered by ``md5(seed:key)``. Per class, the first ``test_c``
-    rows in that order are test. The cut is found from counts per
-    (class, hash prefix) -- at most classes x 16^prefix_len rows -- and only
-    the rows of the one boundary prefix per class are numbered.
+    Rows are ordered by ``md5(seed:key)``; per class the first ``test_c`` rows
+    in that order are test, with ``n_test = ceil(test_size * n)`` allocated to
+    classes by largest remainder when stratified.
     """
-    h = hash_order(F.col(key), seed)
     counts = df.groupBy(F.col(target).cast("string").alias("_cls")).count().collect()  # per class
     cc = [(r["_cls"], r["count"]) for r in counts]
     strat = stratify and stratify_ok(cc, test_size)
     want = split_counts(cc, test_size, strat)
-    d = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, prefix_len))
-    cls = F.col(target) if strat else F.lit(None).cast("string")
-    d = d.withColumn("_cls", cls.cast("string"))
-    pref = d.groupBy("_cls", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    want_rows = [(k, int(v)) for k, v in want.items()]
-    spark = df.sparkSession
-    want_df = spark.createDataFrame(want_rows, "_cls string, _want long")
-    from pyspark.sql import Window
-    w = Window.partitionBy("_cls").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    cum = (pref.join(want_df, pref["_cls"].eqNullSafe(want_df["_cls"])).drop(want_df["_cls"])
-           .select("_cls", "_p", "_n", "_want", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
-    # per class: prefixes fully in test, the boundary prefix, and how many of it
-    plan = cum.select("_cls", "_p",
-                      F.when(F.col("_before") + F.col("_n") <= F.col("_want"), F.lit("test"))
-                       .when(F.col("_before") >= F.col("_want"), F.lit("train"))
-                       .otherwise(F.lit("cut")).alias("_kind"),
-                      (F.col("_want") - F.col("_before")).alias("_take"))
-    plan_b, _ = bounded_broadcast(plan)
-    j = d.join(plan_b, (d["_cls"].eqNullSafe(plan_b["_cls"])) & (d["_p"] == plan_b["_p"])) \
-         .drop(plan_b["_cls"]).drop(plan_b["_p"])
-    wb = Window.partitionBy("_cls", "_p").orderBy("_h", key)
-    cut = j.where(F.col("_kind") == "cut").withColumn("_r", F.row_number().over(wb))
-    cut = cut.withColumn(out, F.when(F.col("_r") <= F.col("_take"), "test").otherwise("train")).drop("_r")
-    rest = j.where(F.col("_kind") != "cut").withColumn(out, F.col("_kind"))
-    res = rest.unionByName(cut)
-    return res.drop("_h", "_p", "_cls", "_kind", "_take")
+    cls = F.col(target).cast("string") if strat else F.lit(None).cast("string")
+    d = df.withColumn("_cls", cls)
+    want_df = df.sparkSession.createDataFrame([(k, int(v)) for k, v in want.items()],
+                                              "_cls string, _want long")
+    f = first_k_by_hash(d, "_cls", key, want_df, seed, prefix_len, "_test")
+    return (f.withColumn(out, F.when(F.col("_test"), "test").otherwise("train"))
+             .drop("_test", "_cls"))

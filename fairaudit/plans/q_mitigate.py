@@ -1 +1,120 @@
-"""Registered queries."""
+"""Queries for §2.8: weights, resampling, ROC and thresholds (model-free)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mitigate as MI
+from ..sources.tables import order_audit
+from .registry import register
+from .views_sql import with_views
+
+
+def _oa(spark, d):
+    return order_audit(spark, d)
+
+
+_W = """
+, j AS (SELECT region AS grp, y_true AS y, count(*) AS n FROM order_audit GROUP BY 1, 2),
+  w AS (SELECT grp, y, n, CAST(sum(n) OVER (PARTITION BY grp) AS DOUBLE) * sum(n) OVER (PARTITION BY y)
+                          / (sum(n) OVER () * n) AS weight FROM j)
+"""
+
+
+@register("reweigh", with_views(_W + """
+SELECT row_id, round(weight, 6) AS sample_weight FROM order_audit o JOIN w ON o.region = w.grp AND o.y_true = w.y""",
+    "order_audit"))
+def q_reweigh(spark, d):
+    r = MI.reweigh(_oa(spark, d), "region", "y_true")
+    return r.select("row_id", F.round("sample_weight", 6).alias("sample_weight"))
+
+
+@register("reweigh_audit", with_views(_W + """
+SELECT region AS grp, CAST(count(*) AS BIGINT) AS n, round(sum(weight * y_true) / sum(weight), 6) AS weighted_rate
+FROM order_audit o JOIN w ON o.region = w.grp AND o.y_true = w.y GROUP BY region""", "order_audit"))
+def q_reweigh_audit(spark, d):
+    r = MI.reweigh(_oa(spark, d), "region", "y_true")
+    return MI.weighted_rates(r, "region", "y_true", "sample_weight").select(
+        "grp", "n", F.round("weighted_rate", 6).alias("weighted_rate"))
+
+
+@register("class_balance_weights", with_views("""
+, c AS (SELECT y_true AS y, count(*) AS n FROM order_audit GROUP BY 1)
+SELECT y, CAST(n AS BIGINT) AS n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS class_weight
+FROM c""", "order_audit"))
+def q_class_balance_weights(spark, d):
+    t = MI.class_weight_table(_oa(spark, d), "y_true")
+    return t.select("y", "n", F.round("class_weight", 6).alias("class_weight"))
+
+
+@register("resample", with_views("""
+, j AS (SELECT region AS grp, y_true AS y, count(*) AS m FROM order_audit GROUP BY 1, 2),
+  t AS (SELECT grp, y, m, (2 * sum(m) OVER (PARTITION BY grp) * sum(m) OVER (PARTITION BY y) + sum(m) OVER ())
+                          // (2 * sum(m) OVER ()) AS t FROM j)
+SELECT grp, y, CAST(m AS BIGINT) AS n_before, CAST(t AS BIGINT) AS n_after FROM t""", "order_audit"))
+def q_resample(spark, d):
+    oa = _oa(spark, d).select("row_id", "region", "y_true")
+    before = oa.groupBy(F.col("region").alias("grp"), F.col("y_true").alias("y")).agg(
+        F.count(F.lit(1)).alias("n_before"))
+    after = MI.resample(oa, "region", "y_true", "row_id").groupBy(
+        F.col("region").alias("grp"), F.col("y_true").alias("y")).agg(F.count(F.lit(1)).alias("n_after"))
+    return before.join(after, ["grp", "y"])
+
+
+_ROC = """
+, bk AS (SELECT region AS grp, CAST(least(greatest(floor(score * 1000), 0), 1000) AS INT) AS b, y_true FROM order_audit),
+  cnt AS (SELECT grp, b, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+                 sum(CASE WHEN y_true = 1 THEN 0 ELSE 1 END) AS neg FROM bk GROUP BY 1, 2),
+  lv AS (SELECT g.grp, CAST(s.b AS INT) AS b FROM (SELECT DISTINCT grp FROM cnt) g, generate_series(0, 1001) s(b)),
+  c AS (SELECT lv.grp, lv.b, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM lv LEFT JOIN cnt USING (grp, b)),
+  roc AS (SELECT grp, b,
+                 sum(pos) OVER (PARTITION BY grp ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS tp,
+                 sum(neg) OVER (PARTITION BY grp ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS fp,
+                 sum(pos) OVER (PARTITION BY grp) AS n_pos, sum(neg) OVER (PARTITION BY grp) AS n_neg FROM c),
+  roc2 AS (SELECT *, n_pos + n_neg AS n, coalesce(CAST(tp AS DOUBLE) / nullif(n_pos, 0), 0) AS tpr,
+                  coalesce(CAST(fp AS DOUBLE) / nullif(n_neg, 0), 0) AS fpr,
+                  CAST(tp + fp AS DOUBLE) / (n_pos + n_neg) AS selection_rate, tp + n_neg - fp AS correct FROM roc)
+"""
+
+
+@register("group_roc", with_views(_ROC + """
+SELECT grp, b, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
+       round(selection_rate, 6) AS selection_rate FROM roc2""", "order_audit"))
+def q_group_roc(spark, d):
+    r = MI.group_roc(_oa(spark, d), "score", "y_true", "region")
+    return r.select("grp", "b", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "selection_rate")])
+
+
+_PARITY = _ROC + """
+, r AS (SELECT *, lead(selection_rate) OVER (PARTITION BY grp ORDER BY b) AS next_rate FROM roc2),
+  r2 AS (SELECT *, CASE WHEN next_rate IS NULL THEN 0 ELSE CAST(floor(next_rate * 1000 + 1e-9) AS INT) + 1 END AS lo,
+                CAST(floor(selection_rate * 1000 + 1e-9) AS INT) AS hi FROM r),
+  served AS (SELECT grp, b, selection_rate, correct, n, CAST(i.i AS INT) AS i
+             FROM r2, generate_series(r2.lo, r2.hi) i(i) WHERE r2.hi >= r2.lo),
+  total AS (SELECT i, sum(correct) AS ct, count(*) AS k, sum(n) AS nt FROM served GROUP BY i),
+  best AS (SELECT * FROM total WHERE k = (SELECT count(DISTINCT grp) FROM roc2) ORDER BY ct DESC, i LIMIT 1),
+  th AS (SELECT s.grp, s.b, s.selection_rate, best.i, CAST(best.ct AS DOUBLE) / best.nt AS acc FROM served s JOIN best USING (i))
+"""
+
+
+@register("threshold_parity", with_views(_PARITY + """
+SELECT grp, b / 1000.0 AS threshold, b, round(selection_rate, 6) AS selection_rate, i / 1000.0 AS target_rate,
+       round(acc, 6) AS accuracy FROM th""", "order_audit"))
+def q_threshold_parity(spark, d):
+    roc = MI.group_roc(_oa(spark, d), "score", "y_true", "region")
+    return MI.threshold_parity(roc)
+
+
+@register("apply_group_threshold", with_views(_PARITY + """
+SELECT row_id, region, CAST(least(greatest(floor(score * 1000), 0), 1000) >= th.b AS INT) AS y_pred
+FROM order_audit o JOIN th ON o.region = th.grp""", "order_audit"))
+def q_apply_group_threshold(spark, d):
+    oa = _oa(spark, d)
+    th = MI.threshold_parity(MI.group_roc(oa, "score", "y_true", "region"))
+    return MI.apply_group_threshold(oa, th, "score", "region").select("row_id", "region", "y_pred")
+
+
+@register("threshold_equalized_odds")
+def q_threshold_equalized_odds(spark, d):
+    roc = MI.group_roc(_oa(spark, d), "score", "y_true", "region")
+    return MI.threshold_equalized_odds(roc)
