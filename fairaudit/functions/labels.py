@@ -99,3 +99,18 @@ def infer_positive(labels: DataFrame, keys: list[str], label: str = "label",
 def is_pos(c: Column, pos: Column) -> Column:
     """1 when ``c`` equals the positive label, else 0 (null counts as 0)."""
     return F.coalesce(c == pos, F.lit(False)).cast("int")
+
+
+def window_positive_label(y_true: Column, y_pred: Column | None, keys: list[str], dt: T.DataType,
+                          variant: str = "pair") -> Column:
+    """Positive label per slice, computed over a (small) label cube with a
+    window partitioned by the slice keys -- no join back, one scan."""
+    from pyspark.sql import Window
+    cands = {"audit": AUDIT_CANDIDATES, "pair": PAIR_CANDIDATES,
+             "preprocess": PREPROCESS_CANDIDATES}[variant]
+    w = Window.partitionBy(*keys)
+    elems = F.array(y_true, y_pred) if y_pred is not None else F.array(y_true)
+    labels = F.filter(F.array_distinct(F.flatten(F.collect_set(elems).over(w))), lambda x: x.isNotNull())
+    numeric_shortcut = variant in ("audit", "preprocess")
+    return positive_label_expr(F.size(labels), F.array_min(labels), F.array_max(labels), dt, cands,
+                               numeric_shortcut, numeric_shortcut)

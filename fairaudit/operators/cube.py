@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import drop_all, fill_group, keys_of, with_all
-from ..functions.labels import infer_positive, is_pos
+from ..functions.labels import infer_positive, is_pos, window_positive_label
 
 
 def as_list(x) -> list[str]:
@@ -62,8 +62,9 @@ def binarized_confusion(cube: DataFrame, keys: list[str], pos_label=None) -> Dat
     ``pos_label`` None -> inferred per slice from y_true and y_pred together.
     """
     if pos_label is None:
-        pos = cube_positive_label(cube, keys)
-        c = cube.join(pos, keys)
+        dt = cube.select(F.array("y_true", "y_pred").alias("a")).schema["a"].dataType.elementType
+        c = cube.withColumn("pos_label", window_positive_label(
+            F.col("y_true").cast(dt), F.col("y_pred").cast(dt), keys, dt, "pair"))
         p = F.col("pos_label")
     else:
         c, p = cube, F.lit(pos_label)

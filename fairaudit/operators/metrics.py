@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (drop_all, fairness_score, keys_of, r6, rate0, ratio)
-from ..functions.labels import infer_positive, is_pos
+from ..functions.labels import is_pos, window_positive_label
 from .cube import as_list, binarized_confusion, confusion_cube, outcome_cube
 
 FAIRNESS_COLS = ["demographic_parity_difference", "equalized_odds_difference",
@@ -87,9 +87,9 @@ def observed_outcomes(df: DataFrame, target: str, attrs, slice_cols=(), pos_labe
     keys = keys_of(slice_cols)
     cube = outcome_cube(df, target, attrs, slice_cols, unknown=fill_missing_group)
     if pos_label is None:
-        labels = cube.select(*keys, F.col("y").alias("label")).where(F.col("label").isNotNull())
-        pos = infer_positive(labels, keys, "label", "audit").select(*keys, "pos_label")
-        c, p = cube.join(pos, keys, "left"), F.col("pos_label")
+        dt = cube.schema["y"].dataType
+        c = cube.withColumn("pos_label", window_positive_label(F.col("y"), None, keys, dt, "audit"))
+        p = F.col("pos_label")
     else:
         c, p = cube, F.lit(pos_label)
     return c.groupBy(*keys, "attr", "grp").agg(

@@ -49,24 +49,33 @@ def _norm_type(t: str) -> str:
 
 
 def training_weights(train: DataFrame, label: str = "y", sample_weight: str | None = None,
-                     balanced: bool = True) -> DataFrame:
-    """Row weight column ``_w``: balanced class weight x sample weight."""
+                     balanced: bool = True) -> tuple[DataFrame, int, float | None]:
+    """Row weight column ``_w`` (balanced class weight x sample weight), the
+    number of classes, and the total weight when it is known without a pass
+    (balanced weights alone sum to n)."""
+    cw, _ = bounded_broadcast(MI.class_weight_table(train, label))
+    rows = cw.collect()  # one row per class
+    k, n = len(rows), sum(r["n"] for r in rows)
     if balanced:
-        return MI.with_class_weights(train, label, sample_weight, out="_w")
-    return train.withColumn("_w", F.col(sample_weight) if sample_weight else F.lit(1.0))
+        t = cw.select(F.col("y").alias("_y"), "class_weight")
+        j = train.join(t, train[label].eqNullSafe(t["_y"]), "left").drop("_y")
+        w = F.col("class_weight") * (F.col(sample_weight) if sample_weight else F.lit(1.0))
+        return j.withColumn("_w", w).drop("class_weight"), k, (None if sample_weight else float(n))
+    w = F.col(sample_weight) if sample_weight else F.lit(1.0)
+    return train.withColumn("_w", w), k, (None if sample_weight else float(n))
 
 
 def fit(train: DataFrame, features: list[str], spec: ModelSpec = ModelSpec(), label: str = "y",
         sample_weight: str | None = None) -> PipelineModel:
     """Fit VectorAssembler + classifier. At least two classes are required."""
     mt = _norm_type(spec.model_type)
-    classes = train.select(label).distinct().limit(3).count()
+    data, classes, total_w = training_weights(train, label, sample_weight, spec.balanced)
     if classes < 2:
         raise ValueError(f"Target must have at least 2 classes for classification. Found {classes}.")
-    data = training_weights(train, label, sample_weight, spec.balanced)
     asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
     if mt == "logistic_regression":
-        total_w = data.agg(F.sum("_w")).first()[0]
+        if total_w is None:
+            total_w = data.agg(F.sum("_w")).first()[0]
         p = {"maxIter": LR_MAX_ITER, "regParam": 1.0 / total_w, "elasticNetParam": 0.0,
              "standardization": False, "tol": 1e-6}
         p.update(spec.params)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import bin_column, fill_group
 from ..functions.labels import NUMERIC, infer_positive, is_pos
-from ..session import bounded_broadcast
+from ..session import BROADCAST_MAX_ROWS, bounded_broadcast
 from .cube import as_list
 from .ranking import dense_index, exact_medians
 
@@ -171,24 +171,17 @@ def one_hot_vector(df: DataFrame, cols, output: str = "features_cat"):
 
 def encode_binary_target(df: DataFrame, target: str, out: str | None = None) -> DataFrame:
     """Two labels -> 0/1 (positive by the preprocessing rules); otherwise the
-    column is returned unchanged."""
+    column is returned unchanged. One aggregate decides."""
+    from ..functions.labels import PREPROCESS_CANDIDATES, positive_label_expr
     out = out or target
-    labels = df.select(F.col(target).alias("label")).where(F.col("label").isNotNull())
-    summary = labels.agg(F.count_distinct("label").alias("k"), F.min("label").alias("lo"),
-                         F.max("label").alias("hi")).first()
-    if summary["k"] != 2:
-        return df.withColumn(out, F.col(target)) if out != target else df
-    pos = _positive_from_summary(df.sparkSession, summary, df.schema[target].dataType)
-    return df.withColumn(out, is_pos(F.col(target), F.lit(pos)))
-
-
-def _positive_from_summary(spark, summary, dt):
-    from ..functions.labels import positive_label_expr, PREPROCESS_CANDIDATES
-    one = spark.createDataFrame([(summary["k"], summary["lo"], summary["hi"])],
-                                T.StructType([T.StructField("k", T.LongType()),
-                                              T.StructField("lo", dt), T.StructField("hi", dt)]))
-    return one.select(positive_label_expr(F.col("k"), F.col("lo"), F.col("hi"), dt,
-                                          PREPROCESS_CANDIDATES, True, True)).first()[0]
+    y = F.col(target)
+    dt = df.schema[target].dataType
+    k, lo, hi = F.count_distinct(y), F.min(y), F.max(y)
+    r = df.agg(k.alias("k"), positive_label_expr(k, lo, hi, dt, PREPROCESS_CANDIDATES, True, True)
+               .alias("pos")).first()
+    if r["k"] != 2:
+        return df.withColumn(out, y) if out != target else df
+    return df.withColumn(out, is_pos(y, F.lit(r["pos"])))
 
 
 def binarize_pair(df: DataFrame, y_true: str, y_pred: str, pos_label=None) -> DataFrame:
@@ -316,7 +309,10 @@ def first_k_by_hash(df: DataFrame, group: str, key: str, want: DataFrame, seed:
                        .when(F.col("_before") >= F.col("_want"), F.lit("out"))
                        .otherwise(F.lit("cut")).alias("_kind"),
                       (F.col("_want") - F.col("_before")).alias("_take"))
-    plan_b, _ = bounded_broadcast(plan)
+    # size bound by construction: groups x 16^prefix_len rows (groups = rows of
+    # ``want``, counted here), so the cut table is broadcast without a pass
+    n_groups = want.count()
+    plan_b = F.broadcast(plan) if n_groups * 16 ** prefix_len <= BROADCAST_MAX_ROWS else plan
     j = d.join(plan_b, d[group].eqNullSafe(plan_b["_gp"]) & (d["_p"] == plan_b["_pp"]), "left") \
          .drop("_gp", "_pp")
     wb = Window.partitionBy(group, "_p").orderBy("_h", key)

@@ -17,7 +17,7 @@ from ..session import bounded_broadcast, materialize
 
 # A candidate set at most this large (distinct values in the bracket) is
 # settled on the driver; larger ones are narrowed by another pass.
-SETTLE_MAX = 200_000
+SETTLE_MAX = 20_000
 QUANTILE_ACCURACY = 10_000
 
 
@@ -99,41 +99,47 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median of each numeric column (nulls ignored; mean of the two
     middle values for an even count), in a few passes over the data.
 
-    Pass 1 counts and brackets the median between two approximate quantiles
-    whose rank error is bounded by ``1/accuracy``. Each further pass counts
-    the values below the bracket and, once the bracket holds at most
-    ``SETTLE_MAX`` distinct values, settles the answer from their
-    (value, count) histogram.
+    Pass 1 counts each column and brackets its median between two
+    approximate quantiles (rank error at most ``n / accuracy``). Each further
+    pass counts the values below and inside the bracket; a bracket that
+    misses the middle ranks is widened, one holding at most ``SETTLE_MAX``
+    values is settled from its (value, count) histogram, a larger one is
+    narrowed by approximate quantiles of the values inside it.
     """
     if not cols:
         return {}
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    first = d.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
-    state = {}
+    eps = 3.0 / QUANTILE_ACCURACY
+    first = d.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
+                  *[F.percentile_approx(c, [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)],
+                                        QUANTILE_ACCURACY).alias(f"q_{i}") for i, c in enumerate(cols)]).first()
+    state, result = {}, {c: None for c in cols}
     for i, c in enumerate(cols):
         n = first[f"n_{i}"]
-        if n == 0:
-            state[c] = None
-            continue
-        ks = sorted({(n - 1) // 2, n // 2})  # 0-based ranks of the middle value(s)
-        state[c] = {"n": n, "ks": ks, "lo": None, "hi": None}
-    result: dict[str, float | None] = {c: None for c in cols}
-    pending = [c for c in cols if state[c] is not None]
+        if n:
+            lo, hi = first[f"q_{i}"]
+            state[c] = {"ks": sorted({(n - 1) // 2, n // 2}), "lo": lo, "hi": hi}
+    pending = list(state)
     while pending:
-        # narrow: approximate quantiles of the values inside the current bracket
-        eps = 3.0 / QUANTILE_ACCURACY
         aggs = []
         for c in pending:
             s = state[c]
-            inside = _in_bracket(F.col(c), s["lo"], s["hi"])
-            aggs.append(F.count(F.when(inside, 1)).alias(f"m_{c}"))
+            aggs.append(F.count(F.when(_in_bracket(F.col(c), s["lo"], s["hi"]), 1)).alias(f"m_{c}"))
             aggs.append(F.count(F.when(_below(F.col(c), s["lo"]), 1)).alias(f"b_{c}"))
         stats = d.agg(*aggs).first()
-        settle, narrow = [], []
+        settle, narrow, again = [], [], []
         for c in pending:
             s = state[c]
             prev = s.get("m")
             s["below"], s["m"] = stats[f"b_{c}"], stats[f"m_{c}"]
+            if s["lo"] is not None and s["below"] > s["ks"][0]:
+                s["lo"] = None  # bracket starts above the middle: widen down
+                again.append(c)
+                continue
+            if s["hi"] is not None and s["below"] + s["m"] <= s["ks"][-1]:
+                s["hi"] = None  # bracket ends below the middle: widen up
+                again.append(c)
+                continue
             if s["lo"] is not None and s["lo"] == s["hi"]:
                 result[c] = float(s["lo"])  # every bracketed value is the median
                 continue
@@ -152,9 +158,8 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
                 qaggs.append(F.percentile_approx(v, [p_lo, p_hi], QUANTILE_ACCURACY).alias(f"q_{c}"))
             q = d.agg(*qaggs).first()
             for c in narrow:
-                lo, hi = q[f"q_{c}"]
-                state[c]["lo"], state[c]["hi"] = lo, hi
-        pending = narrow
+                state[c]["lo"], state[c]["hi"] = q[f"q_{c}"]
+        pending = narrow + again
     return result
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import prepare as P
+from ..session import materialize
 from ..operators.cube import as_list
 
 
@@ -21,7 +22,9 @@ def prepare_dataset(df: DataFrame, target: str, sensitive: str, key: str,
     """
     exclude = set(as_list(exclude))
     cols = [c for c in df.columns if c != key and c not in exclude]
-    base = df.select(key, *cols)
+    # the statistics below take several passes: read the input once, then
+    # work from a checkpoint of just the needed columns
+    base = materialize(df.select(key, *cols))
     stats = P.impute_stats(base.select(*cols),
                            numeric=[c for c in P.numeric_columns(base) if c != key],
                            categorical=[c for c in P.categorical_columns(base)])

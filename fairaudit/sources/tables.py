@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import BROADCAST_MAX_ROWS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -23,12 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_ROWS: dict = {}
+
+
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of an input table (parquet footers), remembered per path."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _ROWS:
+        _ROWS[key] = table(spark, sf_dir, name).count()
+    return _ROWS[key]
+
+
 def nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation x region, broadcast once both row counts (parquet metadata,
+    no scan) are known to be small; otherwise a plain join."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nr = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-    small, _ = bounded_broadcast(nr.select("n_nationkey", "n_regionkey", "r_name"))
-    return small
+    small = (row_count(spark, sf_dir, "nation") <= BROADCAST_MAX_ROWS
+             and row_count(spark, sf_dir, "region") <= BROADCAST_MAX_ROWS)
+    r = F.broadcast(region) if small else region
+    nr = nation.join(r, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_regionkey", "r_name")
+    return F.broadcast(nr) if small else nr
 
 
 def order_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
