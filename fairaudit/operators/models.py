@@ -120,24 +120,38 @@ def debiased_features(features: list[str], sensitive: str, mode: str = "wide") -
 
 @dataclass
 class ConstrainedModel:
-    """Mixture of hypotheses: each a fitted model or a constant label."""
+    """Mixture of hypotheses (each a fitted model or a constant label) with
+    mixture weights; ``history`` records, per prefix of iterations, the
+    expected group rates, violation and error used to choose the mixture."""
     members: list  # (weight, PipelineModel | int)
     features: list[str]
+    history: list = field(default_factory=list)
 
-    def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
-        """Expected positive probability of the mixture; hard label at 0.5."""
+    def predict(self, df: DataFrame, out: str = "y_pred", key: str | None = None, seed: int = 42) -> DataFrame:
+        """``mixture_score`` = probability of predicting 1. With ``key`` the
+        label is drawn with that probability from a per-row hash uniform
+        (repeatable), as the randomised classifier of the reduction; without
+        it the score is thresholded at 0.5."""
         total = sum(w for w, _ in self.members)
         acc = F.lit(0.0)
         d = df
         for i, (w, m) in enumerate(self.members):
+            if w == 0:
+                continue
             if isinstance(m, int):
                 acc = acc + F.lit(w * m)
                 continue
             d = score(m, d, out=f"_h{i}", proba=f"_p{i}")
             acc = acc + F.lit(w) * F.col(f"_h{i}")
         d = d.withColumn("mixture_score", acc / total)
-        d = d.withColumn(out, (F.col("mixture_score") >= 0.5).cast("int"))
-        return d.drop(*[f"_h{i}" for i in range(len(self.members))], *[f"_p{i}" for i in range(len(self.members))])
+        if key is not None:
+            from .prepare import hash_order
+            u = F.conv(F.substring(hash_order(F.col(key), seed), 1, 12), 16, 10).cast("double") / float(16 ** 12)
+            d = d.withColumn(out, (u < F.col("mixture_score")).cast("int"))
+        else:
+            d = d.withColumn(out, (F.col("mixture_score") >= 0.5).cast("int"))
+        drop = [c for i in range(len(self.members)) for c in (f"_h{i}", f"_p{i}")]
+        return d.drop(*drop)
 
 
 def fair_constrained(train: DataFrame, features: list[str], group: str = "sensitive", label: str = "y",
@@ -145,11 +159,13 @@ def fair_constrained(train: DataFrame, features: list[str], group: str = "sensit
                      eta: float = 2.0, seed: int = 42) -> ConstrainedModel:
     """Exponentiated-gradient reduction with a weighted LR best response.
 
-    Per iteration: one aggregate gives the current multipliers' effect per
-    (group[, label]); costs reach the rows through a broadcast join of that
-    small table; the relabelled, re-weighted rows train an LR; one more
-    aggregate measures the new hypothesis' group rates (the constraint
-    violations). Only 2 x groups (x labels) numbers live on the driver.
+    Per iteration: costs reach the rows through a broadcast join of the
+    (group[, label]) multiplier table; the relabelled, re-weighted rows train
+    an LR; one aggregate measures the new hypothesis' rates and errors per
+    cell. The returned mixture is the uniform average of the first t
+    hypotheses for the t whose expected violation is within ``eps`` with the
+    lowest error (else the smallest violation). Only cells x iterations
+    numbers live on the driver.
     """
     key = constraint.strip().lower()
     if key not in ("demographic_parity", "equalized_odds"):
@@ -161,23 +177,24 @@ def fair_constrained(train: DataFrame, features: list[str], group: str = "sensit
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     eo = key == "equalized_odds"
     cell_keys = ["_g", "_y"] if eo else ["_g"]
-    cells = data.groupBy(*cell_keys).agg(F.count(F.lit(1)).alias("_n")).collect()
+    cells = data.groupBy("_g", "_y").agg(F.count(F.lit(1)).alias("_n")).collect()
     n = sum(r["_n"] for r in cells)
-    # per "event" (label for EO, all rows for DP): total rows
-    ev_tot: dict = {}
+    cell_n: dict = {}
     for r in cells:
-        e = r["_y"] if eo else 0
-        ev_tot[e] = ev_tot.get(e, 0) + r["_n"]
-    cell_n = {tuple(r[k] for k in cell_keys): r["_n"] for r in cells}
+        c = (r["_g"], r["_y"]) if eo else (r["_g"],)
+        cell_n[c] = cell_n.get(c, 0) + r["_n"]
+    ev_tot: dict = {}
+    for c, nc in cell_n.items():
+        e = c[1] if eo else 0
+        ev_tot[e] = ev_tot.get(e, 0) + nc
     B = 1.0 / eps
     theta = {(c, s): 0.0 for c in cell_n for s in (+1, -1)}
-    members = []
+    members, hist_rates, hist_err = [], [], []
     spark = train.sparkSession
     for t in range(iterations):
         z = 1.0 + sum(math.exp(v) for v in theta.values())
         lam = {k: B * math.exp(v) / z for k, v in theta.items()}
         d = {c: lam[(c, 1)] - lam[(c, -1)] for c in cell_n}
-        # cost of predicting 1 for a row in cell c: (1-2y)/n + d_c/n_c - sum_{c' same event} d_c'/n_event
         rows = []
         for c, nc in cell_n.items():
             e = c[1] if eo else 0
@@ -194,26 +211,45 @@ def fair_constrained(train: DataFrame, features: list[str], group: str = "sensit
         if k["lo"] == k["hi"] or not k["sw"]:
             h = int(k["lo"] or 0)  # all relabels agree: the constant hypothesis
             members.append((1.0, h))
-            rates = {c: float(h) for c in cell_n}
+            scored = data.withColumn("_h", F.lit(h))
         else:
             model = fit(relabel.withColumnRenamed("_rl", "_lab"), features,
                         ModelSpec("logistic_regression", balanced=False, seed=seed),
                         label="_lab", sample_weight="_rw")
             members.append((1.0, model))
-            pr = score(model, data, out="_h").groupBy(*cell_keys).agg(F.avg("_h").alias("r")).collect()
-            rates = {tuple(r[k2] for k2 in cell_keys): r["r"] for r in pr}
-        # constraint violations gamma_c = E[h | c] - E[h | event]
-        ev_rate = {}
-        for c, nc in cell_n.items():
-            e = c[1] if eo else 0
-            ev_rate[e] = ev_rate.get(e, 0.0) + rates.get(c, 0.0) * nc / ev_tot[e]
+            scored = score(model, data, out="_h")
+        pr = scored.groupBy(*cell_keys).agg(F.avg("_h").alias("r"),
+                                             F.sum((F.col("_h") != F.col("_y")).cast("int")).alias("e")).collect()
+        rates = {tuple(r[k2] for k2 in cell_keys): r["r"] for r in pr}
+        hist_rates.append(rates)
+        hist_err.append(sum(r["e"] for r in pr) / n)
+        gam = _violations(rates, cell_n, ev_tot, eo)
         for c in cell_n:
-            e = c[1] if eo else 0
-            g = rates.get(c, 0.0) - ev_rate[e]
-            theta[(c, 1)] += eta * (g - eps) / math.sqrt(t + 1)
-            theta[(c, -1)] += eta * (-g - eps) / math.sqrt(t + 1)
+            theta[(c, 1)] += eta * (gam[c] - eps) / math.sqrt(t + 1)
+            theta[(c, -1)] += eta * (-gam[c] - eps) / math.sqrt(t + 1)
     data.unpersist()
-    return ConstrainedModel(members, features)
+    # choose the prefix average: feasible with least error, else least violation
+    history, best = [], None
+    for t in range(1, len(members) + 1):
+        avg = {c: sum(hist_rates[i].get(c, 0.0) for i in range(t)) / t for c in cell_n}
+        viol = max(abs(v) for v in _violations(avg, cell_n, ev_tot, eo).values())
+        err = sum(hist_err[:t]) / t
+        history.append({"t": t, "violation": viol, "error": err})
+        cand = (0 if viol <= eps else 1, viol if viol > eps else err, t)
+        if best is None or cand < best:
+            best = cand
+    t_best = best[2]
+    mix = [(1.0 if i < t_best else 0.0, m) for i, (_, m) in enumerate(members)]
+    return ConstrainedModel(mix, features, history)
+
+
+def _violations(rates: dict, cell_n: dict, ev_tot: dict, eo: bool) -> dict:
+    """gamma_c = E[h | c] - E[h | event(c)] for every cell."""
+    ev_rate: dict = {}
+    for c, nc in cell_n.items():
+        e = c[1] if eo else 0
+        ev_rate[e] = ev_rate.get(e, 0.0) + rates.get(c, 0.0) * nc / ev_tot[e]
+    return {c: rates.get(c, 0.0) - ev_rate[c[1] if eo else 0] for c in cell_n}
 
 
 # --------------------------------------------------------------------------
@@ -242,7 +278,8 @@ def run_strategy(name: str, train: DataFrame, test: DataFrame, features: list[st
     if name == CONSTRAINED:
         cm = fair_constrained(train, features, sensitive_col, "y", "demographic_parity",
                               iterations=constrained_iterations)
-        return cm, cm.predict(test)
+        key = test.columns[0]  # the row key leads the prepared table
+        return cm, cm.predict(test, key=key)
     if name in (THRESHOLD_DP, THRESHOLD_EO):
         base = fit(train, features, ModelSpec("logistic_regression", seed=spec.seed))
         roc = MI.group_roc(score(base, train), "p1", "y", sensitive_col)
