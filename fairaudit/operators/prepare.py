@@ -19,6 +19,7 @@ from .cube import as_list
 from .ranking import dense_index, exact_medians
 
 MAX_ONE_HOT = 1_000  # wider encodings go to the sparse-vector path (StringIndexer)
+MAX_LITERAL_CODES = 10_000  # ordinal codes by literal map up to this many values, else a join
 
 # Prefixes dropped by the "wide" feature-removal mode.
 WIDE_PREFIXES = ["gender_", "sex_", "race_", "age_", "ethnicity_"]
@@ -115,8 +116,13 @@ def impute(df: DataFrame, numeric=None, categorical=None, fit_on: DataFrame | No
     return apply_fill(df, impute_stats(base, numeric, categorical))
 
 
-def category_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT) -> dict[str, list]:
-    """Sorted distinct non-null values per column (bounded by ``max_values``)."""
+def category_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT,
+                    on_overflow: str = "raise") -> dict[str, list]:
+    """Sorted distinct non-null values per column (bounded by ``max_values``).
+
+    One distinct job for all columns; at most ``max_values + 1`` values per
+    column reach the driver. A column with more raises, or with
+    ``on_overflow='skip'`` is left out of the result."""
     if not cols:
         return {}
     parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
@@ -124,16 +130,22 @@ def category_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HO
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
+    from pyspark.sql import Window
     d = u.distinct()
-    rows = d.limit(max_values * len(cols) + 1).collect()
+    # keep at most max_values + 1 values per column (a bounded result)
+    w = Window.partitionBy("col").orderBy("v")
+    rows = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_values + 1).collect()
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         out[r["col"]].append(r["v"])
-    for c, vals in out.items():
-        if len(vals) > max_values:
+    for c in list(out):
+        if len(out[c]) > max_values:
+            if on_overflow == "skip":
+                del out[c]
+                continue
             raise ValueError(f"column {c!r} has more than {max_values} categories; "
                              "use the sparse vector encoding (one_hot_vector)")
-        vals.sort()
+        out[c].sort()
     return out
 
 
@@ -231,18 +243,27 @@ def ordinal_codes(df: DataFrame, cols, unknown: str = "Unknown") -> DataFrame:
     """Text column -> 0-based index of its (null -> ``unknown``) value among
     the sorted distinct values; numeric columns pass through.
 
-    The distinct values get a dense index by a range-partitioned sort; the
+    Up to ``MAX_LITERAL_CODES`` values the sorted value list (one bounded
+    distinct job for all columns) becomes a literal map; beyond that the
+    distinct values get a dense index by a range-partitioned sort and the
     code table is joined back with a size-checked broadcast.
     """
-    cols = as_list(cols)
+    text = [c for c in as_list(cols) if not isinstance(df.schema[c].dataType, NUMERIC)]
+    if not text:
+        return df
+    filled = df.select(*[fill_group(F.col(c), unknown).alias(c) for c in text])
+    small = category_values(filled, text, MAX_LITERAL_CODES, on_overflow="skip")
     out = df
-    for c in cols:
-        if isinstance(df.schema[c].dataType, NUMERIC):
+    for c in text:
+        v = fill_group(F.col(c), unknown)
+        if c in small:
+            # few values: a literal value -> code map, no join
+            m = F.create_map(*[x for i, val in enumerate(small[c]) for x in (F.lit(val), F.lit(float(i)))])
+            out = out.withColumn(c, m[v])
             continue
-        filled = fill_group(F.col(c), unknown)
-        vals = out.select(filled.alias("_v")).distinct()
+        vals = out.select(v.alias("_v")).distinct()
         codes, _ = bounded_broadcast(dense_index(vals, "_v", "_code"))
-        out = (out.withColumn("_v", filled).join(codes, "_v", "left")
+        out = (out.withColumn("_v", v).join(codes, "_v", "left")
                .withColumn(c, F.col("_code").cast("double")).drop("_v", "_code"))
     return out
 

@@ -39,3 +39,31 @@ def prepare_dataset(df: DataFrame, target: str, sensitive: str, key: str,
 
 def feature_columns(prepared: DataFrame, key: str) -> list[str]:
     return [c for c in prepared.columns if c not in (key, "y", "sensitive", "split")]
+
+
+def audit_report(df: DataFrame, y_true: str, y_pred: str, attr: str, features: list[str],
+                 top_k: int = 5) -> DataFrame:
+    """One audit row for a sensitive attribute: prediction fairness, raw-data
+    shares (imbalance), observed selection-rate gap, the bias rules and the
+    root-cause diagnosis with the strongest proxy among ``features`` (the
+    target is never a feature)."""
+    from ..operators import proxy as X
+    from ..operators import rules as R
+    from ..operators.metrics import distribution_summary
+    audit = R.audit_rows(df, y_true, y_pred, attr)
+    ident = R.identify_bias(audit)
+    summ = distribution_summary(df, y_true, attr).drop("_all")
+    top = X.top_k(X.pearson(df.select(attr, *[f for f in features if f != y_true]), attr), top_k) \
+        .withColumn("attr", F.lit(attr))
+    diag = R.diagnose(summ, ["attr"], top)
+    best = top.where(F.col("rank") == 1).select("attr", F.col("feature").alias("top_proxy"),
+                                                F.round("correlation", 6).alias("top_proxy_correlation"))
+    return (ident.select("attr", "n_groups", F.round("demographic_parity_difference", 6).alias("dp"),
+                         F.round("equalized_odds_difference", 6).alias("eo"),
+                         F.round("disparate_impact_ratio", 6).alias("di"),
+                         F.round("imbalance_ratio", 6).alias("imbalance_ratio"),
+                         "detected_bias_type", "severity_score")
+            .join(summ.select("attr", F.round("selection_rate_gap", 6).alias("selection_rate_gap")), "attr")
+            .join(diag.select("attr", F.col("bias_type").alias("root_cause_type"),
+                              F.col("severity").alias("root_cause_severity"), "root_causes"), "attr")
+            .join(best, "attr", "left"))

@@ -392,3 +392,77 @@ def q_fairness_score(spark, d):
     ev = M.evaluate_predictions(_long_models(spark, d), attrs="region", slice_cols=["period"],
                                 model_col="model")
     return ev.select("period", "model", "fairness_score")
+
+
+_AUDIT_REPORT_SQL = """
+, conf AS (SELECT region AS grp, count(*) AS n,
+                  sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS tp,
+                  sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS fp,
+                  sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS fn,
+                  sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1 ELSE 0 END) AS tn,
+                  round(avg(CASE WHEN y_true = 1 THEN 1.0 ELSE 0.0 END), 6) AS obs
+           FROM order_audit GROUP BY region),
+  rates AS (SELECT *, CAST(tp + fp AS DOUBLE) / n AS sr,
+                   coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS tpr,
+                   coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0) AS fpr FROM conf),
+  a AS (SELECT count(*) AS n_groups, abs(max(sr) - min(sr)) AS dp,
+               abs(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr))) AS eo,
+               CASE WHEN max(sr) = 0 THEN 1.0 ELSE min(sr) / max(sr) END AS di,
+               CASE WHEN count(*) >= 2 AND max(n) > 0 THEN CAST(min(n) AS DOUBLE) / max(n) END AS r,
+               CASE WHEN count(*) >= 2 THEN max(obs) - min(obs) END AS gap FROM rates),
+  sig AS (SELECT *, CASE WHEN di < 0.8 THEN least(1.0, (0.8 - di) / 0.4) END AS s1,
+                 CASE WHEN dp >= 0.1 THEN least(1.0, dp / 0.5) END AS s2,
+                 CASE WHEN eo >= 0.1 THEN least(1.0, eo / 0.5) END AS s3,
+                 CASE WHEN r IS NOT NULL AND r < 0.5 THEN least(1.0, (0.5 - r) / 0.5) END AS s4,
+                 CASE WHEN dp >= 0.2 AND eo < 0.1 AND di < 1.0 THEN least(1.0, dp / 0.6) END AS s5 FROM a),
+  sc AS (SELECT *,
+     CASE WHEN di < 0.8 OR dp >= 0.1 THEN greatest(greatest(0.0, least(1.0, (0.8 - di) / 0.4)), greatest(0.0, least(1.0, dp / 0.5))) ELSE 0.0 END AS c_sel,
+     CASE WHEN eo >= 0.1 THEN greatest(0.0, least(1.0, eo / 0.5)) ELSE 0.0 END AS c_pred,
+     CASE WHEN r IS NOT NULL AND r < 0.5 THEN greatest(0.0, least(1.0, (0.5 - r) / 0.5)) ELSE 0.0 END AS c_hist,
+     CASE WHEN dp >= 0.2 AND eo < 0.1 AND di < 1.0 THEN greatest(0.0, least(1.0, dp / 0.6)) ELSE 0.0 END AS c_proxy,
+     (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT + (s4 IS NOT NULL)::INT + (s5 IS NOT NULL)::INT AS k,
+     greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0), coalesce(s5, 0)) AS smax,
+     coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0) + coalesce(s4, 0) + coalesce(s5, 0) AS ssum FROM sig),
+  typed AS (SELECT *,
+     CASE WHEN greatest(c_sel, c_pred, c_hist, c_proxy) < 0.2 AND k = 0 THEN 'No Significant Bias'
+          WHEN c_sel >= greatest(c_pred, c_hist, c_proxy) THEN 'Selection Bias'
+          WHEN c_pred >= greatest(c_hist, c_proxy) THEN 'Prediction Bias'
+          WHEN c_hist >= c_proxy THEN 'Historical Bias' ELSE 'Proxy Bias' END AS bias_type,
+     CASE WHEN k = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, 0.7 * smax + 0.3 * ssum / k)), 3) END AS severity FROM sc),
+  coded AS (SELECT *, CAST(dense_rank() OVER (ORDER BY region) - 1 AS DOUBLE) AS s FROM order_audit),
+  pairs AS (SELECT 'o_totalprice' AS feature, 1 AS position, o_totalprice AS x, s FROM coded
+            UNION ALL SELECT 'c_acctbal', 2, c_acctbal, s FROM coded
+            UNION ALL SELECT 'n_regionkey', 3, CAST(n_regionkey AS DOUBLE), s FROM coded
+            UNION ALL SELECT 'score', 4, score, s FROM coded),
+  corr AS (SELECT feature, position, covar_pop(x, s) / nullif(stddev_pop(x) * stddev_pop(s), 0) AS cr
+           FROM pairs WHERE x IS NOT NULL GROUP BY 1, 2),
+  top AS (SELECT feature, cr, row_number() OVER (ORDER BY abs(cr) DESC, position) AS rk FROM corr
+          WHERE cr IS NOT NULL AND NOT isnan(cr)),
+  flagged AS (SELECT feature, abs(round(cr, 6)) AS c FROM top WHERE rk <= 5 AND abs(round(cr, 6)) >= 0.5
+              ORDER BY rk LIMIT 1),
+  causes AS (
+    SELECT 'Historical Bias' AS bt, 0 AS pr, least(1.0, (0.5 - r) / 0.5) AS st,
+           'Group distribution is highly imbalanced across the sensitive attribute.' AS cause FROM a WHERE r < 0.5
+    UNION ALL SELECT 'Selection Bias', 1, least(1.0, gap / 0.25), 'Unequal selection rates across sensitive groups.'
+    FROM a WHERE gap >= 0.15
+    UNION ALL SELECT 'Proxy Bias', 2, least(1.0, c / 0.7), 'High correlation of ' || feature || ' with the sensitive attribute.'
+    FROM flagged)
+SELECT 'region' AS attr, CAST(n_groups AS BIGINT) AS n_groups, round(dp, 6) AS dp, round(eo, 6) AS eo,
+       round(di, 6) AS di, round(r, 6) AS imbalance_ratio, bias_type AS detected_bias_type, severity AS severity_score,
+       round(gap, 6) AS selection_rate_gap,
+       coalesce((SELECT bt FROM causes ORDER BY st DESC, pr LIMIT 1), 'No Significant Bias') AS root_cause_type,
+       CASE WHEN (SELECT count(*) FROM causes) = 0 THEN 'Low'
+            WHEN (SELECT 0.7 * max(st) + 0.3 * avg(st) FROM causes) >= 0.67 THEN 'High'
+            WHEN (SELECT 0.7 * max(st) + 0.3 * avg(st) FROM causes) >= 0.34 THEN 'Medium' ELSE 'Low' END AS root_cause_severity,
+       coalesce((SELECT string_agg(cause, ' | ' ORDER BY pr) FROM causes), '') AS root_causes,
+       (SELECT feature FROM top WHERE rk = 1) AS top_proxy,
+       (SELECT round(cr, 6) FROM top WHERE rk = 1) AS top_proxy_correlation
+FROM typed
+"""
+
+
+@register("audit_report", with_views(_AUDIT_REPORT_SQL, "order_audit"))
+def q_audit_report(spark, d):
+    from .audit import audit_report
+    oa = _oa(spark, d).select("region", "y_true", "y_pred", "o_totalprice", "c_acctbal", "n_regionkey", "score")
+    return audit_report(oa, "y_true", "y_pred", "region", ["o_totalprice", "c_acctbal", "n_regionkey", "score"])
