@@ -55,10 +55,13 @@ def evaluate_candidates(df: DataFrame, preds: dict[str, str], y_true: str, attr:
 def strategy_gain(ev: DataFrame, keys: list[str]) -> DataFrame:
     """Adds baseline accuracy/fairness, fairness_improvement and
     accuracy_retention (0 when the baseline accuracy is 0)."""
-    base = ev.where(F.col("strategy") == "baseline").select(
-        *keys, F.col("accuracy").alias("baseline_accuracy"), F.col("fairness").alias("baseline_fairness"))
-    c = ev.where(F.col("strategy") != "baseline")
-    j = c.join(base, keys, "left") if keys else c.join(base, how="left", on=F.lit(True))
+    # the baseline row of each slice reaches its siblings through a window over
+    # the (strategies per slice) evaluation rows -- no join
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    is_base = F.col("strategy") == "baseline"
+    j = ev.select("*", F.max(F.when(is_base, F.col("accuracy"))).over(w).alias("baseline_accuracy"),
+                  F.max(F.when(is_base, F.col("fairness"))).over(w).alias("baseline_fairness")) \
+          .where(~is_base)
     return j.select(
         "*",
         F.round(F.col("baseline_fairness") - F.col("fairness"), 6).alias("fairness_improvement"),
