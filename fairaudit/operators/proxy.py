@@ -4,11 +4,12 @@ attribute, top-k, and the proxy flag.
 * Pearson: one aggregate over the rows with a guarded correlation per feature
   (``covar_pop / (stddev_pop * stddev_pop)`` on pairwise-complete values;
   undefined -> null -> skipped).
-* Spearman and Kendall: the rows are first reduced to cells
-  ``(feature, x, code) -> n`` (partial aggregation, at most
-  ``distinct(x) x codes`` per feature). Average ranks and the concordance
-  counts come from distributed prefix sums over the cells; there is no
-  row-level self-join and no window over a whole feature in one task.
+* Spearman and Kendall: the rows are first reduced to one row per
+  (feature, value) holding the count of each sensitive code (partial
+  aggregation; the sensitive attribute has few codes). Average ranks and the
+  concordance counts come from a distributed prefix sum over that table;
+  there is no row-level self-join, no join back to the rows and no window
+  over a whole feature in one task.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import NUMERIC
-from ..session import bounded_broadcast, materialize
+from ..session import reuse
 from .prepare import ordinal_codes
-from .ranking import average_ranks, prefix_before
+from .ranking import prefix_before
 
-MAX_CODES = 256  # Kendall keeps one prefix-sum column per sensitive code
+MAX_CODES = 256  # rank correlations keep one count column per sensitive code
 
 
 def _is_num(dt) -> bool:
@@ -48,67 +49,98 @@ def _features(df: DataFrame, sensitive: str, features) -> list[str]:
 
 
 def pearson(df: DataFrame, sensitive: str, features=None) -> DataFrame:
-    """(feature, position, correlation) -- unrounded; undefined skipped."""
+    """(feature, position, correlation) -- unrounded; undefined skipped.
+
+    Features are unpivoted to (feature, x, code) inside the scan stage and
+    aggregated by feature, so the aggregation buffer stays a handful of
+    fields (whole-stage codegen; one wide aggregate with ~10 fields per
+    feature would exceed the codegen field limit) and the pass is single."""
     feats = _features(df, sensitive, features)
     enc = encode(df, sensitive, feats)
-    s = F.col("_s")
-    aggs = []
-    for i, f in enumerate(feats):
-        x = F.when(s.isNotNull(), F.col(f))
-        y = F.when(F.col(f).isNotNull(), s)
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}"))
-    row = enc.agg(*aggs)
-    recs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(df.columns.index(f)).alias("position"),
-                              F.col(f"r{i}").alias("correlation")) for i, f in enumerate(feats)])
-    return row.select(F.inline(recs)).where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-
-
-def cells(df: DataFrame, sensitive: str, features=None) -> tuple[DataFrame, list[str]]:
-    """(feature, x, s, n) over pairwise-complete rows; checkpointed."""
+    long = (enc.unpivot(["_s"], feats, "feature", "x")
+               .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
+    x, y = F.col("x"), F.col("_s")
+    r = long.groupBy("feature").agg(
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation"))
+    return (r.join(F.broadcast(_positions(df, feats)), "feature")
+             .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+             .select("feature", "position", "correlation"))
+
+
+def code_table(df: DataFrame, sensitive: str, features=None):
+    """(feature, x, c0..cK-1): per feature value, the count of rows with each
+    sensitive code (pairwise-complete rows), persisted; plus the code list,
+    the feature list and the per-(feature, code) marginals (features x codes
+    numbers on the driver)."""
     feats = _features(df, sensitive, features)
     enc = encode(df, sensitive, feats)
-    long = enc.unpivot(["_s"], feats, "feature", "x")
-    c = (long.where(F.col("x").isNotNull() & F.col("_s").isNotNull())
-         .groupBy("feature", "x", F.col("_s").alias("s")).agg(F.count(F.lit(1)).alias("n")))
-    return materialize(c), feats
+    codes = sorted(r[0] for r in enc.select("_s").where(F.col("_s").isNotNull()).distinct()
+                   .limit(MAX_CODES + 1).collect())
+    if len(codes) > MAX_CODES:
+        raise ValueError(f"rank correlations need at most {MAX_CODES} sensitive codes, found more")
+    cn = [f"c{k}" for k in range(len(codes))]
+    long = enc.unpivot(["_s"], feats, "feature", "x").where(F.col("x").isNotNull() & F.col("_s").isNotNull())
+    X = reuse(long.groupBy("feature", "x").agg(
+        *[F.sum(F.when(F.col("_s") == v, 1).otherwise(0)).cast("double").alias(name)
+          for v, name in zip(codes, cn)]))
+    marg = {r["feature"]: [r[c] for c in cn] for r in X.groupBy("feature").agg(*[F.sum(c).alias(c) for c in cn]).collect()}
+    return X, codes, cn, feats, marg
 
 
-def _positions(df: DataFrame, feats: list[str]) -> DataFrame:
-    rows = [(f, df.columns.index(f)) for f in feats]
-    return df.sparkSession.createDataFrame(rows, "feature string, position int")
+def _code_ranks(u: list[float]) -> tuple[float, list[float]]:
+    """Total W and the average rank of each code given its count u_k."""
+    below, ranks = 0.0, []
+    for n in u:
+        ranks.append(below + (n + 1) / 2.0)
+        below += n
+    return below, ranks
+
+
+def _feature_map(values: dict, dtype: str = "double"):
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(dtype))])
 
 
 def spearman(df: DataFrame, sensitive: str, features=None) -> DataFrame:
-    c, feats = cells(df, sensitive, features)
-    rx = average_ranks(c, "x", ["feature"], "rx", count_col="n").drop("_n")
-    rs, _ = bounded_broadcast(average_ranks(c, "s", ["feature"], "rs", count_col="n").drop("_n"))
-    tot, _ = bounded_broadcast(c.groupBy("feature").agg(F.sum("n").alias("W")))
-    j = (c.join(rx, ["feature", "x"]).join(rs, ["feature", "s"]).join(tot, "feature"))
-    m = (F.col("W") + 1) / 2.0
-    dx, ds, n = F.col("rx") - m, F.col("rs") - m, F.col("n")
-    a = j.groupBy("feature").agg(F.sum(n * dx * ds).alias("cov"), F.sum(n * dx * dx).alias("vx"),
-                                 F.sum(n * ds * ds).alias("vs"))
-    r = a.select("feature", F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * F.col("vs"))).alias("correlation"))
+    """Pearson correlation of average ranks, pairwise complete.
+
+    Ranks of x: one distributed prefix sum over (feature, x). Ranks of the
+    codes: from the per-(feature, code) marginals. cov = sum over values of
+    sum_k c_k (rx - m)(rs_k - m), with m = (W + 1) / 2 the mean rank."""
+    X, codes, cn, feats, marg = code_table(df, sensitive, features)
+    info = {}
+    for f, u in marg.items():
+        W, rs = _code_ranks(u)
+        m = (W + 1) / 2.0
+        info[f] = (m, [r - m for r in rs], sum(n * (r - m) ** 2 for n, r in zip(u, rs)))
+    t = sum((F.col(c) for c in cn), F.lit(0.0))
+    pre = prefix_before(X.withColumn("_t", t), ["feature"], "x", ["_t"])
+    mcol = _feature_map({f: v[0] for f, v in info.items()})[F.col("feature")]
+    dx = F.col("_t_before") + (F.col("_t") + 1) / 2.0 - mcol
+    cov_terms = sum((F.col(c) * _feature_map({f: v[1][k] for f, v in info.items()})[F.col("feature")]
+                     for k, c in enumerate(cn)), F.lit(0.0))
+    a = pre.groupBy("feature").agg(F.sum(dx * cov_terms).alias("cov"), F.sum(F.col("_t") * dx * dx).alias("vx"))
+    vs = _feature_map({f: v[2] for f, v in info.items()})[F.col("feature")]
+    r = a.select("feature", F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * vs)).alias("correlation"))
+    X.unpersist()
     return (r.join(F.broadcast(_positions(df, feats)), "feature")
              .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
              .select("feature", "position", "correlation"))
 
 
+def _positions(df: DataFrame, feats: list[str]) -> DataFrame:
+    rows = [(f, df.columns.index(f)) for f in feats]
+    return df.sparkSession.createDataFrame(rows, "feature string, position int")
+
+
 def kendall(df: DataFrame, sensitive: str, features=None) -> DataFrame:
     """Kendall tau-b per feature from concordant/discordant pair counts.
 
-    For a cell row at value x with per-code counts c_k and per-code counts
-    B_k of all rows with smaller x: concordant += sum_k c_k * sum_{j<k} B_j,
+    For the row of value x with per-code counts c_k and per-code counts B_k
+    of all rows with smaller x: concordant += sum_k c_k * sum_{j<k} B_j,
     discordant += sum_k c_k * sum_{j>k} B_j. Ties enter through the x and
     code marginals.
     """
-    c, feats = cells(df, sensitive, features)
-    codes = sorted(r["s"] for r in c.select("s").distinct().limit(MAX_CODES + 1).collect())
-    if len(codes) > MAX_CODES:
-        raise ValueError(f"Kendall needs at most {MAX_CODES} sensitive codes, found more")
-    cn = [f"c{k}" for k in range(len(codes))]
-    X = c.groupBy("feature", "x").agg(*[F.sum(F.when(F.col("s") == v, F.col("n")).otherwise(0)).cast("double").alias(name)
-                                        for v, name in zip(codes, cn)])
+    X, codes, cn, feats, marg = code_table(df, sensitive, features)
     pre = prefix_before(X, ["feature"], "x", cn)
     conc, disc = F.lit(0.0), F.lit(0.0)
     for k in range(len(codes)):
@@ -119,12 +151,10 @@ def kendall(df: DataFrame, sensitive: str, features=None) -> DataFrame:
     t = sum((F.col(x) for x in cn), F.lit(0.0))
     agg = pre.groupBy("feature").agg(F.sum(conc).alias("C"), F.sum(disc).alias("D"),
                                      F.sum(t * (t - 1) / 2).alias("n1"), F.sum(t).alias("N"))
-    smarg = c.groupBy("feature", "s").agg(F.sum("n").cast("double").alias("u"))
-    n2 = smarg.groupBy("feature").agg(F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("n2"))
-    j = agg.join(n2, "feature")
+    n2 = _feature_map({f: sum(u * (u - 1) / 2 for u in us) for f, us in marg.items()})[F.col("feature")]
     n0 = F.col("N") * (F.col("N") - 1) / 2
-    tau = F.try_divide(F.col("C") - F.col("D"), F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
-    r = j.select("feature", tau.alias("correlation"))
+    tau = F.try_divide(F.col("C") - F.col("D"), F.sqrt((n0 - F.col("n1")) * (n0 - n2)))
+    r = agg.select("feature", tau.alias("correlation"))
     return (r.join(F.broadcast(_positions(df, feats)), "feature")
              .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
              .select("feature", "position", "correlation"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, materialize
+from ..session import bounded_broadcast, reuse
 
 # A candidate set at most this large (distinct values in the bracket) is
 # settled on the driver; larger ones are narrowed by another pass.
@@ -38,7 +38,7 @@ def dense_index(values: DataFrame, order_col: str, index_col: str = "idx",
     n_parts = partitions or values.sparkSession.sparkContext.defaultParallelism
     # partition ids and row ids must be the same in every later use: the
     # range bounds are sampled and the ids are positional, so fix them once.
-    ranged = materialize(values.repartitionByRange(n_parts, order_col)
+    ranged = reuse(values.repartitionByRange(n_parts, order_col)
                          .sortWithinPartitions(order_col)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mid", F.monotonically_increasing_id()))
@@ -64,7 +64,7 @@ def prefix_before(df: DataFrame, keys: list[str], order_col: str, values: list[s
     n_parts = df.sparkSession.sparkContext.defaultParallelism
     # range bounds are sampled: fix the partition of every row once, so the
     # in-partition sums and the per-partition totals agree
-    r = materialize(df.repartitionByRange(n_parts, *keys, order_col)
+    r = reuse(df.repartitionByRange(n_parts, *keys, order_col)
                     .withColumn("_pid", F.spark_partition_id()))
     w = (Window.partitionBy("_pid", *keys).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, -1))

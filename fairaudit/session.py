@@ -86,6 +86,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist a table that several later steps read, computing it once now.
+
+    The cached plan fixes its physical RDD (including any sampled range
+    bounds), so a block lost with an executor is recomputed by that same
+    lineage and agrees with the blocks that survived.
+    """
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Checkpoint a derived table and broadcast it only if its size is proven.
 
