@@ -40,9 +40,13 @@ def fairness_from_confusion(conf: DataFrame, keys: list[str]) -> DataFrame:
         F.max(sr).alias("_smax"), F.min(sr).alias("_smin"),
         (F.max(tpr) - F.min(tpr)).alias("_tgap"), (F.max(fpr) - F.min(fpr)).alias("_fgap"),
         F.sum(F.col("tp") + F.col("fp")).alias("n_pred_pos"),
+        F.min("n").alias("_nmin"), F.max("n").alias("_nmax"),
     )
     return a.select(
         *keys, "attr", "n_groups", "n",
+        # group shares (null group kept) come from the same cube
+        F.when((F.col("n_groups") >= 2) & (F.col("_nmax") > 0),
+               ratio(F.col("_nmin"), F.col("_nmax"))).alias("imbalance_ratio"),
         (F.col("_smax") - F.col("_smin")).alias("demographic_parity_difference"),
         F.greatest(F.col("_tgap"), F.col("_fgap")).alias("equalized_odds_difference"),
         F.when(F.col("_smax") == 0, F.lit(1.0))
@@ -302,7 +306,8 @@ def collapse_flags(fair: DataFrame) -> DataFrame:
     every group with a zero selection rate (no predicted positives at all)."""
     ppr = F.col("predicted_positive_rate")
     return fair.select(
-        *[c for c in fair.columns if c not in FAIRNESS_COLS + ["predicted_positive_rate", "n", "n_groups"]],
+        *[c for c in fair.columns if c not in FAIRNESS_COLS + ["predicted_positive_rate", "n", "n_groups",
+                                                               "imbalance_ratio"]],
         r6(ppr).alias("predicted_positive_rate"),
         (ppr < 0.02).alias("low_positive_rate"),
         (ppr == 0).alias("all_zero_selection"))

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import fixed3, keys_of, ratio
-from .metrics import fairness_metrics, group_share
+from ..functions.exprs import fixed3
+from .metrics import fairness_metrics
 
 # Category names, in tie-break order for the bias type.
 SELECTION, PREDICTION, HISTORICAL, PROXY = ("Selection Bias", "Prediction Bias",
@@ -281,16 +281,6 @@ def recommend(audit: DataFrame, keys: list[str], type_col: str = "detected_bias_
 
 
 def audit_rows(df: DataFrame, y_true: str, y_pred: str, attrs, slice_cols=()) -> DataFrame:
-    """Fairness metrics joined with the imbalance ratio of group shares
-    (null kept as a group), one row per (slice, attr)."""
-    keys = keys_of(slice_cols)
-    fair = fairness_metrics(df, y_true, y_pred, attrs, slice_cols, rounded=False)
-    sh = group_share(df, attrs, slice_cols)
-    kk = list(slice_cols)
-    imb = sh.groupBy(*kk, "attr").agg(F.count(F.lit(1)).alias("_k"), F.min("n").alias("_mn"),
-                                       F.max("n").alias("_mx"))
-    imb = imb.select(*kk, "attr", F.when((F.col("_k") >= 2) & (F.col("_mx") > 0),
-                                          ratio(F.col("_mn"), F.col("_mx"))).alias("imbalance_ratio"))
-    out = fair.join(imb, kk + ["attr"])
-    del keys
-    return out
+    """Fairness metrics and the imbalance ratio of the group shares (null kept
+    as a group), one row per (slice, attr), from a single confusion cube."""
+    return fairness_metrics(df, y_true, y_pred, attrs, slice_cols, rounded=False)
