@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import keys_of, ratio, with_all, drop_all
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, reuse
 from .prepare import first_k_by_hash
 
 BUCKETS = 1000  # score resolution of the ROC: thresholds b / 1000
@@ -167,6 +167,7 @@ def threshold_parity(roc: DataFrame, grid: int = BUCKETS) -> DataFrame:
     Bucket b serves the targets in (rate(b+1), rate(b)], so each
     (group, target) pair is produced once: groups x (grid + 1) rows.
     """
+    roc = reuse(roc)  # groups x (BUCKETS + 2) rows, read three times below
     w = Window.partitionBy("grp").orderBy("b")
     r = roc.select("grp", "b", "selection_rate", "correct", "n",
                    F.lead("selection_rate").over(w).alias("next_rate"))
@@ -193,6 +194,7 @@ def threshold_equalized_odds(roc: DataFrame, grid: int = BUCKETS) -> DataFrame:
     f = i / grid each group takes the highest threshold with FPR >= f; the f
     with the smallest equalized-odds gap (max of TPR and FPR spreads) wins,
     ties by accuracy then smaller f."""
+    roc = reuse(roc)
     w = Window.partitionBy("grp").orderBy("b")
     r = roc.select("grp", "b", "tpr", "fpr", "correct", "n", F.lead("fpr").over(w).alias("next_fpr"))
     lo = F.when(F.col("next_fpr").isNull(), F.lit(0)).otherwise(

@@ -77,6 +77,39 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     return out
 
 
+def modes_and_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT):
+    """Mode (smallest on ties) and sorted distinct values of each column from
+    one (column, value) count: ({col: mode}, {col: values or None when more
+    than ``max_values``}). At most cols x (max_values + 2) rows reach the
+    driver."""
+    from pyspark.sql import Window
+    if not cols:
+        return {}, {}
+    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
+             for c in cols]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    counts = u.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    w_val = Window.partitionBy("col").orderBy("v")
+    w_mode = Window.partitionBy("col").orderBy(F.col("n").desc(), F.col("v"))
+    ranked = counts.select("col", "v", F.row_number().over(w_val).alias("rv"),
+                           F.row_number().over(w_mode).alias("rm"))
+    rows = ranked.where((F.col("rv") <= max_values + 1) | (F.col("rm") == 1)).collect()
+    modes, values = {}, {c: [] for c in cols}
+    for r in rows:
+        if r["rm"] == 1:
+            modes[r["col"]] = r["v"]
+        if r["rv"] <= max_values + 1:
+            values[r["col"]].append(r["v"])
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    for c in cols:
+        if modes.get(c) is not None and isinstance(types[c], T.BooleanType):
+            modes[c] = modes[c] == "true"
+        values[c] = sorted(values[c]) if len(values[c]) <= max_values else None
+    return modes, values
+
+
 def impute_stats(df: DataFrame, numeric=None, categorical=None) -> dict[str, object]:
     """Fill values: exact median (0 if none) and mode ("missing" if none)."""
     numeric = numeric_columns(df) if numeric is None else list(numeric)

@@ -25,15 +25,22 @@ def prepare_dataset(df: DataFrame, target: str, sensitive: str, key: str,
     # the statistics below take several passes: read the input once, then
     # work from a checkpoint of just the needed columns
     base = materialize(df.select(key, *cols))
-    stats = P.impute_stats(base.select(*cols),
-                           numeric=[c for c in P.numeric_columns(base) if c != key],
-                           categorical=[c for c in P.categorical_columns(base)])
+    cat_cols = P.categorical_columns(base)
+    # one (column, value) count gives the modes and the one-hot value lists
+    modes, values = P.modes_and_values(base, cat_cols)
+    stats = {c: (0 if m is None else m) for c, m in
+             P.exact_medians(base, [c for c in P.numeric_columns(base) if c != key]).items()}
+    stats.update({c: ("missing" if modes.get(c) is None else modes[c]) for c in cat_cols})
+    for c in cat_cols:
+        if values[c] is not None and modes.get(c) is None:
+            values[c] = sorted(set(values[c]) | {"missing"})  # all-null column filled with 'missing'
     filled = P.apply_fill(base, stats)
     filled = P.encode_binary_target(filled, target, out="_y")
     feats = [c for c in cols if c != target and (include_sensitive or c != sensitive)]
     sel = filled.select(key, *feats, F.col("_y").alias("y"), F.col(sensitive).cast("string").alias("sensitive"))
     cat = [c for c in feats if c in P.categorical_columns(sel)]
-    enc = P.one_hot(sel, cat)
+    known = {c: values[c] for c in cat if values.get(c) is not None}
+    enc = P.one_hot(sel, cat, known if len(known) == len(cat) else None)
     return P.split(enc, key, "y", test_size=test_size, seed=seed, stratify=stratify)
 
 
