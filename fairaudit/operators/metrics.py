@@ -41,9 +41,10 @@ def fairness_from_confusion(conf: DataFrame, keys: list[str]) -> DataFrame:
         (F.max(tpr) - F.min(tpr)).alias("_tgap"), (F.max(fpr) - F.min(fpr)).alias("_fgap"),
         F.sum(F.col("tp") + F.col("fp")).alias("n_pred_pos"),
         F.min("n").alias("_nmin"), F.max("n").alias("_nmax"),
+        *[F.sum(c).alias(f"{c}_all") for c in ("tp", "fp", "fn", "tn")],
     )
     return a.select(
-        *keys, "attr", "n_groups", "n",
+        *keys, "attr", "n_groups", "n", "tp_all", "fp_all", "fn_all", "tn_all",
         # group shares (null group kept) come from the same cube
         F.when((F.col("n_groups") >= 2) & (F.col("_nmax") > 0),
                ratio(F.col("_nmin"), F.col("_nmax"))).alias("imbalance_ratio"),
@@ -69,6 +70,8 @@ def fairness_metrics(df: DataFrame, y_true="y_true", y_pred="y_pred", attrs="grp
     if rounded:
         out = out.select(*keys, "attr", "n_groups", "n",
                          *[r6(F.col(c)).alias(c) for c in FAIRNESS_COLS + ["predicted_positive_rate"]])
+    else:
+        out = out.drop("tp_all", "fp_all", "fn_all", "tn_all")
     return drop_all(out, slice_cols)
 
 
@@ -236,12 +239,19 @@ def evaluate_predictions(df: DataFrame, y_true="y_true", y_pred="y_pred", attrs=
     sc = list(slice_cols) + ([model_col] if model_col else [])
     keys = keys_of(sc)
     cube = confusion_cube(df, y_true, y_pred, attrs, sc)
-    first = as_list(attrs)[0]
-    pairs = (cube.where(F.col("attr") == first)
-             .groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n")))
-    perf = performance_from_pairs(pairs, keys, binary)
     fair = fairness_from_confusion(binarized_confusion(cube, keys), keys)
-    j = fair.join(perf.drop("n"), keys)
+    if binary:
+        # two labels: accuracy, precision and recall follow from the binarised
+        # totals of the same aggregate -- no second branch, no join
+        tp, fp, fn, tn = (F.col(f"{c}_all") for c in ("tp", "fp", "fn", "tn"))
+        j = fair.select("*", ratio(tp + tn, F.col("n")).alias("accuracy"),
+                        rate0(tp, tp + fp).alias("precision"), rate0(tp, tp + fn).alias("recall"))
+    else:
+        first = as_list(attrs)[0]
+        pairs = (cube.where(F.col("attr") == first)
+                 .groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n")))
+        perf = performance_from_pairs(pairs, keys, binary)
+        j = fair.join(perf.drop("n"), keys)
     out = j.select(
         *keys, "attr", "n",
         r6(F.col("accuracy")).alias("accuracy"), r6(F.col("precision")).alias("precision"),
