@@ -109,7 +109,9 @@ def resample(df: DataFrame, group: str, label: str, key: str, seed: int = 42,
     want = (tgt.select(F.concat_ws("\u0001", F.coalesce(F.col("_ga").cast("string"), F.lit("\u0000")),
                                    F.coalesce(F.col("_ya").cast("string"), F.lit("\u0000"))).alias("_cell"),
                        (F.col("_t_raw") % F.col("_m")).alias("_want")))
-    f = first_k_by_hash(j, "_cell", key, want, seed, out="_extra")
+    from .prepare import prefix_length
+    n_max = max((r["_m"] for r in tgt_b.select("_m").collect()), default=1)  # one row per cell
+    f = first_k_by_hash(j, "_cell", key, want, seed, prefix_length(n_max), out="_extra")
     copies = (F.floor(F.col("_t_raw") / F.col("_m")) + F.col("_extra").cast("int")).cast("int")
     out = f.withColumn("_copies", copies).where(F.col("_copies") > 0)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

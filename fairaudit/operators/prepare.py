@@ -78,36 +78,13 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
 
 
 def modes_and_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT):
-    """Mode (smallest on ties) and sorted distinct values of each column from
-    one (column, value) count: ({col: mode}, {col: values or None when more
-    than ``max_values``}). At most cols x (max_values + 2) rows reach the
-    driver."""
-    from pyspark.sql import Window
+    """Mode (smallest on ties) and sorted distinct values of each column:
+    ({col: mode}, {col: values, or None when more than ``max_values``})."""
     if not cols:
         return {}, {}
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
-             for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    counts = u.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    w_val = Window.partitionBy("col").orderBy("v")
-    w_mode = Window.partitionBy("col").orderBy(F.col("n").desc(), F.col("v"))
-    ranked = counts.select("col", "v", F.row_number().over(w_val).alias("rv"),
-                           F.row_number().over(w_mode).alias("rm"))
-    rows = ranked.where((F.col("rv") <= max_values + 1) | (F.col("rm") == 1)).collect()
-    modes, values = {}, {c: [] for c in cols}
-    for r in rows:
-        if r["rm"] == 1:
-            modes[r["col"]] = r["v"]
-        if r["rv"] <= max_values + 1:
-            values[r["col"]].append(r["v"])
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    for c in cols:
-        if modes.get(c) is not None and isinstance(types[c], T.BooleanType):
-            modes[c] = modes[c] == "true"
-        values[c] = sorted(values[c]) if len(values[c]) <= max_values else None
-    return modes, values
+    modes = column_modes(df, cols)
+    vals = category_values(df, cols, max_values, on_overflow="skip")
+    return modes, {c: vals.get(c) for c in cols}
 
 
 def impute_stats(df: DataFrame, numeric=None, categorical=None) -> dict[str, object]:
@@ -149,35 +126,45 @@ def impute(df: DataFrame, numeric=None, categorical=None, fit_on: DataFrame | No
     return apply_fill(df, impute_stats(base, numeric, categorical))
 
 
-def category_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT,
-                    on_overflow: str = "raise") -> dict[str, list]:
-    """Sorted distinct non-null values per column (bounded by ``max_values``).
+def _bounded_columns(df: DataFrame, cols: list[str], max_values: int) -> list[str]:
+    """Columns whose distinct count may be within ``max_values`` (one sketch
+    pass; the 1.5x margin is far beyond the sketch's error)."""
+    a = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if a[f"a{i}"] <= max_values * 1.5 + 10]
 
-    One distinct job for all columns; at most ``max_values + 1`` values per
-    column reach the driver. A column with more raises, or with
-    ``on_overflow='skip'`` is left out of the result."""
-    if not cols:
-        return {}
+
+def _value_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
              for c in cols]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    from pyspark.sql import Window
-    d = u.distinct()
-    # keep at most max_values + 1 values per column (a bounded result)
-    w = Window.partitionBy("col").orderBy("v")
-    rows = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_values + 1).collect()
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["col"]].append(r["v"])
-    for c in list(out):
-        if len(out[c]) > max_values:
-            if on_overflow == "skip":
-                del out[c]
-                continue
+    return u
+
+
+def category_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT,
+                    on_overflow: str = "raise") -> dict[str, list]:
+    """Sorted distinct non-null values per column (bounded by ``max_values``).
+
+    A sketch pass rules out columns with far more values; the others'
+    distinct values (a bounded set) are collected in one job and checked
+    exactly. A column with more values raises, or with ``on_overflow='skip'``
+    is left out of the result. No column's values are ever sorted in one
+    task."""
+    if not cols:
+        return {}
+    ok = _bounded_columns(df, cols, max_values)
+    out: dict[str, list] = {c: [] for c in ok}
+    if ok:
+        for r in _value_rows(df, ok).distinct().collect():  # bounded by the sketch check
+            out[r["col"]].append(r["v"])
+    over = [c for c in cols if c not in ok] + [c for c in ok if len(out[c]) > max_values]
+    for c in over:
+        out.pop(c, None)
+        if on_overflow != "skip":
             raise ValueError(f"column {c!r} has more than {max_values} categories; "
                              "use the sparse vector encoding (one_hot_vector)")
+    for c in out:
         out[c].sort()
     return out
 
@@ -377,8 +364,15 @@ def first_k_by_hash(df: DataFrame, group: str, key: str, want: DataFrame, seed:
     return rest.unionByName(cut).drop("_h", "_p", "_kind", "_take")
 
 
+def prefix_length(n_max: int) -> int:
+    """Hash-prefix length so that both the prefix-count table per group and
+    the one boundary bucket numbered per group hold about sqrt(n) rows."""
+    import math
+    return min(8, max(4, math.ceil(math.log(max(n_max, 2) ** 0.5, 16))))
+
+
 def split(df: DataFrame, key: str, target: str, test_size: float = 0.2, seed: int = 42,
-          stratify: bool = True, prefix_len: int = 4, out: str = "split") -> DataFrame:
+          stratify: bool = True, prefix_len: int | None = None, out: str = "split") -> DataFrame:
     """Exact, repeatable train/test split (``split`` = 'train' | 'test').
 
     Rows are ordered by ``md5(seed:key)``; per class the first ``test_c`` rows
@@ -387,6 +381,8 @@ def split(df: DataFrame, key: str, target: str, test_size: float = 0.2, seed: in
     """
     counts = df.groupBy(F.col(target).cast("string").alias("_cls")).count().collect()  # per class
     cc = [(r["_cls"], r["count"]) for r in counts]
+    if prefix_len is None:
+        prefix_len = prefix_length(max((c for _, c in cc), default=1))
     strat = stratify and stratify_ok(cc, test_size)
     want = split_counts(cc, test_size, strat)
     cls = F.col(target).cast("string") if strat else F.lit(None).cast("string")
