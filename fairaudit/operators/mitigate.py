@@ -191,11 +191,12 @@ def threshold_parity(roc: DataFrame, grid: int = BUCKETS) -> DataFrame:
                        F.round(ratio(F.col("correct_total"), F.col("n_total")), 6).alias("accuracy"))
 
 
-def threshold_equalized_odds(roc: DataFrame, grid: int = BUCKETS) -> DataFrame:
+def threshold_equalized_odds(roc: DataFrame, grid: int = BUCKETS, max_gap: float = 0.05) -> DataFrame:
     """Equalized-odds thresholds (deterministic form): for every target FPR
-    f = i / grid each group takes the highest threshold with FPR >= f; the f
-    with the smallest equalized-odds gap (max of TPR and FPR spreads) wins,
-    ties by accuracy then smaller f."""
+    f = i / grid each group takes the highest threshold with FPR >= f. Among
+    the levels whose equalized-odds gap (max of the TPR and FPR spreads) is
+    within ``max_gap`` the most accurate wins; if none is, the smallest gap
+    (ties: smaller f)."""
     roc = reuse(roc)
     w = Window.partitionBy("grp").orderBy("b")
     r = roc.select("grp", "b", "tpr", "fpr", "correct", "n", F.lead("fpr").over(w).alias("next_fpr"))
@@ -209,8 +210,10 @@ def threshold_equalized_odds(roc: DataFrame, grid: int = BUCKETS) -> DataFrame:
         F.count(F.lit(1)).alias("k"),
         F.greatest(F.max("tpr") - F.min("tpr"), F.max("fpr") - F.min("fpr")).alias("eo_gap"),
         (F.sum("correct") / F.sum("n")).alias("accuracy"))
+    ok = F.col("eo_gap") <= max_gap
     best = (total.where(F.col("k") == n_groups)
-            .orderBy(F.col("eo_gap").asc(), F.col("accuracy").desc(), F.col("i").asc()).limit(1))
+            .orderBy(ok.desc(), F.when(ok, -F.col("accuracy")).otherwise(F.col("eo_gap")).asc(),
+                     F.col("i").asc()).limit(1))
     pick = served.join(best.select("i", "eo_gap", "accuracy"), "i")
     return pick.select("grp", (F.col("b") / F.lit(float(BUCKETS))).alias("threshold"), "b",
                        F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"),

@@ -103,7 +103,11 @@ def train_many(train: DataFrame, features: list[str], configs: dict[str, ModelSp
                sample_weight: str | None = None) -> dict[str, PipelineModel]:
     configs = configs or {"logistic_regression": ModelSpec("logistic_regression"),
                           "random_forest": ModelSpec("random_forest")}
-    return {name: fit(train, features, spec, sample_weight=sample_weight) for name, spec in configs.items()}
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(configs)))) as pool:
+        fitted = pool.map(lambda kv: (kv[0], fit(train, features, kv[1], sample_weight=sample_weight)),
+                          list(configs.items()))
+        return dict(fitted)
 
 
 def debiased_features(features: list[str], sensitive: str, mode: str = "wide") -> list[str]:

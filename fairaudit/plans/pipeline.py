@@ -16,6 +16,8 @@ from ..operators import strategies as S
 from ..operators.metrics import distribution_summary, evaluate_predictions
 from ..session import materialize, scratch_path
 
+MAX_PARALLEL_FITS = 4  # concurrent strategy fits (each is itself a distributed job)
+
 
 def evaluate_strategies(train: DataFrame, test: DataFrame, features: list[str], strategies: list[str],
                         sensitive_col: str = "sensitive", sensitive_name: str | None = None,
@@ -38,11 +40,20 @@ def evaluate_strategies(train: DataFrame, test: DataFrame, features: list[str],
     baseline = MO.fit(train, features, spec)
     preds = MO.score(baseline, test).select(sensitive_col, "y", "y_pred", F.lit("baseline").alias("strategy"))
     positions = {"baseline": -1}
-    for i, name in enumerate(seen):
+
+    def run(item):
+        i, name = item
         try:
             _, p = MO.run_strategy(name, train, test, features, sensitive_col, sensitive_name, baseline, spec)
         except ValueError:
-            continue
+            return None  # skipped, as the source skips a failing strategy
+        return i, name, p
+
+    # independent fits run as concurrent Spark jobs from a small driver pool
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(MAX_PARALLEL_FITS, len(seen))) as pool:
+        done = [r for r in pool.map(run, list(enumerate(seen))) if r is not None]
+    for i, name, p in done:
         positions[name] = i
         preds = preds.unionByName(p.select(sensitive_col, "y", "y_pred", F.lit(name).alias("strategy")))
     ev = evaluate_predictions(preds, "y", "y_pred", sensitive_col, model_col="strategy")
