@@ -30,7 +30,12 @@ def main() -> None:
            f"Generated by `tools/explain_plans.py` on `{sf_dir}` (local[8], AQE on). "
            "What to look for: one scan per input, `PushedFilters` / pruned `ReadSchema`, "
            "partial `HashAggregate` before every `Exchange`, broadcasts only of checked "
-           "aggregates, and `*(n)` whole-stage codegen around scans and aggregates.", ""]
+           "aggregates, and `*(n)` whole-stage codegen around scans and aggregates. These are the "
+           "initial adaptive plans: a join of two aggregates shown as `SortMergeJoin` (the ROC grid "
+           "in `group_roc`) is re-planned by AQE from the measured stage sizes, i.e. broadcast only "
+           "when the shuffled side is small. The fact join (orders x customer) is a broadcast here "
+           "only because orders is small at this scale factor; at scale it is a shuffle join with "
+           "AQE skew splitting.", ""]
     for n in NAMES:
         df = QUERIES[n](spark, sf_dir)
         buf = io.StringIO()
