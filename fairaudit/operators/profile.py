@@ -40,18 +40,21 @@ def validate_schema(df: DataFrame, required_columns, target: str, sensitive) ->
     return {"columns": len(cols), "present_sensitive_attributes": present}
 
 
-def profile_table(df: DataFrame, target: str | None = None, sensitive=()) -> DataFrame:
+def profile_table(df: DataFrame, target: str | None = None, sensitive=(), exact: bool = True) -> DataFrame:
     """(column, position, dtype, role, n_rows, n_null, n_distinct), one pass.
 
     Exact distinct counts use Spark's distinct-aggregate rewrite (an Expand
-    per column, deduplicated by partial aggregation before the shuffle).
+    per column, deduplicated by partial aggregation before the shuffle);
+    ``exact=False`` uses HyperLogLog sketches instead (no Expand, 1 %
+    relative error) for very wide tables.
     """
     sens = set(as_list(sensitive))
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
         aggs.append(F.count(F.col(c)).alias(f"nn_{i}"))
-        aggs.append(F.count_distinct(F.col(c)).alias(f"nd_{i}"))
+        nd = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c), 0.01)
+        aggs.append(nd.alias(f"nd_{i}"))
     row = df.agg(*aggs)
     dtypes = dict(df.dtypes)
     recs = F.array(*[
