@@ -102,10 +102,6 @@ def category_scores(cfg: BiasThresholds = BiasThresholds(), **names) -> dict[str
             HISTORICAL: F.coalesce(hist, z), PROXY: F.coalesce(prox, z)}
 
 
-def _fmt3(c: Column) -> Column:
-    return fixed3(c)
-
-
 def identify_bias(audit: DataFrame, cfg: BiasThresholds = BiasThresholds(), **names) -> DataFrame:
     """Adds detected_bias_type, severity_score, triggered_rules (joined by
     ' | '), n_triggered, explanation and the four supporting metrics."""
@@ -127,10 +123,10 @@ def identify_bias(audit: DataFrame, cfg: BiasThresholds = BiasThresholds(), **na
         F.round(_clamp01(0.7 * mx + 0.3 * mean), 3))
     parts = F.concat_ws("; ",
                         F.concat(F.lit("Detected "), btype, F.lit(" based on threshold rules.")),
-                        F.concat(F.lit("Demographic parity difference="), _fmt3(dp)),
-                        F.concat(F.lit("Equalized odds difference="), _fmt3(eo)),
-                        F.concat(F.lit("Disparate impact ratio="), _fmt3(di)),
-                        F.when(r.isNotNull(), F.concat(F.lit("Sensitive distribution imbalance ratio="), _fmt3(r))),
+                        F.concat(F.lit("Demographic parity difference="), fixed3(dp)),
+                        F.concat(F.lit("Equalized odds difference="), fixed3(eo)),
+                        F.concat(F.lit("Disparate impact ratio="), fixed3(di)),
+                        F.when(r.isNotNull(), F.concat(F.lit("Sensitive distribution imbalance ratio="), fixed3(r))),
                         F.when(n_trig > 0, F.concat(F.lit("Triggered rules: "), F.array_join(rules, " | "))))
     expl = F.when(none, F.lit(NO_BIAS_TEXT)).otherwise(parts)
     return audit.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bin_column, fairness_score, r6, ratio
+from ..functions.exprs import bin_column, r6
 from ..operators import metrics as M
 from ..sources.tables import order_audit, doc_audit, part_audit
 from .registry import register

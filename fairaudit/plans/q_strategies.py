@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as MO
 from ..operators import strategies as S
-from ..operators.metrics import evaluate_predictions, models_long
+from ..operators.metrics import evaluate_predictions
 from ..operators.rules import recommend
 from ..sources.tables import order_audit
 from .registry import register
