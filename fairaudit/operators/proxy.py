@@ -30,14 +30,16 @@ def _is_num(dt) -> bool:
     return isinstance(dt, NUMERIC) or isinstance(dt, T.BooleanType)
 
 
-def encode(df: DataFrame, sensitive: str, features: list[str]) -> DataFrame:
+def encode(df: DataFrame, sensitive: str, features: list[str], keep=()) -> DataFrame:
     """Sensitive and features as doubles: numeric as is (NaN -> null),
-    text as codes of the sorted values with null -> 'Unknown'."""
+    text as codes of the sorted values with null -> 'Unknown'; ``keep``
+    columns pass through unchanged."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [sensitive] + features
     text = [c for c in cols if not _is_num(types[c])]
-    coded = ordinal_codes(df.select(*cols), text) if text else df.select(*cols)
-    out = []
+    base = df.select(*keep, *cols)
+    coded = ordinal_codes(base, text) if text else base
+    out = [F.col(k) for k in keep]
     for c in cols:
         v = F.col(c).cast("double")
         out.append(F.nanvl(v, F.lit(None).cast("double")).alias("_s" if c == sensitive else c))
@@ -48,23 +50,25 @@ def _features(df: DataFrame, sensitive: str, features) -> list[str]:
     return list(features) if features else [c for c in df.columns if c != sensitive]
 
 
-def pearson(df: DataFrame, sensitive: str, features=None) -> DataFrame:
-    """(feature, position, correlation) -- unrounded; undefined skipped.
+def pearson(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> DataFrame:
+    """(slice..., feature, position, correlation) -- unrounded; undefined
+    skipped. Text codes are the sorted values of the whole table.
 
     Features are unpivoted to (feature, x, code) inside the scan stage and
     aggregated by feature, so the aggregation buffer stays a handful of
     fields (whole-stage codegen; one wide aggregate with ~10 fields per
     feature would exceed the codegen field limit) and the pass is single."""
-    feats = _features(df, sensitive, features)
-    enc = encode(df, sensitive, feats)
-    long = (enc.unpivot(["_s"], feats, "feature", "x")
+    sl = list(slice_cols)
+    feats = [f for f in _features(df, sensitive, features) if f not in sl]
+    enc = encode(df, sensitive, feats, keep=sl)
+    long = (enc.unpivot(sl + ["_s"], feats, "feature", "x")
                .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
     x, y = F.col("x"), F.col("_s")
-    r = long.groupBy("feature").agg(
+    r = long.groupBy(*sl, "feature").agg(
         F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation"))
     return (r.join(F.broadcast(_positions(df, feats)), "feature")
              .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-             .select("feature", "position", "correlation"))
+             .select(*sl, "feature", "position", "correlation"))
 
 
 def code_table(df: DataFrame, sensitive: str, features=None):

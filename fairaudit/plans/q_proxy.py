@@ -96,3 +96,25 @@ FROM top WHERE rk <= 5 AND abs(round(r, 6)) >= 0.5""", "line_features"))
 def q_flag(spark, d):
     f = X.flag(X.top_k(X.pearson(_lf(spark, d), "sens"), 5), 0.5)
     return f.select("feature", F.round("correlation", 6).alias("correlation"), "abs_correlation")
+
+
+@register("proxy_top_k_sliced", with_views("""
+, coded AS (SELECT *, CAST(dense_rank() OVER (ORDER BY region) - 1 AS DOUBLE) AS s FROM order_audit),
+  pairs AS (SELECT segment, 'o_totalprice' AS feature, 1 AS position, o_totalprice AS x, s FROM coded
+            UNION ALL SELECT segment, 'c_acctbal', 2, c_acctbal, s FROM coded
+            UNION ALL SELECT segment, 'n_regionkey', 3, CAST(n_regionkey AS DOUBLE), s FROM coded
+            UNION ALL SELECT segment, 'y_pred', 4, CAST(y_pred AS DOUBLE), s FROM coded),
+  corr AS (SELECT segment, feature, position, covar_pop(x, s) / nullif(stddev_pop(x) * stddev_pop(s), 0) AS r
+           FROM pairs WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+  top AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY abs(r) DESC, position) AS rk
+          FROM corr WHERE r IS NOT NULL AND NOT isnan(r))
+SELECT segment, feature, round(r, 6) AS correlation, CAST(rk AS INT) AS rank FROM top WHERE rk <= 3""",
+    "order_audit"))
+def q_top_k_sliced(spark, d):
+    """Top 3 proxies of region per customer segment (codes of the whole table)."""
+    from ..sources.tables import order_audit
+    oa = order_audit(spark, d).select("region", "o_totalprice", "c_acctbal", "n_regionkey", "y_pred", "segment")
+    c = X.pearson(oa, "region", ["o_totalprice", "c_acctbal", "n_regionkey", "y_pred"], slice_cols=["segment"])
+    t = X.top_k(c, 3, keys=["segment"])
+    return t.select("segment", "feature", F.round("correlation", 6).alias("correlation"),
+                    F.col("rank").cast("int").alias("rank"))
