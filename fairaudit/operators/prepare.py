@@ -330,7 +330,7 @@ def stratify_ok(class_counts: list[tuple], test_size: float) -> bool:
 
 
 def first_k_by_hash(df: DataFrame, group: str, key: str, want: DataFrame, seed: int = 42,
-                    prefix_len: int = 4, out: str = "_first") -> DataFrame:
+                    prefix_len: int = 4, out: str = "_first", n_groups: int | None = None) -> DataFrame:
     """Flag the first ``_want`` rows of each ``group`` in ``md5(seed:key)`` order.
 
     ``want``: (group, _want). The cut is found from counts per (group, hash
@@ -352,7 +352,7 @@ def first_k_by_hash(df: DataFrame, group: str, key: str, want: DataFrame, seed:
                       (F.col("_want") - F.col("_before")).alias("_take"))
     # size bound by construction: groups x 16^prefix_len rows (groups = rows of
     # ``want``, counted here), so the cut table is broadcast without a pass
-    n_groups = want.count()
+    n_groups = want.count() if n_groups is None else n_groups
     plan_b = F.broadcast(plan) if n_groups * 16 ** prefix_len <= BROADCAST_MAX_ROWS else plan
     j = d.join(plan_b, d[group].eqNullSafe(plan_b["_gp"]) & (d["_p"] == plan_b["_pp"]), "left") \
          .drop("_gp", "_pp")
@@ -389,6 +389,6 @@ def split(df: DataFrame, key: str, target: str, test_size: float = 0.2, seed: in
     d = df.withColumn("_cls", cls)
     want_df = df.sparkSession.createDataFrame([(k, int(v)) for k, v in want.items()],
                                               "_cls string, _want long")
-    f = first_k_by_hash(d, "_cls", key, want_df, seed, prefix_len, "_test")
+    f = first_k_by_hash(d, "_cls", key, want_df, seed, prefix_len, "_test", n_groups=len(want))
     return (f.withColumn(out, F.when(F.col("_test"), "test").otherwise("train"))
              .drop("_test", "_cls"))
