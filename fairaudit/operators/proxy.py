@@ -71,23 +71,33 @@ def pearson(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Data
              .select(*sl, "feature", "position", "correlation"))
 
 
-def code_table(df: DataFrame, sensitive: str, features=None):
-    """(feature, x, c0..cK-1): per feature value, the count of rows with each
-    sensitive code (pairwise-complete rows), persisted; plus the code list,
-    the feature list and the per-(feature, code) marginals (features x codes
-    numbers on the driver)."""
-    feats = _features(df, sensitive, features)
-    enc = encode(df, sensitive, feats)
+def _cell_key(sl: list[str]):
+    """One text key per (slice..., feature), computed in Spark on both sides."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sl] + [F.col("feature")]
+    return F.concat_ws("\u0001", *parts)
+
+
+def code_table(df: DataFrame, sensitive: str, features=None, slice_cols=()):
+    """(slice..., feature, x, c0..cK-1, _k): per value the count of rows with
+    each sensitive code (pairwise-complete rows), persisted; the code list,
+    the feature list, and the per-(slice, feature, code) marginals keyed by
+    ``_k`` (slices x features x codes numbers on the driver)."""
+    sl = list(slice_cols)
+    feats = [f for f in _features(df, sensitive, features) if f not in sl]
+    enc = encode(df, sensitive, feats, keep=sl)
     codes = sorted(r[0] for r in enc.select("_s").where(F.col("_s").isNotNull()).distinct()
                    .limit(MAX_CODES + 1).collect())
     if len(codes) > MAX_CODES:
         raise ValueError(f"rank correlations need at most {MAX_CODES} sensitive codes, found more")
     cn = [f"c{k}" for k in range(len(codes))]
-    long = enc.unpivot(["_s"], feats, "feature", "x").where(F.col("x").isNotNull() & F.col("_s").isNotNull())
-    X = reuse(long.groupBy("feature", "x").agg(
+    long = (enc.unpivot(sl + ["_s"], feats, "feature", "x")
+               .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
+    X = long.groupBy(*sl, "feature", "x").agg(
         *[F.sum(F.when(F.col("_s") == v, 1).otherwise(0)).cast("double").alias(name)
-          for v, name in zip(codes, cn)]))
-    marg = {r["feature"]: [r[c] for c in cn] for r in X.groupBy("feature").agg(*[F.sum(c).alias(c) for c in cn]).collect()}
+          for v, name in zip(codes, cn)])
+    X = reuse(X.withColumn("_k", _cell_key(sl)))
+    marg = {r["_k"]: [r[c] for c in cn]
+            for r in X.groupBy("_k").agg(*[F.sum(c).alias(c) for c in cn]).collect()}
     return X, codes, cn, feats, marg
 
 
@@ -100,35 +110,42 @@ def _code_ranks(u: list[float]) -> tuple[float, list[float]]:
     return below, ranks
 
 
-def _feature_map(values: dict, dtype: str = "double"):
+def _key_map(values: dict, dtype: str = "double"):
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(dtype))])
 
 
-def spearman(df: DataFrame, sensitive: str, features=None) -> DataFrame:
-    """Pearson correlation of average ranks, pairwise complete.
+def _finish(r: DataFrame, df: DataFrame, feats: list[str], sl: list[str]) -> DataFrame:
+    return (r.join(F.broadcast(_positions(df, feats)), "feature")
+             .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+             .select(*sl, "feature", "position", "correlation"))
 
-    Ranks of x: one distributed prefix sum over (feature, x). Ranks of the
-    codes: from the per-(feature, code) marginals. cov = sum over values of
-    sum_k c_k (rx - m)(rs_k - m), with m = (W + 1) / 2 the mean rank."""
-    X, codes, cn, feats, marg = code_table(df, sensitive, features)
+
+def spearman(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> DataFrame:
+    """Pearson correlation of average ranks, pairwise complete, per slice.
+
+    Ranks of x: one distributed prefix sum over (slice, feature, x). Ranks of
+    the codes: from the per-(slice, feature, code) marginals. cov = sum over
+    values of sum_k c_k (rx - m)(rs_k - m), with m = (W + 1) / 2."""
+    sl = list(slice_cols)
+    X, codes, cn, feats, marg = code_table(df, sensitive, features, sl)
     info = {}
-    for f, u in marg.items():
+    for k, u in marg.items():
         W, rs = _code_ranks(u)
         m = (W + 1) / 2.0
-        info[f] = (m, [r - m for r in rs], sum(n * (r - m) ** 2 for n, r in zip(u, rs)))
+        info[k] = (m, [r - m for r in rs], sum(n * (r - m) ** 2 for n, r in zip(u, rs)))
     t = sum((F.col(c) for c in cn), F.lit(0.0))
-    pre = prefix_before(X.withColumn("_t", t), ["feature"], "x", ["_t"])
-    mcol = _feature_map({f: v[0] for f, v in info.items()})[F.col("feature")]
+    pre = prefix_before(X.withColumn("_t", t), sl + ["feature"], "x", ["_t"])
+    key = F.col("_k")
+    mcol = _key_map({k: v[0] for k, v in info.items()})[key]
     dx = F.col("_t_before") + (F.col("_t") + 1) / 2.0 - mcol
-    cov_terms = sum((F.col(c) * _feature_map({f: v[1][k] for f, v in info.items()})[F.col("feature")]
-                     for k, c in enumerate(cn)), F.lit(0.0))
-    a = pre.groupBy("feature").agg(F.sum(dx * cov_terms).alias("cov"), F.sum(F.col("_t") * dx * dx).alias("vx"))
-    vs = _feature_map({f: v[2] for f, v in info.items()})[F.col("feature")]
-    r = a.select("feature", F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * vs)).alias("correlation"))
+    cov_terms = sum((F.col(c) * _key_map({k: v[1][j] for k, v in info.items()})[key]
+                     for j, c in enumerate(cn)), F.lit(0.0))
+    a = pre.groupBy(*sl, "feature", "_k").agg(F.sum(dx * cov_terms).alias("cov"),
+                                               F.sum(F.col("_t") * dx * dx).alias("vx"))
+    vs = _key_map({k: v[2] for k, v in info.items()})[key]
+    r = a.select(*sl, "feature", F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * vs)).alias("correlation"))
     X.unpersist()
-    return (r.join(F.broadcast(_positions(df, feats)), "feature")
-             .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-             .select("feature", "position", "correlation"))
+    return _finish(r, df, feats, sl)
 
 
 def _positions(df: DataFrame, feats: list[str]) -> DataFrame:
@@ -136,16 +153,17 @@ def _positions(df: DataFrame, feats: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, position int")
 
 
-def kendall(df: DataFrame, sensitive: str, features=None) -> DataFrame:
-    """Kendall tau-b per feature from concordant/discordant pair counts.
+def kendall(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> DataFrame:
+    """Kendall tau-b per (slice, feature) from concordant/discordant counts.
 
     For the row of value x with per-code counts c_k and per-code counts B_k
     of all rows with smaller x: concordant += sum_k c_k * sum_{j<k} B_j,
     discordant += sum_k c_k * sum_{j>k} B_j. Ties enter through the x and
     code marginals.
     """
-    X, codes, cn, feats, marg = code_table(df, sensitive, features)
-    pre = prefix_before(X, ["feature"], "x", cn)
+    sl = list(slice_cols)
+    X, codes, cn, feats, marg = code_table(df, sensitive, features, sl)
+    pre = prefix_before(X, sl + ["feature"], "x", cn)
     conc, disc = F.lit(0.0), F.lit(0.0)
     for k in range(len(codes)):
         lower = sum((F.col(f"{cn[j]}_before") for j in range(k)), F.lit(0.0))
@@ -153,24 +171,24 @@ def kendall(df: DataFrame, sensitive: str, features=None) -> DataFrame:
         conc = conc + F.col(cn[k]) * lower
         disc = disc + F.col(cn[k]) * upper
     t = sum((F.col(x) for x in cn), F.lit(0.0))
-    agg = pre.groupBy("feature").agg(F.sum(conc).alias("C"), F.sum(disc).alias("D"),
-                                     F.sum(t * (t - 1) / 2).alias("n1"), F.sum(t).alias("N"))
-    n2 = _feature_map({f: sum(u * (u - 1) / 2 for u in us) for f, us in marg.items()})[F.col("feature")]
+    agg = pre.groupBy(*sl, "feature", "_k").agg(F.sum(conc).alias("C"), F.sum(disc).alias("D"),
+                                                 F.sum(t * (t - 1) / 2).alias("n1"), F.sum(t).alias("N"))
+    n2 = _key_map({k: sum(u * (u - 1) / 2 for u in us) for k, us in marg.items()})[F.col("_k")]
     n0 = F.col("N") * (F.col("N") - 1) / 2
     tau = F.try_divide(F.col("C") - F.col("D"), F.sqrt((n0 - F.col("n1")) * (n0 - n2)))
-    r = agg.select("feature", tau.alias("correlation"))
-    return (r.join(F.broadcast(_positions(df, feats)), "feature")
-             .where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-             .select("feature", "position", "correlation"))
+    r = agg.select(*sl, "feature", tau.alias("correlation"))
+    X.unpersist()
+    return _finish(r, df, feats, sl)
 
 
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 
-def correlations(df: DataFrame, sensitive: str, method: str = "pearson", features=None) -> DataFrame:
+def correlations(df: DataFrame, sensitive: str, method: str = "pearson", features=None,
+                 slice_cols=()) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    return METHODS[method](df, sensitive, features)
+    return METHODS[method](df, sensitive, features, slice_cols)
 
 
 def top_k(corr: DataFrame, k: int = 5, keys=()) -> DataFrame:

@@ -118,3 +118,26 @@ def q_top_k_sliced(spark, d):
     t = X.top_k(c, 3, keys=["segment"])
     return t.select("segment", "feature", F.round("correlation", 6).alias("correlation"),
                     F.col("rank").cast("int").alias("rank"))
+
+
+@register("proxy_corr_spearman_sliced", with_views("""
+, coded AS (SELECT *, CAST(dense_rank() OVER (ORDER BY region) - 1 AS DOUBLE) AS s FROM order_audit),
+  pairs AS (SELECT segment, 'o_totalprice' AS feature, 1 AS position, o_totalprice AS x, s FROM coded
+            UNION ALL SELECT segment, 'c_acctbal', 2, c_acctbal, s FROM coded
+            UNION ALL SELECT segment, 'y_pred', 4, CAST(y_pred AS DOUBLE), s FROM coded),
+  ranked AS (SELECT segment, feature, position,
+                    rank() OVER (PARTITION BY segment, feature ORDER BY x)
+                      + (count(*) OVER (PARTITION BY segment, feature, x) - 1) / 2.0 AS rx,
+                    rank() OVER (PARTITION BY segment, feature ORDER BY s)
+                      + (count(*) OVER (PARTITION BY segment, feature, s) - 1) / 2.0 AS rs
+             FROM pairs WHERE x IS NOT NULL),
+  corr AS (SELECT segment, feature, position, covar_pop(rx, rs) / nullif(stddev_pop(rx) * stddev_pop(rs), 0) AS r
+           FROM ranked GROUP BY 1, 2, 3)
+SELECT segment, feature, position, round(r, 6) AS correlation FROM corr WHERE r IS NOT NULL AND NOT isnan(r)""",
+    "order_audit"))
+def q_spearman_sliced(spark, d):
+    """Spearman correlation with region per customer segment."""
+    from ..sources.tables import order_audit
+    oa = order_audit(spark, d).select("region", "o_totalprice", "c_acctbal", "n_regionkey", "y_pred", "segment")
+    c = X.spearman(oa, "region", ["o_totalprice", "c_acctbal", "y_pred"], slice_cols=["segment"])
+    return c.select("segment", "feature", "position", F.round("correlation", 6).alias("correlation"))
