@@ -8,8 +8,10 @@ cluster.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +58,9 @@ def checkpoint_base(spark: SparkSession) -> str:
     """Shared folder for checkpoints and scratch tables.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one
-    already set on the context). Only when neither exists -- local tests --
-    a private folder is created.
+    already set on the context). Only when neither exists and the master is
+    ``local`` is a private folder created; a cluster without a shared folder
+    raises, because executors cannot read the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -70,11 +73,46 @@ def checkpoint_base(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             named = None
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="fairaudit-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Needed wherever Python functions of the package run on executors that
+    were not started with the package on their path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fairaudit_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(root)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fairaudit-zip-")), "fairaudit.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(d, name)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    sc._fairaudit_shipped = True
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts lineage like a checkpoint, and the reread table also has a known
+    size, so the planner broadcasts it only under its own threshold.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     return f"{checkpoint_base(spark)}/fairaudit/{name}-{uuid.uuid4().hex[:12]}"
