@@ -34,16 +34,16 @@ from ..session import ship_package, staged
 from .registry import read_table, register
 
 CLASSES = 64
-PER_CLASS = 128
+PER_CLASS = 64
 RARE = 256                   # buckets: the last classes
 VOCAB = CLASSES * PER_CLASS
-SIDE = 3
-DIM = 16
-HIDDEN = 32
+SIDE = 2
+DIM = 12
+HIDDEN = 24
 ROUNDS = 2
-MASKED = 1 / 16
+MASKED = 1 / 48
 RATE = 0.05
-BATCH = 512
+BATCH = 2048
 FAN_IN = 16
 SLICE_WORDS = 60_000
 CACHE_MAX = 500_000
@@ -79,14 +79,16 @@ def word_ids(lists: list[list[str]], vocab: dict[str, int], key: str) -> np.ndar
     return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
 
 
-def windows(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For every word, the ids of ``SIDE`` words before and after it in its document."""
+def windows(ids: np.ndarray, lengths: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
+    """For every (or every picked) word, the ids of ``SIDE`` words before and after
+    it in its document."""
     gap = np.repeat(np.arange(1, len(lengths) + 1) * SIDE, lengths)
     place = np.arange(len(ids)) + gap
     padded = np.full(len(ids) + SIDE * (len(lengths) + 1), PAD, np.int64)
     padded[place] = ids
     steps = [s for s in range(-SIDE, SIDE + 1) if s]
-    return padded[place[:, None] + np.array(steps)]
+    chosen = place if pick is None else place[pick]
+    return padded[chosen[:, None] + np.array(steps)]
 
 
 class Network:
@@ -120,16 +122,22 @@ class Network:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target) from hidden states."""
-        cls, word = target // PER_CLASS, target % PER_CLASS
-        rows = np.arange(len(target))
+        order = np.argsort((target // PER_CLASS).astype(np.int16), kind="stable")
+        h, target = h[order], target[order]
+        cls = target // PER_CLASS
         z = h @ self.wc + self.bc
-        out = z[rows, cls] - _log_sum(z)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            k = order[ends[c]:ends[c + 1]]
-            z = h[k] @ self.wv[c].T + self.bv[c]
-            out[k] += z[np.arange(len(k)), word[k]] - _log_sum(z)
+        lp = z[np.arange(len(cls)), cls] - _log_sum(z)
+        # the target's own logit for all rows, then the sums class by class
+        lp += np.einsum("ij,ij->i", h, self.wv.reshape(VOCAB, HIDDEN)[target]) + self.bv.reshape(VOCAB)[target]
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for c in range(CLASSES):
+            i, j = ends[c], ends[c + 1]
+            if i < j:
+                z = h[i:j] @ self.wv[c].T
+                z += self.bv[c]
+                lp[i:j] -= _log_sum(z)
+        out = np.empty(len(order), lp.dtype)
+        out[order] = lp
         return out
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -181,6 +189,12 @@ class Network:
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
+    # no shift is needed unless a row's logits are all very large or very small
+    m = z.max()
+    if m < 40:
+        total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
+        if total.min() > 1e-25:
+            return np.log(total)
     m = z.max(axis=1)
     return m + np.log(np.exp(z - m[:, None]).sum(1))
 
@@ -285,9 +299,9 @@ def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Netw
                         continue
                     ids = word_ids(lists, words, key)
                     pick = np.flatnonzero(rng.random(len(ids)) < MASKED)
-                    held.append((windows(ids, np.array([len(x) for x in lists]))[pick], ids[pick]))
+                    held.append((windows(ids, np.array([len(x) for x in lists]), pick), ids[pick]))
                     size += len(pick)
-                    if size >= 8 * BATCH:
+                    if size >= 4 * BATCH:
                         yield tuple(np.concatenate(c) for c in zip(*held))
                         held, size = [], 0
             if size:

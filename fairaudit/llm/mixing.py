@@ -83,9 +83,10 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     r = rates.select(F.col("source").alias("_s"), "rate", "cdf")
     # the count is drawn before the join can shuffle: only sources are joined
     j = d.join(r, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    j = j.withColumn("_u", uniform(seed, F.col("doc_id")))
-    j = j.withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))).cast("int"))
-    j = j.filter(F.col("n_copies") > 0).drop("cdf", "_u")
+    # the one-element array binds the uniform, so that it is computed once
+    count = F.get(F.transform(F.array(uniform(seed, F.col("doc_id"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), 0)
+    j = j.withColumn("n_copies", count.cast("int"))
+    j = j.filter(F.col("n_copies") > 0).drop("cdf")
     j = j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     j = j.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -128,6 +128,16 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
              .drop("_words", "_hash", "_lines"))
 
 
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    The row number keeps the optimizer from moving the filter below the
+    projection, where every use of a column would compute it anew.
+    """
+    d = with_quality(docs, rules).withColumn("_row", F.monotonically_increasing_id())
+    return d.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+
+
 def _oracle() -> str:
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     checks = {"mean_word_length": "word_chars / n", "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
