@@ -14,8 +14,12 @@ Jaccard similarity of the labelled k-mers.
 
 Candidates of a bucket are not paired at once: the bucket's first documents are
 compared with all members (``STARS`` rounds), and only members that are still in
-different components after that are compared with each other, if their lengths
-allow the threshold. A pair left out is in one component already, so components
+different components after that are compared with each other. Buckets of up to
+``SMALL`` members do so as pairs whose lengths allow the threshold. In larger
+ones, members outside the bucket's main component are looked up, block by block,
+in an inverted index of its members; the number of common k-mers bounds the
+similarity, so only pairs that can reach the threshold are aligned, and none is
+written out but links. A pair left out is in one component already, so components
 are those of all candidate pairs.
 
 Defined results: a null text, or one without a word, links with nothing and is
@@ -43,6 +47,9 @@ PICK = 2
 PER_BAND = 2
 THRESHOLD = 0.8
 STARS = 2
+SMALL = 16                   # members of a bucket that are paired by a join
+BLOCK = 256                  # members of a large bucket indexed together
+QUERIES = 512                # members looked up together
 SLICE_WORDS = 150_000        # words sketched together
 PLACE = (1 << 24) - 1        # places of k-mers are told apart modulo this plus one
 CACHE_MAX = 500_000          # word hashes kept by a worker
@@ -209,9 +216,59 @@ def sketch(docs: DataFrame) -> DataFrame:
         work, "uid long, doc_id long, cls binary, n int, bands array<long>, kmers binary")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between components of large buckets.
+
+    ``members`` holds ``band, uid, comp, main, size, outside``. One task gets one
+    block of a bucket and some of the members outside its main component.
+    """
+    m = members.join(known, "uid")
+    nb = F.ceil(F.col("size") / BLOCK).cast("int")
+    nq = F.ceil(F.col("outside") / QUERIES).cast("int")
+    h = F.xxhash64("uid")
+    index = (m.withColumn("block", F.pmod(h, nb).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), nq - 1)))
+              .select("band", "block", "part", "uid", "comp", "kmers"))
+    query = (m.filter("comp <> main").withColumn("part", F.pmod(h, nq).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), nb - 1)))
+              .select("band", "block", "part", "uid", "comp", "kmers"))
+
+    def look_up(left, right):
+        import pandas as pd
+        a, b = [], []
+        if len(left) and len(right):
+            grams = [np.frombuffer(x, "<u4") for x in left["kmers"]]
+            size = np.array([len(g) for g in grams])
+            post = np.concatenate(grams)
+            order = np.argsort(post, kind="stable")
+            owner = np.repeat(np.arange(len(grams)), size)[order]
+            post = post[order]
+            uid, comp = left["uid"].to_numpy(), left["comp"].to_numpy()
+            up: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+            for me, mine, raw in zip(right["q_uid"], right["q_comp"], right["q_kmers"]):
+                g = np.frombuffer(raw, "<u4")
+                lo, hi = np.searchsorted(post, g, "left"), np.searchsorted(post, g, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.minimum(np.bincount(owner[at], minlength=len(grams)), np.minimum(size, len(g)))
+                for k in np.flatnonzero((common >= threshold * (size + len(g) - common) - 1e-9) & (comp != mine)).tolist():
+                    x, y = root(int(mine)), root(int(comp[k]))
+                    if x != y and similarity(g, grams[k], threshold) >= threshold:
+                        up[max(x, y)] = min(x, y)
+                        a.append(min(me, uid[k]))
+                        b.append(max(me, uid[k]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    key = ["band", "block", "part"]
+    query = query.select(*[F.col(c).alias(f"q_{c}") for c in query.columns])      # same table: tell the columns apart
+    return index.groupBy(*key).cogroup(query.groupBy(*[f"q_{c}" for c in key])).applyInPandas(look_up, "a long, b long")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` whose alignment reaches the threshold."""
-    k = sketches.select("uid", "kmers")
+    k = known.select("uid", "kmers")
     full = (pairs.join(k.withColumnsRenamed({"uid": "a", "kmers": "ka"}), "a")
                  .join(k.withColumnsRenamed({"uid": "b", "kmers": "kb"}), "b").select("a", "b", "ka", "kb"))
 
@@ -241,6 +298,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = staged(rows, "omh-bands")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
     rows = staged(rows.join(shared, "band"), "omh-buckets")
+    known = staged(sk.select("uid", "kmers").join(rows.select("uid").distinct(), "uid", "left_semi"), "omh-known")
     edges = None
     labels = None
     state = rows.withColumn("comp", F.col("uid"))
@@ -257,13 +315,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             lead = lead.select("band", F.col("l.uid").alias("a"), F.col("l.n").alias("n2"), F.col("l.comp").alias("own"))
             pairs = state.join(lead, "band").filter(F.col("comp") != F.col("own")).filter(ratio).select("a", F.col("uid").alias("b"))
         else:
-            mixed = state.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("band")
+            per = state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+            mixed = per.groupBy("band").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m"))
+            mixed = mixed.filter("comps > 1").select("band", "size", (F.col("size") - F.col("m.k")).alias("outside"), F.col("m.comp").alias("main"))
+            mixed = staged(mixed, "omh-mixed-buckets")
             left = staged(state.join(mixed, "band"), "omh-mixed")
-            right = left.select("band", F.col("uid").alias("a"), F.col("n").alias("n2"), F.col("comp").alias("own"))
-            pairs = left.join(right, "band").filter(F.col("uid") > F.col("a")).filter(F.col("comp") != F.col("own")).filter(ratio) \
-                        .select("a", F.col("uid").alias("b"))
+            large = _in_blocks(left.filter(F.col("size") > SMALL), known, threshold)
+            small = left.filter(F.col("size") <= SMALL)
+            right = small.select("band", F.col("uid").alias("a"), F.col("n").alias("n2"), F.col("comp").alias("own"))
+            pairs = small.join(right, "band").filter(F.col("uid") > F.col("a")).filter(F.col("comp") != F.col("own")).filter(ratio) \
+                         .select("a", F.col("uid").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = staged(_verified(staged(pairs, "omh-pairs"), sk, threshold), "omh-edges")
+        found = _verified(staged(pairs, "omh-pairs"), known, threshold)
+        found = staged(found if r < STARS else found.union(large).distinct(), "omh-edges")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
             labels = components(edges)
