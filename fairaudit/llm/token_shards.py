@@ -72,7 +72,7 @@ def sequences(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int =
         import zstandard
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         size = 2 * seq_len
         end = np.asarray([end_id], dtype="<u2").tobytes()
         rest, first, seq = b"", None, 0
