@@ -60,7 +60,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 PATTERN = "|".join((
     r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME}){{0,2}}",
+    rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: (?!{_TITLE} ){_NAME}){{0,2}}",
     r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,})(?![\p{L}\p{N}])",
     rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7})(?!\d)",
