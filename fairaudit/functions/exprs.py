@@ -61,19 +61,13 @@ def fixed3(c: Column) -> Column:
 
     Java's formatter rounds the shortest decimal form half-up (0.2875 ->
     0.288), the audit's text rounds the binary value (0.287). Applied to
-    audit rows only (one per slice), through an Arrow-batched pandas UDF.
+    audit rows only (one per slice), through an Arrow-batched pandas UDF that
+    is defined here, so that executors need not import this package.
     """
-    global _FIXED3
-    if _FIXED3 is None:
-        _FIXED3 = F.pandas_udf(_fixed3_impl, "string")
-    return _FIXED3(c.cast("double"))
-
-
-def _fixed3_impl(s):
-    return s.map(lambda v: None if v is None or v != v else f"{v:.3f}")
-
-
-_FIXED3 = None
+    def text(s):
+        return s.map(lambda v: None if v is None or v != v else f"{v:.3f}")
+    text.__module__ = "__main__"
+    return F.pandas_udf(text, "string")(c.cast("double"))
 
 
 def bin_column(c: Column, edges: list[float], labels: list[str]) -> Column:

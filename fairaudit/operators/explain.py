@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 # Insight sentences and the fallback.
 NO_INSIGHT = "No large SHAP differences were found across demographic groups."
@@ -188,6 +188,7 @@ def tree_contributions(df: DataFrame, rf_model, features: list[str], id_cols: li
 
     id_schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)
     schema = f"{id_schema}, contributions array<double>, expected_value double, p1 double"
+    ship_package(df.sparkSession)
     return df.select(*ids, *feats).mapInPandas(run, schema)
 
 

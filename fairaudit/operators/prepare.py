@@ -89,6 +89,7 @@ def modes_and_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_H
 
 def impute_stats(df: DataFrame, numeric=None, categorical=None) -> dict[str, object]:
     """Fill values: exact median (0 if none) and mode ("missing" if none)."""
+    df = nan_to_null(df)
     numeric = numeric_columns(df) if numeric is None else list(numeric)
     categorical = categorical_columns(df) if categorical is None else list(categorical)
     stats: dict[str, object] = {}
@@ -122,7 +123,8 @@ def apply_fill(df: DataFrame, stats: dict[str, object]) -> DataFrame:
 
 def impute(df: DataFrame, numeric=None, categorical=None, fit_on: DataFrame | None = None) -> DataFrame:
     """Median / mode imputation; statistics from ``fit_on`` (default: df)."""
-    base = fit_on if fit_on is not None else df
+    df = nan_to_null(df)
+    base = nan_to_null(fit_on) if fit_on is not None else df
     return apply_fill(df, impute_stats(base, numeric, categorical))
 
 

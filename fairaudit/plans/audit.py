@@ -24,7 +24,7 @@ def prepare_dataset(df: DataFrame, target: str, sensitive: str, key: str,
     cols = [c for c in df.columns if c != key and c not in exclude]
     # the statistics below take several passes: read the input once, then
     # work from a checkpoint of just the needed columns
-    base = materialize(df.select(key, *cols))
+    base = materialize(P.nan_to_null(df.select(key, *cols)))
     cat_cols = P.categorical_columns(base)
     # one (column, value) count gives the modes and the one-hot value lists
     modes, values = P.modes_and_values(base, cat_cols)

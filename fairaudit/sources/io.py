@@ -22,6 +22,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     each column becomes bigint, double, boolean or string, whichever every
     non-null value parses as (one aggregate pass). Empty input is an error."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("escape", '"').option("multiLine", True)
            .option("nullValue", "\u0000__never__").option("emptyValue", "").csv(path))
     na = F.array(*[F.lit(v) for v in na_values])
     clean = raw.select(*[F.when(F.array_contains(na, F.col(c)), F.lit(None).cast("string"))
@@ -57,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def write_dataset(df: DataFrame, path: str, null_value: str = "") -> None:
     """CSV with a header (Spark creates the folders)."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", null_value).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", null_value).csv(path)
 
 
 def write_report_json(df: DataFrame, path: str) -> None:
