@@ -352,13 +352,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The kept document of every group, with its own columns.
 
-    Rows are found again by id and text hash; rows repeated whole stay once.
+    Rows are found again by id, so rows that share an id stay or go together.
     """
-    d = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     marks = near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     marks = staged(marks, "omh-kept")
-    out = d.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.drop("_h", "_id", "_n")
+    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.drop("_id", "_n")
 
 
 @register("op5_minhash_near_dedup")
