@@ -6,8 +6,12 @@ Every function here is a second-stage aggregate over a table of at most
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import (drop_all, fairness_score, keys_of, r6, rate0, ratio)
 from ..functions.labels import is_pos, window_positive_label
@@ -233,25 +237,60 @@ def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred", slice_cols
     return drop_all(out, slice_cols)
 
 
+def label_performance(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., attr, accuracy, precision, recall) for any label values.
+
+    Accuracy counts equal labels. Precision and recall are those of label 1
+    when a slice has at most two labels and 1 is among them (or has a single
+    label); otherwise they are weighted by class support. A null numeric label
+    counts as 0, a null text label as a class of its own.
+    """
+    dt = cube.select(F.array("y_true", "y_pred").alias("a")).schema["a"].dataType.elementType
+    text = isinstance(dt, T.StringType)
+    yt, yp = (F.col(c).cast(dt) for c in ("y_true", "y_pred"))
+    if not text:
+        yt, yp = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (yt, yp))
+    n, same, none = F.col("n"), yt.eqNullSafe(yp), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(yt.alias("c"), n.alias("support"), F.when(same, n).otherwise(none).alias("tp"), none.alias("predicted")),
+        F.struct(yp.alias("c"), none.alias("support"), none.alias("tp"), n.alias("predicted")))
+    cls = (cube.select(*keys, "attr", F.explode(sides).alias("s")).select(*keys, "attr", "s.*")
+           .groupBy(*keys, "attr", "c").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")]))
+    one = F.lit(False) if text else F.col("c") == 1
+    sup, tp, pred = F.col("support"), F.col("tp"), F.col("predicted")
+    a = cls.groupBy(*keys, "attr").agg(
+        F.sum(sup).alias("_n"), F.sum(tp).alias("_ok"), F.count(F.lit(1)).alias("_k"), F.max(one).alias("_has"),
+        *[F.sum(F.when(one, F.col(c)).otherwise(0)).alias(f"_{c}") for c in ("support", "tp", "predicted")],
+        F.sum(sup * rate0(tp, pred)).alias("_wp"), F.sum(sup * rate0(tp, sup)).alias("_wr"))
+    binary = (F.col("_k") < 2) | ((F.col("_k") == 2) & F.col("_has"))
+    return a.select(
+        *keys, "attr", ratio(F.col("_ok"), F.col("_n")).alias("accuracy"),
+        F.when(binary, rate0(F.col("_tp"), F.col("_predicted"))).otherwise(ratio(F.col("_wp"), F.col("_n"))).alias("precision"),
+        F.when(binary, rate0(F.col("_tp"), F.col("_support"))).otherwise(ratio(F.col("_wr"), F.col("_n"))).alias("recall"))
+
+
 def evaluate_predictions(df: DataFrame, y_true="y_true", y_pred="y_pred", attrs="grp",
-                         slice_cols=(), model_col: str | None = None, binary: bool = True) -> DataFrame:
-    """Performance + fairness per (slice[, model], attr) from one cube."""
+                         slice_cols=(), model_col: str | None = None, binary: bool = False) -> DataFrame:
+    """Performance + fairness per (slice[, model], attr) from one cube.
+
+    ``binary`` states that the labels are 0/1, which saves the second branch
+    over the cube; without it the labels found in each slice decide.
+    """
     sc = list(slice_cols) + ([model_col] if model_col else [])
     keys = keys_of(sc)
     cube = confusion_cube(df, y_true, y_pred, attrs, sc)
     fair = fairness_from_confusion(binarized_confusion(cube, keys), keys)
     if binary:
-        # two labels: accuracy, precision and recall follow from the binarised
-        # totals of the same aggregate -- no second branch, no join
+        # accuracy, precision and recall follow from the binarised totals of
+        # the same aggregate -- no second branch, no join
         tp, fp, fn, tn = (F.col(f"{c}_all") for c in ("tp", "fp", "fn", "tn"))
         j = fair.select("*", ratio(tp + tn, F.col("n")).alias("accuracy"),
                         rate0(tp, tp + fp).alias("precision"), rate0(tp, tp + fn).alias("recall"))
     else:
-        first = as_list(attrs)[0]
-        pairs = (cube.where(F.col("attr") == first)
-                 .groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n")))
-        perf = performance_from_pairs(pairs, keys, binary)
-        j = fair.join(perf.drop("n"), keys)
+        perf = label_performance(cube, keys)
+        perf = perf.select(*[F.col(k).alias(f"_p_{k}") for k in keys + ["attr"]], "accuracy", "precision", "recall")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys + ["attr"]])
+        j = fair.join(perf, same)
     out = j.select(
         *keys, "attr", "n",
         r6(F.col("accuracy")).alias("accuracy"), r6(F.col("precision")).alias("precision"),

@@ -56,7 +56,7 @@ def evaluate_strategies(train: DataFrame, test: DataFrame, features: list[str],
     for i, name, p in done:
         positions[name] = i
         preds = preds.unionByName(p.select(sensitive_col, "y", "y_pred", F.lit(name).alias("strategy")))
-    ev = evaluate_predictions(preds, "y", "y_pred", sensitive_col, model_col="strategy")
+    ev = evaluate_predictions(preds, "y", "y_pred", sensitive_col, model_col="strategy", binary=True)
     pos = F.create_map(*[x for k, v in positions.items() for x in (F.lit(k), F.lit(v))])
     ev = ev.select("strategy", pos[F.col("strategy")].alias("position"), "accuracy",
                    F.col("fairness_score").alias("fairness"), "demographic_parity_difference",

@@ -351,6 +351,52 @@ def q_evaluate_predictions(spark, d):
                                   model_col="model")
 
 
+@register("evaluate_predictions_multiclass", with_views("""
+, pairs AS (SELECT source, lang AS y_true, CASE WHEN n_chars >= 2000 THEN 'long' WHEN n_chars >= 500 THEN lang ELSE 'short' END AS y_pred,
+                   count(*) AS n FROM doc_audit GROUP BY 1, 2, 3),
+  t AS (SELECT source, y_true AS c, sum(n) AS support, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp FROM pairs GROUP BY 1, 2),
+  p AS (SELECT source, y_pred AS c, sum(n) AS predicted FROM pairs GROUP BY 1, 2),
+  cls AS (SELECT source, coalesce(t.support, 0) AS support, coalesce(t.tp, 0) AS tp, coalesce(p.predicted, 0) AS predicted
+          FROM t FULL JOIN p USING (source, c))
+SELECT source, CAST(sum(support) AS BIGINT) AS n, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
+       round(sum(support * coalesce(CAST(tp AS DOUBLE) / nullif(predicted, 0), 0)) / sum(support), 6) AS precision,
+       round(sum(support * coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0)) / sum(support), 6) AS recall
+FROM cls GROUP BY source""", "doc_audit"))
+def q_evaluate_predictions_multiclass(spark, d):
+    """Language labels guessed from the length class, per source."""
+    da = doc_audit(spark, d).where(F.col("lang").isNotNull())
+    yp = (F.when(F.col("n_chars") >= 2000, "long").when(F.col("n_chars") >= 500, F.col("lang"))
+          .otherwise("short"))
+    ev = M.evaluate_predictions(da.select("source", F.col("lang").alias("y_true"), yp.alias("y_pred"),
+                                          F.col("lang").alias("grp")), slice_cols=["source"])
+    return ev.select("source", "n", "accuracy", "precision", "recall")
+
+
+@register("evaluate_predictions_text", with_views("""
+, yn AS (SELECT lang AS grp, CASE WHEN y_true = 1 THEN 'yes' ELSE 'no' END AS y_true,
+                CASE WHEN y_pred = 1 THEN 'yes' ELSE 'no' END AS y_pred FROM doc_audit),
+  g AS (SELECT grp, count(*) AS n, sum(CASE WHEN y_pred = 'yes' THEN 1 ELSE 0 END)::DOUBLE / count(*) AS sr,
+               coalesce(sum(CASE WHEN y_pred = 'yes' AND y_true = 'yes' THEN 1 ELSE 0 END)::DOUBLE
+                        / nullif(sum(CASE WHEN y_true = 'yes' THEN 1 ELSE 0 END), 0), 0) AS tpr,
+               coalesce(sum(CASE WHEN y_pred = 'yes' AND y_true = 'no' THEN 1 ELSE 0 END)::DOUBLE
+                        / nullif(sum(CASE WHEN y_true = 'no' THEN 1 ELSE 0 END), 0), 0) AS fpr FROM yn GROUP BY 1),
+  f AS (SELECT max(sr) - min(sr) AS dp, greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS eo,
+               CASE WHEN max(sr) = 0 THEN 1.0 ELSE min(sr) / max(sr) END AS di FROM g),
+  c AS (SELECT l.c, (SELECT count(*) FROM yn WHERE y_true = l.c) AS support, (SELECT count(*) FROM yn WHERE y_pred = l.c) AS predicted,
+               (SELECT count(*) FROM yn WHERE y_true = l.c AND y_pred = l.c) AS tp FROM (VALUES ('yes'), ('no')) l(c))
+SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
+       round(sum(support * coalesce(tp::DOUBLE / nullif(predicted, 0), 0)) / sum(support), 6) AS precision,
+       round(sum(support * coalesce(tp::DOUBLE / nullif(support, 0), 0)) / sum(support), 6) AS recall,
+       round(max(dp), 6) AS demographic_parity_difference, round(max(eo), 6) AS equalized_odds_difference,
+       round(max(di), 6) AS disparate_impact_ratio
+FROM c, f""", "doc_audit"))
+def q_evaluate_predictions_text(spark, d):
+    """Quality judgements as yes/no text, by language."""
+    yn = [F.when(F.col(c) == 1, "yes").otherwise("no").alias(c) for c in ("y_true", "y_pred")]
+    ev = M.evaluate_predictions(doc_audit(spark, d).select(*yn, F.col("lang").alias("grp")))
+    return ev.select("n", "accuracy", "precision", "recall", *M.FAIRNESS_COLS)
+
+
 _CMP_COLS = ["accuracy", "precision", "recall", "demographic_parity_difference",
              "equalized_odds_difference", "disparate_impact_ratio"]
 
