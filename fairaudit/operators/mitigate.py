@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import keys_of, ratio, with_all, drop_all
-from ..session import bounded_broadcast, reuse
+from ..session import bounded_broadcast, materialize, reuse
 from .prepare import first_k_by_hash
+from .ranking import prefix_before
 
 BUCKETS = 1000  # score resolution of the ROC: thresholds b / 1000
 
@@ -227,3 +228,97 @@ def apply_group_threshold(df: DataFrame, thresholds: DataFrame, score: str, grou
     t, _ = bounded_broadcast(thresholds.select(F.col("grp").alias("_g"), F.col("b").alias("_b")))
     j = df.join(t, df[group].cast("string").eqNullSafe(t["_g"]), "left")
     return j.withColumn(out, F.coalesce((bucket(score) >= F.col("_b")).cast("int"), F.lit(0))).drop("_g", "_b")
+
+
+# --------------------------------------------------------------------------
+# thresholds at the scores themselves, without levels
+# --------------------------------------------------------------------------
+
+NO_GROUP = "Unknown"
+
+
+def _group_text(group: str) -> F.Column:
+    return F.coalesce(F.col(group).cast("string"), F.lit(NO_GROUP))
+
+
+def _clean_score(score: str) -> F.Column:
+    return F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+
+
+def group_roc_exact(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
+    """Per group and distinct score s (predict 1 iff score >= s): (grp,
+    threshold, tp, fp, n_pos, n_neg, n, tpr, fpr, selection_rate, correct)
+    and, as ``next_rate`` and ``next_fpr``, the rates of the next higher
+    threshold (null on the top row of a group, threshold +infinity, which
+    selects nobody).
+
+    Rows -> (group, score) counts, then a distributed prefix sum, so a group
+    with a third of all scores is spread over many tasks. A row without a score
+    counts in ``n`` and is never selected; a null group is 'Unknown'.
+    """
+    y = F.col(label)
+    hist = df.groupBy(_group_text(group).alias("grp"), _clean_score(score).alias("threshold")).agg(
+        F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
+        F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
+    pre = prefix_before(hist, ["grp"], "threshold", ["pos", "neg"])   # nulls sort first
+    total, _ = bounded_broadcast(hist.groupBy("grp").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")))
+    top = total.select("grp", F.lit(float("inf")).alias("threshold"), "n_pos", "n_neg", F.lit(0).cast("long").alias("tp"),
+                       F.lit(0).cast("long").alias("fp"), F.lit(None).cast("long").alias("next_tp"), F.lit(None).cast("long").alias("next_fp"))
+    at = pre.where(F.col("threshold").isNotNull()).join(total, "grp").select(
+        "grp", "threshold", "n_pos", "n_neg",
+        (F.col("n_pos") - F.col("pos_before")).alias("tp"), (F.col("n_neg") - F.col("neg_before")).alias("fp"),
+        (F.col("n_pos") - F.col("pos_before") - F.col("pos")).alias("next_tp"),
+        (F.col("n_neg") - F.col("neg_before") - F.col("neg")).alias("next_fp"))
+    P, N = F.col("n_pos"), F.col("n_neg")
+    return at.unionByName(top).select(
+        "grp", "threshold", "tp", "fp", "n_pos", "n_neg", (P + N).alias("n"),
+        F.coalesce(ratio(F.col("tp"), P), F.lit(0.0)).alias("tpr"),
+        F.coalesce(ratio(F.col("fp"), N), F.lit(0.0)).alias("fpr"),
+        ratio(F.col("tp") + F.col("fp"), P + N).alias("selection_rate"),
+        (F.col("tp") + N - F.col("fp")).alias("correct"),
+        ratio(F.col("next_tp") + F.col("next_fp"), P + N).alias("next_rate"),
+        F.when(F.col("next_fp").isNotNull(), F.coalesce(ratio(F.col("next_fp"), N), F.lit(0.0))).alias("next_fpr"))
+
+
+def _serving(roc: DataFrame, rate: str, next_rate: str, grid: int) -> DataFrame:
+    """The highest threshold of each group that reaches target rate i / grid,
+    for every i: at most groups x (grid + 1) rows, checkpointed."""
+    lo = F.when(F.col(next_rate).isNull(), F.lit(0)).otherwise(
+        F.floor(F.col(next_rate) * grid + 1e-9).cast("int") + 1)
+    hi = F.floor(F.col(rate) * grid + 1e-9).cast("int")
+    return materialize(roc.where(hi >= lo).withColumn("i", F.explode(F.sequence(lo, hi))))
+
+
+def threshold_parity_exact(roc: DataFrame, grid: int = BUCKETS) -> DataFrame:
+    """``threshold_parity`` over the scores of ``group_roc_exact``."""
+    served = _serving(roc, "selection_rate", "next_rate", grid)
+    n_groups = served.where(F.col("i") == 0).count()       # every group serves target 0 once
+    best = (served.groupBy("i").agg(F.sum("correct").alias("ct"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("nt"))
+            .where(F.col("k") == n_groups).orderBy(F.col("ct").desc(), F.col("i").asc()).limit(1))
+    return served.join(best, "i").select(
+        "grp", "threshold", F.round("selection_rate", 6).alias("selection_rate"),
+        (F.col("i") / F.lit(float(grid))).alias("target_rate"), F.round(ratio(F.col("ct"), F.col("nt")), 6).alias("accuracy"))
+
+
+def threshold_equalized_odds_exact(roc: DataFrame, grid: int = BUCKETS, max_gap: float = 0.05) -> DataFrame:
+    """``threshold_equalized_odds`` over the scores of ``group_roc_exact``."""
+    served = _serving(roc, "fpr", "next_fpr", grid)
+    n_groups = served.where(F.col("i") == 0).count()
+    gap, acc = F.col("eo_gap"), F.col("accuracy")
+    best = (served.groupBy("i").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.greatest(F.max("tpr") - F.min("tpr"), F.max("fpr") - F.min("fpr")).alias("eo_gap"),
+        ratio(F.sum("correct"), F.sum("n")).alias("accuracy"))
+        .where(F.col("k") == n_groups)
+        .orderBy((gap <= max_gap).desc(), F.when(gap <= max_gap, -acc).otherwise(gap).asc(), F.col("i").asc()).limit(1))
+    return served.join(best, "i").select(
+        "grp", "threshold", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "eo_gap", "accuracy")])
+
+
+def apply_group_threshold_exact(df: DataFrame, thresholds: DataFrame, score: str, group: str,
+                                out: str = "y_pred") -> DataFrame:
+    """Predict 1 iff the score reaches the threshold of the row's group; 0
+    without a score or for a group that has no threshold."""
+    t, _ = bounded_broadcast(thresholds.select(F.col("grp").alias("_g"), F.col("threshold").alias("_t")))
+    j = df.join(t, _group_text(group) == F.col("_g"), "left")
+    return j.withColumn(out, F.coalesce((_clean_score(score) >= F.col("_t")).cast("int"), F.lit(0))).drop("_g", "_t")

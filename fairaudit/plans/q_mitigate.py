@@ -118,3 +118,70 @@ def q_apply_group_threshold(spark, d):
 def q_threshold_equalized_odds(spark, d):
     roc = MI.group_roc(_oa(spark, d), "score", "y_true", "region")
     return MI.threshold_equalized_odds(roc)
+
+
+_EXACT = """
+, h AS (SELECT region AS grp, score AS threshold, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+               sum(CASE WHEN y_true = 1 THEN 0 ELSE 1 END) AS neg FROM order_audit GROUP BY 1, 2),
+  h2 AS (SELECT * FROM h UNION ALL SELECT DISTINCT grp, CAST('infinity' AS DOUBLE), 0, 0 FROM h),
+  roc0 AS (SELECT grp, threshold,
+                  sum(pos) OVER (PARTITION BY grp ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
+                  sum(neg) OVER (PARTITION BY grp ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp,
+                  sum(pos) OVER (PARTITION BY grp) AS n_pos, sum(neg) OVER (PARTITION BY grp) AS n_neg FROM h2),
+  roc1 AS (SELECT *, n_pos + n_neg AS n, coalesce(CAST(tp AS DOUBLE) / nullif(n_pos, 0), 0) AS tpr,
+                  coalesce(CAST(fp AS DOUBLE) / nullif(n_neg, 0), 0) AS fpr,
+                  CAST(tp + fp AS DOUBLE) / (n_pos + n_neg) AS selection_rate, tp + n_neg - fp AS correct FROM roc0),
+  roc AS (SELECT *, lead(selection_rate) OVER (PARTITION BY grp ORDER BY threshold) AS next_rate,
+                 lead(fpr) OVER (PARTITION BY grp ORDER BY threshold) AS next_fpr FROM roc1)
+"""
+
+_EXACT_PARITY = _EXACT + """
+, r AS (SELECT *, CASE WHEN next_rate IS NULL THEN 0 ELSE CAST(floor(next_rate * 1000 + 1e-9) AS INT) + 1 END AS lo,
+               CAST(floor(selection_rate * 1000 + 1e-9) AS INT) AS hi FROM roc),
+  served AS (SELECT r.*, CAST(i.i AS INT) AS i FROM r, generate_series(r.lo, r.hi) i(i) WHERE r.hi >= r.lo),
+  total AS (SELECT i, sum(correct) AS ct, count(*) AS k, sum(n) AS nt FROM served GROUP BY i),
+  best AS (SELECT * FROM total WHERE k = (SELECT count(DISTINCT grp) FROM roc) ORDER BY ct DESC, i LIMIT 1),
+  th AS (SELECT s.grp, s.threshold, s.selection_rate, best.i, CAST(best.ct AS DOUBLE) / best.nt AS acc
+         FROM served s JOIN best USING (i))
+"""
+
+
+def _roc_exact(spark, d):
+    return MI.group_roc_exact(_oa(spark, d), "score", "y_true", "region")
+
+
+@register("group_roc_exact", with_views(_EXACT + """
+SELECT grp, threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
+       round(selection_rate, 6) AS selection_rate FROM roc WHERE threshold < CAST('infinity' AS DOUBLE)""", "order_audit"))
+def q_group_roc_exact(spark, d):
+    r = _roc_exact(spark, d).where(F.col("threshold") < float("inf"))
+    return r.select("grp", "threshold", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "selection_rate")])
+
+
+@register("threshold_parity_exact", with_views(_EXACT_PARITY + """
+SELECT grp, threshold, round(selection_rate, 6) AS selection_rate, i / 1000.0 AS target_rate, round(acc, 6) AS accuracy
+FROM th""", "order_audit"))
+def q_threshold_parity_exact(spark, d):
+    return MI.threshold_parity_exact(_roc_exact(spark, d))
+
+
+@register("apply_group_threshold_exact", with_views(_EXACT_PARITY + """
+SELECT row_id, region, CAST(score >= th.threshold AS INT) AS y_pred
+FROM order_audit o JOIN th ON o.region = th.grp""", "order_audit"))
+def q_apply_group_threshold_exact(spark, d):
+    th = MI.threshold_parity_exact(_roc_exact(spark, d))
+    return MI.apply_group_threshold_exact(_oa(spark, d), th, "score", "region").select("row_id", "region", "y_pred")
+
+
+@register("threshold_equalized_odds_exact", with_views(_EXACT + """
+, r AS (SELECT *, CASE WHEN next_fpr IS NULL THEN 0 ELSE CAST(floor(next_fpr * 1000 + 1e-9) AS INT) + 1 END AS lo,
+               CAST(floor(fpr * 1000 + 1e-9) AS INT) AS hi FROM roc),
+  served AS (SELECT r.*, CAST(i.i AS INT) AS i FROM r, generate_series(r.lo, r.hi) i(i) WHERE r.hi >= r.lo),
+  total AS (SELECT i, count(*) AS k, greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS gap,
+                   CAST(sum(correct) AS DOUBLE) / sum(n) AS acc FROM served GROUP BY i),
+  best AS (SELECT * FROM total WHERE k = (SELECT count(DISTINCT grp) FROM roc)
+           ORDER BY gap <= 0.05 DESC, CASE WHEN gap <= 0.05 THEN -acc ELSE gap END, i LIMIT 1)
+SELECT s.grp, s.threshold, round(s.tpr, 6) AS tpr, round(s.fpr, 6) AS fpr, round(best.gap, 6) AS eo_gap,
+       round(best.acc, 6) AS accuracy FROM served s JOIN best USING (i)""", "order_audit"))
+def q_threshold_equalized_odds_exact(spark, d):
+    return MI.threshold_equalized_odds_exact(_roc_exact(spark, d))
