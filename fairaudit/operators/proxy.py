@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import NUMERIC
-from ..session import reuse
+from ..session import bounded_broadcast, materialize, reuse
 from .prepare import ordinal_codes
-from .ranking import prefix_before
+from .ranking import average_ranks, prefix_before
 
-MAX_CODES = 256  # rank correlations keep one count column per sensitive code
+MAX_CODES = 256  # up to here rank correlations keep one count column per sensitive code
+
+
+class TooManyCodes(ValueError):
+    """More sensitive codes than one count column each allows."""
 
 
 def _is_num(dt) -> bool:
@@ -88,7 +92,7 @@ def code_table(df: DataFrame, sensitive: str, features=None, slice_cols=()):
     codes = sorted(r[0] for r in enc.select("_s").where(F.col("_s").isNotNull()).distinct()
                    .limit(MAX_CODES + 1).collect())
     if len(codes) > MAX_CODES:
-        raise ValueError(f"rank correlations need at most {MAX_CODES} sensitive codes, found more")
+        raise TooManyCodes(f"one count column per code needs at most {MAX_CODES} sensitive codes")
     cn = [f"c{k}" for k in range(len(codes))]
     long = (enc.unpivot(sl + ["_s"], feats, "feature", "x")
                .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
@@ -127,7 +131,10 @@ def spearman(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Dat
     the codes: from the per-(slice, feature, code) marginals. cov = sum over
     values of sum_k c_k (rx - m)(rs_k - m), with m = (W + 1) / 2."""
     sl = list(slice_cols)
-    X, codes, cn, feats, marg = code_table(df, sensitive, features, sl)
+    try:
+        X, codes, cn, feats, marg = code_table(df, sensitive, features, sl)
+    except TooManyCodes:
+        return _spearman_cells(df, sensitive, features, sl)
     info = {}
     for k, u in marg.items():
         W, rs = _code_ranks(u)
@@ -148,6 +155,24 @@ def spearman(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Dat
     return _finish(r, df, feats, sl)
 
 
+def _spearman_cells(df: DataFrame, sensitive: str, features, sl: list[str]) -> DataFrame:
+    """Spearman for any number of sensitive values: counts per (slice,
+    feature, x, s) cell, average ranks of both sides from distributed prefix
+    sums, joined back to the cells."""
+    feats = [f for f in _features(df, sensitive, features) if f not in sl]
+    keys = sl + ["feature"]
+    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], feats, "feature", "x")
+            .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
+    cells = materialize(long.groupBy(*keys, "x", "_s").agg(F.count(F.lit(1)).alias("_c")))
+    rx = average_ranks(cells, "x", keys, "_rx", "_c").drop("_n")
+    rs = average_ranks(cells, "_s", keys, "_rs", "_c").drop("_n")
+    total, _ = bounded_broadcast(cells.groupBy(*keys).agg(((F.sum("_c") + 1) / 2.0).alias("_mid")))
+    j = cells.join(rx, keys + ["x"]).join(rs, keys + ["_s"]).join(total, keys)
+    dx, ds, c = F.col("_rx") - F.col("_mid"), F.col("_rs") - F.col("_mid"), F.col("_c")
+    r = j.groupBy(*keys).agg(F.try_divide(F.sum(c * dx * ds), F.sqrt(F.sum(c * dx * dx) * F.sum(c * ds * ds))).alias("correlation"))
+    return _finish(r, df, feats, sl)
+
+
 def _positions(df: DataFrame, feats: list[str]) -> DataFrame:
     rows = [(f, df.columns.index(f)) for f in feats]
     return df.sparkSession.createDataFrame(rows, "feature string, position int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import proxy as X
-from ..sources.tables import line_features
+from ..sources.tables import line_features, order_audit
 from .registry import register
 from .views_sql import with_views
 
@@ -68,9 +68,28 @@ def q_spearman(spark, d):
     return c.select("feature", "position", F.round("correlation", 6).alias("correlation"))
 
 
+@register("proxy_corr_spearman_numeric", with_views("""
+, pairs AS (SELECT 'o_totalprice' AS feature, 1 AS position, o_totalprice AS x, c_acctbal AS s FROM order_audit
+            UNION ALL SELECT 'n_regionkey', 2, CAST(n_regionkey AS DOUBLE), c_acctbal FROM order_audit
+            UNION ALL SELECT 'y_pred', 3, CAST(y_pred AS DOUBLE), c_acctbal FROM order_audit),
+  valid AS (SELECT * FROM pairs WHERE x IS NOT NULL AND s IS NOT NULL),
+  ranked AS (
+    SELECT feature, position,
+           rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
+           rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2.0 AS rs
+    FROM valid)
+SELECT feature, position, round(covar_pop(rx, rs) / nullif(stddev_pop(rx) * stddev_pop(rs), 0), 6) AS correlation
+FROM ranked GROUP BY feature, position""", "order_audit"))
+def q_spearman_numeric(spark, d):
+    """A sensitive column with a value per customer."""
+    oa = order_audit(spark, d).select("c_acctbal", "o_totalprice", "n_regionkey", "y_pred")
+    c = X.spearman(oa, "c_acctbal")
+    return c.select("feature", "position", F.round("correlation", 6).alias("correlation"))
+
+
 # Kendall: an exact SQL form would enumerate all row pairs (3.6e9 at sf0.01),
 # so it is checked against brute-force pair counting on a small fixture in
-# tests/test_proxy.py instead of by an oracle here.
+# tests/test_invariants.py instead of by an oracle here.
 @register("proxy_corr_kendall")
 def q_kendall(spark, d):
     c = X.kendall(_lf(spark, d), "sens")
