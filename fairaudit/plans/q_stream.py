@@ -76,4 +76,4 @@ def q_monitor_stream(spark, d):
                         (F.col("value") > 50).cast("int").alias("y"))
     MON.run_monitor_stream(spark, d, ev.schema, "event_time", "grp", "y",
                            out, f"{out}/_checkpoint", "1 day", "1 day", prepare=prep, glob="events.parquet")
-    return spark.read.parquet(f"{out}/groups")
+    return spark.read.parquet(f"{out}/groups").drop("epoch")

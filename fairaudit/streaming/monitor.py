@@ -63,8 +63,10 @@ def run_monitor_stream(spark: SparkSession, source_path: str, schema, time_col:
                        prepare=None, glob: str | None = None) -> None:
     """Stream the parquet files under the folder ``source_path`` (optionally
     only those matching ``glob``) to completion
-    (``availableNow``) and append group rows, window metrics and alerts to
-    ``out_path/{groups,metrics,alerts}``. Restartable from ``checkpoint``."""
+    (``availableNow``) and write group rows, window metrics and alerts to
+    ``out_path/{groups,metrics,alerts}/epoch=N``, one folder per micro-batch.
+    A batch that is run again after a failure replaces its own folder, so no
+    row comes twice. Restartable from ``checkpoint``."""
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -77,10 +79,9 @@ def run_monitor_stream(spark: SparkSession, source_path: str, schema, time_col:
         if batch.isEmpty():
             return
         b = batch.persist()
-        b.write.mode("append").parquet(f"{out_path}/groups")
         met = window_metrics(b)
-        met.write.mode("append").parquet(f"{out_path}/metrics")
-        window_alerts(met).write.mode("append").parquet(f"{out_path}/alerts")
+        for name, part in (("groups", b), ("metrics", met), ("alerts", window_alerts(met))):
+            part.write.mode("overwrite").parquet(f"{out_path}/{name}/epoch={epoch}")
         b.unpersist()
 
     q = (groups.writeStream.outputMode("append").foreachBatch(sink)

@@ -5,8 +5,12 @@ import tempfile
 
 import pytest
 from fairaudit import session
+from fairaudit.operators import metrics as M
+from fairaudit.operators import mitigate as MI
 from fairaudit.operators import prepare as P
+from fairaudit.operators import proxy as X
 from fairaudit.sources import io as IO
+from fairaudit.streaming import monitor as MON
 
 
 def test_csv_quotes_and_line_breaks(spark):
@@ -41,3 +45,56 @@ def test_scratch_folder_needed_off_local_masters():
         conf = Context()
     with pytest.raises(RuntimeError):
         session.checkpoint_base(Session())
+
+
+def _perf(spark, rows, schema):
+    df = spark.createDataFrame(rows, schema)
+    r = M.evaluate_predictions(df).collect()[0]
+    return r["accuracy"], r["precision"], r["recall"]
+
+
+def test_evaluation_of_any_labels(spark):
+    three = [(0, 0, "a"), (1, 1, "a"), (2, 2, "b"), (0, 1, "b"), (1, 2, "a"), (2, 0, "b")]
+    assert _perf(spark, three, "y_true int, y_pred int, grp string") == (0.5, 0.5, 0.5)
+    text = [(f"c{t}", f"c{p}", g) for t, p, g in three]
+    assert _perf(spark, text, "y_true string, y_pred string, grp string") == (0.5, 0.5, 0.5)
+    # labels 1 and 2: 1 is the positive one for precision and recall
+    pair = [(1, 1, "a"), (1, 2, "a"), (2, 2, "b"), (2, 1, "b"), (2, 1, "a")]
+    assert _perf(spark, pair, "y_true int, y_pred int, grp string") == (0.4, 0.333333, 0.5)
+    binary = [(1, 1, "a"), (0, 1, "a"), (1, 0, "b"), (0, 0, "b"), (1, 1, "b")]
+    df = spark.createDataFrame(binary, "y_true int, y_pred int, grp string")
+    assert M.evaluate_predictions(df).collect() == M.evaluate_predictions(df, binary=True).collect()
+    assert _perf(spark, [("yes", None, "a"), (None, None, "b")], "y_true string, y_pred string, grp string")[0] == 0.5
+
+
+def test_exact_thresholds_separate_close_scores(spark):
+    # all scores share one level of 1/1000, labels follow the fourth digit
+    rows = [(0.5 + k * 1e-5, int(k >= 5), g) for k in range(10) for g in ("a", "b")]
+    rows += [(None, 0, "a"), (float("nan"), 0, "b")]
+    df = spark.createDataFrame(rows, "s double, y int, g string")
+    th = MI.threshold_parity_exact(MI.group_roc_exact(df, "s", "y", "g"))
+    out = MI.apply_group_threshold_exact(df, th, "s", "g").collect()
+    assert all(r["y_pred"] == r["y"] for r in out) and len(out) == len(rows)
+    eo = MI.threshold_equalized_odds_exact(MI.group_roc_exact(df, "s", "y", "g")).collect()
+    assert {r["grp"] for r in eo} == {"a", "b"}
+
+
+def test_spearman_of_many_sensitive_values_equals_few(spark, monkeypatch):
+    rows = [(i * 7 % 13, (i * i) % 11 + 0.5, None if i % 9 == 0 else i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "s int, x double, z int")
+    few = {r["feature"]: r["correlation"] for r in X.spearman(df, "s").collect()}
+    monkeypatch.setattr(X, "MAX_CODES", 2)
+    many = {r["feature"]: r["correlation"] for r in X.spearman(df, "s").collect()}
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
+
+
+def test_stream_sink_replaces_a_batch_that_runs_again(spark):
+    src, out = (os.path.join(tempfile.mkdtemp(prefix="fairaudit-stream-"), n) for n in ("in", "out"))
+    rows = [(f"2024-01-0{d} 10:00:00", g, d % 2) for d in range(1, 8) for g in ("a", "b")]
+    ev = spark.createDataFrame(rows, "t string, g string, y int").selectExpr("cast(t as timestamp) t", "g", "y")
+    ev.coalesce(1).write.parquet(src)
+    got = []
+    for checkpoint in ("c1", "c2"):          # the second run starts anew and writes the same epochs
+        MON.run_monitor_stream(spark, src, ev.schema, "t", "g", "y", out, f"{out}-{checkpoint}")
+        got.append(sorted(map(tuple, spark.read.parquet(f"{out}/groups").collect())))
+    assert got[0] and got[0] == got[1]
