@@ -38,13 +38,18 @@ def uniform(seed: str, *cols: Column) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... to far beyond any 52-bit uniform."""
+    """P(count <= k) for k = 0, 1, ... to far beyond any 52-bit uniform.
+
+    Probabilities are carried as logarithms, so that a rate in the hundreds
+    does not underflow.
+    """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+    step = F.coalesce(F.log(rate), F.lit(float("-inf")))
+    first = F.struct((-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
     return F.aggregate(
         F.sequence(F.lit(1), last), first,
-        lambda a, k: F.struct((a["p"] * rate / k).alias("p"),
-                              F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * rate / k)).alias("cdf")),
+        lambda a, k: F.struct((a["p"] + step - F.log(k)).alias("p"),
+                              F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + F.exp(a["p"] + step - F.log(k)))).alias("cdf")),
         lambda a: a["cdf"])
 
 

@@ -45,6 +45,19 @@ def test_mixing_rates_and_edges(spark, edge_docs):
     assert abs(got["a"] - 2000) < 200 and abs(got["b"] - 2000) < 200
 
 
+def test_poisson_rates_from_zero_to_thousands(spark):
+    import math
+
+    from pyspark.sql import functions as F
+    rates = [0.0, 0.3, 40.0, 900.0, 3000.0]
+    out = spark.createDataFrame([(r,) for r in rates], "rate double").withColumn("cdf", mixing.poisson_cdf(F.col("rate"))).collect()
+    for r in out:
+        lam, cdf = r["rate"], r["cdf"]
+        want = np.cumsum([math.exp(-lam + (k * math.log(lam) if lam else 0.0 if k == 0 else -math.inf) - math.lgamma(k + 1)) for k in range(len(cdf))])
+        assert np.allclose(cdf, want, atol=1e-9) and abs(cdf[-1] - 1) < 1e-9
+        assert abs(sum(c <= 0.5 for c in cdf) - lam) <= 1          # the median is near the rate
+
+
 def test_pii_surrogates(spark, edge_docs):
     texts = ["Mr. John Smith, +1 (743) 555-3824, a.b.19@mail5.example.com 154.127.37.204 4785380592391139",
              "Mrs. Jane Doe MR. JOHN SMITH A.B.19@MAIL5.EXAMPLE.COM 4785-3805-9239-1139 123-45-6789",
