@@ -133,11 +133,11 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
             prev = s.get("m")
             s["below"], s["m"] = stats[f"b_{c}"], stats[f"m_{c}"]
             if s["lo"] is not None and s["below"] > s["ks"][0]:
-                s["lo"] = None  # bracket starts above the middle: widen down
+                s["lo"] = s["m"] = None  # bracket starts above the middle: widen down
                 again.append(c)
                 continue
             if s["hi"] is not None and s["below"] + s["m"] <= s["ks"][-1]:
-                s["hi"] = None  # bracket ends below the middle: widen up
+                s["hi"] = s["m"] = None  # bracket ends below the middle: widen up
                 again.append(c)
                 continue
             if s["lo"] is not None and s["lo"] == s["hi"]:
