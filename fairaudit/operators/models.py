@@ -174,7 +174,7 @@ def fair_constrained(train: DataFrame, features: list[str], group: str = "sensit
     key = constraint.strip().lower()
     if key not in ("demographic_parity", "equalized_odds"):
         raise ValueError("Unsupported constraint. Use 'demographic_parity' or 'equalized_odds'.")
-    bad = train.where(~F.col(label).isin(0, 1)).limit(1).count()
+    bad = train.where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).limit(1).count()
     if bad:
         raise ValueError("Fairness-Constrained Learning requires binary labels encoded as 0/1.")
     data = train.select(*features, F.col(group).cast("string").alias("_g"), F.col(label).alias("_y"))
@@ -272,9 +272,11 @@ REMOVAL = "Feature Removal or Auditing"
 def run_strategy(name: str, train: DataFrame, test: DataFrame, features: list[str],
                  sensitive_col: str = "sensitive", sensitive_name: str | None = None,
                  baseline: PipelineModel | None = None, spec: ModelSpec = ModelSpec(),
-                 removal_mode: str = "wide", constrained_iterations: int = 10):
+                 removal_mode: str = "wide", constrained_iterations: int = 10, key: str | None = None):
     """(model, test predictions with ``y_pred``) for one canonical strategy.
-    Unknown names, monitoring and resampling fall through to the baseline."""
+    Unknown names, monitoring and resampling fall through to the baseline.
+    ``key`` names the row key that seeds the constrained mixture's draws; by
+    default the first column, where ``prepare_dataset`` puts it."""
     if name in (REWEIGHING, "Data Reweighing"):
         rw = MI.reweigh(train, sensitive_col, "y")
         m = fit(rw, features, spec, sample_weight="sample_weight")
@@ -282,8 +284,7 @@ def run_strategy(name: str, train: DataFrame, test: DataFrame, features: list[st
     if name == CONSTRAINED:
         cm = fair_constrained(train, features, sensitive_col, "y", "demographic_parity",
                               iterations=constrained_iterations)
-        key = test.columns[0]  # the row key leads the prepared table
-        return cm, cm.predict(test, key=key)
+        return cm, cm.predict(test, key=key or test.columns[0])
     if name in (THRESHOLD_DP, THRESHOLD_EO):
         base = fit(train, features, ModelSpec("logistic_regression", seed=spec.seed))
         roc = MI.group_roc(score(base, train), "p1", "y", sensitive_col)
@@ -308,16 +309,36 @@ def save_model(spark, model, path: str, metadata: dict) -> None:
         model[0].write().overwrite().save(f"{path}/model")
         model[1].write.mode("overwrite").parquet(f"{path}/thresholds")
     elif isinstance(model, ConstrainedModel):
-        consts = []
+        mixture = []  # per member: its weight and, for a constant, its label
         for i, (w, m) in enumerate(model.members):
-            if isinstance(m, int):
-                consts.append((i, w, m))
-            else:
+            mixture.append([w, m if isinstance(m, int) else None])
+            if not isinstance(m, int):
                 m.write().overwrite().save(f"{path}/member_{i}")
-        metadata = dict(metadata, mixture_constants=consts, mixture_size=len(model.members))
-    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "metadata string") \
+        metadata = dict(metadata, mixture=mixture, mixture_features=list(model.features))
+    kind = next(k for k, t in MODEL_KINDS.items() if isinstance(model, t))
+    spark.createDataFrame([(json.dumps(dict(metadata, kind=kind), sort_keys=True),)], "metadata string") \
         .write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(f"{path}/model")
+MODEL_KINDS = {"pipeline": PipelineModel, "thresholds": tuple, "mixture": ConstrainedModel}
+
+
+def load_model(spark, path: str):
+    """What ``save_model`` was given: a PipelineModel, a (base model,
+    threshold table) pair, or a constrained mixture with its weights."""
+    meta = json.loads(spark.read.json(f"{path}/metadata").first()["metadata"])
+    if meta["kind"] == "mixture":
+        members = [(w, PipelineModel.load(f"{path}/member_{i}") if label is None else label)
+                   for i, (w, label) in enumerate(meta["mixture"])]
+        return ConstrainedModel(members, meta["mixture_features"])
+    base = PipelineModel.load(f"{path}/model")
+    return (base, spark.read.parquet(f"{path}/thresholds")) if meta["kind"] == "thresholds" else base
+
+
+def predict(model, df: DataFrame, sensitive_col: str = "sensitive", key: str | None = None) -> DataFrame:
+    """``y_pred`` of any kind of model that ``run_strategy`` returns."""
+    if isinstance(model, ConstrainedModel):
+        return model.predict(df, key=key or df.columns[0])
+    if isinstance(model, tuple):
+        return MI.apply_group_threshold(score(model[0], df).drop("y_pred"), model[1], "p1", sensitive_col)
+    return score(model, df)

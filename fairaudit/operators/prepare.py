@@ -203,6 +203,15 @@ def one_hot_vector(df: DataFrame, cols, output: str = "features_cat"):
     return model, names
 
 
+def one_hot_sparse(df: DataFrame, cols) -> DataFrame:
+    """Each column replaced in place by its sparse vector ``{col}_values``, for
+    any number of values: slot i stands for the i-th value in sorted order."""
+    cols = as_list(cols)
+    model, _ = one_hot_vector(df, cols)
+    enc = model.transform(df)
+    return enc.select(*[F.col(f"{c}__vec").alias(f"{c}_values") if c in cols else F.col(c) for c in df.columns])
+
+
 def encode_binary_target(df: DataFrame, target: str, out: str | None = None) -> DataFrame:
     """Two labels -> 0/1 (positive by the preprocessing rules); otherwise the
     column is returned unchanged. One aggregate decides."""

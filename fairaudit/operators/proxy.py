@@ -187,7 +187,10 @@ def kendall(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Data
     code marginals.
     """
     sl = list(slice_cols)
-    X, codes, cn, feats, marg = code_table(df, sensitive, features, sl)
+    try:
+        X, codes, cn, feats, marg = code_table(df, sensitive, features, sl)
+    except TooManyCodes:
+        return _kendall_cells(df, sensitive, features, sl)
     pre = prefix_before(X, sl + ["feature"], "x", cn)
     conc, disc = F.lit(0.0), F.lit(0.0)
     for k in range(len(codes)):
@@ -206,6 +209,50 @@ def kendall(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Data
     return _finish(r, df, feats, sl)
 
 
+def _kendall_cells(df: DataFrame, sensitive: str, features, sl: list[str]) -> DataFrame:
+    """Kendall tau-b for any number of sensitive values.
+
+    The distinct values of x get dense positions. Two positions differ first
+    at exactly one bit ``_b``, where they lie in the two halves of one block,
+    so every pair of rows with different x is counted once: within a (bit,
+    block), each sensitive value's rows of the upper half (``_hi``) meet the
+    rows of the lower half with smaller values (a distributed prefix sum of
+    ``_lo``) and, by subtraction from the half's total, with larger ones. Each
+    cell is repeated once per bit, log2 of the number of values; no pair of
+    rows is written.
+    """
+    feats = [f for f in _features(df, sensitive, features) if f not in sl]
+    keys = sl + ["feature"]
+    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], feats, "feature", "x")
+            .where(F.col("x").isNotNull() & F.col("_s").isNotNull())
+            .withColumn("_k", _cell_key(sl)))  # null slices must meet in the joins below
+    cells = materialize(long.groupBy(*keys, "_k", "x", "_s").agg(F.count(F.lit(1)).cast("double").alias("_c")))
+    xs = cells.groupBy("_k", "x").agg(F.sum("_c").alias("_n"), F.lit(1).alias("_one"))
+    pos = prefix_before(xs, ["_k"], "x", ["_one"]).select("_k", "x", F.col("_one_before").cast("long").alias("_pos"))
+    top = pos.agg(F.max("_pos")).first()[0] or 0
+    bits = F.explode(F.array(*[F.lit(b) for b in range(max(1, int(top).bit_length()))]))
+    halves = (cells.select("_k", "x", "_s", "_c").join(pos, ["_k", "x"]).select("_k", "_s", "_c", "_pos", bits.alias("_b"))
+              .withColumn("_side", F.expr("shiftright(_pos, _b) & 1"))
+              .groupBy("_k", "_b", F.expr("shiftright(_pos, _b + 1)").alias("_block"), "_s")
+              .agg(F.sum(F.when(F.col("_side") == 0, F.col("_c")).otherwise(0.0)).alias("_lo"),
+                   F.sum(F.when(F.col("_side") == 1, F.col("_c")).otherwise(0.0)).alias("_hi")))
+    block = ["_k", "_b", "_block"]
+    pre = prefix_before(halves, block, "_s", ["_lo"])
+    # concordant - discordant of a block = sum hi * (before - (total - before - lo))
+    score = (pre.groupBy(*block)
+             .agg((F.sum(F.col("_hi") * (2 * F.col("_lo_before") + F.col("_lo")))
+                   - F.sum("_hi") * F.sum("_lo")).alias("_d"))
+             .groupBy("_k").agg(F.sum("_d").alias("_cd")))
+    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    tx = xs.groupBy("_k").agg(pairs("_n").alias("_n1"), F.sum("_n").alias("_N"))
+    ts = (cells.groupBy("_k", "_s").agg(F.sum("_c").alias("_m")).groupBy("_k").agg(pairs("_m").alias("_n2")))
+    n0 = F.col("_N") * (F.col("_N") - 1) / 2
+    tau = F.try_divide(F.col("_cd"), F.sqrt((n0 - F.col("_n1")) * (n0 - F.col("_n2"))))
+    r = (score.join(tx, "_k").join(ts, "_k").join(cells.select(*keys, "_k").distinct(), "_k")
+         .select(*keys, tau.alias("correlation")))
+    return _finish(r, df, feats, sl)
+
+
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 

@@ -40,7 +40,10 @@ def prepare_dataset(df: DataFrame, target: str, sensitive: str, key: str,
     sel = filled.select(key, *feats, F.col("_y").alias("y"), F.col(sensitive).cast("string").alias("sensitive"))
     cat = [c for c in feats if c in P.categorical_columns(sel)]
     known = {c: values[c] for c in cat if values.get(c) is not None}
-    enc = P.one_hot(sel, cat, known if len(known) == len(cat) else None)
+    wide = [c for c in cat if c not in known]
+    # too many values for a column each: one sparse vector column instead
+    enc = P.one_hot_sparse(sel, wide) if wide else sel
+    enc = P.one_hot(enc, list(known), known) if known else enc
     return P.split(enc, key, "y", test_size=test_size, seed=seed, stratify=stratify)
 
 

@@ -27,8 +27,9 @@ def evaluate_strategies(train: DataFrame, test: DataFrame, features: list[str],
 
     Output per strategy: accuracy, fairness, baseline_accuracy,
     baseline_fairness, fairness_improvement, accuracy_retention, the three
-    fairness metrics and ``position`` (list order). A strategy whose
-    training fails with ValueError is skipped, as in the source.
+    fairness metrics, ``position`` (list order) and ``error``. A strategy
+    whose training fails with ValueError keeps its row: the reason in
+    ``error``, null figures. ``error`` is null for all others.
     """
     if not strategies:
         raise ValueError("strategies must be a non-empty list.")
@@ -45,15 +46,18 @@ def evaluate_strategies(train: DataFrame, test: DataFrame, features: list[str],
         i, name = item
         try:
             _, p = MO.run_strategy(name, train, test, features, sensitive_col, sensitive_name, baseline, spec)
-        except ValueError:
-            return None  # skipped, as the source skips a failing strategy
-        return i, name, p
+        except ValueError as e:
+            return i, name, None, str(e)
+        return i, name, p, None
 
     # independent fits run as concurrent Spark jobs from a small driver pool
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=min(MAX_PARALLEL_FITS, len(seen))) as pool:
-        done = [r for r in pool.map(run, list(enumerate(seen))) if r is not None]
-    for i, name, p in done:
+        done = list(pool.map(run, list(enumerate(seen))))
+    failed = [(name, i, error) for i, name, _, error in done if error is not None]
+    for i, name, p, error in done:
+        if error is not None:
+            continue
         positions[name] = i
         preds = preds.unionByName(p.select(sensitive_col, "y", "y_pred", F.lit(name).alias("strategy")))
     ev = evaluate_predictions(preds, "y", "y_pred", sensitive_col, model_col="strategy", binary=True)
@@ -61,18 +65,25 @@ def evaluate_strategies(train: DataFrame, test: DataFrame, features: list[str],
     ev = ev.select("strategy", pos[F.col("strategy")].alias("position"), "accuracy",
                    F.col("fairness_score").alias("fairness"), "demographic_parity_difference",
                    "equalized_odds_difference", "disparate_impact_ratio")
-    return S.strategy_gain(ev, [])
+    gains = S.strategy_gain(ev, []).withColumn("error", F.lit(None).cast("string"))
+    if failed:
+        rows = train.sparkSession.createDataFrame(failed, "strategy string, position int, error string")
+        gains = gains.unionByName(rows, allowMissingColumns=True)
+    return gains
 
 
 def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir: str | None = None,
                    strategies: list[str] | None = None, preferred: str | None = None,
-                   test_size: float = 0.2, seed: int = 42) -> DataFrame:
+                   test_size: float = 0.2, seed: int = 42, spec: MO.ModelSpec = MO.ModelSpec()) -> DataFrame:
     """Load -> prepare -> baseline -> evaluate -> raw audit -> rules ->
     diagnosis -> recommendations -> strategy evaluation -> ranking ->
     selection -> final model -> comparison -> saved reports and models.
 
     Returns the one-row summary; full reports are written under ``out_dir``
-    (default: a fresh folder in the shared checkpoint location).
+    (default: a fresh folder in the shared checkpoint location). ``spec``
+    gives the type and parameters of the baseline and of every strategy that
+    trains a model of its own. Strategies that failed are reported apart and
+    not ranked.
     """
     from .audit import feature_columns, prepare_dataset
     spark = df.sparkSession
@@ -82,7 +93,7 @@ def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir
     train = prepared.where(F.col("split") == "train")
     test = prepared.where(F.col("split") == "test")
 
-    baseline = MO.fit(train, feats)
+    baseline = MO.fit(train, feats, spec)
     base_pred = MO.score(baseline, test)
     base_eval = evaluate_predictions(base_pred, "y", "y_pred", "sensitive")
     # bias rules: baseline metrics on the test split + imbalance of the raw data
@@ -95,12 +106,14 @@ def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir
     rec = R.recommend(ident, ["attr"])
     rec_names = [r["strategy"] for r in rec.orderBy("strategy_rank").collect()]  # <= a handful
     cands = strategies or rec_names
-    ev = evaluate_strategies(train, test, feats, cands, sensitive_name=sensitive)
-    ranked = S.rank_strategies(ev, [])
+    # a handful of rows that ranking, selection and reports all read
+    ev = materialize(evaluate_strategies(train, test, feats, cands, sensitive_name=sensitive, spec=spec))
+    ranked = S.rank_strategies(ev.where(F.col("error").isNull()).drop("error"), [])
     slices = spark.range(1).select(F.lit(sensitive).alias("attr"))
     sel = S.select_strategy(ranked.withColumn("attr", F.lit(sensitive)), ["attr"], slices, preferred)
     chosen = sel.first()["selected_strategy"]
-    model, final_pred = MO.run_strategy(chosen, train, test, feats, "sensitive", sensitive, baseline)
+    model, final_pred = MO.run_strategy(chosen, train, test, feats, "sensitive", sensitive, baseline,
+                                        spec, key=key)
     pairs = (base_pred.select(key, "sensitive", "y", F.col("y_pred").alias("baseline"))
              .join(final_pred.select(key, F.col("y_pred").alias("mitigated")), key))
     from ..operators.metrics import compare_models
@@ -110,9 +123,11 @@ def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir
     ident.write.mode("overwrite").json(f"{out_dir}/reports/bias")
     diag.write.mode("overwrite").json(f"{out_dir}/reports/diagnosis")
     ranked.write.mode("overwrite").json(f"{out_dir}/reports/strategies")
+    ev.where(F.col("error").isNotNull()).select("strategy", "position", "error") \
+        .write.mode("overwrite").json(f"{out_dir}/reports/failed_strategies")
     cmp.write.mode("overwrite").json(f"{out_dir}/reports/comparison")
     MO.save_model(spark, baseline, f"{out_dir}/models/baseline",
-                  {"target": target, "sensitive": sensitive, "model_type": "logistic_regression"})
+                  {"target": target, "sensitive": sensitive, "model_type": spec.model_type})
     MO.save_model(spark, model, f"{out_dir}/models/mitigated",
                   {"target": target, "sensitive": sensitive, "strategy": chosen})
     summary = (ident.select("attr", "detected_bias_type", "severity_score")

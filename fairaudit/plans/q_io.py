@@ -114,9 +114,31 @@ def q_sink_model(spark, d):
 
 @register("score_saved")
 def q_score_saved(spark, d):
-    """Load a saved model and score the whole test split."""
+    """Load a saved model and score the whole table, both splits."""
     from .q_strategies import _train_test
     tr, te, feats = _train_test(spark, d)
     path = scratch_path(spark, "model")
     MO.save_model(spark, MO.fit(tr, feats), path, {"target": "y_true"})
-    return MO.score(MO.load_model(path), te).select("row_id", "sensitive", "y", "y_pred", "p1")
+    return MO.score(MO.load_model(spark, path), tr.unionByName(te)).select("row_id", "sensitive", "y", "y_pred", "p1")
+
+
+@register("load_saved_strategies")
+def q_load_saved_strategies(spark, d):
+    """Save a model of each kind, load it, and count over the whole table how
+    often the loaded model predicts as the saved one did."""
+    from .q_strategies import _train_test
+    tr, te, feats = _train_test(spark, d)
+    out = None
+    for name in (MO.REWEIGHING, MO.THRESHOLD_DP, MO.CONSTRAINED):
+        model, _ = MO.run_strategy(name, tr, te, feats, "sensitive", "region", constrained_iterations=3)
+        path = scratch_path(spark, "model")
+        MO.save_model(spark, model, path, {"strategy": name})
+        rows = tr.unionByName(te)
+        both = (MO.predict(model, rows).select("row_id", F.col("y_pred").alias("saved"))
+                .join(MO.predict(MO.load_model(spark, path), rows).select("row_id", F.col("y_pred").alias("loaded")),
+                      "row_id"))
+        part = both.agg(F.count(F.lit(1)).alias("n_rows"),
+                        F.sum((F.col("saved") == F.col("loaded")).cast("long")).alias("n_equal"))
+        part = part.select(F.lit(name).alias("strategy"), "n_rows", "n_equal")
+        out = part if out is None else out.unionByName(part)
+    return out

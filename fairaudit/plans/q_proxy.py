@@ -96,6 +96,14 @@ def q_kendall(spark, d):
     return c.select("feature", "position", F.round("correlation", 6).alias("correlation"))
 
 
+@register("proxy_corr_kendall_numeric")
+def q_kendall_numeric(spark, d):
+    """A sensitive column with a value per customer."""
+    oa = order_audit(spark, d).select("c_acctbal", "o_totalprice", "n_regionkey", "y_pred")
+    c = X.kendall(oa, "c_acctbal")
+    return c.select("feature", "position", F.round("correlation", 6).alias("correlation"))
+
+
 @register("proxy_top_k", with_views(_PEARSON + """
 , top AS (SELECT feature, position, r, row_number() OVER (ORDER BY abs(r) DESC, position) AS rk
           FROM corr WHERE r IS NOT NULL AND NOT isnan(r))

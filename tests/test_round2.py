@@ -4,9 +4,12 @@ import os
 import tempfile
 
 import pytest
+from conftest import SF0001
+from pyspark.sql import functions as F
 from fairaudit import session
 from fairaudit.operators import metrics as M
 from fairaudit.operators import mitigate as MI
+from fairaudit.operators import models as MO
 from fairaudit.operators import prepare as P
 from fairaudit.operators import proxy as X
 from fairaudit.sources import io as IO
@@ -98,3 +101,67 @@ def test_stream_sink_replaces_a_batch_that_runs_again(spark):
         MON.run_monitor_stream(spark, src, ev.schema, "t", "g", "y", out, f"{out}-{checkpoint}")
         got.append(sorted(map(tuple, spark.read.parquet(f"{out}/groups").collect())))
     assert got[0] and got[0] == got[1]
+
+
+def test_kendall_for_any_number_of_values_against_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(("a", None)[i % 2], float(rng.integers(0, 400)), float(rng.integers(0, 37)), 5.0, None if i % 9 == 0 else float(i % 7))
+            for i in range(700)]
+    df = spark.createDataFrame(rows, "part string, s double, x double, constant double, holes double")
+    for sl in ([], ["part"]):
+        got = {(r["part"] if sl else "all", r["feature"]): r["correlation"]
+               for r in X._kendall_cells(df, "s", ["x", "constant", "holes"], sl).collect()}
+        want = {}
+        for part in (["a", None] if sl else ["all"]):
+            sub = [r for r in rows if not sl or r[0] == part]
+            for f, i in (("x", 2), ("holes", 4)):
+                a = np.array([[r[1], r[i]] for r in sub if r[i] is not None])
+                iu = np.triu_indices(len(a), 1)
+                ds = np.sign(a[:, 0][:, None] - a[:, 0][None, :])[iu]
+                dx = np.sign(a[:, 1][:, None] - a[:, 1][None, :])[iu]
+                want[part, f] = (ds * dx).sum() / np.sqrt((ds != 0).sum() * (dx != 0).sum())
+        assert got.keys() == want.keys()  # a constant has no correlation
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert X._kendall_cells(df.where("false"), "s", ["x"], []).count() == 0
+    few = df.withColumn("s", F.col("s") % 5)
+    a = {r["feature"]: r["correlation"] for r in X.kendall(few, "s", ["x", "holes"]).collect()}
+    b = {r["feature"]: r["correlation"] for r in X._kendall_cells(few, "s", ["x", "holes"], []).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_preparation_with_more_categories_than_columns(spark):
+    from fairaudit.plans.audit import feature_columns, prepare_dataset
+    df = spark.range(4000).select("id", F.concat(F.lit("v"), F.col("id") % 1500).alias("wide"),
+                                  F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("grp"),
+                                  (F.col("id") % 1500 < 700).cast("int").alias("y0"))
+    p = prepare_dataset(df, "y0", "grp", "id").checkpoint()
+    feats = feature_columns(p, "id")
+    assert "wide_values" in feats and "grp_a" in feats and p.count() == 4000
+    assert p.select(F.max(F.col("wide_values").cast("string"))).first()[0].startswith("(150")
+    train = p.where("split = 'train'")
+    model = MO.fit(train, feats)
+    assert MO.score(model, train).where("y != y_pred").count() == 0
+
+
+def test_saved_models_of_each_kind_predict_alike(spark):
+    from fairaudit.plans.q_io import q_load_saved_strategies
+    rows = q_load_saved_strategies(spark, SF0001).collect()
+    assert len(rows) == 3 and all(r["n_equal"] == r["n_rows"] > 0 for r in rows)
+
+
+def test_failed_strategy_keeps_a_row(spark, monkeypatch):
+    from fairaudit.plans import pipeline as PP
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("x"),
+                                 F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("sensitive"),
+                                 (F.col("id") % 7 > 3).cast("int").alias("y"))
+    real = MO.run_strategy
+
+    def run(name, *args, **kw):
+        if name == MO.DEBIAS:
+            raise ValueError("no feature left")
+        return real(name, *args, **kw)
+    monkeypatch.setattr(MO, "run_strategy", run)
+    got = {r["strategy"]: r for r in PP.evaluate_strategies(df, df, ["x"], [MO.REWEIGHING, MO.DEBIAS]).collect()}
+    assert got[MO.DEBIAS]["error"] == "no feature left" and got[MO.DEBIAS]["accuracy"] is None
+    assert got[MO.REWEIGHING]["error"] is None and got[MO.REWEIGHING]["accuracy"] is not None
