@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prepare as P
 from ..operators import profile as PR
-from ..sources.tables import doc_audit, line_features, order_audit, part_audit
+from ..sources.tables import doc_audit, line_features, order_audit, part_audit, table
 from .registry import register
 from .views_sql import with_views
 
@@ -162,6 +162,17 @@ def q_one_hot(spark, d):
     return P.one_hot(lf, ["status", "sens"])
 
 
+@register("one_hot_wide", """
+SELECT o_orderkey AS row_id, dense_rank() OVER (ORDER BY 'c' || o_custkey) - 1 AS slot FROM orders""")
+def q_one_hot_wide(spark, d):
+    """A value per customer: the slot that each order's sparse vector sets."""
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("cust"))
+    vector = F.col("cust_values").cast("string")  # (size,[slot],[1.0])
+    return P.one_hot_sparse(orders, ["cust"]).select(
+        "row_id", F.regexp_extract(vector, r"\[(\d+)\]", 1).cast("long").alias("slot"))
+
+
 @register("encode_binary_target", with_views("""
 SELECT row_id, CASE WHEN y_true = 1 THEN 1 ELSE 0 END AS y FROM doc_audit""", "doc_audit"))
 def q_encode_binary_target(spark, d):
