@@ -13,8 +13,11 @@ weighted by their examples, in groups of ``FAN_IN`` (so no task sees more than
 that many copies). What is gathered grows with the corpus; the network that is
 sent to the tasks has a fixed size.
 
-Words outside the vocabulary share ``RARE`` buckets by hash; a bucket's
-probability is divided by the mean number of distinct words in a bucket.
+Words outside the vocabulary share ``RARE`` buckets by hash inside the network.
+As targets they keep their own counts: P(word | window) is P(bucket | window)
+times the word's share of the bucket's count. The counts of those words, as many
+as the corpus has, stay a table that is joined on the word.
+A word that was not counted (other documents than those of the fit) counts once.
 
 Defined results: a null or blank text has 0 words, a sum of 0 and a null mean.
 Null ids, repeated rows and extra columns need no care: every row is scored by
@@ -258,22 +261,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def fit(docs: DataFrame) -> tuple[dict[str, int], Network, float]:
-    """Vocabulary, network and log of the mean number of words in a rare bucket."""
+def rare_counts(counts: DataFrame, vocab: dict[str, int]) -> DataFrame:
+    """``word, n, bucket`` of the counted words outside the vocabulary."""
+    shared = counts.sparkSession.sparkContext.broadcast(vocab)
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            words = b.column(0).to_pylist()
+            out = np.array([w not in shared.value for w in words], bool)
+            keys = pa.array([rare_id(w) - (VOCAB - RARE) for w in words], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["word", "n", "bucket"]).filter(pa.array(out))
+    return counts.select("word", "n").mapInArrow(work, "word string, n long, bucket int")
+
+
+def fit(docs: DataFrame) -> tuple[dict[str, int], Network, np.ndarray, DataFrame]:
+    """Vocabulary, network, counts of the rare buckets and counts of the words in them."""
     spark = docs.sparkSession
     counts = staged(word_counts(docs), "lm-words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()     # a fixed number
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
     vocab = {r["word"]: i for i, r in enumerate(top)}
     freq = np.zeros(VOCAB)
     freq[:len(top)] = [r["n"] for r in top]
-    rest = (total["n"] or 0) - int(freq.sum())
-    freq[VOCAB - RARE:] = rest / RARE
-    spread = float(np.log(max(1.0, (total["types"] - len(top)) / RARE)))
+    rare = staged(rare_counts(counts, vocab), "lm-rare")
+    for b in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect():       # RARE rows
+        freq[VOCAB - RARE + b["bucket"]] = b["n"]
     net = Network.start(freq)
     for r in range(ROUNDS):
         net = _round(docs, vocab, net, r)
-    return vocab, net, spread
+    return vocab, net, freq[VOCAB - RARE:], rare
 
 
 def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Network:
@@ -323,30 +339,46 @@ def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Netw
     return Network(np.frombuffer(got["w"], np.float32).copy()) if got else net
 
 
-def score(docs: DataFrame, fitted: tuple[dict[str, int], Network, float]) -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[dict[str, int], Network, np.ndarray, DataFrame]) -> DataFrame:
     """``doc_id, n_tokens, pseudo_log_likelihood, mean_log_prob`` of every document."""
     spark = docs.sparkSession
     ship_package(spark)
-    vocab, net, spread = fitted
-    shared = spark.sparkContext.broadcast((vocab, net.flat, spread))
+    vocab, net, sizes, rare = fitted
+    shared = spark.sparkContext.broadcast((vocab, net.flat, np.log(np.maximum(sizes, 1))))
     key = f"{spark.sparkContext.applicationId}/{id(shared)}/score"
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        words, flat, spread = shared.value
+        from pyspark import TaskContext
+        words, flat, log_sizes = shared.value
         model = Network(flat)
+        uid = TaskContext.get().partitionId() << 36
         for b in batches:
             for at, end, lists in _slices(b.column(1)):
                 n = np.array([len(x) for x in lists])
                 ids = word_ids(lists, words, key)
-                lp = model.score(ids, n) - spread * (ids >= VOCAB - RARE)
+                lp = model.score(ids, n)
+                out = np.flatnonzero(ids >= VOCAB - RARE)
+                lp[out] -= log_sizes[ids[out] - (VOCAB - RARE)]
                 ends = np.concatenate(([0], np.cumsum(n)))
                 total = np.array([lp[i:j].sum() for i, j in zip(ends[:-1], ends[1:])])
-                mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(total, pa.float64()), mean],
-                                                 names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        work, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")
+                flat_words = [w for x in lists for w in x]
+                lone = pa.ListArray.from_arrays(pa.array(np.searchsorted(out, ends).astype(np.int32)),
+                                                pa.array([bare(flat_words[i]) for i in out.tolist()], pa.string()))
+                uids = pa.array(np.arange(uid, uid + end - at))
+                uid += end - at
+                yield pa.RecordBatch.from_arrays([uids, b.column(0).slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(total, pa.float64()), lone],
+                                                 names=["uid", "doc_id", "n_tokens", "base", "rare"])
+    # the network's part, and the words whose own counts are still to be found
+    base = staged(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
+        work, "uid long, doc_id long, n_tokens long, base double, rare array<string>"), "lm-base")
+    often = rare.filter("n > 1").select("word", F.log(F.col("n").cast("double")).alias("g"))       # log 1 adds nothing
+    gain = (base.select("uid", F.explode("rare").alias("word")).join(often, "word")
+                .groupBy(F.col("uid").alias("_uid")).agg(F.sum("g").alias("g")))
+    total = F.col("base") + F.coalesce(F.col("g"), F.lit(0.0))
+    return (base.drop("rare").join(gain, F.col("uid") == F.col("_uid"), "left")
+                .select("doc_id", "n_tokens", total.alias("pseudo_log_likelihood"),
+                        F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob")))
 
 
 @register("op4_lm_score")

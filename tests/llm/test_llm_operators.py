@@ -282,6 +282,20 @@ def test_lm_gradient_and_score(spark, edge_docs):
     assert out[5]["mean_log_prob"] < 0 and lm_score.score(edge_docs.limit(0), lm_score.fit(edge_docs.limit(0))).count() == 0
 
 
+def test_lm_words_outside_the_vocabulary_keep_their_counts(spark):
+    # more words than the vocabulary holds, and two of one bucket that differ in count
+    known = [f"v{i}" for i in range(lm_score.VOCAB - lm_score.RARE)]
+    first = "rare0"
+    other = next(w for w in (f"rare{i}" for i in range(1, 9999)) if lm_score.rare_id(w) == lm_score.rare_id(first))
+    texts = [" ".join(known)] * 9 + [" ".join([first] * 8), other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = lm_score.fit(docs)
+    assert fitted[2].sum() == 9 and {r["word"]: r["n"] for r in fitted[3].collect()} == {first: 8, other: 1}
+    probe = spark.createDataFrame([(1, first), (2, other), (2, other)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["pseudo_log_likelihood"]) for r in lm_score.score(probe, fitted).collect())
+    assert len(got) == 3 and got[1] == got[2] and abs(got[0][1] - got[1][1] - np.log(8)) < 1e-9
+
+
 def test_licences(spark):
     files = [("a", "p/LICENSE", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
              ("b", "p/x/y/code.py", "print(1)"), ("c", "p/x/head.py", "code\nLicensed under the Apache License, Version 2.0.\nmore"),
