@@ -7,8 +7,8 @@ score is the sum of log P(word | both sides) over all its words.
 
 Everything the model learns comes from all documents: word counts give the
 vocabulary, the classes and the starting point (the unigram model); then, in
-``ROUNDS`` rounds, every task masks a share of the positions of its own
-documents, trains a copy of the network on them, and the copies are averaged,
+``ROUNDS`` rounds, every task masks every ``ROUNDS``-th position of its own
+documents, in each round others, so that every word is a target once; it trains a copy of the network on them, and the copies are averaged,
 weighted by their examples, in groups of ``FAN_IN`` (so no task sees more than
 that many copies). What is gathered grows with the corpus; the network that is
 sent to the tasks has a fixed size.
@@ -44,7 +44,6 @@ SIDE = 2
 DIM = 12
 HIDDEN = 24
 ROUNDS = 2
-MASKED = 1 / 48
 RATE = 0.05
 BATCH = 2048
 FAN_IN = 16
@@ -188,7 +187,9 @@ class Network:
         dz = dh * (1 - h * h)
         grad.w1 += x.T @ dz
         grad.b1 += dz.sum(0)
-        np.add.at(grad.embed, window, (dz @ self.w1.T).reshape(n, 2 * SIDE, DIM))
+        dx, at = (dz @ self.w1.T).reshape(-1, DIM), window.ravel()
+        for k in range(DIM):
+            grad.embed[:, k] += np.bincount(at, dx[:, k], VOCAB + 1)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -222,6 +223,12 @@ def train(net: Network, examples: Iterator[tuple[np.ndarray, np.ndarray]], rate:
     return n
 
 
+def masked(lengths: np.ndarray, r: int) -> np.ndarray:
+    """The words that are targets in round ``r``: each place of a document in one round."""
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.flatnonzero((place + r) % ROUNDS == 0)
+
+
 def _slices(column) -> Iterator[tuple[int, int, list[list[str]]]]:
     """Rows of an Arrow column as word lists, about ``SLICE_WORDS`` words at a time."""
     at = 0
@@ -304,7 +311,6 @@ def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Netw
         words, flat = shared.value
         mine = Network(flat.copy())
         part = TaskContext.get().partitionId()
-        rng = np.random.default_rng((r, part))
 
         def examples() -> Iterator:
             held, size = [], 0
@@ -314,8 +320,9 @@ def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Netw
                     if not lists:
                         continue
                     ids = word_ids(lists, words, key)
-                    pick = np.flatnonzero(rng.random(len(ids)) < MASKED)
-                    held.append((windows(ids, np.array([len(x) for x in lists]), pick), ids[pick]))
+                    lengths = np.array([len(x) for x in lists])
+                    pick = masked(lengths, r)
+                    held.append((windows(ids, lengths, pick), ids[pick]))
                     size += len(pick)
                     if size >= 4 * BATCH:
                         yield tuple(np.concatenate(c) for c in zip(*held))

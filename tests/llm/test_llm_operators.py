@@ -296,6 +296,25 @@ def test_lm_words_outside_the_vocabulary_keep_their_counts(spark):
     assert len(got) == 3 and got[1] == got[2] and abs(got[0][1] - got[1][1] - np.log(8)) < 1e-9
 
 
+def test_lm_every_word_is_a_target_once(spark, monkeypatch):
+    lengths = np.array([1, 7, 0, 48])
+    seen = np.concatenate([lm_score.masked(lengths, r) for r in range(lm_score.ROUNDS)])
+    assert sorted(seen.tolist()) == list(range(lengths.sum()))
+    # the examples of all rounds, as the tasks report them
+    docs = spark.createDataFrame([(i, "one two three four five six seven") for i in range(6)] + [(9, "alone")], "doc_id long, text string")
+    counted, plain = [], lm_score.staged
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name == "lm-copies":
+            counted.append(out.agg({"n": "sum"}).first()[0])
+        return out
+    monkeypatch.setattr(lm_score, "staged", counting)
+    monkeypatch.setattr(lm_score, "FAN_IN", 10 ** 6)
+    lm_score.fit(docs.coalesce(1))
+    assert sum(counted) == 43
+
+
 def test_licences(spark):
     files = [("a", "p/LICENSE", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
              ("b", "p/x/y/code.py", "print(1)"), ("c", "p/x/head.py", "code\nLicensed under the Apache License, Version 2.0.\nmore"),
