@@ -6,12 +6,19 @@
 2. Terms are weighted by frequency and inverse document frequency over all
    segments; the cosine to each template is a join on terms. The templates are a
    fixed table of this module, which is broadcast.
-3. A file takes its best licence. Files without one inherit from the licence
+3. Whole texts (files by name, and others that speak of a licence) are compared
+   with the full texts of ``licence_texts``; blocks of adjacent lines that speak of
+   a licence with the standard notices. Here a term counts 1 + ln(tf), and its idf
+   is that of the texts and notices, so a text's result does not hang on the rest.
+4. A file takes its best licence: one whose content is a licence text that text's,
+   others that of their best line, or else of their best block. Files without one
+   inherit from the licence
    file in the nearest ancestor directory: each distinct directory is expanded to
    its ancestors (their number is its depth) and joined to the directories that
    hold a licence file.
 
-Texts never enter a shuffle. Everything is DataFrame code.
+Only texts that speak of a licence enter a shuffle, as terms. A licence text under
+another name is found (method ``file``) but nothing inherits from it. Everything is DataFrame code.
 
 Defined results: a null or empty text has no licence of its own; a file with a
 null path inherits nothing. Ties go to the first licence by name. Repeated rows
@@ -21,6 +28,9 @@ ignored.
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +60,31 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Creative Commons license"),
     ("Proprietary", "Copyright All rights reserved No license is granted"),
 )
+# Standard notices; a notice also stands in its first paragraph alone. Short full texts are notices as well.
+_GNU = """This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published
+by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."""
+NOTICES = (
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("GPL-2.0", _GNU.format(what="program", name="General Public License", version="2")),
+    ("GPL-3.0", _GNU.format(what="program", name="General Public License", version="3")),
+    ("LGPL-2.1", _GNU.format(what="library", name="Lesser General Public License", version="2.1")),
+    ("LGPL-3.0", _GNU.format(what="library", name="Lesser General Public License", version="3")),
+    ("AGPL-3.0", _GNU.format(what="program", name="Affero General Public License", version="3")),
+)
+SHORT = ("BSD-2-Clause", "BSD-3-Clause", "MIT")
+TEXT_THRESHOLD = 0.8         # of a whole text to a full text
 MARK = r"(?i)licen[cs]e|copyright|spdx|creative commons|cc[ -]by|cc0|public domain"
 BREAK = r"[.!?]+[ \t\n\f\r]"
 TERM = r"[\p{L}\p{N}]+(?:[.]\p{N}+)*"
@@ -88,6 +123,54 @@ def licences_of_segments(segments: DataFrame, threshold: float = THRESHOLD) -> D
     return best.select("seg", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
+@cache
+def _standards() -> tuple[tuple[str, str, str], ...]:
+    """``kind, licence, text`` of the full texts and notices (driver only)."""
+    texts = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    notices = [(k, t) for k, t in (*NOTICES, *(x for x in texts if x[0] in SHORT))]
+    # of a full text kept as a notice, the body without its title and owner
+    first = [(k, t.split("\n\n")[0]) for k, t in NOTICES] + [("MIT", t.split("\n\n")[2]) for k, t in texts if k == "MIT"]
+    return tuple(("text", k, t) for k, t in texts) + tuple(("notice", k, t) for k, t in dict.fromkeys(notices + first))
+
+
+def licences_of_texts(pieces: DataFrame) -> DataFrame:
+    """Cosine of distinct pieces ``key, seg`` to every full text and notice that
+    shares a term with them: ``key, kind, licence, cosine``."""
+    spark = pieces.sparkSession
+    known = spark.createDataFrame([(i, *x) for i, x in enumerate(_standards())], "t int, kind string, licence string, text string")
+    size = float(len(_standards()))
+    terms = known.select("t", "kind", "licence", F.explode(_terms(F.col("text"))).alias("term"))
+    weight = 1 + F.log(F.col("tf").cast("double"))
+    tf = terms.groupBy("t", "kind", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = tf.groupBy("term").agg((F.log((1 + F.lit(size)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    tw = tf.join(idf, "term").withColumn("tw", weight * F.col("idf"))
+    norm = tw.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    tw = staged(tw.join(norm, "t").select("t", "kind", "licence", "term", "idf", (F.col("tw") / F.col("tnorm")).alias("tw")), "licence-texts")
+    known_idf = F.broadcast(tw.select("term", "idf").distinct())          # bounded: terms of the fixed texts
+    mine = pieces.select("key", F.explode("seg").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    unknown = F.log(F.lit(1 + size)) + 1
+    mine = staged(mine.join(known_idf, "term", "left").select("key", "term", (weight * F.coalesce("idf", unknown)).alias("w")), "licence-text-weights")
+    own = mine.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = mine.join(F.broadcast(tw), "term").groupBy("key", "t", "kind", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    return dot.join(own, "key").select("key", "kind", "licence", F.round(F.col("dot") / F.col("norm"), 4).alias("cosine"))
+
+
+def _of_texts(spoken: DataFrame, named: Column, threshold: float) -> DataFrame:
+    """``file_id, path, rank, licence, c`` (rank 0: the content is a licence text,
+    2: one of its blocks is a notice; c is minus the cosine)."""
+    blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: p.rlike(MARK))
+    every = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))),
+                     F.transform(F.when(named, F.array().cast("array<string>")).otherwise(blocks), lambda p: F.struct(F.lit(False).alias("whole"), p.alias("part"))))
+    parts = spoken.filter("text IS NOT NULL").select("file_id", "path", named.alias("named"), F.explode(every).alias("x")).select("file_id", "path", "named", "x.whole", _terms(F.col("x.part")).alias("seg"))
+    parts = staged(parts.withColumn("key", F.sha2(F.concat_ws(" ", "seg"), 256)), "licence-parts")
+    pieces = parts.groupBy("key").agg(F.first("seg").alias("seg"))        # the same for all rows of a key
+    best = staged(licences_of_texts(pieces).filter(F.col("cosine") >= threshold), "licence-best-texts")
+    j = parts.select("file_id", "path", "named", "whole", "key").join(best, "key")
+    full = F.col("whole") & (F.col("named") | ((F.col("kind") == "text") & (F.col("cosine") >= TEXT_THRESHOLD)))
+    part = ~F.col("whole") & (F.col("kind") == "notice")
+    return j.filter(full | part).select("file_id", "path", F.when(full, 0).otherwise(2).alias("rank"), "licence", (-F.col("cosine")).alias("c"))
+
+
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``file_id, path, licence, method, cosine`` for files ``file_id, path, text``.
 
@@ -100,9 +183,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     segs = staged(parts.select("file_id", "path", _terms(F.col("part")).alias("seg")).filter(F.size("seg") > 0), "licence-segments")
     distinct = staged(segs.groupBy("seg").agg(F.count(F.lit(1)).alias("n")), "licence-distinct")
     best = staged(licences_of_segments(distinct, threshold), "licence-best")
-    own = (segs.join(best, "seg").groupBy("file_id", "path")
-               .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-               .select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine")))
+    lines = segs.join(best, "seg").select("file_id", "path", F.when(named, 0).otherwise(1).alias("rank"), "licence", (-F.col("cosine")).alias("c"))
+    own = (lines.union(_of_texts(spoken, named, threshold)).groupBy("file_id", "path")
+                .agg(F.min(F.struct("rank", "c", "licence")).alias("b"))
+                .select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), (F.col("b.rank") == 0).alias("is_text")))
     own = staged(own, "licence-own")
     folder = F.regexp_replace(F.concat(F.lit("/"), F.col("path")), r"/[^/]*$", "")
     holders = (own.filter(F.col("path").rlike(FILE_NAME)).select(folder.alias("dir"), "licence", "cosine")
@@ -120,7 +204,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     j = files.select("file_id", "path", folder.alias("dir")).join(
         o, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("path").eqNullSafe(F.col("_p")), "left")
     j = j.join(near, F.col("dir") == F.col("_dir"), "left")
-    method = (F.when(F.col("licence").isNotNull(), F.when(named, "file").otherwise("header")).when(F.col("il").isNotNull(), "inherited"))
+    method = (F.when(F.col("licence").isNotNull(), F.when(F.col("is_text"), "file").otherwise("header")).when(F.col("il").isNotNull(), "inherited"))
     return j.select("file_id", "path", F.coalesce("licence", "il").alias("licence"), method.alias("method"), F.coalesce("cosine", "ic").alias("cosine"))
 
 

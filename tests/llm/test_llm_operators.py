@@ -326,3 +326,23 @@ def test_licences(spark):
         ("a", "MIT", "file"), ("b", "GPL-3.0", "inherited"), ("b", "GPL-3.0", "inherited"), ("c", "Apache-2.0", "header"), ("d", None, None),
         ("e", "GPL-3.0", "file"), ("f", None, None), ("g", None, None), ("h", "CC-BY-NC-4.0", "header")], key=str)
     assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_licences_of_real_texts(spark):
+    texts = {k: t for kind, k, t in licences._standards() if kind == "text"}
+    owned = {k: t.replace("Sam Rijs, Alex Crichton and contributors", "Jane Doe").replace("2018", "2024") for k, t in texts.items()}
+    files = [(f"t{k}", f"{k}/LICENSE", t) for k, t in owned.items()] + [(f"c{k}", f"{k}/deep/code.py", "print(1)") for k in owned]
+    files += [(f"d{k}", f"docs/{k}.txt", "\n".join(t.splitlines()[1:])) for k, t in owned.items()]     # recognised by content
+    expect = [(f"{p}{k}", k, m) for k in owned for p, m in (("t", "file"), ("c", "inherited"), ("d", "file"))]
+    for k, t in licences.NOTICES:
+        lines = ["Copyright 2024 Jane Doe", ""] + t.splitlines()
+        files.append((f"h{k}", f"src/{k}.py", "\n".join("# " + x for x in lines) + "\n\nimport os\n"))
+    for k in licences.SHORT:
+        files.append((f"h{k}", f"src/{k}.c", "/*\n" + "\n".join(" * " + x for x in owned[k].splitlines()) + "\n */\n\nint x;\n"))
+    prose = "The rights of the people are such that no licence is needed, and the state shall not make any of the laws to the contrary. " * 40
+    files += [("p", "other/p.txt", prose)]
+    out = {r["file_id"]: (r["licence"], r["method"]) for r in licences.scan(spark.createDataFrame(files, "file_id string, path string, text string")).collect()}
+    assert {f: out[f] for f, _, _ in expect} == {f: (k, m) for f, k, m in expect}
+    heads = [k for k, _ in licences.NOTICES] + list(licences.SHORT)
+    assert {k: out[f"h{k}"][0] for k in heads} == {k: k for k in heads}
+    assert out["p"] == (None, None)
