@@ -171,8 +171,11 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return chain / (n + m - chain)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """``uid, doc_id, cls, n, bands, kmers`` of every row (null where no word)."""
+def sketch(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``uid, doc_id, cls, n, bands, kmers`` of every row (null where no word).
+
+    ``uid`` is the column ``key``, which must differ in all rows, or a running number.
+    """
     ship_package(docs.sparkSession)
 
     def work(batches: Iterator) -> Iterator:
@@ -207,12 +210,14 @@ def sketch(docs: DataFrame) -> DataFrame:
                         row = (uid, None, 0, [], None)
                     for c, v in zip(cols, row):
                         c.append(v)
+                uids = b.column(2).slice(at, end - at) if key else pa.array(cols[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), ids.slice(at, end - at), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()),
+                    [uids, ids.slice(at, end - at), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()),
                      pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
                     names=["uid", "doc_id", "cls", "n", "bands", "kmers"])
                 at = end
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    cols = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(key)] if key else [])]
+    return docs.select(*cols).mapInArrow(
         work, "uid long, doc_id long, cls binary, n int, bands array<long>, kmers binary")
 
 
@@ -287,8 +292,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the smallest doc_id with the same words, ``component_id``
     the smallest one reachable by verified links.
     """
+    return _marks(sketch(docs), threshold).drop("uid")
+
+
+def _marks(sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``uid`` and the columns of ``near_duplicates``."""
     last = F.lit(2 ** 63 - 1)
-    sk = staged(sketch(docs), "omh-sketches")
+    sk = staged(sketches, "omh-sketches")
     # the row that stands for a class: smallest id, then position
     first = F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "uid"))
     reps = staged(sk.filter("cls IS NOT NULL").groupBy("cls").agg(first.alias("r"))
@@ -344,20 +354,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     none = F.nullif
     out = sk.select("doc_id", "uid", "cls").join(named, "cls", "left")
     return out.select(
-        "doc_id", F.coalesce(none("cid", last), "doc_id").alias("class_id"),
+        "uid", "doc_id", F.coalesce(none("cid", last), "doc_id").alias("class_id"),
         F.coalesce(none("gid", last), "doc_id").alias("component_id"),
         F.coalesce(F.col("gu") == F.col("uid"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The kept document of every group, with its own columns.
+    """The kept row of every group, with its own columns.
 
-    Rows are found again by id, so rows that share an id stay or go together.
+    Each row has a key of its own, so rows that share an id or have none are
+    kept or left out one by one.
     """
-    marks = near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    marks = staged(marks, "omh-kept")
-    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.drop("_id", "_n")
+    key = "_dedup_row"
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "omh-rows")      # written once, so the key stays
+    kept = staged(_marks(sketch(rows, key)).filter("kept").select(F.col("uid").alias(key)), "omh-kept")
+    return rows.join(kept, key).select(*docs.columns)
 
 
 @register("op5_minhash_near_dedup")

@@ -346,3 +346,21 @@ def test_licences_of_real_texts(spark):
     heads = [k for k, _ in licences.NOTICES] + list(licences.SHORT)
     assert {k: out[f"h{k}"][0] for k in heads} == {k: k for k in heads}
     assert out["p"] == (None, None)
+
+
+def test_dedup_keeps_one_row_of_a_group(spark, edge_docs):
+    # repeated rows, null ids and a removed copy that shares its id with a kept row
+    out = near_dedup.deduplicate(edge_docs)
+    rows = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    marks = near_dedup.near_duplicates(edge_docs)
+    assert out.columns == edge_docs.columns and len(rows) == marks.filter("kept").count()
+    assert sum(1 for i, _ in rows if i == 1) == 1 and all(i != 2 for i, _ in rows)
+    base = edge_docs.filter("doc_id = 2").first()["text"]
+    far = " ".join(f"other{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, base), (None, base), (None, base + " again"), (None, far), (7, far + " x y"), (7, base + " end"), (8, "lone words here")],
+                                 "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["text"]) for r in near_dedup.deduplicate(docs).collect()), key=str) == sorted(
+        [(7, base + " end"), (7, far + " x y"), (8, "lone words here")], key=str)
+    again = docs.filter("doc_id IS NULL")
+    got = [r["text"] for r in near_dedup.deduplicate(again).collect()]
+    assert len(got) == 2 and far in got
