@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import bin_column, fill_group
 from ..functions.labels import NUMERIC, infer_positive, is_pos
-from ..session import BROADCAST_MAX_ROWS, bounded_broadcast
+from ..session import BROADCAST_MAX_ROWS, bounded_broadcast, staged
 from .cube import as_list
 from .ranking import dense_index, exact_medians
 
-MAX_ONE_HOT = 1_000  # wider encodings go to the sparse-vector path (StringIndexer)
+MAX_ONE_HOT = 1_000  # wider encodings go to the sparse-vector path (one_hot_sparse)
 MAX_LITERAL_CODES = 10_000  # ordinal codes by literal map up to this many values, else a join
 
 # Prefixes dropped by the "wide" feature-removal mode.
@@ -205,11 +205,23 @@ def one_hot_vector(df: DataFrame, cols, output: str = "features_cat"):
 
 def one_hot_sparse(df: DataFrame, cols) -> DataFrame:
     """Each column replaced in place by its sparse vector ``{col}_values``, for
-    any number of values: slot i stands for the i-th value in sorted order."""
+    any number of values: slot i stands for the i-th value in sorted order, the
+    last slot for null. The values are numbered by a distributed sort and joined
+    back, so no task and not the driver ever holds all of them."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
     cols = as_list(cols)
-    model, _ = one_hot_vector(df, cols)
-    enc = model.transform(df)
-    return enc.select(*[F.col(f"{c}__vec").alias(f"{c}_values") if c in cols else F.col(c) for c in df.columns])
+    enc, sizes = df, {}
+    for i, c in enumerate(cols):
+        value, slot = f"_sparse_value_{i}", f"_sparse_slot_{i}"
+        enc = enc.withColumn(value, F.col(c).cast("string"))
+        distinct = enc.select(value).where(F.col(value).isNotNull()).distinct()
+        codes = staged(dense_index(distinct, value, slot), "one-hot-codes")
+        n = codes.count()
+        vector = F.udf(lambda k, n=n: Vectors.sparse(n + 1, [n if k is None else k], [1.0]), VectorUDT())
+        enc = enc.join(codes, value, "left").withColumn(f"_sparse_{i}", vector(F.col(slot))).drop(value, slot)
+        sizes[c] = {"ml_attr": {"num_attrs": n + 1}}          # models need the size, not the names
+    at = {c: i for i, c in enumerate(cols)}
+    return enc.select(*[F.col(f"_sparse_{at[c]}").alias(f"{c}_values", metadata=sizes[c]) if c in at else F.col(c) for c in df.columns])
 
 
 def encode_binary_target(df: DataFrame, target: str, out: str | None = None) -> DataFrame:

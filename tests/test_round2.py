@@ -165,3 +165,20 @@ def test_failed_strategy_keeps_a_row(spark, monkeypatch):
     got = {r["strategy"]: r for r in PP.evaluate_strategies(df, df, ["x"], [MO.REWEIGHING, MO.DEBIAS]).collect()}
     assert got[MO.DEBIAS]["error"] == "no feature left" and got[MO.DEBIAS]["accuracy"] is None
     assert got[MO.REWEIGHING]["error"] is None and got[MO.REWEIGHING]["accuracy"] is not None
+
+
+def test_one_hot_sparse_keeps_values_off_the_driver(spark, monkeypatch):
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.sql import functions as F
+    from fairaudit.operators import prepare as P
+    df = spark.range(3000).selectExpr("id", "if(id % 50 = 0, null, concat('v', id % 1500)) a", "if(id % 3 = 0, 'x', 'é') b")
+    model, _ = P.one_hot_vector(df, ["a", "b"])
+    want = {r["id"]: (r["a__vec"], r["b__vec"]) for r in model.transform(df).collect()}
+
+    def fail(*_):
+        raise AssertionError("all values gathered in one place")
+    monkeypatch.setattr(StringIndexer, "fit", fail)
+    out = P.one_hot_sparse(df, ["a", "b"])
+    assert out.columns == ["id", "a_values", "b_values"]
+    assert {r["id"]: (r["a_values"], r["b_values"]) for r in out.collect()} == want
+    assert P.one_hot_sparse(df.where(F.lit(False)), ["a"]).count() == 0
