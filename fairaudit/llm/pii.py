@@ -18,9 +18,9 @@ with the next attempt number, against everything taken so far. Only these few
 redrawn entities are joined back to documents; the planner broadcasts that table
 only if it is under its size threshold. Everything is DataFrame code.
 
-Should an entity still collide after ``ATTEMPTS`` draws (a type whose numbers are
-all in use), it keeps its first surrogate, which is distinct from all other
-surrogates of the digit types.
+Drawing goes on until no entity collides; names and addresses get longer with each
+attempt. Where all numbers of a digit type are in use, an entity keeps its first
+surrogate, which is distinct from all other surrogates of the digit types.
 
 Defined results: a null text stays null, an empty one empty; both have 0 entities.
 Null ids are matched null-safely. Repeated rows get equal results. Texts are read
@@ -37,7 +37,7 @@ from ..session import staged
 from .registry import read_table, register
 
 KEY = "surrogate-key-1"
-ATTEMPTS = 8
+LOOK = 8                     # redraws between two looks for spaces without a free number
 ROUNDS = 8
 
 # Forms of address by gender; names and syllables by gender and script.
@@ -154,6 +154,13 @@ def _given(h: Column, script: str, gender: str, start: int) -> Column:
     return F.get(table, F.conv(F.substr(h, F.lit(start), F.lit(1)), 16, 10).cast("int"))
 
 
+def _further(h: Column, script: str, n: Column) -> Column:
+    """``n`` syllables more (none for 0), so that the names to draw from never run out."""
+    table = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(table, F.conv(F.substr(h, F.pmod(i, F.lit(128)) + 1, F.lit(1)), 16, 10).cast("int")))
+    return F.when(n > 0, F.concat_ws("", some)).otherwise(F.lit(""))
+
+
 def candidate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """Canonical form of the surrogate that ``attempt`` draws."""
     tag = F.concat_ws("|", kind, attempt.cast("string"))
@@ -172,13 +179,13 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     ip = F.get(F.transform(F.array(pair), lambda x: F.concat_ws(
         ".", F.floor(x["a"] / 256).cast("string"), (x["a"] % 256).cast("string"),
         F.floor(x["b"] / 256).cast("string"), (x["b"] % 256).cast("string"))), 0)
+    long_hash = F.sha2(F.concat_ws("|", F.lit(key), tag, canon), 512)
     num = F.lpad((F.conv(F.substring(h, 41, 8), 16, 10).cast("long") % 10000).cast("string"), 4, "0")
     domain = F.get(F.array(*[F.lit(x) for x in DOMAINS]), (F.conv(F.substring(h, 49, 4), 16, 10).cast("long") % len(DOMAINS)).cast("int"))
     local = F.split(canon, "@")[0]
     email = F.concat(_syllables(h, "latin", 1, 3), F.when(local.contains("."), F.lit(".")).otherwise(F.lit("")),
-                     _syllables(h, "latin", 5, 4), num, F.lit("@mail."), domain)
+                     _syllables(h, "latin", 5, 4), _further(long_hash, "latin", attempt), num, F.lit("@mail."), domain)
     prefix = F.regexp_extract(canon, r"^(akia|gh[pousr]_|sk-)", 1)
-    long_hash = F.sha2(F.concat_ws("|", F.lit(key), tag, canon), 512)
     secret = F.concat(prefix, F.rpad(long_hash, n - F.length(prefix), long_hash))
     cyr = canon.rlike(r"^. .*\p{IsCyrillic}")
     words = F.size(F.split(canon, " ")) - 1
@@ -187,7 +194,7 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         first = F.when(canon.startswith("f"), _given(h, script, "f", 30)).otherwise(_given(h, script, "m", 30))
         second = F.when(canon.startswith("f"), _given(h, script, "f", 31)).otherwise(_given(h, script, "m", 31))
         return F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.lower(F.concat_ws(
-            " ", F.when(words > 1, first), F.when(words > 2, second), _syllables(h, script, 1, 5))))
+            " ", F.when(words > 1, first), F.when(words > 2, second), F.concat(_syllables(h, script, 1, 5), _further(long_hash, script, attempt)))))
     return (F.when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "ssn", _permute_digits(key, tag, canon)).when(kind == "ip", ip)
             .when(kind == "email", email).when(kind == "secret", secret)
@@ -220,7 +227,9 @@ def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
     """Entities whose first surrogate collides: ``kind, canon, attempt``.
 
     ``entities`` holds distinct ``kind, canon``. Attempts go on against all real
-    entities and all surrogates taken so far until none collides.
+    entities and all surrogates taken so far until none collides. Names and
+    addresses grow by a syllable with each attempt. Numbers keep their length; only
+    where every number of it is real or taken does an entity keep its first one.
     """
     real = entities.select("kind", F.col("canon").alias("new"))
     drawn = staged(entities.withColumn("new", candidate(F.col("kind"), F.col("canon"), F.lit(0), key)), "pii-first")
@@ -230,19 +239,42 @@ def redraws(entities: DataFrame, key: str = KEY) -> DataFrame:
     todo = staged(hits.union(twins).distinct(), "pii-todo")
     taken = drawn.select("kind", "new")
     done = todo.select("kind", "canon", F.lit(0).alias("attempt")).limit(0)
-    for t in range(1, ATTEMPTS + 1):
-        if todo.isEmpty():
-            break
+    t = 0
+    while not todo.isEmpty():
+        t += 1
         c = todo.withColumn("new", candidate(F.col("kind"), F.col("canon"), F.lit(t), key))
         c = c.join(real.union(taken), ["kind", "new"], "left_anti")
         first = c.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
         got = staged(first, "pii-redrawn")
         taken = taken.union(got.select("kind", "new"))
         done = done.union(got.select("kind", "canon", F.lit(t).alias("attempt")))
-        todo = staged(todo.join(got, ["kind", "canon"], "left_anti"), "pii-todo")
+        left = todo.join(got, ["kind", "canon"], "left_anti")
+        if t % LOOK == 0:
+            taken, done = staged(taken, "pii-taken"), staged(done, "pii-done")
+            left = _with_room(left, real.union(taken))
+        todo = staged(left, "pii-todo")
     return staged(done, "pii-redraws")
 
 
+def _space(kind: Column, number: Column) -> Column:
+    """The numbers that can stand for each other: ``space`` and how many there are, null where they never run out."""
+    n = F.length(number)
+    keep = F.greatest(n - 10, F.lit(0))
+    ten = F.lit(10).cast("double")
+    return (F.when(kind == "phone", F.struct(F.concat_ws("|", kind, n.cast("string"), F.substr(number, F.lit(1), keep)).alias("space"), F.pow(ten, n - keep).alias("room")))
+            .when(kind == "ssn", F.struct(kind.alias("space"), F.pow(ten, F.lit(9)).alias("room")))
+            .when(kind == "ip", F.struct(kind.alias("space"), F.pow(F.lit(2.0), F.lit(32)).alias("room"))))
+
+
+def _with_room(todo: DataFrame, used: DataFrame) -> DataFrame:
+    """The entities of ``todo`` in whose space a number is free."""
+    mine = todo.select("kind", "canon", _space(F.col("kind"), F.col("canon")).alias("s")).select("kind", "canon", "s.space", "s.room")
+    per = (used.distinct().select(_space(F.col("kind"), F.col("new")).alias("s")).filter("s IS NOT NULL")
+               .groupBy(F.col("s.space").alias("_space")).agg(F.count(F.lit(1)).alias("_used")))
+    j = mine.join(per, F.col("space") == F.col("_space"), "left")
+    return j.filter(F.col("room").isNull() | F.col("_used").isNull() | (F.col("_used") < F.col("room"))).select("kind", "canon")
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Documents with every entity replaced; adds ``n_entities``.
 

@@ -364,3 +364,16 @@ def test_dedup_keeps_one_row_of_a_group(spark, edge_docs):
     again = docs.filter("doc_id IS NULL")
     got = [r["text"] for r in near_dedup.deduplicate(again).collect()]
     assert len(got) == 2 and far in got
+
+
+def test_pii_redraws_until_none_collides(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    # one name of each length: every attempt settles one person
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("ba",) * 16)
+    ents = spark.createDataFrame([("person", f"m name{i}") for i in range(12)], "kind string, canon string")
+    again = pii.redraws(ents)
+    new = ents.join(again, ["kind", "canon"], "left").select(pii.candidate(F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0))).alias("s"))
+    assert new.distinct().count() == 12
+    # numbers of which all are in use: the search for a free one ends
+    full = spark.range(100).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 2, "0").alias("canon"))
+    assert pii.redraws(full).count() == 0
