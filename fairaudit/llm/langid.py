@@ -11,9 +11,14 @@ the lowest wins. Texts whose cross-entropy is above what the calibration texts
 of that language reach are marked ``rejected``; the score is a softmax of the
 cross-entropies whose temperature the calibration texts set.
 
-The model is fitted on a bounded sample of labelled rows: about
-``DOCS_PER_LANG`` whole documents drawn by hash for each of up to ``MAX_LANGS``
-languages. So the size of its tables has a bound, and they are broadcast. N-gram counting and scoring run in the tasks; texts are read whole.
+The model is fitted on a sample of labelled rows and learns every labelled
+language: about ``DOCS_PER_LANG`` whole documents drawn by hash for each of up to
+``FULL_LANGS`` languages, fewer for each as languages grow beyond that, and at
+least one. The tables hold n-grams times languages, so the documents of a language
+go down with the square; their size keeps its bound as long as that leaves more
+than one document, and they are broadcast. A language always has a text to learn
+from; one with a single sampled text has none to calibrate with and rejects
+nothing. N-gram counting and scoring run in the tasks; texts are read whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
 Null ids count as not held out. Without any labelled row all texts are ``und``.
@@ -35,7 +40,7 @@ from .registry import read_table, register
 ORDER = 4
 DISCOUNT = 0.75
 DOCS_PER_LANG = 600
-MAX_LANGS = 64
+FULL_LANGS = 64
 SLICE_CHARS = 400_000
 REJECT_QUANTILE = 0.995
 U = np.uint64
@@ -219,15 +224,21 @@ def fit(labelled: DataFrame) -> tuple[Model, float, np.ndarray] | None:
     spark = labelled.sparkSession
     ship_package(spark)
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not per:
-        return None
     parts = 1 << 20
     h = F.pmod(F.xxhash64("text"), F.lit(parts))
-    chosen = F.lit(False)
-    for r in per:      # the share that gives the wanted number of documents
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (h < max(1, int(parts * min(1.0, DOCS_PER_LANG / r["count"])))))
-    sample = staged(rows.filter(chosen).select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0).alias("tune")), "lang-sample")
+    speaks = F.col("text").rlike(r"\p{L}")
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(F.when(speaks, h)).alias("low")).orderBy("lang").collect()    # a row per language
+    if not per:
+        return None
+    wanted = DOCS_PER_LANG * min(1.0, FULL_LANGS / len(per)) ** 2
+    # the share that gives the wanted number of documents, and at least one text
+    shares = [(r["lang"], max(1, int(parts * min(1.0, wanted / r["count"])), 0 if r["low"] is None else r["low"] + 1)) for r in per]
+    shares = spark.createDataFrame(shares, "lang string, share long")
+    drawn = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), "lang").filter(h < F.col("share"))
+    sample = staged(drawn.select("lang", "text", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0).alias("tune")), "lang-sample")
+    # where all texts would be for calibration, they are learnt from
+    only = sample.groupBy("lang").agg(F.max(~F.col("tune") & speaks).alias("learns")).filter("NOT learns").select("lang", F.lit(True).alias("only"))
+    sample = sample.join(F.broadcast(only), "lang", "left").withColumn("tune", F.col("tune") & F.col("only").isNull()).drop("only")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -377,3 +377,14 @@ def test_pii_redraws_until_none_collides(spark, monkeypatch):
     # numbers of which all are in use: the search for a free one ends
     full = spark.range(100).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 2, "0").alias("canon"))
     assert pii.redraws(full).count() == 0
+
+
+def test_language_id_learns_every_language(spark):
+    # more languages than have a full sample, each with letters of its own; some with one text only
+    def word(k, i):
+        return "".join(chr(0x4E00 + 40 * k + (i * s) % 37) for s in (1, 3, 5))
+    rows = [(f"l{k:02}", " ".join(word(k, i + 7 * d) for i in range(30))) for k in range(70) for d in range(1 if k >= 50 else 4)]
+    fitted = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert fitted[0].langs == sorted({k for k, _ in rows})
+    probe = spark.createDataFrame([(k, " ".join(word(k, i) for i in range(3, 20))) for k in range(70)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(probe, fitted).collect()} == {k: f"l{k:02}" for k in range(70)}
