@@ -9,6 +9,10 @@ Defined results: a null or empty text has no words, so every count is 0,
 ``base_failed`` is true and ``kept`` false. Long texts are read whole. Repeated
 rows get one result each; an empty table gives an empty result. Columns of the
 input that share a name with a computed one are replaced by the computed one.
+
+The stop-word rule speaks only where its words can be expected: texts labelled
+with one of the languages of ``STOP_WORDS``, and unlabelled texts whose letters
+are for the most part Latin. A text labelled with another language passes it.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ STOP_WORDS = (
     "der", "die", "das", "und", "den", "von", "mit", "ist", "auf", "ein", "eine", "zu", "für", "sich",
     "el", "los", "las", "y", "por", "con", "para", "del", "se", "co", "es",
 )
+STOP_LANGS = ("en", "fr", "de", "es")
 
 
 @dataclass(frozen=True)
@@ -113,13 +118,19 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
 
+    # 'en', 'en-US' and 'EN' are one language; no label, or 'und', says nothing
+    lang = F.lower(F.regexp_extract(F.coalesce(F.col("lang").cast("string"), F.lit("")), r"^\s*([A-Za-z]*)", 1)) if "lang" in docs.columns else F.lit("")
+    latin = F.length(F.regexp_replace(text, r"\P{IsLatin}", "")) * 2 >= F.length(F.regexp_replace(text, r"\P{L}", ""))
+    speaks = lang.isin(*STOP_LANGS) | (lang.isin("", "und") & latin)
+
     def broken(r: Rule) -> Column:
         v, bad = ratios[r.ratio], F.lit(False)
         if r.low is not None:
             bad = bad | (v < r.low)
         if r.high is not None:
             bad = bad | (v > r.high)
-        return bad & (F.col("n_words") >= r.min_words)
+        bad = bad & (F.col("n_words") >= r.min_words)
+        return bad & speaks if r.ratio == "stop_ratio" else bad
 
     failed = F.filter(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -388,3 +388,13 @@ def test_language_id_learns_every_language(spark):
     assert fitted[0].langs == sorted({k for k, _ in rows})
     probe = spark.createDataFrame([(k, " ".join(word(k, i) for i in range(3, 20))) for k in range(70)], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(probe, fitted).collect()} == {k: f"l{k:02}" for k in range(70)}
+
+
+def test_stop_words_bind_only_their_languages(spark):
+    russian = " ".join(f"слово{chr(0x430 + i % 32)}{chr(0x430 + i // 32)}" for i in range(120))
+    latin = " ".join(f"zork{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    rows = [(1, russian, "ru"), (2, russian, None), (3, latin, "en"), (4, latin, None), (5, latin, "fi"), (6, latin, "en-US"), (7, latin, "und")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["failed_rules"] for r in quality.with_quality(df).collect()}
+    assert got == {1: "", 2: "", 3: "stop_words", 4: "stop_words", 5: "", 6: "stop_words", 7: "stop_words"}
+    assert {r["failed_rules"] for r in quality.with_quality(df.drop("lang").filter("doc_id <= 2")).collect()} == {""}
