@@ -1,0 +1,251 @@
+"""Phrase collocations, best-fit packing and fill-in-the-middle on edge tables, against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from fairaudit.llm import best_fit, byte_tokens, infill, phrases
+from fairaudit.llm.queries import QUERIES
+from fairaudit.llm.tokens import vocabulary_path
+
+VOCABULARY = vocabulary_path("byte_bpe_50k.json")
+
+
+def documents(tmp_path, df):
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+# ---- fill in the middle -------------------------------------------------------------------
+
+def plain_fill(doc_id, text):
+    text = text or ""
+    h = hashlib.sha256(("1:" + ("" if doc_id is None else str(doc_id))).encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[i:i + 8], 16) for i in range(0, 32, 8))
+    u = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    n = len(u)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", text, None, None
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(u[:a]), "".join(u[a:b]), "".join(u[b:])
+    if h4 % 100 < 20:
+        return n, "spm", f"<S>{s}<P>{p}<M>{m}", len(p), len(m)
+    return n, "psm", f"<P>{p}<S>{s}<M>{m}", len(p), len(m)
+
+
+def test_fill_matches_plain_version_on_random_texts():
+    rnd = random.Random(3)
+    parts = ["a", "B", "zz", " ", "\n", "é", "日本", "\U0001f600", "12", ".", "<", "P>", "<M>", "word ", "x" * 700, "é"]
+    for k in range(1500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 4, 60, 900 if k % 30 == 0 else 20])))
+        n, form, output, p, m = infill.fill(k, text.encode())
+        assert (n, form, output.decode(), p, m) == plain_fill(k, text)
+
+
+def test_shared_passages_are_cut_alike():
+    rnd = random.Random(4)
+    passage = bytes(rnd.randrange(32, 127) for _ in range(20_000))
+    one, two = b"q" * 77 + passage, b"another beginning " * 9 + passage
+    cut = lambda data: {data[a:b] for a, b in zip([0, *infill.chunk_ends(data)], infill.chunk_ends(data))}
+    assert len(cut(one) & cut(two)) > 0.9 * len(cut(one))
+
+
+def test_fill_in_middle_edges(spark, edge_docs, tmp_path):
+    got = infill.fill_in_middle(edge_docs).collect()
+    want = [(r["doc_id"], *plain_fill(r["doc_id"], r["text"])) for r in edge_docs.collect()]
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+    out = QUERIES["op13_fill_in_middle"](spark, documents(tmp_path, edge_docs)).collect()
+    texts = Counter(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in edge_docs.collect())
+    assert Counter(r["restored_sha256"] for r in out) == texts
+    assert infill.fill_in_middle(edge_docs.limit(0)).count() == 0
+
+
+# ---- byte tokens and best-fit packing ----------------------------------------------------
+
+def test_byte_tokens_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(VOCABULARY)
+    rnd = random.Random(6)
+    parts = [" ", "  ", "\n", " \n", "\t", "\x1c", "\x85", " ", " ", "　", "a", "word", "'s", "'ll", "don't", "1", "23",
+             "é", "é", "日", "!", "?!", "...", "<|", "<|endoftext|>", "\U0001f600", "​", "᠎", "\r\n", "\x00", "\x0b",
+             "²", "Ⅷ", "가", "w" * 70, "_", "'"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 25))) for _ in range(10_000)]
+    got = byte_tokens.encode_texts(texts, VOCABULARY)
+    want = [byte_tokens._bytes(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_sums_follow_the_counts():
+    rng = np.random.default_rng(2)
+    for window in (12, 40):
+        counts = Counter(rng.integers(1, window + 1, 30).tolist())
+        sums = best_fit.Sums(counts, window)
+        while n := sums.largest(window):
+            for gap in range(1, window):
+                found = sums.filling(gap)
+                brute = any(sum(c) == gap for c in _choices(sums.count, gap))
+                assert (found is not None) == brute
+                assert found is None or (sum(found) == gap and all(sums.count[x] >= found.count(x) for x in found))
+            sums.take(n, int(sums.count[n]))
+
+
+def _choices(count, gap):
+    have = [int(n) for n in np.flatnonzero(count) if n <= gap]
+    for a in have:
+        yield (a,)
+        for b in have:
+            if b <= a and a + b <= gap and (a != b or count[a] > 1):
+                yield a, b
+                for c in have:
+                    if c <= b and count[c] >= (a, b, c).count(c) and count[a] >= (a, b, c).count(a):
+                        yield a, b, c
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_uses_every_piece_once(seed):
+    rnd = random.Random(seed)
+    window = rnd.choice([5, 16, 64, 2048])
+    h = Counter(rnd.randrange(1, window + 1) for _ in range(rnd.randrange(0, 300)))
+    kinds = best_fit.plan(dict(h), window)
+    used = Counter()
+    for k, content in kinds:
+        assert k > 0 and sum(n * m for n, m in content) <= window
+        for n, m in content:
+            used[n] += k * m
+    assert used == h
+    total = sum(n * c for n, c in h.items())
+    assert sum(k for k, _ in kinds) <= max(-(-total // window) * 1.25 + 2, sum(c for n, c in h.items() if 2 * n > window) + 1)
+
+
+def test_best_fit_pack(spark, edge_docs):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(VOCABULARY)
+    for window in (best_fit.WINDOW, 16):
+        rows = best_fit.best_fit_pack(edge_docs, VOCABULARY, window).collect()
+        want = []
+        for r in edge_docs.collect():
+            ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+            first = len(ids) % window or window
+            for number, start in enumerate([0, *range(first, len(ids), window)]):
+                stop = first if number == 0 else start + window
+                want.append((r["doc_id"], number, start, stop - start, zlib.crc32(np.asarray(ids[start:stop], "<u4").tobytes())))
+        key = lambda t: tuple((x is None, x or 0) for x in t)
+        got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        held = {}
+        for r in rows:
+            held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in held.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= window
+        assert len(held) <= -(-sum(n for *_, n, _ in want) // window) + 2
+    assert best_fit.best_fit_pack(edge_docs.limit(0), VOCABULARY).count() == 0
+
+
+# ---- phrases -----------------------------------------------------------------------------
+
+def plain_phrases(rows, min_count, top):
+    """Brute force over (text, lang) rows."""
+    f, total = Counter(), Counter()
+    for text, lang in rows:
+        lang = lang if lang is not None else "und"
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            total[lang] += len(w)
+            for n in range(1, 5):
+                for i in range(len(w) - n + 1):
+                    f[lang, tuple(w[i:i + n])] += 1
+    out = {}
+    cand = {k: a for k, a in f.items() if a >= min_count and len(k[1]) >= 2}
+    longer = Counter()
+    for (lang, w), a in cand.items():
+        for n in range(2, len(w)):
+            for i in range(len(w) - n + 1):
+                longer[lang, w[i:i + n]] = max(longer[lang, w[i:i + n]], a)
+    for (lang, w), a in cand.items():
+        if 100 * longer[lang, w] >= 80 * a:
+            continue
+        score, k = min((2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, rank, p.decode(), -a, left, right, total[lang], -score)
+                  for lang, found in out.items() for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1))
+
+
+COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def phrase_rows(spark, count=400):
+    rnd = random.Random(9)
+    words = ["the", "of", "New", "york", "City", "été", "x", "(a)", "中", "a b", "Q"]
+    rows = []
+    for i in range(count):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ",", "; "]) for _ in range(rnd.randrange(0, 40)))
+        rows.append((i, rnd.choice([text, text, "New York City hall", None, ""]), rnd.choice(["en", "fr", None, "und"])))
+    return rows
+
+
+def test_collocations_match_brute_force(spark):
+    rows = phrase_rows(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for min_count, top in ((30, 2000), (5, 7)):
+        got = sorted(tuple(r) for r in phrases.collocations(docs, min_count, top).select(*COLUMNS).collect())
+        assert got == plain_phrases([r[1:] for r in rows], min_count, top) and got
+
+
+def test_collocations_keep_colliding_fingerprints_apart(spark, monkeypatch):
+    """With fingerprints of 6 bits almost everything collides; results stay the same."""
+    rows = phrase_rows(spark, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    want = plain_phrases([r[1:] for r in rows], 5, 50)
+    real = phrases.mixed
+
+    def weak(x):
+        return real(x) & np.uint64(63)
+    table = type("T", (), {"value": np.full(1 << 13, 255, np.uint8).tobytes()})      # every bit set: nothing is filtered
+    monkeypatch.setattr(phrases, "mixed", weak)
+    words = phrases.Words([(r[1] or "").encode() for r in rows], [0] * len(rows))
+    assert len(np.unique(words.grams(2)[1])) <= 64
+    counts = phrases.materialised(docs, table).collect()
+    monkeypatch.undo()
+    f = {(r["lang"], r["phrase"]): r["f"] for r in counts if r["words"]}
+    assert want and all(f[lang, phrase] == a for lang, _, phrase, a, *_ in want)
+
+
+def test_collocations_edges(spark, edge_docs, tmp_path):
+    got = sorted(tuple(r) for r in phrases.collocations(edge_docs).select(*COLUMNS).collect())
+    assert got == plain_phrases([(r["text"], r["lang"]) for r in edge_docs.collect()], 30, 2000)
+    assert {r[0] for r in got} == {"de"}
+    assert QUERIES["op11_phrase_collocations"](spark, documents(tmp_path, edge_docs.limit(0))).count() == 0
+
+
+def test_long_texts_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE", 64)
+    import pyarrow as pa
+    text = b"one two three, four five. " * 40 + b"w" * 300 + b" end"
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text, b"a b"]), pa.array(["en", "en"])], names=["a", "b", "c"])
+    parts = list(phrases._slices(iter([batch])))
+    joined = {}
+    for ids, texts, _, _ in parts:
+        for i, t in zip(ids, texts):
+            joined[i] = joined.get(i, b"") + t
+    assert joined == {7: text, 8: b"a b"} and len(parts) > 10
+
+
+def test_pointers_lead_to_the_phrase(spark):
+    rows = phrase_rows(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {r[0]: r[1] for r in rows}
+    for r in phrases.collocations(docs, 10, 100).collect():
+        w = re.findall("[^ \t.,;:!?\n-\r]+", texts[r["doc_id"]])
+        n = len(r["phrase"].split(" "))
+        assert " ".join(w[r["word"]:r["word"] + n]).replace("N", "n").replace("Y", "y").replace("C", "c").replace("Q", "q") == r["phrase"]
