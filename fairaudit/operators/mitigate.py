@@ -139,10 +139,11 @@ def group_roc(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
 
     Rows -> (group, bucket) counts (partial aggregation), then cumulative
     sums from the top bucket with a window partitioned by group over at most
-    BUCKETS + 2 rows. A sentinel bucket BUCKETS + 1 selects nobody.
+    BUCKETS + 2 rows. A sentinel bucket BUCKETS + 1 selects nobody. A null
+    group is 'Unknown'.
     """
     y = F.col(label)
-    cnt = df.groupBy(F.col(group).cast("string").alias("grp"), bucket(score).alias("b")).agg(
+    cnt = df.groupBy(_group_text(group).alias("grp"), bucket(score).alias("b")).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(y == 1, 0).otherwise(1)).alias("neg"))
     # every (group, bucket) level, so each group has the full threshold grid
@@ -226,7 +227,7 @@ def apply_group_threshold(df: DataFrame, thresholds: DataFrame, score: str, grou
     """Predict 1 iff the score's bucket reaches the row's group threshold
     (size-checked broadcast of the per-group table)."""
     t, _ = bounded_broadcast(thresholds.select(F.col("grp").alias("_g"), F.col("b").alias("_b")))
-    j = df.join(t, df[group].cast("string").eqNullSafe(t["_g"]), "left")
+    j = df.join(t, _group_text(group) == t["_g"], "left")
     return j.withColumn(out, F.coalesce((bucket(score) >= F.col("_b")).cast("int"), F.lit(0))).drop("_g", "_b")
 
 

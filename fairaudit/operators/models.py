@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
 from . import mitigate as MI
+from . import mixed_thresholds as MX
 from .prepare import WIDE_PREFIXES
 
 LR_MAX_ITER = 1000
@@ -275,7 +276,8 @@ def run_strategy(name: str, train: DataFrame, test: DataFrame, features: list[st
                  removal_mode: str = "wide", constrained_iterations: int = 10, key: str | None = None):
     """(model, test predictions with ``y_pred``) for one canonical strategy.
     Unknown names, monitoring and resampling fall through to the baseline.
-    ``key`` names the row key that seeds the constrained mixture's draws; by
+    ``key`` names the row key that seeds the draws of mixed thresholds and of
+    the constrained mixture; by
     default the first column, where ``prepare_dataset`` puts it."""
     if name in (REWEIGHING, "Data Reweighing"):
         rw = MI.reweigh(train, sensitive_col, "y")
@@ -287,9 +289,9 @@ def run_strategy(name: str, train: DataFrame, test: DataFrame, features: list[st
         return cm, cm.predict(test, key=key or test.columns[0])
     if name in (THRESHOLD_DP, THRESHOLD_EO):
         base = fit(train, features, ModelSpec("logistic_regression", seed=spec.seed))
-        roc = MI.group_roc(score(base, train), "p1", "y", sensitive_col)
-        th = MI.threshold_parity(roc) if name == THRESHOLD_DP else MI.threshold_equalized_odds(roc)
-        return (base, th), MI.apply_group_threshold(score(base, test).drop("y_pred"), th, "p1", sensitive_col)
+        hull = MX.group_hull(score(base, train), "p1", "y", sensitive_col)
+        th = MX.parity_mixture(hull) if name == THRESHOLD_DP else MX.equalized_odds_mixture(hull)
+        return (base, th), MX.apply_mixture(score(base, test).drop("y_pred"), th, "p1", sensitive_col, key or test.columns[0])
     if name in (DEBIAS, REMOVAL):
         feats = debiased_features(features, sensitive_name or sensitive_col, removal_mode)
         m = fit(train, feats, spec)
@@ -340,5 +342,8 @@ def predict(model, df: DataFrame, sensitive_col: str = "sensitive", key: str | N
     if isinstance(model, ConstrainedModel):
         return model.predict(df, key=key or df.columns[0])
     if isinstance(model, tuple):
-        return MI.apply_group_threshold(score(model[0], df).drop("y_pred"), model[1], "p1", sensitive_col)
+        scored = score(model[0], df).drop("y_pred")
+        if "b" in model[1].columns:        # saved by a version that kept one level per group
+            return MI.apply_group_threshold(scored, model[1], "p1", sensitive_col)
+        return MX.apply_mixture(scored, model[1], "p1", sensitive_col, key or df.columns[0])
     return score(model, df)

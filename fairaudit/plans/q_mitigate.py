@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mitigate as MI
+from ..operators import mixed_thresholds as MX
 from ..sources.tables import order_audit
 from .registry import register
 from .views_sql import with_views
@@ -97,25 +98,25 @@ _PARITY = _ROC + """
 """
 
 
-@register("threshold_parity", with_views(_PARITY + """
+@register("threshold_parity_levels", with_views(_PARITY + """
 SELECT grp, b / 1000.0 AS threshold, b, round(selection_rate, 6) AS selection_rate, i / 1000.0 AS target_rate,
        round(acc, 6) AS accuracy FROM th""", "order_audit"))
-def q_threshold_parity(spark, d):
+def q_threshold_parity_levels(spark, d):
     roc = MI.group_roc(_oa(spark, d), "score", "y_true", "region")
     return MI.threshold_parity(roc)
 
 
-@register("apply_group_threshold", with_views(_PARITY + """
+@register("apply_group_threshold_levels", with_views(_PARITY + """
 SELECT row_id, region, CAST(least(greatest(floor(score * 1000), 0), 1000) >= th.b AS INT) AS y_pred
 FROM order_audit o JOIN th ON o.region = th.grp""", "order_audit"))
-def q_apply_group_threshold(spark, d):
+def q_apply_group_threshold_levels(spark, d):
     oa = _oa(spark, d)
     th = MI.threshold_parity(MI.group_roc(oa, "score", "y_true", "region"))
     return MI.apply_group_threshold(oa, th, "score", "region").select("row_id", "region", "y_pred")
 
 
-@register("threshold_equalized_odds")
-def q_threshold_equalized_odds(spark, d):
+@register("threshold_equalized_odds_levels")
+def q_threshold_equalized_odds_levels(spark, d):
     roc = MI.group_roc(_oa(spark, d), "score", "y_true", "region")
     return MI.threshold_equalized_odds(roc)
 
@@ -185,3 +186,89 @@ SELECT s.grp, s.threshold, round(s.tpr, 6) AS tpr, round(s.fpr, 6) AS fpr, round
        round(best.acc, 6) AS accuracy FROM served s JOIN best USING (i)""", "order_audit"))
 def q_threshold_equalized_odds_exact(spark, d):
     return MI.threshold_equalized_odds_exact(_roc_exact(spark, d))
+
+
+# the hull by its definition: a point is a vertex iff every line from a point before
+# it is steeper than every line to a point behind it
+_HULL = _EXACT + """
+, pt AS (SELECT *, tp + fp AS s FROM roc),
+  up AS (SELECT b.grp, b.threshold, min(CAST(b.tp - a.tp AS DOUBLE) / (b.s - a.s)) AS m
+         FROM pt a JOIN pt b ON a.grp = b.grp AND a.s < b.s GROUP BY 1, 2),
+  dn AS (SELECT a.grp, a.threshold, max(CAST(b.tp - a.tp AS DOUBLE) / (b.s - a.s)) AS m
+         FROM pt a JOIN pt b ON a.grp = b.grp AND a.s < b.s GROUP BY 1, 2),
+  vertex AS (SELECT pt.* FROM pt LEFT JOIN up USING (grp, threshold) LEFT JOIN dn USING (grp, threshold)
+             WHERE up.m IS NULL OR dn.m IS NULL OR up.m > dn.m),
+  edge AS (SELECT grp, threshold, tpr, fpr, selection_rate AS rate, CAST(correct AS DOUBLE) AS correct, n_pos, n_neg, n,
+                  lead(threshold) OVER w AS threshold_1, lead(tpr) OVER w AS tpr_1, lead(fpr) OVER w AS fpr_1,
+                  lead(selection_rate) OVER w AS rate_1, CAST(lead(correct) OVER w AS DOUBLE) AS correct_1
+           FROM vertex WINDOW w AS (PARTITION BY grp ORDER BY threshold DESC)),
+  tot AS (SELECT sum(n) AS n, sum(n_pos) AS p, sum(n_neg) AS q FROM (SELECT DISTINCT grp, n, n_pos, n_neg FROM edge))
+"""
+
+_PARITY_MIX = _HULL + """
+, xs AS (SELECT DISTINCT rate AS x FROM edge),
+  val AS (SELECT x, sum(CASE WHEN rate_1 IS NULL OR x = rate THEN correct
+                             ELSE correct + (x - rate) / (rate_1 - rate) * (correct_1 - correct) END) AS c
+          FROM xs JOIN edge ON rate <= x AND (rate_1 IS NULL OR rate_1 > x) GROUP BY x),
+  best AS (SELECT x, c FROM val ORDER BY round(c, 6) DESC, x LIMIT 1),
+  mix AS (SELECT grp, threshold, threshold_1, c, x, CASE WHEN rate_1 IS NULL THEN 0 ELSE (x - rate) / (rate_1 - rate) END AS p1
+          FROM edge JOIN best ON rate <= x AND (rate_1 IS NULL OR rate_1 > x))
+"""
+
+
+def _parity_mix(spark, d):
+    return MX.parity_mixture(MX.group_hull(_oa(spark, d), "score", "y_true", "region"))
+
+
+@register("group_roc_hull", with_views(_HULL + """
+SELECT grp, threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM vertex WHERE threshold < CAST('infinity' AS DOUBLE)""",
+    "order_audit"))
+def q_group_roc_hull(spark, d):
+    h = MX.group_hull(_oa(spark, d), "score", "y_true", "region")
+    return h.where(F.col("threshold") < float("inf")).select("grp", "threshold", "tp", "fp")
+
+
+@register("threshold_parity", with_views(_PARITY_MIX + """
+SELECT grp, round(1 - p1, 6) AS p0, threshold AS threshold0, round(p1, 6) AS p1,
+       CASE WHEN p1 = 0 THEN threshold ELSE threshold_1 END AS threshold1, round(x, 6) AS selection_rate,
+       round(x, 6) AS target_rate, round(c / tot.n, 6) AS accuracy FROM mix, tot""", "order_audit"))
+def q_threshold_parity(spark, d):
+    m = _parity_mix(spark, d)
+    return m.select("grp", "threshold0", "threshold1",
+                    *[F.round(c, 6).alias(c) for c in ("p0", "p1", "selection_rate", "target_rate", "accuracy")])
+
+
+@register("apply_group_threshold", with_views(_PARITY_MIX + """
+, drawn AS (SELECT row_id, region, score, CAST(CAST('0x' || substr(md5('42:' || row_id), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656 AS u
+            FROM order_audit)
+SELECT row_id, region, CAST(u < CASE WHEN score >= threshold THEN 1 - p1 ELSE 0 END
+                              + CASE WHEN score >= CASE WHEN p1 = 0 THEN threshold ELSE threshold_1 END THEN p1 ELSE 0 END AS INT) AS y_pred
+FROM drawn JOIN mix ON region = grp""", "order_audit"))
+def q_apply_group_threshold(spark, d):
+    return MX.apply_mixture(_oa(spark, d), _parity_mix(spark, d), "score", "region", "row_id").select("row_id", "region", "y_pred")
+
+
+@register("threshold_equalized_odds", with_views(_HULL + """
+, xs AS (SELECT DISTINCT fpr AS x FROM edge),
+  step AS (SELECT x AS x0, lead(x) OVER (ORDER BY x) AS x1 FROM xs),
+  line AS (SELECT x0, x1, grp, tpr + (x0 - fpr) / (fpr_1 - fpr) * (tpr_1 - tpr) AS y0, (tpr_1 - tpr) / (fpr_1 - fpr) AS m
+           FROM step JOIN edge ON fpr <= x0 AND fpr_1 > x0),
+  crossing AS (SELECT a.x0 + (b.y0 - a.y0) / (a.m - b.m) AS x, a.x0, a.x1
+               FROM line a JOIN line b ON a.x0 = b.x0 AND a.grp < b.grp AND a.m <> b.m),
+  cand AS (SELECT x FROM xs UNION SELECT x FROM crossing WHERE x > x0 + 1e-12 AND x < x1 - 1e-12),
+  val AS (SELECT x, min(CASE WHEN fpr_1 IS NULL THEN tpr ELSE tpr + (x - fpr) / (fpr_1 - fpr) * (tpr_1 - tpr) END) AS y
+          FROM cand JOIN edge ON fpr <= x AND (fpr_1 IS NULL OR fpr_1 > x) GROUP BY x),
+  best AS (SELECT x, y AS low, (p * y + q * (1 - x)) / (p + q) AS acc FROM val, tot
+           ORDER BY round((p * y + q * (1 - x)) / (p + q), 12) DESC, x LIMIT 1),
+  placed AS (SELECT grp, threshold, threshold_1, x, low, acc, CASE WHEN fpr_1 IS NULL THEN 0 ELSE (x - fpr) / (fpr_1 - fpr) END AS p1,
+                CASE WHEN fpr_1 IS NULL THEN tpr ELSE tpr + (x - fpr) / (fpr_1 - fpr) * (tpr_1 - tpr) END AS y
+         FROM best JOIN edge ON fpr <= x AND (fpr_1 IS NULL OR fpr_1 > x))
+SELECT grp, round(1 - p1, 6) AS p0, threshold AS threshold0, round(p1, 6) AS p1,
+       CASE WHEN p1 = 0 THEN threshold ELSE threshold_1 END AS threshold1,
+       round(CASE WHEN y - low > 1e-12 THEN (y - low) / (y - x) ELSE 0 END, 6) AS p_ignore,
+       round(x, 6) AS prediction_constant, round(x, 6) AS fpr, round(low, 6) AS tpr, CAST(0 AS DOUBLE) AS eo_gap, round(acc, 6) AS accuracy
+FROM placed""", "order_audit"))
+def q_threshold_equalized_odds(spark, d):
+    m = MX.equalized_odds_mixture(MX.group_hull(_oa(spark, d), "score", "y_true", "region"))
+    return m.select("grp", "threshold0", "threshold1",
+                    *[F.round(c, 6).alias(c) for c in ("p0", "p1", "p_ignore", "prediction_constant", "fpr", "tpr", "eo_gap", "accuracy")])

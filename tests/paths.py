@@ -1,0 +1,4 @@
+"""Where the given tables are."""
+
+SF0001 = "/root/testdata/sf0.001"
+SF001 = "/root/testdata/sf0.01"

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001
+from paths import SF0001, SF001
 from fairaudit.operators import explain as E
 from fairaudit.operators import metrics as M
 from fairaudit.operators import mitigate as MI

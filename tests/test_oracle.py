@@ -3,7 +3,7 @@ sf0.001 (the driver repeats this on sf0.01); rows-only queries must run."""
 
 import pytest
 
-from conftest import SF0001
+from paths import SF0001
 from check_oracle import compare, duck
 from fairaudit.plans.registry import ORACLES, QUERIES, load_all
 

@@ -4,7 +4,7 @@ import os
 import tempfile
 
 import pytest
-from conftest import SF0001
+from paths import SF0001
 from pyspark.sql import functions as F
 from fairaudit import session
 from fairaudit.operators import metrics as M
