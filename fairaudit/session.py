@@ -113,6 +113,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one job writes to the shared folder and deletes again.
+
+    ``staged`` works like the function; ``drop`` deletes tables by name once their
+    last reader has written its result. Leaving the context deletes what is left,
+    except names given to ``keep``: tables that the job's result still reads.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[name for name in self.paths if name not in self.kept])
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, *names: str) -> None:
+        self.kept.update(names)
+
+    def drop(self, *names: str, but_last: int = 0) -> None:
+        """Delete the tables of these names, except the ``but_last`` latest of each."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            paths = self.paths.get(name, [])
+            old = paths[:len(paths) - but_last]
+            self.paths[name] = paths[len(old):]
+            for path in old:
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     return f"{checkpoint_base(spark)}/fairaudit/{name}-{uuid.uuid4().hex[:12]}"
