@@ -43,9 +43,10 @@ SCALE = 2_000_000
 TOP = 2000
 SALTS = 64                   # parts of a language that are ranked first
 
-SLICE = 1 << 20              # bytes of text handled together
-RUN = 2_000_000              # fingerprints counted together
-HELD = 4_000_000             # distinct fingerprints a task holds before it hands them on
+SLICE = 1 << 19              # bytes of text handled together
+RUN = 750_000                # fingerprints counted together
+HELD = 1_500_000             # distinct fingerprints a task holds before it hands them on
+CUT = 200_000                # phrases cut out before equal ones are added up
 BITS_EACH = 32               # of the bit table, for each frequent fingerprint
 BITS_MOST = 1 << 29          # 64 MB, whatever the corpus
 BLOCK_BITS = 1 << 16
@@ -279,7 +280,7 @@ def materialised(docs: DataFrame, table) -> DataFrame:
         held: list = []
 
         def summed() -> pa.Table:
-            t = pa.concat_tables(held).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum"), ("at", "min")])
+            t = pa.concat_tables(held).group_by(["lang", "words", "phrase"], use_threads=False).aggregate([("f", "sum"), ("at", "min")])
             t = t.rename_columns({"f_sum": "f", "at_min": "at"}).select(["lang", "words", "phrase", "f", "at"])
             held[:] = [t]
             return t
@@ -338,9 +339,10 @@ def materialised(docs: DataFrame, table) -> DataFrame:
             held.append(pa.table([names, pa.array(np.zeros(len(codes), np.int32)), pa.array([b""] * len(codes), pa.binary()),
                                   pa.array(total.astype(np.int64)), pa.array(np.full(len(codes), -1 << 32, np.int64))],
                                  names=["lang", "words", "phrase", "f", "at"]))
-            if todo >= RUN // 4:
-                if summed().num_rows > RUN // 2:
+            if todo >= CUT:
+                if summed().num_rows > 2 * CUT:
                     yield from rows()
+                pa.default_memory_pool().release_unused()
                 todo = 0
         yield from rows()
     found = _inputs(docs).mapInArrow(run, "lang string, words int, phrase binary, f long, doc_id long, word long")
