@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``id, comp`` for every end of an edge ``a, b``: the smallest id reachable.
 
     Each round takes the smallest label among neighbours and then the label of
     that label, until nothing changes; every round is written to the shared
-    folder. Labels are summed per node before the shuffle, so a hub with many
-    edges is no hot key; its row in the join can be split.
+    folder and the one before deleted. Labels are summed per node before the
+    shuffle, so a hub with many edges is no hot key; its row in the join can be
+    split. The result is the table ``cc-labels`` of ``scratch``.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
+    staged = scratch.staged
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m"))
                     .select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "cc-labels")
@@ -26,5 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = staged(one.join(up, one["comp"] == up["_i"], "left")
                      .select("id", "old", F.least("comp", F.coalesce("_c", "comp")).alias("comp")), "cc-labels")
         labels = new.select("id", "comp")
+        scratch.drop("cc-labels", but_last=1)
         if new.filter("old <> comp").isEmpty():
+            scratch.drop("cc-edges")
             return labels

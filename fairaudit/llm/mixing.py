@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .columns import ROW, aside
 from .registry import read_table, register
 
 SEED = "mix-2"
+ADDED = ("rate", "n_copies", "copy", "order_key")
 
 
 def uniform(seed: str, *cols: Column) -> Column:
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     Adds ``rate, n_copies, copy, order_key``; rows are dealt to partitions by
     ``order_key`` and sorted inside them.
     """
-    d = docs.drop("rate", "n_copies", "copy", "order_key", "cdf")
+    d = aside(docs, "doc_id", "source")
     r = rates.select(F.col("source").alias("_s"), "rate", "cdf")
     # the count is drawn before the join can shuffle: only sources are joined
     j = d.join(r, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
@@ -97,7 +99,9 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long")
     j = j.repartitionById(parts, F.floor(slot * parts / F.lit(2 ** 32)).cast("int"))
-    return j.sortWithinPartitions("order_key", "doc_id")
+    own = [c for c in docs.columns if c not in ADDED]
+    return (j.sortWithinPartitions("order_key", "doc_id")
+             .select(*[F.col(ROW).getField(c).alias(c) for c in own], *ADDED))
 
 
 ORACLE = f"""

@@ -31,13 +31,15 @@ and name a group only as null. An empty table gives an empty result. Only
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, staged
+from ..session import Scratch, ship_package
 from .graph import components
 from .registry import read_table, register
 
@@ -171,10 +173,10 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return chain / (n + m - chain)
 
 
-def sketch(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """``uid, doc_id, cls, n, bands, kmers`` of every row (null where no word).
+def sketch(docs: DataFrame, place: Column | None = None) -> DataFrame:
+    """``uid, doc_id, cls, n, bands, kmers, file, row`` of every row (null where no word).
 
-    ``uid`` is the column ``key``, which must differ in all rows, or a running number.
+    ``uid`` is a running number; ``file, row`` are those of the struct ``place``, if given.
     """
     ship_package(docs.sparkSession)
 
@@ -210,15 +212,17 @@ def sketch(docs: DataFrame, key: str | None = None) -> DataFrame:
                         row = (uid, None, 0, [], None)
                     for c, v in zip(cols, row):
                         c.append(v)
-                uids = b.column(2).slice(at, end - at) if key else pa.array(cols[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [uids, ids.slice(at, end - at), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()),
-                     pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
-                    names=["uid", "doc_id", "cls", "n", "bands", "kmers"])
+                    [pa.array(cols[0], pa.int64()), ids.slice(at, end - at), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()),
+                     pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()),
+                     b.column(2).slice(at, end - at), b.column(3).slice(at, end - at)],
+                    names=["uid", "doc_id", "cls", "n", "bands", "kmers", "file", "row"])
                 at = end
-    cols = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(key)] if key else [])]
+    none = F.struct(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row"))
+    where = none if place is None else place
+    cols = [F.col("doc_id").cast("long"), F.col("text").cast("string"), where["file"].alias("file"), where["row"].alias("row")]
     return docs.select(*cols).mapInArrow(
-        work, "uid long, doc_id long, cls binary, n int, bands array<long>, kmers binary")
+        work, "uid long, doc_id long, cls binary, n int, bands array<long>, kmers binary, file string, row long")
 
 
 def _in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -292,11 +296,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the smallest doc_id with the same words, ``component_id``
     the smallest one reachable by verified links.
     """
-    return _marks(sketch(docs), threshold).drop("uid")
+    with Scratch(docs.sparkSession) as scratch:
+        marks = scratch.staged(_marks(sketch(docs), scratch, threshold).drop("uid", "file", "row"), "omh-marks")
+        scratch.keep("omh-marks")
+    return marks
 
 
-def _marks(sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``uid`` and the columns of ``near_duplicates``."""
+def _marks(sketches: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """``uid, file, row`` and the columns of ``near_duplicates``.
+
+    Tables are dropped as soon as what is made of them is written, so the k-mers
+    of all rows and of the rows with a partner are never held beside a copy.
+    """
+    staged = scratch.staged
     last = F.lit(2 ** 63 - 1)
     sk = staged(sketches, "omh-sketches")
     # the row that stands for a class: smallest id, then position
@@ -308,7 +320,10 @@ def _marks(sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = staged(rows, "omh-bands")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
     rows = staged(rows.join(shared, "band"), "omh-buckets")
+    scratch.drop("omh-bands")
     known = staged(sk.select("uid", "kmers").join(rows.select("uid").distinct(), "uid", "left_semi"), "omh-known")
+    sk = staged(sk.select("uid", "doc_id", "cls", "file", "row"), "omh-rows")
+    scratch.drop("omh-sketches")
     edges = None
     labels = None
     state = rows.withColumn("comp", F.col("uid"))
@@ -340,7 +355,8 @@ def _marks(sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = staged(found if r < STARS else found.union(large).distinct(), "omh-edges")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
-            labels = components(edges)
+            labels = components(edges, scratch)
+            scratch.drop("cc-labels", but_last=1)
             state = (rows.join(labels.withColumnRenamed("id", "_i"), rows["uid"] == F.col("_i"), "left")
                          .withColumn("comp", F.coalesce("comp", "uid")).drop("_i"))
     if labels is None:
@@ -352,23 +368,45 @@ def _marks(sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         named = named.join(name, "comp").withColumn("gid", F.col("g.id")).withColumn("gu", F.col("g.uid"))
     named = named.select("cls", F.col("id").alias("cid"), "gid", "gu")
     none = F.nullif
-    out = sk.select("doc_id", "uid", "cls").join(named, "cls", "left")
+    scratch.drop("omh-known", "omh-buckets")
+    out = sk.join(named, "cls", "left")
     return out.select(
-        "uid", "doc_id", F.coalesce(none("cid", last), "doc_id").alias("class_id"),
+        "uid", "file", "row", "doc_id", F.coalesce(none("cid", last), "doc_id").alias("class_id"),
         F.coalesce(none("gid", last), "doc_id").alias("component_id"),
         F.coalesce(F.col("gu") == F.col("uid"), F.lit(True)).alias("kept"))
 
 
+def _place(docs: DataFrame) -> Column | None:
+    """File and row number of each row, if ``docs`` are rows of files as they are
+    stored (columns and rows may have been left out): then they can be read again."""
+    nodes = re.findall(r"^[\s:+\-]*(\w+)", docs._jdf.queryExecution().analyzed().toString(), re.M)
+    if set(nodes) - {"Project", "Filter", "SubqueryAlias", "Relation"} or nodes.count("Relation") != 1:
+        return None
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"]).schema      # not every format numbers its rows
+    except AnalysisException:
+        return None
+    return F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The kept row of every group, with its own columns.
+    """The kept row of every group, with its own columns, whatever their names.
 
-    Each row has a key of its own, so rows that share an id or have none are
-    kept or left out one by one.
+    Rows are told apart by file and row number, so rows that share an id or have
+    none are kept or left out one by one. Rows that are not stored as they are
+    get a stored copy first. The rows to leave out are the smaller table.
     """
-    key = "_dedup_row"
-    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "omh-rows")      # written once, so the key stays
-    kept = staged(_marks(sketch(rows, key)).filter("kept").select(F.col("uid").alias(key)), "omh-kept")
-    return rows.join(kept, key).select(*docs.columns)
+    with Scratch(docs.sparkSession) as scratch:
+        place = _place(docs)
+        if place is None:
+            docs = scratch.staged(docs, "omh-copy")
+            scratch.keep("omh-copy")
+            place = _place(docs)
+        out = scratch.staged(_marks(sketch(docs, place), scratch).filter(~F.col("kept")).select("file", "row"), "omh-left-out")
+        scratch.keep("omh-left-out")
+    rows = docs.select(place.alias("at"), F.struct("*").alias("doc"))
+    return rows.join(out.select(F.struct("file", "row").alias("gone")), F.col("at") == F.col("gone"), "left_anti").select("doc.*")
 
 
 @register("op5_minhash_near_dedup")

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .columns import aside, back
 from .registry import read_table, register
 
 KEY = "surrogate-key-1"
@@ -69,7 +70,7 @@ PATTERN = "|".join((
     r"(?:\(\d{3}\) ?|(?<![\d\-])\d{3}[.\-])\d{3}[.\-]\d{4}(?![\d\-])",
 ))
 # a text without any of these holds no entity; saves the costly pattern for most texts
-_HINT = rf"[0-9@]|{_TITLE} \p{{Lu}}|sk-|gh[pousr]_|[a-fA-F]{{32}}"
+_HINT = rf"[0-9@]|{_TITLE} \p{{Lu}}|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
 
 
 def _digits(v: Column) -> Column:
@@ -282,7 +283,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     scan rewrites the texts. No text is shuffled unless the table of redrawn
     entities is over the planner's broadcast threshold.
     """
-    d = docs.drop("n_entities")
+    d = aside(docs, "doc_id", "text")
     # the same value in many documents is merged before the shuffle of distinct()
     seen = staged(d.select("doc_id", F.explode(_mentions(F.col("text"))).alias("m"))
                   .select("doc_id", "m.kind", "m.canon").distinct(), "pii-seen")
@@ -295,9 +296,10 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         m["kind"], m["canon"], F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", m["kind"], m["canon"])), F.lit(0)), key))))
     d = d.withColumn("_parts", F.when(F.size("_m") > 0, F.split("text", PATTERN, -1)))
     merged = F.concat_ws("", F.zip_with("_parts", "_new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))))
-    return (d.withColumn("n_entities", F.when(F.size("_m") > 0, F.size("_m")).otherwise(0))
-             .withColumn("text", F.when(F.col("n_entities") > 0, merged).otherwise(F.col("text")))
-             .drop("_again", "_m", "_new", "_parts"))
+    d = d.withColumn("n_entities", F.when(F.size("_m") > 0, F.size("_m")).otherwise(0))
+    text = F.when(F.col("n_entities") > 0, merged).otherwise(F.col("text"))
+    own = [c for c in docs.columns if c != "n_entities"]
+    return back(d, [*own, "n_entities"], text=text, n_entities=F.col("n_entities"))
 
 
 @register("op3_pii_surrogates")

@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import aside, back
 from .registry import read_table, register
 
 WS = r"[\x20\x09-\x0D]+"
@@ -140,13 +141,13 @@ def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that are kept, with their own columns.
+    """The documents that are kept, with their own columns, whatever their names.
 
     The row number keeps the optimizer from moving the filter below the
     projection, where every use of a column would compute it anew.
     """
-    d = with_quality(docs, rules).withColumn("_row", F.monotonically_increasing_id())
-    return d.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    d = with_quality(aside(docs, "doc_id", "text", "lang"), rules).withColumn("_n", F.monotonically_increasing_id())
+    return back(d.filter(F.col("kept") & (F.col("_n") >= 0)), docs.columns)
 
 
 def _oracle() -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, staged
 from .registry import read_table, register
-from .tokens import encode_texts, vocabulary_path
+from .tokens import encode_texts, tokenizer, vocabulary_path
 
 SEQ_LEN = 2048
 ROWS = 4096                  # sequences in a shard: 16 MiB
@@ -110,6 +110,8 @@ def write_shards(docs: DataFrame, path: str, uri: str, key: int = KEY, seq_len:
     """Writes the shards under ``uri`` and returns the manifest, one row per
     sequence: ``slot, shard, byte_offset, sequence_id, n_ids, first_doc, ids_crc32``."""
     spark = docs.sparkSession
+    if tokenizer(path).get_vocab_size() > 1 << 16:
+        raise ValueError("ids are written as 16 bits; the vocabulary has more than 65,536")
     table = staged(sequences(docs, path, seq_len, end_id), "token-sequences")
     # one row per task that read documents
     per = staged(table.groupBy("part").count(), "token-parts")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import unicodedata
 
 CACHE_MAX = 800_000          # chunks kept by a worker
 LONG_CHUNK = 64              # longer chunks are encoded but not kept
@@ -47,11 +48,15 @@ def _chunks(text: str) -> list[str] | None:
     """White-space-free chunks whose ids concatenate to the text's ids.
 
     None if the text may hold a special token, which is found in whole texts.
+    The vocabulary composes characters first (NFC), which joins a letter with the
+    mark behind it, so texts are composed before they are cut.
     Latin-1 letters are lower-cased here already (the vocabulary does so), to
     have fewer distinct chunks; other texts are left as they are.
     """
     if "<|" in text:
         return None
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
     try:
         text.encode("latin-1")
         text = text.lower()
@@ -128,7 +133,8 @@ def _encode_slice(texts: list[str | None], tok) -> list[bytes]:
         bases: set[str] = set()
         split: dict[str, tuple[str, ...]] = {}
         for c in missing:
-            m = None if c.isalpha() else _AFFIXED.match(c)
+            # lower case turns U+0130 into a letter and a mark, which goes with what follows
+            m = None if c.isalpha() or "\u0130" in c else _AFFIXED.match(c)
             if m:
                 split[c] = parts = tuple(filter(None, m.groups()))
                 bases.update(parts)

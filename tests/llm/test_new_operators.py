@@ -249,3 +249,74 @@ def test_pointers_lead_to_the_phrase(spark):
         w = re.findall("[^ \t.,;:!?\n-\r]+", texts[r["doc_id"]])
         n = len(r["phrase"].split(" "))
         assert " ".join(w[r["word"]:r["word"] + n]).replace("N", "n").replace("Y", "y").replace("C", "c").replace("Q", "q") == r["phrase"]
+
+
+# ---- word tokens of decomposed text -------------------------------------------------------
+
+def test_word_tokens_equal_the_tokenizer_on_marks():
+    """Combining marks, jamo, separators and special tokens; 10,000 seeded strings."""
+    from fairaudit.llm import tokens
+    path = vocabulary_path()
+    tok = tokens.tokenizer(path)
+    rnd = random.Random(8)
+    parts = ["a", "e", "E", "cafe", "voila", "I", "İ", "ß", "Å", "́", "̈", "̧", "̈́", "ͅ",
+             "ا", "ٔ", "ᄀ", "ᅡ", "ᆨ", "가", " ", "  ", "\n", "\x1c", "\x1d", "\x85", "\xa0", " ", "'", "'s", "1",
+             "²", "Ⅷ", ".", "!", "(", "_", "-", "<|", "<|endoftext|>", "日", "ท", "ิ", "\U0001f600", "‍", "ﬁ",
+             "Σ", "क", "़", "क़", "word", "\x00"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 14))) for _ in range(10_000)]
+    got = tokens.encode_texts(texts, path)
+    assert [t for t, x in zip(texts, got) if x != tokens._pack(tok.encode(t, add_special_tokens=False).ids)] == []
+    assert tokens.encode_texts(["café"], path) == tokens.encode_texts(["café"], path)
+
+
+def test_shards_refuse_ids_beyond_16_bits(spark, monkeypatch):
+    from fairaudit.llm import token_shards
+    monkeypatch.setattr(token_shards, "tokenizer", lambda path: type("T", (), {"get_vocab_size": lambda self: 70_000})())
+    with pytest.raises(ValueError, match="65,536"):
+        token_shards.write_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"), vocabulary_path(), "file:///tmp/none")
+
+
+# ---- stages beside columns of any name -----------------------------------------------------
+
+CLASHING = ["kept", "n_words", "n_lines", "_words", "_hash", "_lines", "_row", "rate", "n_copies", "copy", "order_key", "cdf", "_cdf", "_s",
+            "n_entities", "_m", "_new", "_parts", "_again", "_id", "_dedup_row", "uid", "at", "gone", "doc", "file", "row", "a.b", "_metadata"]
+
+
+@pytest.mark.parametrize("stage", ["quality_stage", "dedup_stage", "pii_stage", "mix_stage"])
+def test_stages_leave_columns_of_any_name_alone(spark, tmp_path, stage):
+    from pyspark.sql import functions as F
+    import corpus_pipeline
+    base = "the quick brown fox jumps over a lazy dog and runs to the river in the old town of stone near the hill and back again"
+    rows = [(i, (base if i % 3 else f"{base} number {i} is not like the others at all for it has other words such as {i * 7} and {i * 11}")
+             + " write to ann@mail.example.net now", "en", f"s{i % 2}", 1000 + i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"mine {c} "), F.col("doc_id")).alias(c) for c in CLASHING])
+    docs.write.parquet(str(tmp_path / "d"))
+    for given in (spark.read.parquet(str(tmp_path / "d")), docs):
+        out = getattr(corpus_pipeline, stage)(spark, given, "")
+        got = out.collect()
+        assert out.columns == docs.columns and got
+        for r in got:
+            assert [r[c] for c in CLASHING] == [f"mine {c} {r['doc_id']}" for c in CLASHING]
+
+
+def test_dedup_reads_stored_rows_again(spark, edge_docs, tmp_path):
+    """Rows of files need no copy; other rows get one. Both keep the same rows."""
+    from fairaudit.llm import near_dedup
+    edge_docs.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    assert near_dedup._place(stored) is not None and near_dedup._place(stored.filter("doc_id > 1")) is not None
+    assert near_dedup._place(edge_docs) is None and near_dedup._place(stored.union(stored)) is None
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(near_dedup.deduplicate(stored).collect(), key=key) == sorted(near_dedup.deduplicate(edge_docs).collect(), key=key)
+
+
+def test_scratch_tables_are_deleted(spark, edge_docs):
+    import os
+    from fairaudit.llm import near_dedup
+    from fairaudit.session import checkpoint_base
+    folder = checkpoint_base(spark).removeprefix("file:") + "/fairaudit"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    near_dedup.near_duplicates(edge_docs).collect()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"omh-marks"}
