@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairaudit.llm import mixing, near_dedup, packing, pii, quality
+from fairaudit.llm.columns import ROW, aside, back
 from fairaudit.llm.registry import read_table, register
 from fairaudit.llm.tokens import vocabulary_path
 from fairaudit.session import staged
@@ -28,20 +29,22 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    return near_dedup.deduplicate(docs).select(*docs.columns)
+    return near_dedup.deduplicate(docs)
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; ``n_chars`` follows the new text."""
-    out = pii.replace_pii(docs)
+    out = pii.replace_pii(aside(docs, "doc_id", "text"))
+    changed = F.col("n_entities") > 0
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col(ROW).getField("n_chars"))
+    return back(out, docs.columns, **new)
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents by source to the target mixture, in a global random order."""
-    return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
+    return back(mixing.mix(aside(docs, "doc_id", "source"), mixing.source_rates(docs)), docs.columns)
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
