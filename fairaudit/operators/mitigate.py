@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import keys_of, ratio, with_all, drop_all
 from ..session import bounded_broadcast, materialize, reuse
-from .prepare import first_k_by_hash
+from .prepare import hash_cuts, hash_order
 from .ranking import prefix_before
 
 BUCKETS = 1000  # score resolution of the ROC: thresholds b / 1000
@@ -98,25 +98,23 @@ def resample(df: DataFrame, group: str, label: str, key: str, seed: int = 42,
     """
     if mode == "none":
         return df
-    tab = reweigh_table(df, group, label)
-    tgt = tab.select(F.col("grp").alias("_ga"), F.col("y").alias("_ya"), F.col("n").alias("_m"),
-                     ((2 * F.col("n") * F.col("weight") + 1) / 2).cast("long").alias("_t_raw"))
-    # integer target: round(n * weight) = round(n_a * n_y / n), half up
-    tgt_b, _ = bounded_broadcast(tgt)
-    cell = F.concat_ws("\u0001", F.coalesce(F.col(group).cast("string"), F.lit("\u0000")),
-                       F.coalesce(F.col(label).cast("string"), F.lit("\u0000")))
-    d = df.withColumn("_cell", cell)
-    j = d.join(tgt_b, d[group].eqNullSafe(tgt_b["_ga"]) & d[label].eqNullSafe(tgt_b["_ya"]))
-    want = (tgt.select(F.concat_ws("\u0001", F.coalesce(F.col("_ga").cast("string"), F.lit("\u0000")),
-                                   F.coalesce(F.col("_ya").cast("string"), F.lit("\u0000"))).alias("_cell"),
-                       (F.col("_t_raw") % F.col("_m")).alias("_want")))
-    from .prepare import prefix_length
-    n_max = max((r["_m"] for r in tgt_b.select("_m").collect()), default=1)  # one row per cell
-    f = first_k_by_hash(j, "_cell", key, want, seed, prefix_length(n_max), out="_extra")
-    copies = (F.floor(F.col("_t_raw") / F.col("_m")) + F.col("_extra").cast("int")).cast("int")
-    out = f.withColumn("_copies", copies).where(F.col("_copies") > 0)
+    def text(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
+    tgt = reweigh_table(df, group, label).select(
+        F.col("grp").alias("_ga"), F.col("y").alias("_ya"), F.col("n").alias("_m"),
+        # integer target: round(n * weight) = round(n_a * n_y / n), half up
+        ((2 * F.col("n") * F.col("weight") + 1) / 2).cast("long").alias("_t_raw"))
+    tgt = materialize(tgt.withColumn("_cls", F.concat_ws("\u0001", text("_ga"), text("_ya"))))    # a row per cell
+    h = hash_order(F.col(key), seed)
+    rows = df.select(F.concat_ws("\u0001", text(group), text(label)).alias("_cls"), h.alias("_h"))
+    cuts = hash_cuts(rows, tgt.select("_cls", (F.col("_t_raw") % F.col("_m")).alias("_want")))
+    plan, _ = bounded_broadcast(tgt.join(cuts, "_cls", "left").drop("_cls"))
+    j = df.join(plan, df[group].eqNullSafe(plan["_ga"]) & df[label].eqNullSafe(plan["_ya"]))
+    extra = F.coalesce((h <= F.col("_cut")).cast("int"), F.lit(0))
+    copies = (F.floor(F.col("_t_raw") / F.col("_m")) + extra).cast("int")
+    out = j.withColumn("_copies", copies).where(F.col("_copies") > 0)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.drop("_cell", "_ga", "_ya", "_m", "_t_raw", "_extra", "_copies")
+    return out.drop("_ga", "_ya", "_m", "_t_raw", "_cut", "_copies")
 
 
 def resample_target_counts(n_a: int, n_y: int, n: int) -> int:

@@ -8,13 +8,15 @@ shuffled to impute or encode.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import bin_column, fill_group
 from ..functions.labels import NUMERIC, infer_positive, is_pos
-from ..session import BROADCAST_MAX_ROWS, bounded_broadcast, staged
+from ..session import bounded_broadcast, materialize, staged
 from .cube import as_list
 from .ranking import dense_index, exact_medians
 
@@ -329,14 +331,10 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def split_counts(class_counts: list[tuple], test_size: float, stratify: bool) -> dict:
-    """Test rows per class: n_test = ceil(test_size * n), allocated by largest
-    remainder (ties by class value) when stratified."""
-    import math
+def split_counts(class_counts: list[tuple], n_test: int) -> dict:
+    """Test rows per class: ``n_test`` allocated by largest remainder (ties by
+    class value)."""
     n = sum(c for _, c in class_counts)
-    n_test = math.ceil(test_size * n)
-    if not stratify:
-        return {None: n_test}
     base = {k: (c * n_test) // n for k, c in class_counts}
     rem = sorted(class_counts, key=lambda kc: (-((kc[1] * n_test) % n), str(kc[0])))
     left = n_test - sum(base.values())
@@ -345,73 +343,105 @@ def split_counts(class_counts: list[tuple], test_size: float, stratify: bool) ->
     return base
 
 
-def stratify_ok(class_counts: list[tuple], test_size: float) -> bool:
-    if len(class_counts) <= 1:
-        return False
-    m = min(c for _, c in class_counts)
-    return m >= 2 and int(m * test_size) >= 1
+def stratify_ok(classes: int, least: int | None, test_size: float) -> bool:
+    """At least two classes, each with a test row of its own."""
+    return classes > 1 and least >= 2 and int(least * test_size) >= 1
+
+
+CUT_PREFIX = 4        # hex digits by which a pass narrows the place of a cut
+CUT_ROWS = 50_000     # rows of a class that are numbered to find its cut
+CLASSES_MAX = 100_000  # classes whose shares are settled on the driver
 
 
-def first_k_by_hash(df: DataFrame, group: str, key: str, want: DataFrame, seed: int = 42,
-                    prefix_len: int = 4, out: str = "_first", n_groups: int | None = None) -> DataFrame:
-    """Flag the first ``_want`` rows of each ``group`` in ``md5(seed:key)`` order.
+def _class_prefixes(rows: DataFrame, length: int) -> DataFrame:
+    return rows.groupBy("_cls", F.substring("_h", 1, length).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
 
-    ``want``: (group, _want). The cut is found from counts per (group, hash
-    prefix) -- at most groups x 16^prefix_len rows -- so only the rows of one
-    boundary prefix per group are numbered; no group is ever sorted whole.
+
+def _boundary(hist: DataFrame, want: DataFrame) -> DataFrame:
+    """(_cls, _p, _n, _take): the prefix that holds a class's ``_want``-th hash and
+    how many of its rows are still wanted (all of a class that has fewer)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("_cls").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("_cls")
+    cum = hist.where("_p IS NOT NULL").select("_cls", "_p", "_n", F.sum("_n").over(w).alias("_upto"), F.sum("_n").over(every).alias("_all"))
+    wv = want.select(F.col("_cls").alias("_wc"), "_want")
+    j = cum.join(wv, cum["_cls"].eqNullSafe(wv["_wc"])).withColumn("_want", F.least("_want", "_all"))
+    before = F.col("_upto") - F.col("_n")
+    return (j.where((before < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
+             .select("_cls", "_p", "_n", (F.col("_want") - before).alias("_take")))
+
+
+def hash_cuts(rows: DataFrame, want: DataFrame, hist: DataFrame | None = None) -> DataFrame:
+    """(_cls, _cut): the ``_want``-th smallest hash of each class, so that the
+    first rows of a class in hash order are those with ``_h <= _cut``.
+
+    ``rows`` holds ``_cls, _h`` (hex text), ``want`` a row per class. Counts per hash prefix say
+    which prefix holds the cut; while it has over ``CUT_ROWS`` rows, a further
+    pass counts longer prefixes of those rows only. What is left is numbered per
+    class. No class is ever sorted whole, and a class without a row has no cut.
     """
     from pyspark.sql import Window
-    d = (df.withColumn("_h", hash_order(F.col(key), seed))
-           .withColumn("_p", F.substring("_h", 1, prefix_len)))
-    pref = d.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    wv = want.withColumnRenamed(group, "_gw")
-    cum = (pref.join(wv, pref[group].eqNullSafe(wv["_gw"])).drop("_gw")
-           .select(group, "_p", "_n", "_want", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
-    plan = cum.select(F.col(group).alias("_gp"), F.col("_p").alias("_pp"),
-                      F.when(F.col("_before") + F.col("_n") <= F.col("_want"), F.lit("in"))
-                       .when(F.col("_before") >= F.col("_want"), F.lit("out"))
-                       .otherwise(F.lit("cut")).alias("_kind"),
-                      (F.col("_want") - F.col("_before")).alias("_take"))
-    # size bound by construction: groups x 16^prefix_len rows (groups = rows of
-    # ``want``, counted here), so the cut table is broadcast without a pass
-    n_groups = want.count() if n_groups is None else n_groups
-    plan_b = F.broadcast(plan) if n_groups * 16 ** prefix_len <= BROADCAST_MAX_ROWS else plan
-    j = d.join(plan_b, d[group].eqNullSafe(plan_b["_gp"]) & (d["_p"] == plan_b["_pp"]), "left") \
-         .drop("_gp", "_pp")
-    wb = Window.partitionBy(group, "_p").orderBy("_h", key)
-    cut = j.where(F.col("_kind") == "cut").withColumn("_r", F.row_number().over(wb))
-    cut = cut.withColumn(out, F.col("_r") <= F.col("_take")).drop("_r")
-    rest = j.where(F.col("_kind").isNull() | (F.col("_kind") != "cut")).withColumn(out, F.col("_kind") == "in")
-    rest = rest.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-    return rest.unionByName(cut).drop("_h", "_p", "_kind", "_take")
-
-
-def prefix_length(n_max: int) -> int:
-    """Hash-prefix length so that both the prefix-count table per group and
-    the one boundary bucket numbered per group hold about sqrt(n) rows."""
-    import math
-    return min(8, max(4, math.ceil(math.log(max(n_max, 2) ** 0.5, 16))))
+    length = CUT_PREFIX
+    at = materialize(_boundary(_class_prefixes(rows, length) if hist is None else hist, want))
+
+    def inside(edge: DataFrame) -> DataFrame:
+        e, _ = bounded_broadcast(edge.select(F.col("_cls").alias("_ec"), F.col("_p").alias("_ep"), "_take"))
+        return rows.join(e, rows["_cls"].eqNullSafe(e["_ec"]) & F.col("_h").startswith(F.col("_ep")))
+    while length < 32:
+        most = at.where("_take < _n").agg(F.max("_n")).first()[0]
+        if most is None or most <= CUT_ROWS:
+            break
+        length += CUT_PREFIX
+        todo = at.select("_cls", F.col("_take").alias("_want"))
+        at = materialize(_boundary(_class_prefixes(inside(at).select("_cls", "_h"), length), todo))
+    whole = (F.col("_take") == F.col("_n")) | F.lit(length == 32)       # rows of one key share their hash
+    cuts = at.where(whole).select("_cls", F.rpad("_p", 32, "f").alias("_cut"))
+    wr = Window.partitionBy("_cls").orderBy("_h")
+    ranked = (inside(at.where(~whole)).withColumn("_r", F.row_number().over(wr))
+              .where(F.col("_r") == F.col("_take")).select("_cls", F.col("_h").alias("_cut")))
+    return materialize(cuts.unionByName(ranked))
 
 
 def split(df: DataFrame, key: str, target: str, test_size: float = 0.2, seed: int = 42,
-          stratify: bool = True, prefix_len: int | None = None, out: str = "split") -> DataFrame:
+          stratify: bool = True, out: str = "split") -> DataFrame:
     """Exact, repeatable train/test split (``split`` = 'train' | 'test').
 
     Rows are ordered by ``md5(seed:key)``; per class the first ``test_c`` rows
     in that order are test, with ``n_test = ceil(test_size * n)`` allocated to
-    classes by largest remainder when stratified.
+    classes by largest remainder when stratified. The result is one scan of the
+    input with a comparison of hashes. Rows that share a key fall on the same
+    side; rows without a key are train.
     """
-    counts = df.groupBy(F.col(target).cast("string").alias("_cls")).count().collect()  # per class
-    cc = [(r["_cls"], r["count"]) for r in counts]
-    if prefix_len is None:
-        prefix_len = prefix_length(max((c for _, c in cc), default=1))
-    strat = stratify and stratify_ok(cc, test_size)
-    want = split_counts(cc, test_size, strat)
-    cls = F.col(target).cast("string") if strat else F.lit(None).cast("string")
-    d = df.withColumn("_cls", cls)
-    want_df = df.sparkSession.createDataFrame([(k, int(v)) for k, v in want.items()],
-                                              "_cls string, _want long")
-    f = first_k_by_hash(d, "_cls", key, want_df, seed, prefix_len, "_test", n_groups=len(want))
-    return (f.withColumn(out, F.when(F.col("_test"), "test").otherwise("train"))
-             .drop("_test", "_cls"))
+    rows = df.select(F.col(target).cast("string").alias("_cls"), hash_order(F.col(key), seed).alias("_h"))
+    hist = materialize(_class_prefixes(rows, CUT_PREFIX))
+    per = hist.groupBy("_cls").agg(F.sum("_n").alias("_c"))
+    classes, least, n = per.agg(F.count(F.lit(1)), F.min("_c"), F.sum("_c")).first()
+    n_test = math.ceil(test_size * (n or 0))
+    strat = stratify and stratify_ok(classes, least, test_size)
+    h = hash_order(F.col(key), seed)
+    if not strat:
+        spark = df.sparkSession
+        want = spark.createDataFrame([(None, n_test)], "_cls string, _want long")
+        none = F.lit(None).cast("string")
+        whole = hist.groupBy("_p").agg(F.sum("_n").alias("_n")).select(none.alias("_cls"), "_p", "_n")
+        cut = hash_cuts(rows.select(none.alias("_cls"), "_h"), want, whole).first()
+        test = h <= F.lit(cut["_cut"]) if cut else F.lit(False)
+        return df.withColumn(out, F.when(test, "test").otherwise("train"))
+    cuts, _ = bounded_broadcast(hash_cuts(rows, class_shares(per, classes, n, n_test), hist).select(F.col("_cls").alias("_cut_of"), "_cut"))
+    j = df.join(cuts, F.col(target).cast("string").eqNullSafe(cuts["_cut_of"]), "left")
+    return j.withColumn(out, F.when(h <= F.col("_cut"), "test").otherwise("train")).drop("_cut_of", "_cut")
+
+
+def class_shares(per: DataFrame, classes: int, n: int, n_test: int) -> DataFrame:
+    """(_cls, _want): ``n_test`` dealt to classes by largest remainder (ties by class)."""
+    if classes <= CLASSES_MAX:
+        counts = [(r["_cls"], r["_c"]) for r in per.collect()]
+        return per.sparkSession.createDataFrame(list(split_counts(counts, n_test).items()), "_cls string, _want long")
+    share = F.col("_c").cast("decimal(19,0)") * F.lit(n_test).cast("decimal(19,0)")
+    exact = per.select("_cls", share.alias("_s"))
+    total = F.lit(n).cast("decimal(19,0)")
+    base = exact.select("_cls", F.floor((F.col("_s") - F.col("_s") % total) / total).cast("long").alias("_base"),
+                        (F.col("_s") % total).alias("_rest"))
+    left = n_test - (base.agg(F.sum("_base")).first()[0] or 0)
+    ranked = dense_index(base.withColumn("_o", F.struct((-F.col("_rest")).alias("r"), "_cls")), "_o", "_i")
+    return ranked.select("_cls", (F.col("_base") + (F.col("_i") < left).cast("long")).alias("_want"))
