@@ -14,6 +14,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -26,6 +27,7 @@ from ..session import bounded_broadcast
 from . import mitigate as MI
 from . import mixed_thresholds as MX
 from .prepare import WIDE_PREFIXES
+from .saddle import Game
 
 LR_MAX_ITER = 1000
 RF_TREES = 200
@@ -126,8 +128,8 @@ def debiased_features(features: list[str], sensitive: str, mode: str = "wide") -
 @dataclass
 class ConstrainedModel:
     """Mixture of hypotheses (each a fitted model or a constant label) with
-    mixture weights; ``history`` records, per prefix of iterations, the
-    expected group rates, violation and error used to choose the mixture."""
+    mixture weights; ``history`` records, per iteration, the primal-dual gap,
+    the largest constraint violation and the error of the mixture then best."""
     members: list  # (weight, PipelineModel | int)
     features: list[str]
     history: list = field(default_factory=list)
@@ -159,102 +161,123 @@ class ConstrainedModel:
         return d.drop(*drop)
 
 
+CONSTRAINED_ITERATIONS = 50
+MAX_CELLS = 20_000       # constraint cells (groups, or groups x labels) whose multipliers the driver holds
+LP_CELLS = 500           # up to here the best mixture of the hypotheses is solved for, beyond only averaged
+SHRINK = 0.8
+
+
 def fair_constrained(train: DataFrame, features: list[str], group: str = "sensitive", label: str = "y",
-                     constraint: str = "demographic_parity", iterations: int = 10, eps: float = 0.01,
-                     eta: float = 2.0, seed: int = 42) -> ConstrainedModel:
-    """Exponentiated-gradient reduction with a weighted LR best response.
+                     constraint: str = "demographic_parity", iterations: int = CONSTRAINED_ITERATIONS, eps: float = 0.01,
+                     eta: float = 2.0, seed: int = 42, nu: float | None = None) -> ConstrainedModel:
+    """Exponentiated-gradient reduction with a weighted LR best response
+    (Agarwal et al. 2018).
 
     Per iteration: costs reach the rows through a broadcast join of the
     (group[, label]) multiplier table; the relabelled, re-weighted rows train
     an LR; one aggregate measures the new hypothesis' rates and errors per
-    cell. The returned mixture is the uniform average of the first t
-    hypotheses for the t whose expected violation is within ``eps`` with the
-    lowest error (else the smallest violation). Only cells x iterations
-    numbers live on the driver.
+    cell. Rates are linear in a mixture, so every mixture is known without a
+    pass: the average of the plays, and the best mixture of all hypotheses
+    (``saddle.Game``). Learning stops when the primal-dual gap of the better of
+    the two, checked with a best response of its own, is at most ``nu`` (default:
+    half the standard error of the first hypothesis' error), or after
+    ``iterations``. The step shrinks while the gap of the average does not fall.
+
+    The driver holds hypotheses x cells numbers; more than ``MAX_CELLS`` cells
+    are refused. A null group is a group of its own. ``history`` has, per
+    iteration, the gap, violation and error of the mixture and the step.
     """
     key = constraint.strip().lower()
     if key not in ("demographic_parity", "equalized_odds"):
         raise ValueError("Unsupported constraint. Use 'demographic_parity' or 'equalized_odds'.")
-    bad = train.where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).limit(1).count()
-    if bad:
-        raise ValueError("Fairness-Constrained Learning requires binary labels encoded as 0/1.")
-    data = train.select(*features, F.col(group).cast("string").alias("_g"), F.col(label).alias("_y"))
+    data = train.select(*features, MI._group_text(group).alias("_g"), F.col(label).alias("_y"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    eo = key == "equalized_odds"
+    try:
+        return _constrained(data, features, key == "equalized_odds", iterations, eps, eta, seed, nu)
+    finally:
+        data.unpersist()
+
+
+def _constrained(data: DataFrame, features: list[str], eo: bool, iterations: int, eps: float, eta: float,
+                 seed: int, nu: float | None) -> ConstrainedModel:
+    spark = data.sparkSession
+    counts = data.groupBy("_g", "_y").agg(F.count(F.lit(1)).alias("_n")).limit(2 * MAX_CELLS + 3).collect()
+    if any(r["_y"] not in (0, 1) for r in counts):
+        raise ValueError("Fairness-Constrained Learning requires binary labels encoded as 0/1.")
     cell_keys = ["_g", "_y"] if eo else ["_g"]
-    cells = data.groupBy("_g", "_y").agg(F.count(F.lit(1)).alias("_n")).collect()
-    n = sum(r["_n"] for r in cells)
-    cell_n: dict = {}
-    for r in cells:
-        c = (r["_g"], r["_y"]) if eo else (r["_g"],)
-        cell_n[c] = cell_n.get(c, 0) + r["_n"]
-    ev_tot: dict = {}
-    for c, nc in cell_n.items():
-        e = c[1] if eo else 0
-        ev_tot[e] = ev_tot.get(e, 0) + nc
-    B = 1.0 / eps
-    theta = {(c, s): 0.0 for c in cell_n for s in (+1, -1)}
-    members, hist_rates, hist_err = [], [], []
-    spark = train.sparkSession
-    for t in range(iterations):
-        z = 1.0 + sum(math.exp(v) for v in theta.values())
-        lam = {k: B * math.exp(v) / z for k, v in theta.items()}
-        d = {c: lam[(c, 1)] - lam[(c, -1)] for c in cell_n}
-        rows = []
-        for c, nc in cell_n.items():
-            e = c[1] if eo else 0
-            same = sum(d[c2] for c2 in cell_n if (c2[1] if eo else 0) == e)
-            rows.append((*[str(x) if i == 0 else int(x) for i, x in enumerate(c)],
-                         float(d[c] / nc - same / ev_tot[e])))
-        schema = "_g string, _y int, _lc double" if eo else "_g string, _lc double"
-        lt, _ = bounded_broadcast(spark.createDataFrame(rows, schema))
-        costed = data.join(lt, cell_keys, "left").withColumn(
-            "_c", (1 - 2 * F.col("_y")) / F.lit(float(n)) + F.coalesce(F.col("_lc"), F.lit(0.0)))
-        relabel = costed.select(*features, "_g", "_y", (F.col("_c") < 0).cast("int").alias("_rl"),
-                                (F.abs(F.col("_c")) * n).alias("_rw"))
-        k = relabel.agg(F.min("_rl").alias("lo"), F.max("_rl").alias("hi"), F.sum("_rw").alias("sw")).first()
+    size: dict = {}
+    for r in counts:
+        cell = tuple(r[k] for k in cell_keys)
+        size[cell] = size.get(cell, 0) + r["_n"]
+    if len(size) > MAX_CELLS:
+        raise ValueError(f"Fairness-Constrained Learning takes up to {MAX_CELLS} groups.")
+    cells = sorted(size, key=str)
+    share = np.array([size[c] for c in cells], float)
+    n = share.sum()
+    event = np.array([int(c[-1]) if eo else 0 for c in cells])
+    in_event = np.array([share[event == e].sum() for e in event])
+
+    def gamma_of(rates: dict) -> np.ndarray:
+        """E[h | cell] - E[h | event of the cell] for every cell."""
+        r = np.array([rates.get(c, 0.0) for c in cells])
+        return r - np.array([(r * share)[event == e].sum() for e in event]) / in_event
+    game = Game(eps, 1.0 / eps)
+    models: list = []
+
+    def respond(multipliers: np.ndarray) -> int:
+        """The hypothesis of least Lagrangian, fitted and measured."""
+        d = multipliers[:len(cells)] - multipliers[len(cells):]
+        same = np.array([d[event == e].sum() for e in event])
+        cost = d / share - same / in_event
+        rows = [(*[str(x) if i == 0 else int(x) for i, x in enumerate(c)], float(v)) for c, v in zip(cells, cost)]
+        table, _ = bounded_broadcast(spark.createDataFrame(rows, "_g string, _y int, _lc double" if eo else "_g string, _lc double"))
+        c = (1 - 2 * F.col("_y")) / F.lit(float(n)) + F.col("_lc")
+        costed = data.join(table, cell_keys).select(*features, (c < 0).cast("int").alias("_lab"), (F.abs(c) * n).alias("_rw"))
+        k = costed.agg(F.min("_lab").alias("lo"), F.max("_lab").alias("hi"), F.sum("_rw").alias("sw")).first()
         if k["lo"] == k["hi"] or not k["sw"]:
-            h = int(k["lo"] or 0)  # all relabels agree: the constant hypothesis
-            members.append((1.0, h))
-            scored = data.withColumn("_h", F.lit(h))
+            model = int(k["lo"] or 0)      # all relabels agree: the constant hypothesis
+            scored = data.withColumn("_h", F.lit(model))
         else:
-            model = fit(relabel.withColumnRenamed("_rl", "_lab"), features,
-                        ModelSpec("logistic_regression", balanced=False, seed=seed),
-                        label="_lab", sample_weight="_rw")
-            members.append((1.0, model))
+            model = fit(costed, features, ModelSpec("logistic_regression", balanced=False, seed=seed), label="_lab", sample_weight="_rw")
             scored = score(model, data, out="_h")
-        pr = scored.groupBy(*cell_keys).agg(F.avg("_h").alias("r"),
-                                             F.sum((F.col("_h") != F.col("_y")).cast("int")).alias("e")).collect()
-        rates = {tuple(r[k2] for k2 in cell_keys): r["r"] for r in pr}
-        hist_rates.append(rates)
-        hist_err.append(sum(r["e"] for r in pr) / n)
-        gam = _violations(rates, cell_n, ev_tot, eo)
-        for c in cell_n:
-            theta[(c, 1)] += eta * (gam[c] - eps) / math.sqrt(t + 1)
-            theta[(c, -1)] += eta * (-gam[c] - eps) / math.sqrt(t + 1)
-    data.unpersist()
-    # choose the prefix average: feasible with least error, else least violation
-    history, best = [], None
-    for t in range(1, len(members) + 1):
-        avg = {c: sum(hist_rates[i].get(c, 0.0) for i in range(t)) / t for c in cell_n}
-        viol = max(abs(v) for v in _violations(avg, cell_n, ev_tot, eo).values())
-        err = sum(hist_err[:t]) / t
-        history.append({"t": t, "violation": viol, "error": err})
-        cand = (0 if viol <= eps else 1, viol if viol > eps else err, t)
-        if best is None or cand < best:
-            best = cand
-    t_best = best[2]
-    mix = [(1.0 if i < t_best else 0.0, m) for i, (_, m) in enumerate(members)]
-    return ConstrainedModel(mix, features, history)
-
-
-def _violations(rates: dict, cell_n: dict, ev_tot: dict, eo: bool) -> dict:
-    """gamma_c = E[h | c] - E[h | event(c)] for every cell."""
-    ev_rate: dict = {}
-    for c, nc in cell_n.items():
-        e = c[1] if eo else 0
-        ev_rate[e] = ev_rate.get(e, 0.0) + rates.get(c, 0.0) * nc / ev_tot[e]
-    return {c: rates.get(c, 0.0) - ev_rate[c[1] if eo else 0] for c in cell_n}
+        got = scored.groupBy(*cell_keys).agg(F.avg("_h").alias("r"), F.sum((F.col("_h") != F.col("_y")).cast("int")).alias("e")).collect()
+        models.append(model)
+        return game.add(sum(r["e"] for r in got) / n, gamma_of({tuple(r[x] for x in cell_keys): r["r"] for r in got}))
+
+    theta = np.zeros(2 * len(cells))
+    total, plays, history = np.zeros(2 * len(cells)), [], []
+    best: tuple | None = None
+    last = float("inf")
+    for t in range(iterations):
+        e = np.exp(theta - max(theta.max(initial=0.0), 0.0))
+        multipliers = game.bound * e / (np.exp(-max(theta.max(initial=0.0), 0.0)) + e.sum())
+        plays.append(respond(multipliers))
+        total += multipliers
+        if nu is None:
+            first = game.errors[0]
+            nu = 0.5 * math.sqrt(max(first * (1 - first), 1e-12) / n)
+        average = np.bincount(plays, minlength=len(models)) / len(plays)
+        averaged = game.gap(average, total / len(plays))
+        options = [(averaged, average, total / len(plays))]
+        if len(cells) <= LP_CELLS:
+            options.append((None, *game.best_mixture()))
+        options = [(game.gap(w, m), w, m) for _, w, m in options]
+        gap, weights, dual = min(options, key=lambda o: o[0])
+        if gap <= nu:          # against the known hypotheses; the best response decides
+            respond(dual)
+            gap = game.gap(weights, dual)
+        if best is None or gap < best[0] or (gap <= nu and game.violation(weights) < game.violation(best[1])):
+            best = (gap, weights)
+        history.append({"t": t + 1, "gap": gap, "violation": game.violation(weights), "error": game.mixture(weights)[0], "eta": eta})
+        if gap <= nu:
+            break
+        theta = theta + eta * (game.gammas[plays[-1]] - eps)
+        if averaged > SHRINK * last:
+            eta *= SHRINK
+        last = averaged
+    weights = best[1] if best else np.ones(0)
+    members = [(float(w), m) for w, m in zip(weights, models) if w > 1e-12]
+    return ConstrainedModel(members, features, history)
 
 
 # --------------------------------------------------------------------------
@@ -273,7 +296,7 @@ REMOVAL = "Feature Removal or Auditing"
 def run_strategy(name: str, train: DataFrame, test: DataFrame, features: list[str],
                  sensitive_col: str = "sensitive", sensitive_name: str | None = None,
                  baseline: PipelineModel | None = None, spec: ModelSpec = ModelSpec(),
-                 removal_mode: str = "wide", constrained_iterations: int = 10, key: str | None = None):
+                 removal_mode: str = "wide", constrained_iterations: int = CONSTRAINED_ITERATIONS, key: str | None = None):
     """(model, test predictions with ``y_pred``) for one canonical strategy.
     Unknown names, monitoring and resampling fall through to the baseline.
     ``key`` names the row key that seeds the draws of mixed thresholds and of

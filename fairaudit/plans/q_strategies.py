@@ -274,7 +274,7 @@ def q_model_benchmark(spark, d):
 def q_fair_constrained(spark, d):
     tr, te, feats = _train_test(spark, d)
     base = MO.fit(tr, feats)
-    cm = MO.fair_constrained(tr, feats, "sensitive", "y", iterations=10)
+    cm = MO.fair_constrained(tr, feats, "sensitive", "y")
     preds = (MO.score(base, te).select("sensitive", "y", "y_pred", F.lit("baseline").alias("model"))
              .unionByName(cm.predict(te).select("sensitive", "y", "y_pred", F.lit("constrained").alias("model"))))
     return evaluate_predictions(preds, "y", "y_pred", "sensitive", model_col="model")
