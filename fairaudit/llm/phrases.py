@@ -47,6 +47,8 @@ SLICE = 1 << 19              # bytes of text handled together
 RUN = 750_000                # fingerprints counted together
 HELD = 1_500_000             # distinct fingerprints a task holds before it hands them on
 CUT = 200_000                # phrases cut out before equal ones are added up
+DISTINCT = 1_000_000         # distinct phrases a task holds before it hands them on
+SPLITS = 4                   # splits of the input that a task reads to materialise phrases
 BITS_EACH = 32               # of the bit table, for each frequent fingerprint
 BITS_MOST = 1 << 29          # 64 MB, whatever the corpus
 BLOCK_BITS = 1 << 16
@@ -340,12 +342,14 @@ def materialised(docs: DataFrame, table) -> DataFrame:
                                   pa.array(total.astype(np.int64)), pa.array(np.full(len(codes), -1 << 32, np.int64))],
                                  names=["lang", "words", "phrase", "f", "at"]))
             if todo >= CUT:
-                if summed().num_rows > 2 * CUT:
+                if summed().num_rows > DISTINCT:
                     yield from rows()
                 pa.default_memory_pool().release_unused()
                 todo = 0
         yield from rows()
-    found = _inputs(docs).mapInArrow(run, "lang string, words int, phrase binary, f long, doc_id long, word long")
+    # nearly every task sees every frequent phrase: fewer, larger tasks hand on fewer rows
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // SPLITS))
+    found = _inputs(docs).coalesce(tasks).mapInArrow(run, "lang string, words int, phrase binary, f long, doc_id long, word long")
     return (found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), F.min(F.struct("doc_id", "word")).alias("at"))
             .select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "f", "at.doc_id", "at.word"))
 
