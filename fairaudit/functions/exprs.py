@@ -12,6 +12,11 @@ def dbl(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den as double; null when den is 0 or null (ANSI-safe)."""
     return F.try_divide(dbl(num), dbl(den))

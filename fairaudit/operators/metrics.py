@@ -6,9 +6,6 @@ Every function here is a second-stage aggregate over a table of at most
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,8 +234,13 @@ def confusion_matrix(df: DataFrame, y_true="y_true", y_pred="y_pred", slice_cols
     return drop_all(out, slice_cols)
 
 
-def label_performance(cube: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., attr, accuracy, precision, recall) for any label values.
+def _evaluated(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """Fairness and performance per (keys, attr) from one pass over the cube.
+
+    Every cube row gives a row for its group (true and false positives and
+    negatives under the positive label of its slice) and one for each of its two labels
+    (support, hits, predictions); both kinds are summed by one aggregate and
+    reduced by a second one, so the cube is computed once.
 
     Accuracy counts equal labels. Precision and recall are those of label 1
     when a slice has at most two labels and 1 is among them (or has a single
@@ -247,50 +249,67 @@ def label_performance(cube: DataFrame, keys: list[str]) -> DataFrame:
     """
     dt = cube.select(F.array("y_true", "y_pred").alias("a")).schema["a"].dataType.elementType
     text = isinstance(dt, T.StringType)
-    yt, yp = (F.col(c).cast(dt) for c in ("y_true", "y_pred"))
+    pos = window_positive_label(F.col("y_true").cast(dt), F.col("y_pred").cast(dt), keys, dt, "pair")
+    c = cube.withColumn("_pos", pos)
+    t, q = is_pos(F.col("y_true"), F.col("_pos")) == 1, is_pos(F.col("y_pred"), F.col("_pos")) == 1
+    yt, yp = (F.col(x).cast(dt) for x in ("y_true", "y_pred"))
     if not text:
-        yt, yp = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (yt, yp))
-    n, same, none = F.col("n"), yt.eqNullSafe(yp), F.lit(0).cast("long")
-    sides = F.array(
-        F.struct(yt.alias("c"), n.alias("support"), F.when(same, n).otherwise(none).alias("tp"), none.alias("predicted")),
-        F.struct(yp.alias("c"), none.alias("support"), none.alias("tp"), n.alias("predicted")))
-    cls = (cube.select(*keys, "attr", F.explode(sides).alias("s")).select(*keys, "attr", "s.*")
-           .groupBy(*keys, "attr", "c").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")]))
-    one = F.lit(False) if text else F.col("c") == 1
-    sup, tp, pred = F.col("support"), F.col("tp"), F.col("predicted")
-    a = cls.groupBy(*keys, "attr").agg(
-        F.sum(sup).alias("_n"), F.sum(tp).alias("_ok"), F.count(F.lit(1)).alias("_k"), F.max(one).alias("_has"),
-        *[F.sum(F.when(one, F.col(c)).otherwise(0)).alias(f"_{c}") for c in ("support", "tp", "predicted")],
-        F.sum(sup * rate0(tp, pred)).alias("_wp"), F.sum(sup * rate0(tp, sup)).alias("_wr"))
+        yt, yp = (F.coalesce(x.cast("double"), F.lit(0.0)) for x in (yt, yp))
+    n, none = F.col("n"), F.lit(0).cast("long")
+
+    def row(grp, label, *sums):
+        no_grp, no_label = F.lit(None).cast("string"), F.lit(None).cast(yt_type)
+        return F.struct(F.lit(label is None).alias("g"), (no_grp if grp is None else grp).alias("grp"),
+                        (no_label if label is None else label).alias("c"), *[x.alias(f"s{i}") for i, x in enumerate(sums)])
+    yt_type = "string" if text else "double"
+    hit = lambda cond: F.when(cond, n).otherwise(none)
+    rows = F.array(row(F.col("grp"), None, n, hit(t & q), hit(~t & q), hit(t & ~q), hit(~t & ~q)),
+                   row(None, yt, n, hit(yt.eqNullSafe(yp)), none, none, none),
+                   row(None, yp, none, none, n, none, none))
+    summed = (c.select(*keys, "attr", F.explode(rows).alias("r")).select(*keys, "attr", "r.*")
+              .groupBy(*keys, "attr", "g", "grp", "c").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)]))
+    s = [F.col(f"s{i}") for i in range(5)]
+    one = F.lit(False) if text else F.coalesce(F.col("c") == 1, F.lit(False))
+    of_group = lambda x: F.when(F.col("g"), x)
+    of_class = lambda x: F.when(~F.col("g"), x)
+    tpr, fpr, rate = rate0(s[1], s[1] + s[3]), rate0(s[2], s[2] + s[4]), ratio(s[1] + s[2], s[0])
+    a = summed.groupBy(*keys, "attr").agg(
+        F.sum(of_group(s[0])).alias("n"), F.sum(of_group(s[1] + s[2])).alias("_pp"),
+        F.max(of_group(rate)).alias("_smax"), F.min(of_group(rate)).alias("_smin"),
+        (F.max(of_group(tpr)) - F.min(of_group(tpr))).alias("_tgap"), (F.max(of_group(fpr)) - F.min(of_group(fpr))).alias("_fgap"),
+        F.sum(of_class(s[1])).alias("_ok"), F.sum(of_class(F.lit(1))).alias("_k"), F.max(of_class(one)).alias("_has"),
+        *[F.sum(of_class(F.when(one, s[i]).otherwise(0))).alias(f"_one{i}") for i in range(3)],
+        F.sum(of_class(s[0] * rate0(s[1], s[2]))).alias("_wp"), F.sum(of_class(s[0] * rate0(s[1], s[0]))).alias("_wr"))
     binary = (F.col("_k") < 2) | ((F.col("_k") == 2) & F.col("_has"))
     return a.select(
-        *keys, "attr", ratio(F.col("_ok"), F.col("_n")).alias("accuracy"),
-        F.when(binary, rate0(F.col("_tp"), F.col("_predicted"))).otherwise(ratio(F.col("_wp"), F.col("_n"))).alias("precision"),
-        F.when(binary, rate0(F.col("_tp"), F.col("_support"))).otherwise(ratio(F.col("_wr"), F.col("_n"))).alias("recall"))
+        *keys, "attr", "n", ratio(F.col("_ok"), F.col("n")).alias("accuracy"),
+        F.when(binary, rate0(F.col("_one1"), F.col("_one2"))).otherwise(ratio(F.col("_wp"), F.col("n"))).alias("precision"),
+        F.when(binary, rate0(F.col("_one1"), F.col("_one0"))).otherwise(ratio(F.col("_wr"), F.col("n"))).alias("recall"),
+        (F.col("_smax") - F.col("_smin")).alias("demographic_parity_difference"),
+        F.greatest(F.col("_tgap"), F.col("_fgap")).alias("equalized_odds_difference"),
+        F.when(F.col("_smax") == 0, F.lit(1.0)).otherwise(ratio(F.col("_smin"), F.col("_smax"))).alias("disparate_impact_ratio"),
+        ratio(F.col("_pp"), F.col("n")).alias("predicted_positive_rate"))
 
 
 def evaluate_predictions(df: DataFrame, y_true="y_true", y_pred="y_pred", attrs="grp",
                          slice_cols=(), model_col: str | None = None, binary: bool = False) -> DataFrame:
     """Performance + fairness per (slice[, model], attr) from one cube.
 
-    ``binary`` states that the labels are 0/1, which saves the second branch
-    over the cube; without it the labels found in each slice decide.
+    ``binary`` states that the labels are 0/1, which saves an exchange; without
+    it the labels found in each slice decide.
     """
     sc = list(slice_cols) + ([model_col] if model_col else [])
     keys = keys_of(sc)
     cube = confusion_cube(df, y_true, y_pred, attrs, sc)
-    fair = fairness_from_confusion(binarized_confusion(cube, keys), keys)
     if binary:
+        fair = fairness_from_confusion(binarized_confusion(cube, keys), keys)
         # accuracy, precision and recall follow from the binarised totals of
         # the same aggregate -- no second branch, no join
         tp, fp, fn, tn = (F.col(f"{c}_all") for c in ("tp", "fp", "fn", "tn"))
         j = fair.select("*", ratio(tp + tn, F.col("n")).alias("accuracy"),
                         rate0(tp, tp + fp).alias("precision"), rate0(tp, tp + fn).alias("recall"))
     else:
-        perf = label_performance(cube, keys)
-        perf = perf.select(*[F.col(k).alias(f"_p_{k}") for k in keys + ["attr"]], "accuracy", "precision", "recall")
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys + ["attr"]])
-        j = fair.join(perf, same)
+        j = _evaluated(cube, keys)
     out = j.select(
         *keys, "attr", "n",
         r6(F.col("accuracy")).alias("accuracy"), r6(F.col("precision")).alias("precision"),

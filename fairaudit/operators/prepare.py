@@ -9,14 +9,15 @@ shuffled to impute or encode.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import bin_column, fill_group
+from ..functions.exprs import bin_column, fill_group, named
 from ..functions.labels import NUMERIC, infer_positive, is_pos
-from ..session import bounded_broadcast, materialize, staged
+from ..session import bounded_broadcast, materialize, scratch_path, staged
 from .cube import as_list
 from .ranking import dense_index, exact_medians
 
@@ -44,7 +45,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN -> null once, at load (Spark aggregates treat NaN as a value)."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = named(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.nanvl(c, F.lit(None).cast(f.dataType))
         out.append(c.alias(f.name))
@@ -60,12 +61,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     """
     if not cols:
         return {}
-    parts = [df.where(F.col(c).isNotNull())
-               .select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    counts = u.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = _value_rows(df, cols).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("col").agg(
         F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("v").alias("vv"))).alias("mode"))
     found = {r["col"]: r["mode"] for r in best.collect()}  # one row per column
@@ -111,15 +107,15 @@ def apply_fill(df: DataFrame, stats: dict[str, object]) -> DataFrame:
             v = stats[c]
             if isinstance(dt, T.BooleanType) and v == "missing":
                 lit = F.lit("missing")
-                out.append(F.coalesce(F.col(c).cast("string"), lit).alias(c))
+                out.append(F.coalesce(named(c).cast("string"), lit).alias(c))
                 continue
             if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) and \
                     isinstance(v, float) and not float(v).is_integer():
-                out.append(F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c))
+                out.append(F.coalesce(named(c).cast("double"), F.lit(v)).alias(c))
                 continue
-            out.append(F.coalesce(F.col(c), F.lit(v).cast(dt)).alias(c))
+            out.append(F.coalesce(named(c), F.lit(v).cast(dt)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -133,17 +129,14 @@ def impute(df: DataFrame, numeric=None, categorical=None, fit_on: DataFrame | No
 def _bounded_columns(df: DataFrame, cols: list[str], max_values: int) -> list[str]:
     """Columns whose distinct count may be within ``max_values`` (one sketch
     pass; the 1.5x margin is far beyond the sketch's error)."""
-    a = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    a = df.agg(*[F.approx_count_distinct(named(c), 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if a[f"a{i}"] <= max_values * 1.5 + 10]
 
 
 def _value_rows(df: DataFrame, cols: list[str]) -> DataFrame:
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("col"), F.col(c).cast("string").alias("v"))
-             for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+    """(col, v): the non-null values of some columns as text, in one scan."""
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), named(c).cast("string").alias("v")) for c in cols])
+    return df.select(F.explode(cells).alias("x")).select("x.col", "x.v").where("v IS NOT NULL")
 
 
 def category_values(df: DataFrame, cols: list[str], max_values: int = MAX_ONE_HOT,
@@ -182,9 +175,9 @@ def one_hot(df: DataFrame, cols=None, values: dict[str, list] | None = None) ->
     for c in df.columns:
         if c in cols:
             for v in values[c]:
-                out.append((F.col(c).cast("string") == F.lit(v)).cast("int").alias(f"{c}_{v}"))
+                out.append((named(c).cast("string") == F.lit(v)).cast("int").alias(f"{c}_{v}"))
         else:
-            out.append(F.col(c))
+            out.append(named(c))
     return df.select(*out)
 
 
@@ -205,25 +198,52 @@ def one_hot_vector(df: DataFrame, cols, output: str = "features_cat"):
     return model, names
 
 
+def plain_name(name: str, taken: set[str]) -> str:
+    """A column name without dots and backticks, which mean something in
+    expressions, that is not taken yet whatever the case of its letters."""
+    base = re.sub(r"[.`]", "_", name) or "_"
+    out, i = base, 1
+    while out.lower() in taken:
+        i += 1
+        out = f"{base}_{i}"
+    taken.add(out.lower())
+    return out
+
+
+SPREAD = 1024        # tasks' worth of keys among which missing values are dealt in a join
+
+
 def one_hot_sparse(df: DataFrame, cols) -> DataFrame:
     """Each column replaced in place by its sparse vector ``{col}_values``, for
     any number of values: slot i stands for the i-th value in sorted order, the
     last slot for null. The values are numbered by a distributed sort and joined
-    back, so no task and not the driver ever holds all of them."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    back, so no task and not the driver ever holds all of them; missing values
+    are dealt over many keys of that join. The vectors are written as their
+    stored form (kind, size, indices, values) and read back as vectors, all in
+    the JVM."""
+    from pyspark.ml.linalg import VectorUDT
     cols = as_list(cols)
-    enc, sizes = df, {}
+    enc, sizes = df.withColumn("_sparse_row", F.monotonically_increasing_id()), {}
+    stored = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
     for i, c in enumerate(cols):
-        value, slot = f"_sparse_value_{i}", f"_sparse_slot_{i}"
-        enc = enc.withColumn(value, F.col(c).cast("string"))
-        distinct = enc.select(value).where(F.col(value).isNotNull()).distinct()
+        value, slot, key = f"_sparse_value_{i}", f"_sparse_slot_{i}", f"_sparse_key_{i}"
+        text = named(c).cast("string")
+        distinct = df.select(text.alias(value)).where(F.col(value).isNotNull()).distinct()
         codes = staged(dense_index(distinct, value, slot), "one-hot-codes")
         n = codes.count()
-        vector = F.udf(lambda k, n=n: Vectors.sparse(n + 1, [n if k is None else k], [1.0]), VectorUDT())
-        enc = enc.join(codes, value, "left").withColumn(f"_sparse_{i}", vector(F.col(slot))).drop(value, slot)
+        codes = codes.select(F.concat(F.lit("v"), F.col(value)).alias(key), slot)
+        spread = F.concat(F.lit("n"), F.pmod(F.col("_sparse_row"), F.lit(SPREAD)).cast("string"))
+        at = F.coalesce(F.col(slot), F.lit(n)).cast("int")
+        vector = F.struct(F.lit(0).cast("tinyint"), F.lit(n + 1), F.array(at), F.array(F.lit(1.0))).cast(stored)
+        enc = (enc.withColumn(key, F.coalesce(F.concat(F.lit("v"), text), spread)).join(codes, key, "left")
+                  .withColumn(f"_sparse_{i}", vector).drop(key, slot))
         sizes[c] = {"ml_attr": {"num_attrs": n + 1}}          # models need the size, not the names
-    at = {c: i for i, c in enumerate(cols)}
-    return enc.select(*[F.col(f"_sparse_{at[c]}").alias(f"{c}_values", metadata=sizes[c]) if c in at else F.col(c) for c in df.columns])
+    order = {c: i for i, c in enumerate(cols)}
+    out = enc.select(*[F.col(f"_sparse_{order[c]}").alias(f"{c}_values") if c in order else named(c) for c in df.columns])
+    path = scratch_path(df.sparkSession, "one-hot-vectors")
+    out.write.parquet(path)
+    schema = T.StructType([T.StructField(f"{c}_values", VectorUDT(), True, sizes[c]) if c in order else df.schema[c] for c in df.columns])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def encode_binary_target(df: DataFrame, target: str, out: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import named
 from ..session import bounded_broadcast, reuse
 
 # A candidate set at most this large (distinct values in the bracket) is
@@ -108,7 +109,9 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """
     if not cols:
         return {}
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    names = cols
+    cols = [f"c{i}" for i in range(len(names))]         # whatever the columns are called
+    d = df.select(*[named(n).cast("double").alias(c) for n, c in zip(names, cols)])
     eps = 3.0 / QUANTILE_ACCURACY
     first = d.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
                   *[F.percentile_approx(c, [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)],
@@ -160,7 +163,7 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
             for c in narrow:
                 state[c]["lo"], state[c]["hi"] = q[f"q_{c}"]
         pending = narrow + again
-    return result
+    return {n: result[c] for n, c in zip(names, cols)}
 
 
 def _below(c, lo):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.exprs import named
 from ..operators import prepare as P
 from ..session import materialize
 from ..operators.cube import as_list
@@ -19,32 +21,65 @@ def prepare_dataset(df: DataFrame, target: str, sensitive: str, key: str,
     ``sensitive`` (the imputed group value) and ``split``. Imputation
     statistics come from all rows, target and sensitive column included, as
     the audit this mirrors does.
+
+    Columns and values may have any name: a feature is called after its column
+    (and value), with an underscore for a dot or backtick, and numbered if that
+    name is taken (by the key, ``y``, ``sensitive`` or ``split`` as well, in letters
+    of either case); its metadata hold the column and the value as they were. A date counts as
+    days, a time as seconds since 1970. Nested and binary columns are refused.
     """
     exclude = set(as_list(exclude))
-    cols = [c for c in df.columns if c != key and c not in exclude]
+    given = [c for c in df.columns if c != key and c not in exclude]
+    odd = [c for c in given if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    if odd:
+        raise ValueError(f"columns {odd} cannot be features; exclude them")
+    taken = {key.lower(), "y", "sensitive", "split", "_y", "_key"}
+    name = {c: P.plain_name(c, taken) for c in given}
+    cols = [name[c] for c in given]
+    target, sensitive_name = name[target], name[sensitive]
     # the statistics below take several passes: read the input once, then
     # work from a checkpoint of just the needed columns
-    base = materialize(P.nan_to_null(df.select(key, *cols)))
-    cat_cols = P.categorical_columns(base)
+    base = materialize(P.nan_to_null(df.select(named(key).alias("_key"), *[_as_feature(df, c).alias(name[c]) for c in given])))
+    cat_cols = P.categorical_columns(base.drop("_key"))
     # one (column, value) count gives the modes and the one-hot value lists
     modes, values = P.modes_and_values(base, cat_cols)
     stats = {c: (0 if m is None else m) for c, m in
-             P.exact_medians(base, [c for c in P.numeric_columns(base) if c != key]).items()}
+             P.exact_medians(base, P.numeric_columns(base.drop("_key"))).items()}
     stats.update({c: ("missing" if modes.get(c) is None else modes[c]) for c in cat_cols})
     for c in cat_cols:
         if values[c] is not None and modes.get(c) is None:
             values[c] = sorted(set(values[c]) | {"missing"})  # all-null column filled with 'missing'
     filled = P.apply_fill(base, stats)
     filled = P.encode_binary_target(filled, target, out="_y")
-    feats = [c for c in cols if c != target and (include_sensitive or c != sensitive)]
-    sel = filled.select(key, *feats, F.col("_y").alias("y"), F.col(sensitive).cast("string").alias("sensitive"))
+    feats = [c for c in cols if c != target and (include_sensitive or c != sensitive_name)]
+    sel = filled.select("_key", *feats, F.col("_y").alias("y"), F.col(sensitive_name).cast("string").alias("sensitive"))
     cat = [c for c in feats if c in P.categorical_columns(sel)]
     known = {c: values[c] for c in cat if values.get(c) is not None}
     wide = [c for c in cat if c not in known]
     # too many values for a column each: one sparse vector column instead
     enc = P.one_hot_sparse(sel, wide) if wide else sel
-    enc = P.one_hot(enc, list(known), known) if known else enc
-    return P.split(enc, key, "y", test_size=test_size, seed=seed, stratify=stratify)
+    was = {v: k for k, v in name.items()}
+    out = []
+    for c in enc.columns:
+        if c in known:
+            for v in known[c]:
+                about = {"feature": {"column": was[c], "value": v}}
+                out.append((F.col(c).cast("string") == F.lit(v)).cast("int").alias(P.plain_name(f"{c}_{v}", taken), metadata=about))
+        elif c in was and was[c] != c:
+            out.append(F.col(c).alias(c, metadata={"feature": {"column": was[c]}}))
+        else:
+            out.append(F.col(c))
+    split = P.split(enc.select(*out), "_key", "y", test_size=test_size, seed=seed, stratify=stratify)
+    return split.select(F.col("_key").alias(key), *[c for c in split.columns if c != "_key"])
+
+
+def _as_feature(df: DataFrame, c: str):
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(named(c)).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return named(c).cast("timestamp").cast("double")
+    return named(c)
 
 
 def feature_columns(prepared: DataFrame, key: str) -> list[str]:

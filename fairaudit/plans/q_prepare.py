@@ -249,6 +249,26 @@ def q_preprocess(spark, d):
                            test_size=0.2, seed=42)
 
 
+@register("preprocess_any_names", """
+WITH o AS (SELECT o_orderkey AS row_id, CASE o_orderstatus WHEN 'F' THEN 'St. Louis' WHEN 'O' THEN 'St` Paul' ELSE o_orderstatus END AS city,
+                  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d, o_totalprice, o_orderpriority FROM orders),
+m AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', d), 0.5) AS d FROM o)
+SELECT row_id, CAST(city = 'P' AS INT) AS city_name_P, CAST(city = 'St. Louis' AS INT) AS "city_name_St_ Louis",
+       CAST(city = 'St` Paul' AS INT) AS "city_name_St_ Paul", coalesce(date_diff('day', DATE '1970-01-01', o.d), m.d) AS ordered_at,
+       o_totalprice AS y_2, CAST(o_totalprice > 150000 AS INT) AS y, o_orderpriority AS sensitive FROM o, m""")
+def q_preprocess_any_names(spark, d):
+    """Columns and values with dots and backticks, a feature called y, a date with missing values."""
+    from ..plans.audit import prepare_dataset
+    status = F.col("o_orderstatus")
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.when(status == "F", "St. Louis").when(status == "O", "St` Paul").otherwise(status).alias("city.name"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date")).alias("ordered.at"),
+        F.col("o_totalprice").alias("y"), (F.col("o_totalprice") > 150000).cast("int").alias("is.large"),
+        F.col("o_orderpriority").alias("group"))
+    return prepare_dataset(o, "is.large", "group", "row_id", include_sensitive=False).drop("split")
+
+
 @register("ordinal_codes", with_views("""
 , codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code
             FROM (SELECT DISTINCT coalesce(sens_nullable, 'Unknown') AS v FROM line_features))

@@ -11,48 +11,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import named
+
 # Text treated as missing when reading CSV (pandas' defaults).
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+EMPTY = "Dataset is empty. Provide a non-empty dataset."
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_values=NA_VALUES) -> DataFrame:
+             na_values=NA_VALUES, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Sentinel text -> null, NaN -> null; with no schema,
     each column becomes bigint, double, boolean or string, whichever every
-    non-null value parses as (one aggregate pass). Empty input is an error."""
+    non-null value parses as (one aggregate pass, which also counts the rows).
+    Empty input is an error.
+
+    A file is read by many tasks. ``multi_line`` allows line breaks inside quoted
+    values; such a file cannot be cut and is read by one task."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("escape", '"').option("multiLine", True)
+           .option("escape", '"').option("multiLine", multi_line)
            .option("nullValue", "\u0000__never__").option("emptyValue", "").csv(path))
     na = F.array(*[F.lit(v) for v in na_values])
-    clean = raw.select(*[F.when(F.array_contains(na, F.col(c)), F.lit(None).cast("string"))
-                          .otherwise(F.col(c)).alias(c) for c in raw.columns])
-    if clean.isEmpty():
-        raise ValueError("Dataset is empty. Provide a non-empty dataset.")
+    clean = raw.select(*[F.when(F.array_contains(na, named(c)), F.lit(None).cast("string"))
+                          .otherwise(named(c)).alias(c) for c in raw.columns])
     if schema is not None:
+        if clean.isEmpty():
+            raise ValueError(EMPTY)
         st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        out = clean.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in st.fields])
+        out = clean.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in st.fields])
     else:
-        checks = []
-        for c in clean.columns:
-            v = F.col(c)
-            checks += [F.bool_and(v.isNull() | v.try_cast("bigint").isNotNull()).alias(f"{c}__l"),
-                       F.bool_and(v.isNull() | v.try_cast("double").isNotNull()).alias(f"{c}__d"),
-                       F.bool_and(v.isNull() | F.lower(v).isin("true", "false")).alias(f"{c}__b")]
+        checks = [F.count(F.lit(1)).alias("n")]
+        for i, c in enumerate(clean.columns):
+            v = named(c)
+            checks += [F.bool_and(v.isNull() | v.try_cast("bigint").isNotNull()).alias(f"l{i}"),
+                       F.bool_and(v.isNull() | v.try_cast("double").isNotNull()).alias(f"d{i}"),
+                       F.bool_and(v.isNull() | F.lower(v).isin("true", "false")).alias(f"b{i}")]
         r = clean.agg(*checks).first()
+        if not r["n"]:
+            raise ValueError(EMPTY)
         cols = []
-        for c in clean.columns:
-            if r[f"{c}__l"]:
-                cols.append(F.col(c).cast("bigint").alias(c))
-            elif r[f"{c}__d"]:
-                cols.append(F.col(c).cast("double").alias(c))
-            elif r[f"{c}__b"]:
-                cols.append((F.lower(F.col(c)) == "true").alias(c))
+        for i, c in enumerate(clean.columns):
+            if r[f"l{i}"]:
+                cols.append(named(c).cast("bigint").alias(c))
+            elif r[f"d{i}"]:
+                cols.append(named(c).cast("double").alias(c))
+            elif r[f"b{i}"]:
+                cols.append((F.lower(named(c)) == "true").alias(c))
             else:
-                cols.append(F.col(c))
+                cols.append(named(c))
         out = clean.select(*cols)
-    return out.select(*[F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
-                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return out.select(*[F.nanvl(named(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else named(f.name)
                         for f in out.schema.fields])
 
 

@@ -20,7 +20,7 @@ def test_csv_quotes_and_line_breaks(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="fairaudit-csv-"), "q")
     rows = [(1, 'he said "hi", ok'), (2, "two\nlines, \"quoted\""), (3, "plain")]
     IO.write_dataset(spark.createDataFrame(rows, "id long, text string").coalesce(1), path)
-    assert sorted(map(tuple, IO.read_csv(spark, path, "id long, text string").collect())) == rows
+    assert sorted(map(tuple, IO.read_csv(spark, path, "id long, text string", multi_line=True).collect())) == rows
 
 
 def test_nan_is_missing_in_imputation(spark):
