@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,23 +233,73 @@ def _readable(c):
     return F.trim(F.regexp_replace(c, "_", " "))
 
 
+def largest_differences(groups: list[str], means: list[float], k: int, least: float) -> list[tuple]:
+    """The first pairs of groups (ga, gb, va, vb, diff), ga < gb, by falling difference
+    of their means and then by name: at least the first ``k`` that differ in more
+    than the case of names, none below ``least``.
+
+    Groups of one mean stand together. A heap walks over pairs of means from the widest
+    inwards, so only about as many pairs as are asked for are looked at; of a pair of
+    means the first ``k`` names on both sides are enough.
+    """
+    by_mean: dict[float, list[str]] = {}
+    for g, v in sorted(zip(groups, means)):
+        by_mean.setdefault(v, []).append(g)
+    values = sorted(by_mean)
+
+    def first(items: list, key) -> list:
+        """Items up to the k-th (k + 1 for names) that differs in more than case."""
+        kept, known = [], set()
+        for x in items:
+            known.add(key(x))
+            if len(known) > k + (key is str.lower):
+                break
+            kept.append(x)
+        return kept
+    names = [first(by_mean[v], str.lower) for v in values]
+    heap = [(-(values[-1] - values[0]), 0, len(values) - 1)] if values else []
+    seen = {(0, len(values) - 1)}
+    out: list[tuple] = []
+    texts: set = set()
+    while heap and -heap[0][0] >= least:
+        if len(texts) >= k and -heap[0][0] < out[-1][4]:
+            break
+        d, i, j = heapq.heappop(heap)
+        pairs = sorted({(min(a, b), max(a, b)): a < b for a in names[i] for b in names[j] if a != b}.items())
+        for (a, b), up in first(pairs, lambda x: (x[0][0].lower(), x[0][1].lower())):
+            out.append((a, b, *((values[i], values[j]) if up else (values[j], values[i])), -d))
+            texts.add((a.lower(), b.lower()))
+        for x in ((i + 1, j), (i, j - 1)):
+            if x[0] <= x[1] and x not in seen:
+                seen.add(x)
+                heapq.heappush(heap, (-(values[x[1]] - values[x[0]]), *x))
+    return out
+
+
 def pairwise_insights(profile: DataFrame, top_n: int = 5, difference_threshold: float = 0.05) -> DataFrame:
     """Plain-language insights for group pairs whose means differ by at least
     the threshold: (rank, insight), largest difference first, case-
     insensitive duplicates dropped, at most ``top_n``; a fallback sentence
     when none qualifies.
 
-    The pairs come from a self-join of the group profile (groups x features
-    rows, an aggregate), one row per (feature, group a < group b).
+    Each feature gives its first pairs by difference (``largest_differences``),
+    about ``top_n`` of them, so the work grows with the groups and not with their
+    pairs; the best of all features are among them.
     """
     if top_n <= 0:
         raise ValueError("top_n must be a positive integer.")
     if difference_threshold < 0:
         raise ValueError("difference_threshold must be non-negative.")
-    a = profile.select(F.col("feature"), F.col("grp").alias("ga"), F.col("mean_contribution").alias("va"))
-    b = profile.select(F.col("feature").alias("fb"), F.col("grp").alias("gb"), F.col("mean_contribution").alias("vb"))
-    p = a.join(b, (a["feature"] == b["fb"]) & (a["ga"] < b["gb"])).drop("fb")
-    p = p.withColumn("diff", F.abs(F.col("va") - F.col("vb"))).where(F.col("diff") >= difference_threshold)
+
+    def first(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.dropna()
+        found = largest_differences(part["grp"].tolist(), part["mean_contribution"].tolist(), top_n, difference_threshold)
+        rows = pd.DataFrame(found, columns=["ga", "gb", "va", "vb", "diff"])
+        rows.insert(0, "feature", part["feature"].iloc[0] if len(part) else None)
+        return rows
+    ship_package(profile.sparkSession)
+    p = (profile.select("feature", F.col("grp").cast("string").alias("grp"), F.col("mean_contribution").cast("double").alias("mean_contribution"))
+         .groupBy("feature").applyInPandas(first, "feature string, ga string, gb string, va double, vb double, diff double"))
     f = _readable(F.col("feature"))
     va, vb, ga, gb = F.col("va"), F.col("vb"), F.col("ga"), F.col("gb")
     strong = F.when(F.abs(va) > F.abs(vb), ga).otherwise(gb)

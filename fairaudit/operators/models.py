@@ -103,14 +103,25 @@ def score(model: PipelineModel, df: DataFrame, out: str = "y_pred", proba: str =
 
 
 def train_many(train: DataFrame, features: list[str], configs: dict[str, ModelSpec] | None = None,
-               sample_weight: str | None = None) -> dict[str, PipelineModel]:
+               sample_weight: str | None = None, errors: dict[str, str] | None = None) -> dict[str, PipelineModel]:
+    """Models by name, fitted at the same time. With ``errors`` a model that
+    cannot be fitted is left out and its reason put there; without, it raises."""
     configs = configs or {"logistic_regression": ModelSpec("logistic_regression"),
                           "random_forest": ModelSpec("random_forest")}
+
+    def one(item):
+        try:
+            return item[0], fit(train, features, item[1], sample_weight=sample_weight), None
+        except Exception as e:  # noqa: BLE001 - whatever one model fails with, the others go on
+            if errors is None:
+                raise
+            return item[0], None, str(e).split("\n")[0]
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, min(4, len(configs)))) as pool:
-        fitted = pool.map(lambda kv: (kv[0], fit(train, features, kv[1], sample_weight=sample_weight)),
-                          list(configs.items()))
-        return dict(fitted)
+        done = list(pool.map(one, configs.items()))
+    if errors is not None:
+        errors.update({name: why for name, _, why in done if why is not None})
+    return {name: m for name, m, why in done if why is None}
 
 
 def debiased_features(features: list[str], sensitive: str, mode: str = "wide") -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import drop_all, keys_of, with_all
+from ..functions.exprs import drop_all, keys_of, named, with_all
 from ..functions.labels import infer_positive
 from .cube import as_list
 
@@ -52,8 +52,8 @@ def profile_table(df: DataFrame, target: str | None = None, sensitive=(), exact:
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(c)).alias(f"nn_{i}"))
-        nd = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c), 0.01)
+        aggs.append(F.count(named(c)).alias(f"nn_{i}"))
+        nd = F.count_distinct(named(c)) if exact else F.approx_count_distinct(named(c), 0.01)
         aggs.append(nd.alias(f"nd_{i}"))
     row = df.agg(*aggs)
     dtypes = dict(df.dtypes)
@@ -76,14 +76,14 @@ def sensitive_candidates(df: DataFrame, target: str, max_groups: int = MAX_GROUP
     exact distinct counts only for columns the sketch cannot rule out.
     """
     cols = [c for c in df.columns if c != target]
-    approx = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"a_{i}")
+    approx = df.agg(*[F.approx_count_distinct(named(c), 0.01).alias(f"a_{i}")
                       for i, c in enumerate(cols)]).first()
     # generous margin over the sketch's error: never drop a true candidate
     maybe = [(i, c) for i, c in enumerate(cols) if approx[f"a_{i}"] <= max_groups * 2 + 10]
     spark = df.sparkSession
     if not maybe:
         return spark.createDataFrame([], "column string, position int, n_unique bigint")
-    exact = df.agg(*[F.count_distinct(F.col(c)).alias(f"e_{i}") for i, c in maybe])
+    exact = df.agg(*[F.count_distinct(named(c)).alias(f"e_{i}") for i, c in maybe])
     recs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"),
                               F.col(f"e_{i}").alias("n_unique")) for i, c in maybe])
     return (exact.select(F.inline(recs)).where(F.col("n_unique") <= max_groups))

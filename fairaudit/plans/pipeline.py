@@ -13,8 +13,10 @@ from ..operators import models as MO
 from ..operators import proxy as X
 from ..operators import rules as R
 from ..operators import strategies as S
-from ..operators.metrics import distribution_summary, evaluate_predictions
+from ..operators.metrics import confusion_matrix, distribution_summary, evaluate_predictions
+from ..operators.profile import profile_table, validate_schema
 from ..session import materialize, scratch_path
+from ..sources.io import read_csv
 
 MAX_PARALLEL_FITS = 4  # concurrent strategy fits (each is itself a distributed job)
 
@@ -79,8 +81,11 @@ def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir
     diagnosis -> recommendations -> strategy evaluation -> ranking ->
     selection -> final model -> comparison -> saved reports and models.
 
-    Returns the one-row summary; full reports are written under ``out_dir``
-    (default: a fresh folder in the shared checkpoint location). ``spec``
+    Returns the one-row summary; full reports are written under ``out_dir/reports``
+    (default: a fresh folder in the shared checkpoint location), a folder of JSON
+    lines each: config, dataset_analysis, profile, correlations, baseline,
+    mitigated, bias, diagnosis, recommendations, strategies, failed_strategies,
+    choices (balanced, fairness, accuracy), comparison, confusion_matrix. ``spec``
     gives the type and parameters of the baseline and of every strategy that
     trains a model of its own. Strategies that failed are reported apart and
     not ranked.
@@ -119,6 +124,26 @@ def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir
     from ..operators.metrics import compare_models
     cmp = compare_models(pairs, "baseline", "mitigated", "y", "sensitive").withColumn("attr", F.lit(sensitive))
     # reports
+    final_eval = evaluate_predictions(final_pred, "y", "y_pred", "sensitive")
+    short = S.balanced_choice(ranked, []).select(F.lit("balanced").alias("choice"), "strategy", "accuracy", "fairness")
+    best = [short, *(f(ranked, []).select(F.lit(name).alias("choice"), "strategy", "accuracy", "fairness")
+                     for name, f in (("fairness", S.best_fairness), ("accuracy", S.best_accuracy)))]
+    both = base_pred.select("y", "y_pred", F.lit("baseline").alias("model")).unionByName(
+        final_pred.select("y", "y_pred", F.lit("mitigated").alias("model")))
+    bundle = {
+        "dataset_analysis": raw,
+        "profile": profile_table(df, target, [sensitive], exact=False),
+        "correlations": corr,
+        "recommendations": rec,
+        "choices": best[0].unionByName(best[1]).unionByName(best[2]),
+        "mitigated": final_eval,
+        "confusion_matrix": confusion_matrix(both, "y", "y_pred", ["model"]),
+        "config": spark.createDataFrame(
+            [(target, sensitive, key, spec.model_type, float(test_size), seed, chosen)],
+            "target string, sensitive string, key string, model_type string, test_size double, seed long, selected_strategy string"),
+    }
+    for name, table in bundle.items():
+        table.write.mode("overwrite").json(f"{out_dir}/reports/{name}")
     base_eval.write.mode("overwrite").json(f"{out_dir}/reports/baseline")
     ident.write.mode("overwrite").json(f"{out_dir}/reports/bias")
     diag.write.mode("overwrite").json(f"{out_dir}/reports/diagnosis")
@@ -136,3 +161,21 @@ def audit_pipeline(df: DataFrame, target: str, sensitive: str, key: str, out_dir
                .withColumn("selected_strategy", F.lit(chosen))
                .withColumn("output", F.lit(out_dir)))
     return summary
+
+
+ROW_KEY = "_row_number"
+
+
+def audit_csv(spark, path: str, target: str, sensitive: str, key: str | None = None, required=(),
+              multi_line: bool = False, **options) -> DataFrame:
+    """``audit_pipeline`` on a CSV file or folder: read (sentinels, types), check
+    the schema (``SchemaError`` names what is missing), audit.
+
+    Without a ``key`` column the rows are numbered once, in a checkpoint."""
+    df = read_csv(spark, path, multi_line=multi_line)
+    columns = [c for c in df.columns if c != target]
+    validate_schema(df, [*columns, *required, *([key] if key else [])], target, sensitive)
+    if key is None:
+        key = ROW_KEY
+        df = materialize(df.withColumn(key, F.monotonically_increasing_id()))
+    return audit_pipeline(df, target, sensitive, key, **options)

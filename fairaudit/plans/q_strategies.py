@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as MO
 from ..operators import strategies as S
-from ..operators.metrics import evaluate_predictions
+from ..operators.metrics import FAIRNESS_COLS, evaluate_predictions
 from ..operators.rules import recommend
 from ..sources.tables import order_audit
 from .registry import register
@@ -245,19 +245,31 @@ def q_score(spark, d):
     return MO.score(m, te).select("row_id", "sensitive", "y", "y_pred", "p1")
 
 
-def _benchmark(spark, d, configs):
-    tr, te, feats = _train_test(spark, d)
-    models = MO.train_many(tr, feats, configs)
+def benchmark(train, test, feats, configs=None):
+    """A row per model: accuracy and fairness on the test rows; one that cannot be
+    fitted keeps a row with its ``error`` and null figures."""
+    from ..functions.exprs import fairness_score
+    errors: dict[str, str] = {}
+    models = MO.train_many(train, feats, configs, errors=errors)
+    failed = train.sparkSession.createDataFrame(
+        list(errors.items()), "model_name string, error string")
     preds = None
     for name, m in models.items():
-        p = MO.score(m, te).select("sensitive", "y", "y_pred", F.lit(name).alias("model"))
+        p = MO.score(m, test).select("sensitive", "y", "y_pred", F.lit(name).alias("model"))
         preds = p if preds is None else preds.unionByName(p)
+    if preds is None:
+        none = F.lit(None).cast("double")
+        return failed.select("model_name", *[none.alias(c) for c in ("accuracy", *FAIRNESS_COLS, "fairness_score")], "error")
     ev = evaluate_predictions(preds, "y", "y_pred", "sensitive", model_col="model")
-    from ..functions.exprs import fairness_score
-    return ev.select(F.col("model").alias("model_name"), "accuracy", "demographic_parity_difference",
-                     "equalized_odds_difference", "disparate_impact_ratio",
-                     fairness_score(F.col("demographic_parity_difference"), F.col("equalized_odds_difference"),
-                                    F.col("disparate_impact_ratio"), cap=False).alias("fairness_score"))
+    out = ev.select(F.col("model").alias("model_name"), "accuracy", *FAIRNESS_COLS,
+                    fairness_score(F.col("demographic_parity_difference"), F.col("equalized_odds_difference"),
+                                   F.col("disparate_impact_ratio"), cap=False).alias("fairness_score"),
+                    F.lit(None).cast("string").alias("error"))
+    return out.unionByName(failed, allowMissingColumns=True) if errors else out
+
+
+def _benchmark(spark, d, configs):
+    return benchmark(*_train_test(spark, d), configs)
 
 
 @register("train_many")
