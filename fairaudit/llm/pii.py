@@ -24,8 +24,10 @@ surrogate, which is distinct from all other surrogates of the digit types.
 
 Defined results: a null text stays null, an empty one empty; both have 0 entities.
 Null ids are matched null-safely. Repeated rows get equal results. Texts are read
-whole. An empty table gives an empty result. An input column ``n_entities`` is
-replaced.
+whole. An empty table gives an empty result. A person found by a form of address is
+replaced wherever the text repeats the name or its last word, and "Mr Smith" is the
+one person of the text whose longer name ends with Smith, if there is just one. An
+input column ``n_entities`` is replaced.
 """
 
 from __future__ import annotations
@@ -37,26 +39,31 @@ from ..session import staged
 from .columns import aside, back
 from .registry import read_table, register
 
-KEY = "surrogate-key-1"
+KEY = "surrogate-key-1"      # for trials; a job with real data names its own
+KEY_CONF = "spark.fairaudit.surrogateKey"
 LOOK = 8                     # redraws between two looks for spaces without a free number
 ROUNDS = 8
 
 # Forms of address by gender; names and syllables by gender and script.
-TITLES_M = ("Mr", "MR", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н")
-TITLES_F = ("Mrs", "MRS", "Ms", "MS", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Госпожа", "г-жа")
+TITLES_M = ("Mr", "MR", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н", "Κύριος")
+TITLES_N = ("Dr", "DR", "Prof", "Professor", "Doctor", "Доктор")      # say nothing of gender
+TITLES_F = ("Mrs", "MRS", "Ms", "MS", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Госпожа", "г-жа", "Κυρία")
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Marco", "Nils", "Oscar", "Paul", "Simon", "Victor"),
     ("latin", "f"): ("Alma", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Ida", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Sara", "Vera"),
+    ("greek", "m"): ("Ανδρέας", "Βασίλης", "Γιώργος", "Δημήτρης", "Ευάγγελος", "Θωμάς", "Ιωάννης", "Κώστας", "Λουκάς", "Μάριος", "Νίκος", "Πέτρος", "Σπύρος", "Στέφανος", "Φώτης", "Χρήστος"),
+    ("greek", "f"): ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ειρήνη", "Ζωή", "Ελένη", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Όλγα", "Σοφία", "Φωτεινή", "Χριστίνα"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан", "Тимур", "Юрий"),
     ("cyrillic", "f"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Юлия"),
 }
 SYLLABLES = {
+    "greek": ("βα", "δε", "φι", "γο", "χυ", "κα", "λε", "μι", "νο", "που", "ρα", "σε", "τι", "βο", "ζου", "λαν"),
     "latin": ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "zu", "lan"),
     "cyrillic": ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "зу", "лан"),
 }
 DOMAINS = ("example.org", "example.net", "example.com")
 
-_TITLE = "(?:" + "|".join(TITLES_M + TITLES_F) + r")\.?"
+_TITLE = "(?:" + "|".join(TITLES_M + TITLES_F + TITLES_N) + r")\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 PATTERN = "|".join((
@@ -90,7 +97,8 @@ def kind_of(v: Column) -> Column:
 
 def _gender(v: Column) -> Column:
     title = F.regexp_extract(v, rf"^({_TITLE}) ", 1)
-    return F.when(F.regexp_replace(title, r"\.$", "").isin(*TITLES_F), "f").otherwise("m")
+    plain = F.regexp_replace(title, r"\.$", "")
+    return F.when(plain.isin(*TITLES_F), "f").when(plain.isin(*TITLES_N), "n").otherwise("m")
 
 
 def _name(v: Column) -> Column:
@@ -196,10 +204,11 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         second = F.when(canon.startswith("f"), _given(h, script, "f", 31)).otherwise(_given(h, script, "m", 31))
         return F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.lower(F.concat_ws(
             " ", F.when(words > 1, first), F.when(words > 2, second), F.concat(_syllables(h, script, 1, 5), _further(long_hash, script, attempt)))))
+    greek = canon.rlike(r"^. .*\p{IsGreek}")
     return (F.when(kind == "phone", phone).when(kind == "card", card)
             .when(kind == "ssn", _permute_digits(key, tag, canon)).when(kind == "ip", ip)
             .when(kind == "email", email).when(kind == "secret", secret)
-            .otherwise(F.when(cyr, person("cyrillic")).otherwise(person("latin"))))
+            .otherwise(F.when(cyr, person("cyrillic")).when(greek, person("greek")).otherwise(person("latin"))))
 
 
 def render(kind: Column, v: Column, new: Column) -> Column:
@@ -209,7 +218,10 @@ def render(kind: Column, v: Column, new: Column) -> Column:
         F.filter(chars, lambda c: c != ""),
         lambda c, i: F.when(c.rlike(r"\d"), F.substr(new, F.length(_digits(F.substr(v, F.lit(1), i + 1))), F.lit(1))).otherwise(c)))
     upper = (v == F.upper(v)) & (v != F.lower(v))
-    name = F.substring(new, 3, 200)
+    # a short mention ("Mr Smith" of John Smith) takes as many words of the name, from its end
+    words = F.split(F.substring(new, 3, 200), " ")
+    short = F.least(F.size(F.split(_name(v), " ")), F.size(words))
+    name = F.array_join(F.slice(words, F.size(words) - short + 1, short), " ")
     name = F.when(_name(v) == F.upper(_name(v)), F.upper(name)).otherwise(F.initcap(name))
     person = F.concat(F.regexp_extract(v, rf"^({_TITLE} )", 1), name)
     return (F.when(kind.isin("phone", "card", "ssn"), refill).when(kind == "person", person)
@@ -276,13 +288,52 @@ def _with_room(todo: DataFrame, used: DataFrame) -> DataFrame:
     return j.filter(F.col("room").isNull() | F.col("_used").isNull() | (F.col("_used") < F.col("room"))).select("kind", "canon")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def _resolved(canon: Column, persons: Column) -> Column:
+    """The one longer name of the document that ends with this name, if there is just one."""
+    longer = F.filter(persons, lambda p: (p != canon) & (F.substring(p, 1, 2) == F.substring(canon, 1, 2)) & p.endswith(F.concat(F.lit(" "), F.substring(canon, 3, 300))))
+    return F.when(F.size(longer) == 1, F.get(longer, F.lit(0))).otherwise(canon)
+
+
+def _with_people(d: DataFrame) -> DataFrame:
+    """``_m`` and ``_parts`` of texts that hold persons: mentions without a form of
+    address (the whole name, or its last word) of a person found in the text are
+    entities too, and a short name stands for the one longer name that ends with it."""
+    text, named = F.col("text"), F.filter("_m", lambda x: x["kind"] == "person")
+    last = lambda full: F.element_at(F.split(full, " "), -1)
+    d = d.withColumn("_people", F.array_distinct(F.transform(named, lambda x: F.struct(_name(x["v"]).alias("full"), x["canon"].alias("canon")))))
+    d = d.withColumn("_canons", F.array_distinct(F.transform("_people", lambda p: p["canon"])))
+    d = d.withColumn("_people", F.transform("_people", lambda p: F.struct(p["full"].alias("full"), _resolved(p["canon"], F.col("_canons")).alias("canon"))))
+    d = d.withColumn("_names", F.array_distinct(F.flatten(F.transform("_people", lambda p: F.array(p["full"], last(p["full"]))))))
+    d = d.withColumn("_names", F.array_sort("_names", lambda x, y: F.length(y) - F.length(x)))
+    either = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:\Q"), F.array_join("_names", r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{N}])"))
+    d = d.withColumn("_either", F.when(F.size("_people") > 0, either))
+
+    def owner(v: Column) -> Column:
+        whole = F.filter("_people", lambda p: p["full"] == v)
+        return F.get(F.concat(whole, F.filter("_people", lambda p: last(p["full"]) == v)), F.lit(0))["canon"]
+
+    def mention(v: Column) -> Column:
+        kind = kind_of(v)
+        canon = canon_of(kind, v)
+        bare = F.array_contains("_names", v)
+        person = F.when(bare, owner(v)).when(kind == "person", _resolved(canon, F.col("_canons"))).otherwise(canon)
+        return F.struct(v.alias("v"), F.when(bare, F.lit("person")).otherwise(kind).alias("kind"), person.alias("canon"))
+    again = F.transform(F.regexp_extract_all(text, F.col("_either"), F.lit(0)), mention)
+    people = F.col("_either").isNotNull()
+    return (d.withColumn("_m", F.when(people, again).otherwise(F.col("_m")))
+             .withColumn("_parts", F.when(people, F.split(text, F.col("_either"), -1)).when(F.size("_m") > 0, F.split(text, PATTERN, -1)))
+             .drop("_people", "_canons", "_names", "_either"))
+
+
+def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """Documents with every entity replaced; adds ``n_entities``.
 
-    One scan collects the entities (distinct per document, then over all), one
+    The key is the caller's, else that of the setting ``KEY_CONF``, else ``KEY``. One
+    scan collects the entities (distinct per document, then over all), one
     scan rewrites the texts. No text is shuffled unless the table of redrawn
     entities is over the planner's broadcast threshold.
     """
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
     d = aside(docs, "doc_id", "text")
     # the same value in many documents is merged before the shuffle of distinct()
     seen = staged(d.select("doc_id", F.explode(_mentions(F.col("text"))).alias("m"))
@@ -291,10 +342,9 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     again = seen.join(redrawn, ["kind", "canon"]).groupBy(F.col("doc_id").alias("_id")).agg(
         F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_again"))
     d = d.join(staged(again, "pii-again"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    d = d.withColumn("_m", _mentions(F.col("text")))
+    d = _with_people(d.withColumn("_m", _mentions(F.col("text"))))
     d = d.withColumn("_new", F.transform("_m", lambda m: render(m["kind"], m["v"], candidate(
         m["kind"], m["canon"], F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", m["kind"], m["canon"])), F.lit(0)), key))))
-    d = d.withColumn("_parts", F.when(F.size("_m") > 0, F.split("text", PATTERN, -1)))
     merged = F.concat_ws("", F.zip_with("_parts", "_new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))))
     d = d.withColumn("n_entities", F.when(F.size("_m") > 0, F.size("_m")).otherwise(0))
     text = F.when(F.col("n_entities") > 0, merged).otherwise(F.col("text"))
