@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, ship_package
+from .bits import bit_table, may_hold
 from .graph import components
 from .registry import read_table, register
 
@@ -275,6 +276,19 @@ def _in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFr
     return index.groupBy(*key).cogroup(query.groupBy(*[f"q_{c}" for c in key])).applyInPandas(look_up, "a long, b long")
 
 
+def _perhaps(sketches: DataFrame, uids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of these uids and perhaps some more, without a shuffle of the k-mers:
+    tasks look the uid up in a bit table of bounded size."""
+    table = uids.sparkSession.sparkContext.broadcast(bit_table(scratch.staged(uids.select(F.xxhash64("uid").alias("fp")), "omh-uids")).tobytes())
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        bits = np.frombuffer(table.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(may_hold(bits, b.column("fp").to_numpy().view(U)))).select(["uid", "kmers"])
+    return sketches.select("uid", "kmers", F.xxhash64("uid").alias("fp")).mapInArrow(keep, "uid long, kmers binary")
+
+
 def _verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` whose alignment reaches the threshold."""
     k = known.select("uid", "kmers")
@@ -321,7 +335,7 @@ def _marks(sketches: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
     rows = staged(rows.join(shared, "band"), "omh-buckets")
     scratch.drop("omh-bands")
-    known = staged(sk.select("uid", "kmers").join(rows.select("uid").distinct(), "uid", "left_semi"), "omh-known")
+    known = staged(_perhaps(sk.select("uid", "kmers"), rows.select("uid").distinct(), scratch), "omh-known")
     sk = staged(sk.select("uid", "doc_id", "cls", "file", "row"), "omh-rows")
     scratch.drop("omh-sketches")
     edges = None

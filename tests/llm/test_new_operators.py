@@ -401,3 +401,14 @@ def test_surrogates_against_a_plain_finder(spark):
 def regex_module():
     import regex
     return regex
+
+
+def test_bit_table_misses_nothing(spark):
+    from fairaudit.llm.bits import bit_table, may_hold
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        held = rng.integers(-2 ** 63, 2 ** 63, n, dtype=np.int64)
+        table = bit_table(spark.createDataFrame([(int(x),) for x in held], "fp long"))
+        assert may_hold(table, held.view(np.uint64)).all()
+        others = rng.integers(0, 2 ** 64, 50_000, dtype=np.uint64)
+        assert may_hold(table, others).mean() < 0.01
