@@ -316,11 +316,11 @@ def ordinal_codes(df: DataFrame, cols, unknown: str = "Unknown") -> DataFrame:
     text = [c for c in as_list(cols) if not isinstance(df.schema[c].dataType, NUMERIC)]
     if not text:
         return df
-    filled = df.select(*[fill_group(F.col(c), unknown).alias(c) for c in text])
+    filled = df.select(*[fill_group(named(c), unknown).alias(c) for c in text])
     small = category_values(filled, text, MAX_LITERAL_CODES, on_overflow="skip")
     out = df
     for c in text:
-        v = fill_group(F.col(c), unknown)
+        v = fill_group(named(c), unknown)
         if c in small:
             # few values: a literal value -> code map, no join
             m = F.create_map(*[x for i, val in enumerate(small[c]) for x in (F.lit(val), F.lit(float(i)))])

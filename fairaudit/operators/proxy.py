@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import named
 from ..functions.labels import NUMERIC
 from ..session import bounded_broadcast, materialize, reuse
 from .prepare import ordinal_codes
@@ -41,11 +42,11 @@ def encode(df: DataFrame, sensitive: str, features: list[str], keep=()) -> DataF
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [sensitive] + features
     text = [c for c in cols if not _is_num(types[c])]
-    base = df.select(*keep, *cols)
+    base = df.select(*[named(c) for c in (*keep, *cols)])
     coded = ordinal_codes(base, text) if text else base
-    out = [F.col(k) for k in keep]
+    out = [named(k) for k in keep]
     for c in cols:
-        v = F.col(c).cast("double")
+        v = named(c).cast("double")
         out.append(F.nanvl(v, F.lit(None).cast("double")).alias("_s" if c == sensitive else c))
     return coded.select(*out)
 
@@ -65,7 +66,7 @@ def pearson(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Data
     sl = list(slice_cols)
     feats = [f for f in _features(df, sensitive, features) if f not in sl]
     enc = encode(df, sensitive, feats, keep=sl)
-    long = (enc.unpivot(sl + ["_s"], feats, "feature", "x")
+    long = (enc.unpivot(sl + ["_s"], [named(f) for f in feats], "feature", "x")
                .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
     x, y = F.col("x"), F.col("_s")
     r = long.groupBy(*sl, "feature").agg(
@@ -94,7 +95,7 @@ def code_table(df: DataFrame, sensitive: str, features=None, slice_cols=()):
     if len(codes) > MAX_CODES:
         raise TooManyCodes(f"one count column per code needs at most {MAX_CODES} sensitive codes")
     cn = [f"c{k}" for k in range(len(codes))]
-    long = (enc.unpivot(sl + ["_s"], feats, "feature", "x")
+    long = (enc.unpivot(sl + ["_s"], [named(f) for f in feats], "feature", "x")
                .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
     X = long.groupBy(*sl, "feature", "x").agg(
         *[F.sum(F.when(F.col("_s") == v, 1).otherwise(0)).cast("double").alias(name)
@@ -161,7 +162,7 @@ def _spearman_cells(df: DataFrame, sensitive: str, features, sl: list[str]) -> D
     sums, joined back to the cells."""
     feats = [f for f in _features(df, sensitive, features) if f not in sl]
     keys = sl + ["feature"]
-    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], feats, "feature", "x")
+    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], [named(f) for f in feats], "feature", "x")
             .where(F.col("x").isNotNull() & F.col("_s").isNotNull()))
     cells = materialize(long.groupBy(*keys, "x", "_s").agg(F.count(F.lit(1)).alias("_c")))
     rx = average_ranks(cells, "x", keys, "_rx", "_c").drop("_n")
@@ -223,7 +224,7 @@ def _kendall_cells(df: DataFrame, sensitive: str, features, sl: list[str]) -> Da
     """
     feats = [f for f in _features(df, sensitive, features) if f not in sl]
     keys = sl + ["feature"]
-    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], feats, "feature", "x")
+    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], [named(f) for f in feats], "feature", "x")
             .where(F.col("x").isNotNull() & F.col("_s").isNotNull())
             .withColumn("_k", _cell_key(sl)))  # null slices must meet in the joins below
     cells = materialize(long.groupBy(*keys, "_k", "x", "_s").agg(F.count(F.lit(1)).cast("double").alias("_c")))
