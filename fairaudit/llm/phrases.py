@@ -45,9 +45,9 @@ TOP = 2000
 SALTS = 64                   # parts of a language that are ranked first
 
 SLICE = 1 << 19              # bytes of text handled together
-RUN = 750_000                # fingerprints counted together
-HELD = 1_500_000             # distinct fingerprints a task holds before it hands them on
-CUT = 200_000                # phrases cut out before equal ones are added up
+RUN = 500_000                # fingerprints counted together
+HELD = 1_000_000             # distinct fingerprints a task holds before it hands them on
+CUT = 150_000                # phrases cut out before equal ones are added up
 DISTINCT = 1_000_000         # distinct phrases a task holds before it hands them on
 SPLITS = 4                   # splits of the input that a task reads to materialise phrases
 
