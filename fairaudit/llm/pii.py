@@ -211,17 +211,21 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             .otherwise(F.when(cyr, person("cyrillic")).when(greek, person("greek")).otherwise(person("latin"))))
 
 
-def render(kind: Column, v: Column, new: Column) -> Column:
+def _short_name(v: Column, new: Column) -> Column:
+    """A name for a mention: a short one ("Mr Smith" of John Smith) takes as many words
+    of the whole name, from its end."""
+    words = F.split(F.substring(new, 3, 200), " ")
+    short = F.least(F.size(F.split(_name(v), " ")), F.size(words))
+    return F.array_join(F.slice(words, F.size(words) - short + 1, short), " ")
+
+
+def render(kind: Column, v: Column, new: Column, name: Column) -> Column:
     """The surrogate in the shape of the mention: separators, case, title."""
     chars = F.split(v, "")
     refill = F.concat_ws("", F.transform(
         F.filter(chars, lambda c: c != ""),
         lambda c, i: F.when(c.rlike(r"\d"), F.substr(new, F.length(_digits(F.substr(v, F.lit(1), i + 1))), F.lit(1))).otherwise(c)))
     upper = (v == F.upper(v)) & (v != F.lower(v))
-    # a short mention ("Mr Smith" of John Smith) takes as many words of the name, from its end
-    words = F.split(F.substring(new, 3, 200), " ")
-    short = F.least(F.size(F.split(_name(v), " ")), F.size(words))
-    name = F.array_join(F.slice(words, F.size(words) - short + 1, short), " ")
     name = F.when(_name(v) == F.upper(_name(v)), F.upper(name)).otherwise(F.initcap(name))
     person = F.concat(F.regexp_extract(v, rf"^({_TITLE} )", 1), name)
     return (F.when(kind.isin("phone", "card", "ssn"), refill).when(kind == "person", person)
@@ -312,13 +316,14 @@ def _with_people(d: DataFrame) -> DataFrame:
         whole = F.filter("_people", lambda p: p["full"] == v)
         return F.get(F.concat(whole, F.filter("_people", lambda p: last(p["full"]) == v)), F.lit(0))["canon"]
 
-    def mention(v: Column) -> Column:
-        kind = kind_of(v)
-        canon = canon_of(kind, v)
-        bare = F.array_contains("_names", v)
-        person = F.when(bare, owner(v)).when(kind == "person", _resolved(canon, F.col("_canons"))).otherwise(canon)
-        return F.struct(v.alias("v"), F.when(bare, F.lit("person")).otherwise(kind).alias("kind"), person.alias("canon"))
-    again = F.transform(F.regexp_extract_all(text, F.col("_either"), F.lit(0)), mention)
+    # one step after the other, so that no expression is written into the next one many times
+    again = F.transform(F.regexp_extract_all(text, F.col("_either"), F.lit(0)), lambda v: F.struct(
+        v.alias("v"), F.when(F.array_contains("_names", v), F.lit("bare")).otherwise(kind_of(v)).alias("kind")))
+    again = F.transform(again, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), canon_of(x["kind"], x["v"]).alias("canon")))
+    again = F.transform(again, lambda x: F.struct(
+        x["v"].alias("v"), F.when(x["kind"] == "bare", F.lit("person")).otherwise(x["kind"]).alias("kind"),
+        F.when(x["kind"] == "bare", owner(x["v"])).when(x["kind"] == "person", _resolved(x["canon"], F.col("_canons")))
+         .otherwise(x["canon"]).alias("canon")))
     people = F.col("_either").isNotNull()
     return (d.withColumn("_m", F.when(people, again).otherwise(F.col("_m")))
              .withColumn("_parts", F.when(people, F.split(text, F.col("_either"), -1)).when(F.size("_m") > 0, F.split(text, PATTERN, -1)))
@@ -343,8 +348,10 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
         F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_again"))
     d = d.join(staged(again, "pii-again"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     d = _with_people(d.withColumn("_m", _mentions(F.col("text"))))
-    d = d.withColumn("_new", F.transform("_m", lambda m: render(m["kind"], m["v"], candidate(
-        m["kind"], m["canon"], F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", m["kind"], m["canon"])), F.lit(0)), key))))
+    drawn = F.transform("_m", lambda m: F.struct(m["kind"].alias("kind"), m["v"].alias("v"), candidate(
+        m["kind"], m["canon"], F.coalesce(F.element_at(F.col("_again"), F.concat_ws("|", m["kind"], m["canon"])), F.lit(0)), key).alias("new")))
+    drawn = F.transform(drawn, lambda m: F.struct(m["kind"].alias("kind"), m["v"].alias("v"), m["new"].alias("new"), _short_name(m["v"], m["new"]).alias("name")))
+    d = d.withColumn("_new", F.transform(drawn, lambda m: render(m["kind"], m["v"], m["new"], m["name"])))
     merged = F.concat_ws("", F.zip_with("_parts", "_new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))))
     d = d.withColumn("n_entities", F.when(F.size("_m") > 0, F.size("_m")).otherwise(0))
     text = F.when(F.col("n_entities") > 0, merged).otherwise(F.col("text"))
