@@ -32,6 +32,8 @@ from .saddle import Game
 LR_MAX_ITER = 1000
 RF_TREES = 200
 RF_MAX_DEPTH = 12  # the source grows trees without a depth limit; Spark caps depth at 30
+FOREST_TASKS = 12  # tasks of a forest's passes, where each has rows enough
+FOREST_TASK_ROWS = (4_000, 250_000)  # least and most rows of such a task
 
 
 @dataclass
@@ -52,10 +54,10 @@ def _norm_type(t: str) -> str:
 
 
 def training_weights(train: DataFrame, label: str = "y", sample_weight: str | None = None,
-                     balanced: bool = True) -> tuple[DataFrame, int, float | None]:
+                     balanced: bool = True) -> tuple[DataFrame, int, float | None, int]:
     """Row weight column ``_w`` (balanced class weight x sample weight), the
-    number of classes, and the total weight when it is known without a pass
-    (balanced weights alone sum to n)."""
+    number of classes, the total weight when it is known without a pass
+    (balanced weights alone sum to n), and the number of rows."""
     cw, _ = bounded_broadcast(MI.class_weight_table(train, label))
     rows = cw.collect()  # one row per class
     k, n = len(rows), sum(r["n"] for r in rows)
@@ -63,16 +65,23 @@ def training_weights(train: DataFrame, label: str = "y", sample_weight: str | No
         t = cw.select(F.col("y").alias("_y"), "class_weight")
         j = train.join(t, train[label].eqNullSafe(t["_y"]), "left").drop("_y")
         w = F.col("class_weight") * (F.col(sample_weight) if sample_weight else F.lit(1.0))
-        return j.withColumn("_w", w).drop("class_weight"), k, (None if sample_weight else float(n))
+        return j.withColumn("_w", w).drop("class_weight"), k, (None if sample_weight else float(n)), n
     w = F.col(sample_weight) if sample_weight else F.lit(1.0)
-    return train.withColumn("_w", w), k, (None if sample_weight else float(n))
+    return train.withColumn("_w", w), k, (None if sample_weight else float(n)), n
+
+
+def _forest_tasks(rows: int) -> int:
+    """Tasks for the passes of a forest. It depends on the rows alone, not on the
+    cluster, since the tasks seed the draws of rows."""
+    least, most = FOREST_TASK_ROWS
+    return max(1, min(FOREST_TASKS, rows // least), -(-rows // most))
 
 
 def fit(train: DataFrame, features: list[str], spec: ModelSpec = ModelSpec(), label: str = "y",
         sample_weight: str | None = None) -> PipelineModel:
     """Fit VectorAssembler + classifier. At least two classes are required."""
     mt = _norm_type(spec.model_type)
-    data, classes, total_w = training_weights(train, label, sample_weight, spec.balanced)
+    data, classes, total_w, n = training_weights(train, label, sample_weight, spec.balanced)
     if classes < 2:
         raise ValueError(f"Target must have at least 2 classes for classification. Found {classes}.")
     asm = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
@@ -86,7 +95,12 @@ def fit(train: DataFrame, features: list[str], spec: ModelSpec = ModelSpec(), la
                                  predictionCol="_pred", probabilityCol="_prob",
                                  rawPredictionCol="_raw", **p)
     else:
-        p = {"numTrees": RF_TREES, "maxDepth": RF_MAX_DEPTH, "seed": spec.seed}
+        # every level of the trees is a pass over all rows and trees; the rows come in as
+        # few tasks as their files have splits, so they are spread first
+        tasks = _forest_tasks(n)
+        if tasks > 1:
+            data = data.repartition(tasks)
+        p = {"numTrees": RF_TREES, "maxDepth": RF_MAX_DEPTH, "seed": spec.seed, "cacheNodeIds": True}
         p.update(spec.params)
         clf = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w",
                                      predictionCol="_pred", probabilityCol="_prob",

@@ -130,6 +130,23 @@ def test_kendall_for_any_number_of_values_against_brute_force(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_forest_rows_are_spread_over_tasks(spark, monkeypatch):
+    """A table of one file split used to be trained on by one task."""
+    from fairaudit.operators import models as MO
+    monkeypatch.setattr(MO, "RF_TREES", 3)
+    monkeypatch.setattr(MO, "RF_MAX_DEPTH", 3)
+    monkeypatch.setattr(MO, "FOREST_TASK_ROWS", (100, 1000))
+    seen = []
+    fit = MO.Pipeline.fit
+    monkeypatch.setattr(MO.Pipeline, "fit", lambda self, data: seen.append((data.rdd.getNumPartitions(), data.count())) or fit(self, data))
+    df = spark.range(650).select((F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                 (F.col("id") % 13 > 6).cast("int").alias("y")).coalesce(1)
+    m = MO.fit(df, ["a", "b"], MO.ModelSpec("random_forest"))
+    assert seen == [(6, 650)]
+    assert MO.score(m, df).where("y_pred = y").count() > 600
+    assert [MO._forest_tasks(n) for n in (0, 199, 650, 2600, 30_000)] == [1, 1, 6, 12, 30]
+
+
 def test_preparation_with_more_categories_than_columns(spark):
     from fairaudit.plans.audit import feature_columns, prepare_dataset
     df = spark.range(4000).select("id", F.concat(F.lit("v"), F.col("id") % 1500).alias("wide"),
