@@ -14,13 +14,15 @@ attribute, top-k, and the proxy flag.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import named
 from ..functions.labels import NUMERIC
-from ..session import bounded_broadcast, materialize, reuse
+from ..session import Scratch, bounded_broadcast, materialize, reuse, ship_package
 from .prepare import ordinal_codes
 from .ranking import average_ranks, prefix_before
 
@@ -213,47 +215,144 @@ def kendall(df: DataFrame, sensitive: str, features=None, slice_cols=()) -> Data
 def _kendall_cells(df: DataFrame, sensitive: str, features, sl: list[str]) -> DataFrame:
     """Kendall tau-b for any number of sensitive values.
 
-    The distinct values of x get dense positions. Two positions differ first
-    at exactly one bit ``_b``, where they lie in the two halves of one block,
-    so every pair of rows with different x is counted once: within a (bit,
-    block), each sensitive value's rows of the upper half (``_hi``) meet the
-    rows of the lower half with smaller values (a distributed prefix sum of
-    ``_lo``) and, by subtraction from the half's total, with larger ones. Each
-    cell is repeated once per bit, log2 of the number of values; no pair of
-    rows is written.
+    Quantiles cut every feature, and the sensitive column, into blocks of
+    values; a value that is itself a quantile is a block of its own, so the rows
+    of any other block are bounded however often a value repeats. A pair of rows
+    is counted once:
+
+    * in different blocks of both columns: from the counts per (block, block);
+    * in one block of x: by the task that has this block;
+    * in one block of s but two of x: by the task that has this block of s, with
+      the number of the block of x in place of x.
+
+    A block of one value has no pairs to count, its rows go to no task. So each
+    row is shuffled at most twice per feature, and no pair of rows is written.
     """
     feats = [f for f in _features(df, sensitive, features) if f not in sl]
-    keys = sl + ["feature"]
-    long = (encode(df, sensitive, feats, keep=sl).unpivot(sl + ["_s"], [named(f) for f in feats], "feature", "x")
-            .where(F.col("x").isNotNull() & F.col("_s").isNotNull())
-            .withColumn("_k", _cell_key(sl)))  # null slices must meet in the joins below
-    cells = materialize(long.groupBy(*keys, "_k", "x", "_s").agg(F.count(F.lit(1)).cast("double").alias("_c")))
-    xs = cells.groupBy("_k", "x").agg(F.sum("_c").alias("_n"), F.lit(1).alias("_one"))
-    pos = prefix_before(xs, ["_k"], "x", ["_one"]).select("_k", "x", F.col("_one_before").cast("long").alias("_pos"))
-    top = pos.agg(F.max("_pos")).first()[0] or 0
-    bits = F.explode(F.array(*[F.lit(b) for b in range(max(1, int(top).bit_length()))]))
-    halves = (cells.select("_k", "x", "_s", "_c").join(pos, ["_k", "x"]).select("_k", "_s", "_c", "_pos", bits.alias("_b"))
-              .withColumn("_side", F.expr("shiftright(_pos, _b) & 1"))
-              .groupBy("_k", "_b", F.expr("shiftright(_pos, _b + 1)").alias("_block"), "_s")
-              .agg(F.sum(F.when(F.col("_side") == 0, F.col("_c")).otherwise(0.0)).alias("_lo"),
-                   F.sum(F.when(F.col("_side") == 1, F.col("_c")).otherwise(0.0)).alias("_hi")))
-    block = ["_k", "_b", "_block"]
-    pre = prefix_before(halves, block, "_s", ["_lo"])
-    # concordant - discordant of a block = sum hi * (before - (total - before - lo))
-    score = (pre.groupBy(*block)
-             .agg((F.sum(F.col("_hi") * (2 * F.col("_lo_before") + F.col("_lo")))
-                   - F.sum("_hi") * F.sum("_lo")).alias("_d"))
-             .groupBy("_k").agg(F.sum("_d").alias("_cd")))
-    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
-    tx = xs.groupBy("_k").agg(pairs("_n").alias("_n1"), F.sum("_n").alias("_N"))
-    ts = (cells.groupBy("_k", "_s").agg(F.sum("_c").alias("_m")).groupBy("_k").agg(pairs("_m").alias("_n2")))
-    n0 = F.col("_N") * (F.col("_N") - 1) / 2
-    tau = F.try_divide(F.col("_cd"), F.sqrt((n0 - F.col("_n1")) * (n0 - F.col("_n2"))))
-    r = (score.join(tx, "_k").join(ts, "_k").join(cells.select(*keys, "_k").distinct(), "_k")
-         .select(*keys, tau.alias("correlation")))
+    spark = df.sparkSession
+    ship_package(spark)
+    slice_key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sl]) if sl else F.lit("")
+    cols = [f"f{i}" for i in range(len(feats))]     # whatever the columns are called
+    kind = "f int, z string"
+    with Scratch(spark) as scratch:
+        enc = scratch.staged(
+            encode(df, sensitive, feats, keep=sl).where(F.col("_s").isNotNull())
+            .select(*sl, slice_key.alias("_z"), "_s", *[named(f).alias(c) for f, c in zip(feats, cols)]), "kendall_values")
+        cuts = _cut_values(enc, ["_s", *cols])
+
+        def blocked(batches):
+            for b in batches:
+                s, z = b["_s"].to_numpy(), b["_z"]
+                sb = _block_numbers(s, cuts["_s"])
+                for i, c in enumerate(cols):
+                    x = b[c].to_numpy()
+                    there = ~np.isnan(x)
+                    yield pd.DataFrame({"f": np.int32(i), "z": z[there], "xb": _block_numbers(x[there], cuts[c]), "sb": sb[there],
+                                        "x": x[there], "s": s[there]})
+
+        def counted(b):
+            c, z = pd.factorize(b["z"])
+            score, tied = _signed_pairs(c, b["u"].to_numpy(), b["v"].to_numpy())
+            by_s = bool(b["side"].iloc[0])
+            return pd.DataFrame({"f": b["f"].iloc[0], "z": z, "cd": score, "n1": 0.0 if by_s else tied, "n2": tied if by_s else 0.0, "n": 0.0})
+
+        def crossed(b):
+            score, n1, n2, n = _signed_cells(b["xb"].to_numpy(), b["sb"].to_numpy(), b["n"].to_numpy())
+            return pd.DataFrame({"f": b["f"].iloc[:1], "z": b["z"].iloc[:1], "cd": score, "n1": n1, "n2": n2, "n": n})
+
+        rows = scratch.staged(enc.select("_z", "_s", *cols).mapInPandas(blocked, f"{kind}, xb int, sb int, x double, s double"), "kendall_blocks")
+        sums = f"{kind}, cd double, n1 double, n2 double, n double"
+        side = lambda by_s, block, u, v: F.struct(
+            F.lit(by_s).alias("side"), F.col(block).alias("block"), F.col(u).alias("u"), F.col(v).cast("double").alias("v"))
+        inner = (rows.select("f", "z", F.explode(F.array(side(0, "xb", "x", "s"), side(1, "sb", "s", "xb"))).alias("r"))
+                 .select("f", "z", "r.*").where("block % 2 = 0")
+                 .groupBy("f", "side", "block").applyInPandas(counted, sums))
+        outer = (rows.groupBy("f", "z", "xb", "sb").agg(F.count(F.lit(1)).cast("double").alias("n"))
+                 .groupBy("f", "z").applyInPandas(crossed, sums))
+        total = inner.unionByName(outer).groupBy("f", "z").agg(*[F.sum(c).alias(c) for c in ("cd", "n1", "n2", "n")])
+        n0 = F.col("n") * (F.col("n") - 1) / 2
+        tau = F.try_divide(F.col("cd"), F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2"))))
+        names = spark.createDataFrame(list(enumerate(feats)), "f int, feature string")
+        r = total.join(F.broadcast(names), "f").select("z", "feature", tau.alias("correlation"))
+        if sl:
+            r = r.join(enc.select(*sl, F.col("_z").alias("z")).distinct(), "z")
+        r = materialize(r.select(*sl, "feature", "correlation"))
     return _finish(r, df, feats, sl)
 
 
+BLOCK_ROWS = 50_000   # rows of a block of values, where BLOCKS are enough
+BLOCKS = 500          # most cuts of a column: the counts per (block, block) of a feature stay below 1,001 x 1,001
+
+
+def _cut_values(enc: DataFrame, cols: list[str]) -> dict:
+    """Per column at most ``BLOCKS`` - 1 of its values, sorted, with at most about
+    ``BLOCK_ROWS`` (beyond ``BLOCKS`` of them, rows / ``BLOCKS``) rows between two."""
+    n = min(BLOCKS, -(-enc.count() // BLOCK_ROWS))
+    if n < 2:
+        return {c: np.empty(0) for c in cols}
+    at = [i / n for i in range(1, n)]
+    got = enc.agg(*[F.percentile_approx(c, at, 20 * n).alias(c) for c in cols]).first()
+    return {c: np.unique(np.array(got[c] or [], float)) for c in cols}
+
+
+def _block_numbers(v: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Even numbers for the values between two cuts, odd ones for a cut itself;
+    they grow with the value."""
+    i = np.searchsorted(cuts, v)
+    return (2 * i + (np.append(cuts, np.nan)[i] == v)).astype(np.int32)
+
+
+def _signed_pairs(z: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per code of z: the sum of sign(du) * sign(dv) over its pairs of rows, and the
+    number of its pairs equal in u.
+
+    Two positions of u differ first at one bit. From the highest bit on, the rows
+    are kept sorted by (z, higher bits of the position, v): each row with the bit
+    set meets the rows without it that have a smaller and a larger v.
+    """
+    k, m = int(z.max()) + 1, len(z)
+    pos, w = np.unique(u, return_inverse=True)[1], np.unique(v, return_inverse=True)[1]
+    groups, size = np.unique(z * (int(pos.max()) + 1) + pos, return_counts=True)
+    tied = np.bincount(groups // (int(pos.max()) + 1), size * (size - 1) / 2, k)
+    order = np.lexsort((w, z))
+    z, pos, w = z[order], pos[order], w[order]
+    score, part = np.zeros(k), z
+    row = np.arange(m)
+    for bit in reversed(range(int(pos.max()).bit_length())):
+        hi = (pos >> bit) & 1
+        starts = np.append(True, part[1:] != part[:-1])
+        run = starts | np.append(True, w[1:] != w[:-1])
+        first, run_first = np.flatnonzero(starts), np.flatnonzero(run)
+        at, run_at = np.cumsum(starts) - 1, np.cumsum(run) - 1
+        low = np.append(0, np.cumsum(1 - hi))       # rows without the bit before each row
+        before = low[first][at]
+        smaller = low[run_first][run_at] - before
+        larger = low[np.append(first[1:], m)][at] - low[np.append(run_first[1:], m)][run_at]
+        score += np.bincount(z, hi * (smaller - larger), k)
+        # rows without the bit first, each half still in order of v
+        lows = low[:-1] - before
+        to = first[at] + np.where(hi == 1, low[np.append(first[1:], m)][at] - before + (row - first[at] - lows), lows)
+        moved = np.empty_like(row)
+        moved[to] = row
+        part = (2 * at + hi)[moved]
+        z, pos, w = z[moved], pos[moved], w[moved]
+    return score, tied
+
+
+def _signed_cells(xb: np.ndarray, sb: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
+    """From the counts of rows per (block of x, block of s): the sum of sign(dx) * sign(ds)
+    over the pairs in different blocks of both, the pairs equal in x and those equal in s
+    within blocks of one value, and the rows."""
+    (xs, i), (ss, j) = np.unique(xb, return_inverse=True), np.unique(sb, return_inverse=True)
+    cells = np.zeros((len(xs), len(ss)))
+    cells[i, j] = n
+    below = np.cumsum(cells, axis=0) - cells
+    upto = np.cumsum(below, axis=1)
+    score = (cells * (upto - below - (upto[:, -1:] - upto))).sum()
+    pairs = lambda c: float((c * (c - 1) / 2).sum())
+    return float(score), pairs(cells.sum(axis=1)[xs % 2 == 1]), pairs(cells.sum(axis=0)[ss % 2 == 1]), float(cells.sum())
+
+
 METHODS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 

@@ -130,6 +130,49 @@ def test_kendall_for_any_number_of_values_against_brute_force(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_kendall_in_blocks_of_values_counts_every_pair_once(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(X, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(X, "BLOCKS", 9)
+    rng = np.random.default_rng(8)
+    n = 1200
+    s = np.where(rng.random(n) < 0.3, 50.0, np.round(rng.normal(50, 30, n), 1))       # a value of 30 % of the rows
+    cols = {"many": np.round(s + rng.normal(0, 40, n), 2), "few": rng.integers(0, 5, n).astype(float),
+            "two": (rng.random(n) < 0.9).astype(float), "ends": np.where(rng.random(n) < 0.2, -np.inf, s * rng.integers(-1, 2, n))}
+    part = rng.integers(0, 3, n)
+    rows = [(int(part[i]), float(s[i]), *[float(v[i]) for v in cols.values()]) for i in range(n)]
+    df = spark.createDataFrame(rows, "part int, s double, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    for sl in ([], ["part"]):
+        got = {(r["part"] if sl else -1, r["feature"]): r["correlation"]
+               for r in X._kendall_cells(df, "s", list(cols), sl).collect()}
+        assert len(got) == (12 if sl else 4)
+        for (p, f), r in got.items():
+            at = (part == p) if sl else np.full(n, True)
+            a, b = s[at], np.unique(cols[f], return_inverse=True)[1][at]
+            iu = np.triu_indices(len(a), 1)
+            ds, dx = np.sign(a[:, None] - a[None, :])[iu], np.sign(b[:, None] - b[None, :])[iu]
+            assert abs(r - (ds * dx).sum() / np.sqrt(float((ds != 0).sum()) * float((dx != 0).sum()))) < 1e-12, (p, f)
+
+
+def test_kendall_rows_are_not_repeated_per_bit(spark):
+    """No table of the job has more rows than twice the rows times the features."""
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).cast("double").alias("s"), (F.col("id") * 31 % 3000).cast("double").alias("x"),
+                                  (F.col("id") * 17 % 3000).cast("double").alias("y"))
+    sizes = []
+    staged = X.Scratch.staged
+
+    def seen(self, table, name):
+        out = staged(self, table, name)
+        sizes.append((name, out.count()))
+        return out
+    X.Scratch.staged = seen
+    try:
+        X._kendall_cells(df, "s", ["x", "y"], []).collect()
+    finally:
+        X.Scratch.staged = staged
+    assert dict(sizes) == {"kendall_values": 3000, "kendall_blocks": 6000}
+
+
 def test_forest_rows_are_spread_over_tasks(spark, monkeypatch):
     """A table of one file split used to be trained on by one task."""
     from fairaudit.operators import models as MO
