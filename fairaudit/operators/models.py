@@ -33,7 +33,7 @@ LR_MAX_ITER = 1000
 RF_TREES = 200
 RF_MAX_DEPTH = 12  # the source grows trees without a depth limit; Spark caps depth at 30
 FOREST_TASKS = 12  # tasks of a forest's passes, where each has rows enough
-FOREST_TASK_ROWS = (4_000, 250_000)  # least and most rows of such a task
+FOREST_TASK_ROWS = (10_000, 250_000)  # least and most rows of such a task
 
 
 @dataclass
