@@ -19,6 +19,9 @@ times the word's share of the bucket's count. The counts of those words, as many
 as the corpus has, stay a table that is joined on the word.
 A word that was not counted (other documents than those of the fit) counts once.
 
+Texts are cut into words twice: to count them, and once the vocabulary is known to
+replace them by ids. Training and scoring read the ids.
+
 Defined results: a null or blank text has 0 words, a sum of 0 and a null mean.
 Null ids, repeated rows and extra columns need no care: every row is scored by
 its text alone. An empty table gives an empty result. Texts are read whole.
@@ -26,14 +29,13 @@ its text alone. An empty table gives an empty result. Texts are read whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, staged
+from ..session import materialize, ship_package, staged
 from .registry import read_table, register
 
 CLASSES = 64
@@ -46,12 +48,15 @@ HIDDEN = 24
 ROUNDS = 2
 RATE = 0.05
 BATCH = 2048
+SCORED = 16_384              # words scored together
+FEW = 16                     # targets of a class that are handled with those of other classes
 FAN_IN = 16
 SLICE_WORDS = 60_000
-CACHE_MAX = 500_000
+SLICE_BYTES = 8_000_000      # of text that a task cuts into words at once
+CACHE_MAX = 500_000          # counted words that a task holds
+KNOWN = 200_000              # words outside the vocabulary whose counts are sent to the tasks
 PAD = VOCAB                  # id beyond the ends of a document
 STRIP = ".,;:!?()[]\"'“”«»*#$%&|"
-_IDS: dict = {"key": None, "map": {}}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,17 +73,58 @@ def rare_id(word: str) -> int:
     return VOCAB - RARE + xxhash.xxh64_intdigest(word) % RARE
 
 
-def word_ids(lists: list[list[str]], vocab: dict[str, int], key: str) -> np.ndarray:
-    """Ids of the words of all lists, one after another."""
-    if _IDS["key"] != key or len(_IDS["map"]) > CACHE_MAX:
-        _IDS.update(key=key, map={})
-    known = _IDS["map"]
-    flat = [w for x in lists for w in x]
-    for w in set(flat).difference(known):
-        b = bare(w)
-        i = vocab.get(b)
-        known[w] = rare_id(b) if i is None else i
-    return np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+def split_words(column) -> tuple:
+    """The words of an Arrow column of texts, one after another, and how many each
+    text has. Same as ``words_of``: Arrow cuts ASCII texts, Python cuts others first."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    text = column.fill_null("")
+    odd = pc.or_(pc.invert(pc.string_is_ascii(text)), pc.match_substring_regex(text, "[\x1c-\x1f]"))
+    other = text.filter(odd).to_pylist()
+    text = pc.ascii_lower(text)
+    if other:
+        text = pc.replace_with_mask(text, odd, pa.array([" ".join(words_of(t)) for t in other], pa.string()))
+    text = pc.ascii_trim_whitespace(text)
+    lists = pc.ascii_split_whitespace(text)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    blank = pc.binary_length(text).to_numpy(zero_copy_only=False) == 0
+    if blank.any():                                     # split into one empty word
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+        lengths[blank] = 0
+    return words, lengths
+
+
+def bare_words(chunks):
+    """``bare`` of an Arrow column of words."""
+    import pyarrow.compute as pc
+    inner = pc.utf8_trim(chunks, characters=STRIP)
+    return pc.if_else(pc.equal(pc.binary_length(inner), 0), chunks, inner)
+
+
+def counted(words, n: np.ndarray | None = None) -> tuple:
+    """Distinct words of an Arrow column and the sum of ``n`` (default: 1) of each."""
+    coded = words.dictionary_encode()
+    total = np.bincount(coded.indices.to_numpy(zero_copy_only=False), n, len(coded.dictionary))
+    return coded.dictionary, total.astype(np.int64)
+
+
+def spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that reach ``most`` in sum; no row is cut."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = upto[at - 1] if at else 0
+        end = min(int(np.searchsorted(upto, before + most)) + 1, len(sizes))
+        yield at, end
+        at = end
+
+
+def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values``."""
+    out, full = np.zeros(len(lengths)), lengths > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full])
+    return out
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
@@ -90,7 +136,10 @@ def windows(ids: np.ndarray, lengths: np.ndarray, pick: np.ndarray | None = None
     padded[place] = ids
     steps = [s for s in range(-SIDE, SIDE + 1) if s]
     chosen = place if pick is None else place[pick]
-    return padded[chosen[:, None] + np.array(steps)]
+    out = np.empty((len(chosen), 2 * SIDE), np.int64)
+    for k, s in enumerate(steps):
+        out[:, k] = padded[chosen + s]
+    return out
 
 
 class Network:
@@ -124,24 +173,32 @@ class Network:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target) from hidden states."""
-        order = np.argsort((target // PER_CLASS).astype(np.int16), kind="stable")
-        h, target = h[order], target[order]
-        cls = target // PER_CLASS
-        z = h @ self.wc + self.bc
-        lp = z[np.arange(len(cls)), cls] - _log_sum(z)
-        # the target's own logit for all rows, then the sums class by class
-        lp += np.einsum("ij,ij->i", h, self.wv.reshape(VOCAB, HIDDEN)[target]) + self.bv.reshape(VOCAB)[target]
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        for c in range(CLASSES):
-            i, j = ends[c], ends[c + 1]
-            if i < j:
-                z = h[i:j] @ self.wv[c].T
-                z += self.bv[c]
-                lp[i:j] -= _log_sum(z)
-        out = np.empty(len(order), lp.dtype)
-        out[order] = lp
+        by, out = ByClass(target), np.empty(len(target), h.dtype)
+        out[by.order] = self._log_probs(h[by.order], by)
         return out
 
+    def _log_probs(self, h: np.ndarray, by: ByClass) -> np.ndarray:
+        """log P of targets in the order of ``by``."""
+        rows = np.arange(len(h))
+        z = h @ self.wc
+        z += self.bc
+        lp = z[rows, by.cls]
+        lp -= _log_sum(z)
+        self._word_logits(h, by, z)
+        lp += z[rows, by.word]
+        lp -= _log_sum(z)
+        return lp
+
+    def _word_logits(self, h: np.ndarray, by: ByClass, z: np.ndarray) -> None:
+        """Logits of the words of each row's class; rows are in the order of ``by``."""
+        for c, i, j in by.large:
+            np.dot(h[i:j], self.wv[c].T, out=z[i:j])
+            z[i:j] += self.bv[c]
+        if len(by.small):
+            some = by.padded(h) @ self.wv[by.small].transpose(0, 2, 1)
+            some += self.bv[by.small][:, None]
+            z[by.at:] = some[by.valid]
+
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log P of every word given both sides."""
         if not len(ids):
@@ -152,73 +209,125 @@ class Network:
             w = self.w1.reshape(2 * SIDE, DIM, HIDDEN)
             self._slots = [self.embed @ w[s] for s in range(2 * SIDE)]
         out = np.empty(len(ids))
-        for at in range(0, len(ids), 8192):
-            k = near[at:at + 8192]
-            h = self._slots[0][k[:, 0]] + self.b1
+        for at in range(0, len(ids), SCORED):
+            by = ByClass(ids[at:at + SCORED])
+            k = near[at:at + SCORED][by.order]
+            h = self._slots[0].take(k[:, 0], axis=0)
             for s in range(1, 2 * SIDE):
-                h += self._slots[s][k[:, s]]
+                h += self._slots[s].take(k[:, s], axis=0)
+            h += self.b1
             np.tanh(h, out=h)
-            out[at:at + 8192] = self.log_probs(h, ids[at:at + 8192])
+            out[at + by.order] = self._log_probs(h, by)
         return out
 
     def gradient(self, window: np.ndarray, target: np.ndarray, grad: Network) -> None:
-        """Adds the gradient of the mean negative log probability to ``grad``."""
+        """Writes the gradient of the mean negative log probability to ``grad``."""
         n = len(target)
-        x = self.embed[window].reshape(n, -1)
-        h = np.tanh(x @ self.w1 + self.b1)
-        cls, word = target // PER_CLASS, target % PER_CLASS
-        z = h @ self.wc + self.bc
-        d = _softmax(z)
-        d[np.arange(n), cls] -= 1
-        d /= n
-        grad.wc += h.T @ d
-        grad.bc += d.sum(0)
+        by = ByClass(target)
+        rows, at = np.arange(n), window[by.order].ravel()
+        x = self.embed.take(at, axis=0).reshape(n, -1)
+        h = x @ self.w1
+        h += self.b1
+        np.tanh(h, out=h)
+        ones = np.ones(n, h.dtype)
+        d = h @ self.wc
+        d += self.bc
+        _softmax(d, 1 / n)
+        d[rows, by.cls] -= 1 / n
+        np.dot(h.T, d, out=grad.wc)
+        np.dot(ones, d, out=grad.bc)
         dh = d @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            k = order[ends[c]:ends[c + 1]]
-            e = _softmax(h[k] @ self.wv[c].T + self.bv[c])
-            e[np.arange(len(k)), word[k]] -= 1
-            e /= n
-            grad.wv[c] += e.T @ h[k]
-            grad.bv[c] += e.sum(0)
-            dh[k] += e @ self.wv[c]
-        dz = dh * (1 - h * h)
-        grad.w1 += x.T @ dz
-        grad.b1 += dz.sum(0)
-        dx, at = (dz @ self.w1.T).reshape(-1, DIM), window.ravel()
+        e = d
+        self._word_logits(h, by, e)
+        _softmax(e, 1 / n)
+        e[rows, by.word] -= 1 / n
+        grad.wv[by.absent] = 0
+        grad.bv[by.absent] = 0
+        back = np.empty_like(dh)
+        for c, i, j in by.large:
+            part = e[i:j]
+            np.dot(part.T, h[i:j], out=grad.wv[c])
+            np.dot(ones[i:j], part, out=grad.bv[c])
+            np.dot(part, self.wv[c], out=back[i:j])
+        if len(by.small):
+            some = by.padded(e)
+            grad.wv[by.small] = some.transpose(0, 2, 1) @ by.padded(h)
+            grad.bv[by.small] = some.sum(1)
+            back[by.at:] = (some @ self.wv[by.small])[by.valid]
+        dh += back
+        np.multiply(h, h, out=back)
+        np.subtract(1, back, out=back)
+        dh *= back
+        np.dot(x.T, dh, out=grad.w1)
+        np.dot(ones, dh, out=grad.b1)
+        dx = (dh @ self.w1.T).reshape(-1, DIM)
         for k in range(DIM):
-            grad.embed[:, k] += np.bincount(at, dx[:, k], VOCAB + 1)
+            grad.embed[:, k] = np.bincount(at, dx[:, k], VOCAB + 1)
+
+
+class ByClass:
+    """Order of targets by class: first the ``large`` classes (class, first row, last),
+    then, from row ``at`` on, those of at most ``FEW`` rows, which are handled
+    together in blocks padded to the same number of rows."""
+
+    def __init__(self, target: np.ndarray) -> None:
+        cls = target // PER_CLASS
+        counts = np.bincount(cls, minlength=CLASSES)
+        large = np.flatnonzero(counts > FEW)
+        self.small = np.flatnonzero((counts > 0) & (counts <= FEW))
+        self.absent = np.flatnonzero(counts == 0)
+        place = np.zeros(CLASSES, np.uint8)
+        place[large] = np.arange(len(large))
+        place[self.small] = len(large) + np.arange(len(self.small))
+        self.order = np.argsort(place[cls], kind="stable")
+        ends = np.cumsum(counts[large]).tolist()
+        self.large = list(zip(large.tolist(), [0, *ends], ends))
+        self.at = ends[-1] if ends else 0
+        few = counts[self.small]
+        self.valid = np.arange(few.max(initial=0)) < few[:, None]
+        self.cls = cls[self.order]
+        self.word = target[self.order] - self.cls * PER_CLASS
+
+    def padded(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((*self.valid.shape, rows.shape[1]), rows.dtype)
+        out[self.valid] = rows[self.at:]
+        return out
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    # no shift is needed unless a row's logits are all very large or very small
-    m = z.max()
-    if m < 40:
-        total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
-        if total.min() > 1e-25:
-            return np.log(total)
+    """log of the sum of exp of every row; ``z`` is used up."""
+    # no shift is needed unless logits are very large or very small
+    if z.max(initial=0) < 40 and z.min(initial=0) > -40:
+        np.exp(z, out=z)
+        return np.log(z @ np.ones(z.shape[1], z.dtype))
     m = z.max(axis=1)
     return m + np.log(np.exp(z - m[:, None]).sum(1))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _softmax(z: np.ndarray, scale: float) -> None:
+    """Replaces the logits of every row by their softmax times ``scale``."""
+    # no shift is needed unless logits are very large or very small
+    if not (z.max() < 40 and z.min() > -40):
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    z *= (scale / total)[:, None]
 
 
 def train(net: Network, examples: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> int:
     """Adagrad over batches of (window, target); returns the number of examples."""
     square = np.full(Network.SIZE, 1e-4, np.float32)
-    grad = Network(np.zeros(Network.SIZE, np.float32))
+    grad, step = Network(np.zeros(Network.SIZE, np.float32)), np.empty(Network.SIZE, np.float32)
     n = 0
     for window, target in examples:
         for at in range(0, len(target), BATCH):
-            grad.flat[:] = 0
             net.gradient(window[at:at + BATCH], target[at:at + BATCH], grad)
-            square += grad.flat * grad.flat
-            net.flat -= rate * grad.flat / np.sqrt(square)
+            np.multiply(grad.flat, grad.flat, out=step)
+            square += step
+            np.sqrt(square, out=step)
+            np.divide(grad.flat, step, out=step)
+            step *= rate
+            net.flat -= step
         n += len(target)
     return n
 
@@ -229,45 +338,42 @@ def masked(lengths: np.ndarray, r: int) -> np.ndarray:
     return np.flatnonzero((place + r) % ROUNDS == 0)
 
 
-def _slices(column) -> Iterator[tuple[int, int, list[list[str]]]]:
-    """Rows of an Arrow column as word lists, about ``SLICE_WORDS`` words at a time."""
-    at = 0
-    while at < len(column):
-        lists, size, end = [], 0, at
-        while end < len(column) and (end == at or size < SLICE_WORDS):
-            lists.append(words_of(column[end].as_py()))
-            size += len(lists[-1])
-            end += 1
-        yield at, end, lists
-        at = end
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all documents, counted inside tasks first."""
     ship_package(docs.sparkSession)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        held: list[tuple] = []
+
+        def merged() -> tuple:
+            return counted(pa.concat_arrays([w for w, _ in held]), np.concatenate([n for _, n in held]))
 
-        def rows(chunks: Counter) -> pa.RecordBatch:
-            total: Counter = Counter()
-            for w, n in chunks.items():
-                total[bare(w)] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-        seen: Counter = Counter()
+        def rows(words, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([words, pa.array(n)], names=["word", "n"])
         for b in batches:
-            for _, _, lists in _slices(b.column(0)):
-                for x in lists:
-                    seen.update(x)
-                if len(seen) > CACHE_MAX:
-                    yield rows(seen)
-                    seen = Counter()
-        if seen:
-            yield rows(seen)
+            for _, _, part in _text_slices(b.column(0)):
+                chunks, n = counted(split_words(part)[0])
+                held.append((bare_words(chunks), n))
+                if sum(len(n) for _, n in held) > 2 * CACHE_MAX:
+                    held = [merged()]
+                    if len(held[0][1]) > CACHE_MAX:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*merged())
     return (docs.select(F.col("text").cast("string")).mapInArrow(work, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def _text_slices(column) -> Iterator[tuple]:
+    """Rows of an Arrow column of texts, about ``SLICE_BYTES`` at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    column = column.cast(pa.string())
+    for at, end in spans(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), SLICE_BYTES):
+        yield at, end, column.slice(at, end - at)
+
+
 def rare_counts(counts: DataFrame, vocab: dict[str, int]) -> DataFrame:
     """``word, n, bucket`` of the counted words outside the vocabulary."""
     shared = counts.sparkSession.sparkContext.broadcast(vocab)
@@ -282,9 +388,80 @@ def rare_counts(counts: DataFrame, vocab: dict[str, int]) -> DataFrame:
     return counts.select("word", "n").mapInArrow(work, "word string, n long, bucket int")
 
 
+def frequent(rare: DataFrame) -> DataFrame:
+    """The rare words from some count on, at most ``KNOWN``; found without a sort."""
+    size = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for r in sorted(rare.groupBy(size.alias("size")).count().collect(), reverse=True):     # 8 rows per power of 2
+        total += r["count"]
+        if total > KNOWN:
+            break
+        least = r["size"]
+    return rare.limit(0) if least is None else rare.filter(size >= least)
+
+
+CODED = "uid long, doc_id long, n_tokens long, ids binary, gain double, rare array<string>"
+
+
+def coded(docs: DataFrame, vocab: dict[str, int], rare: DataFrame) -> DataFrame:
+    """Every document as 16-bit ids, with the sum of log n over its rare words
+    that are ``frequent``, and its other rare words."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    known = frequent(rare).toArrow()                                                # at most ``KNOWN`` rows
+    first = sorted(vocab, key=vocab.get)
+    shared = spark.sparkContext.broadcast((first + known["word"].to_pylist(), known["bucket"].to_numpy(), known["n"].to_numpy()))
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+        words, buckets, n = shared.value
+        value_set = pa.array(words, pa.string())
+        plain = len(words) - len(n)
+        id_of = np.concatenate((np.arange(plain), buckets + (VOCAB - RARE))).astype("<u2")
+        gain_of = np.concatenate((np.zeros(plain), np.log(n.astype(np.float64))))
+        uid = TaskContext.get().partitionId() << 36
+        for b in batches:
+            for at, end, part in _text_slices(b.column(1)):
+                flat, lengths = split_words(part)
+                chunks = flat.dictionary_encode()
+                code = chunks.indices.to_numpy(zero_copy_only=False)
+                distinct = bare_words(chunks.dictionary)
+                place = pc.index_in(distinct, value_set=value_set).fill_null(-1).to_numpy(zero_copy_only=False)
+                new = np.flatnonzero(place < 0)
+                ids, gains = np.zeros(len(place), "<u2"), np.zeros(len(place))
+                ids[place >= 0], gains[place >= 0] = id_of[place[place >= 0]], gain_of[place[place >= 0]]
+                ids[new] = [rare_id(w) for w in distinct.take(pa.array(new)).to_pylist()]
+                lone = np.flatnonzero((place < 0)[code])
+                ends = np.concatenate(([0], np.cumsum(lengths)))
+                data = ids[code].tobytes()
+                uids = pa.array(np.arange(uid, uid + end - at))
+                uid += end - at
+                yield pa.RecordBatch.from_arrays(
+                    [uids, b.column(0).slice(at, end - at), pa.array(lengths),
+                     pa.array([data[2 * i:2 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),
+                     pa.array(sums(gains[code], lengths)),
+                     pa.ListArray.from_arrays(pa.array(np.searchsorted(lone, ends).astype(np.int32)), distinct.take(pa.array(code[lone])))],
+                    names=["uid", "doc_id", "n_tokens", "ids", "gain", "rare"])
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(work, CODED)
+
+
+def _ids(lengths, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows of coded documents, about ``SLICE_WORDS`` words at a time: their lengths and ids."""
+    sizes = lengths.to_numpy(zero_copy_only=False)
+    for at, end in spans(sizes, SLICE_WORDS):
+        data = b"".join(column.slice(at, end - at).to_pylist())
+        yield at, end, sizes[at:end], np.frombuffer(data, "<u2").astype(np.int64)
+
+
 def fit(docs: DataFrame) -> tuple[dict[str, int], Network, np.ndarray, DataFrame]:
     """Vocabulary, network, counts of the rare buckets and counts of the words in them."""
-    spark = docs.sparkSession
+    return _fit(docs)[0]
+
+
+def _fit(docs: DataFrame) -> tuple[tuple[dict[str, int], Network, np.ndarray, DataFrame], DataFrame]:
+    """What ``fit`` returns, and the documents it learned from as ids."""
     counts = staged(word_counts(docs), "lm-words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()     # a fixed number
     vocab = {r["word"]: i for i, r in enumerate(top)}
@@ -293,34 +470,30 @@ def fit(docs: DataFrame) -> tuple[dict[str, int], Network, np.ndarray, DataFrame
     rare = staged(rare_counts(counts, vocab), "lm-rare")
     for b in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect():       # RARE rows
         freq[VOCAB - RARE + b["bucket"]] = b["n"]
+    # a checkpoint keeps the tasks' shares of the documents, so each round trains the same copies
+    texts = materialize(coded(docs, vocab, rare))
     net = Network.start(freq)
     for r in range(ROUNDS):
-        net = _round(docs, vocab, net, r)
-    return vocab, net, freq[VOCAB - RARE:], rare
+        net = _round(texts, net, r)
+    return (vocab, net, freq[VOCAB - RARE:], rare), texts
 
 
-def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Network:
+def _round(texts: DataFrame, net: Network, r: int) -> Network:
     """Every task trains a copy on its own documents; the copies are averaged."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, net.flat))
-    key = f"{spark.sparkContext.applicationId}/{id(shared)}/{r}"
+    shared = texts.sparkSession.sparkContext.broadcast(net.flat)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
-        words, flat = shared.value
-        mine = Network(flat.copy())
+        mine = Network(shared.value.copy())
         part = TaskContext.get().partitionId()
 
         def examples() -> Iterator:
             held, size = [], 0
             for b in batches:
-                for _, _, lists in _slices(b.column(0)):
-                    lists = [x for x in lists if x]
-                    if not lists:
+                for _, _, lengths, ids in _ids(b.column(0), b.column(1)):
+                    if not len(ids):
                         continue
-                    ids = word_ids(lists, words, key)
-                    lengths = np.array([len(x) for x in lists])
                     pick = masked(lengths, r)
                     held.append((windows(ids, lengths, pick), ids[pick]))
                     size += len(pick)
@@ -339,7 +512,7 @@ def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Netw
         n = pdf["n"].to_numpy()
         w = sum(np.frombuffer(b, np.float32) * (k / n.sum()) for b, k in zip(pdf["w"], n))
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "n": [n.sum()], "w": [w.astype(np.float32).tobytes()]})
-    copies = staged(docs.select(F.col("text").cast("string")).mapInArrow(work, "part long, n long, w binary"), "lm-copies")
+    copies = staged(texts.select("n_tokens", "ids").mapInArrow(work, "part long, n long, w binary"), "lm-copies")
     while copies.limit(2).count() > 1:
         copies = staged(copies.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(mean, "part long, n long, w binary"), "lm-copies")
     got = copies.first()
@@ -348,42 +521,33 @@ def _round(docs: DataFrame, vocab: dict[str, int], net: Network, r: int) -> Netw
 
 def score(docs: DataFrame, fitted: tuple[dict[str, int], Network, np.ndarray, DataFrame]) -> DataFrame:
     """``doc_id, n_tokens, pseudo_log_likelihood, mean_log_prob`` of every document."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    vocab, net, sizes, rare = fitted
-    shared = spark.sparkContext.broadcast((vocab, net.flat, np.log(np.maximum(sizes, 1))))
-    key = f"{spark.sparkContext.applicationId}/{id(shared)}/score"
+    vocab, _, _, rare = fitted
+    return _score(materialize(coded(docs, vocab, rare)), fitted)
+
+
+def _score(texts: DataFrame, fitted: tuple[dict[str, int], Network, np.ndarray, DataFrame]) -> DataFrame:
+    _, net, sizes, rare = fitted
+    shared = texts.sparkSession.sparkContext.broadcast((net.flat, np.log(np.maximum(sizes, 1))))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
-        words, flat, log_sizes = shared.value
+        flat, log_sizes = shared.value
         model = Network(flat)
-        uid = TaskContext.get().partitionId() << 36
         for b in batches:
-            for at, end, lists in _slices(b.column(1)):
-                n = np.array([len(x) for x in lists])
-                ids = word_ids(lists, words, key)
+            for at, end, n, ids in _ids(b.column(2), b.column(3)):
                 lp = model.score(ids, n)
                 out = np.flatnonzero(ids >= VOCAB - RARE)
                 lp[out] -= log_sizes[ids[out] - (VOCAB - RARE)]
-                ends = np.concatenate(([0], np.cumsum(n)))
-                total = np.array([lp[i:j].sum() for i, j in zip(ends[:-1], ends[1:])])
-                flat_words = [w for x in lists for w in x]
-                lone = pa.ListArray.from_arrays(pa.array(np.searchsorted(out, ends).astype(np.int32)),
-                                                pa.array([bare(flat_words[i]) for i in out.tolist()], pa.string()))
-                uids = pa.array(np.arange(uid, uid + end - at))
-                uid += end - at
-                yield pa.RecordBatch.from_arrays([uids, b.column(0).slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(total, pa.float64()), lone],
-                                                 names=["uid", "doc_id", "n_tokens", "base", "rare"])
-    # the network's part, and the words whose own counts are still to be found
-    base = staged(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        work, "uid long, doc_id long, n_tokens long, base double, rare array<string>"), "lm-base")
+                total = sums(lp, n) + b.column(4).slice(at, end - at).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, end - at) for i in range(3)), pa.array(total)],
+                                                 names=["uid", "doc_id", "n_tokens", "base"])
+    # all but the words whose own counts are still to be found
+    base = staged(texts.drop("rare").mapInArrow(work, "uid long, doc_id long, n_tokens long, base double"), "lm-base")
     often = rare.filter("n > 1").select("word", F.log(F.col("n").cast("double")).alias("g"))       # log 1 adds nothing
-    gain = (base.select("uid", F.explode("rare").alias("word")).join(often, "word")
+    gain = (texts.select("uid", F.explode("rare").alias("word")).join(often, "word")
                 .groupBy(F.col("uid").alias("_uid")).agg(F.sum("g").alias("g")))
     total = F.col("base") + F.coalesce(F.col("g"), F.lit(0.0))
-    return (base.drop("rare").join(gain, F.col("uid") == F.col("_uid"), "left")
+    return (base.join(gain, F.col("uid") == F.col("_uid"), "left")
                 .select("doc_id", "n_tokens", total.alias("pseudo_log_likelihood"),
                         F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob")))
 
@@ -391,4 +555,5 @@ def score(docs: DataFrame, fitted: tuple[dict[str, int], Network, np.ndarray, Da
 @register("op4_lm_score")
 def op4_lm_score(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    fitted, texts = _fit(docs)
+    return _score(texts, fitted)

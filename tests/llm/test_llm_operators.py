@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest_paths import SF001
 from fairaudit.llm import (embed_dedup, langid, licences, lm_score, mixing, near_dedup, packing, pii, quality,
                            token_shards, tokens)
@@ -313,6 +314,63 @@ def test_lm_every_word_is_a_target_once(spark, monkeypatch):
     assert sum(counted) == 43
 
 
+def test_lm_gradient_of_many_classes_equals_plain_softmax():
+    # large, small and absent classes, and logits that need a shift
+    rng = np.random.default_rng(1)
+    net = lm_score.Network.start(rng.integers(0, 9, lm_score.VOCAB).astype(float))
+    net = lm_score.Network(net.flat.astype(np.float64))
+    y = np.concatenate([rng.integers(0, 40, 200), rng.integers(64, 2000, 150), [4000] * 3])
+    w = rng.integers(0, lm_score.VOCAB + 1, (len(y), 2 * lm_score.SIDE))
+    for big in (1, 300):
+        net.wc *= big
+        grad = lm_score.Network(rng.normal(size=lm_score.Network.SIZE))         # is overwritten
+        net.gradient(w, y, grad)
+        h, cls, word = net.hidden(w), y // lm_score.PER_CLASS, y % lm_score.PER_CLASS
+        soft = lambda z: np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)
+        d = (soft(h @ net.wc + net.bc) - np.eye(lm_score.CLASSES)[cls]) / len(y)
+        e = (soft(np.einsum("ij,ikj->ik", h, net.wv[cls]) + net.bv[cls]) - np.eye(lm_score.PER_CLASS)[word]) / len(y)
+        wv, bv = np.zeros_like(net.wv), np.zeros_like(net.bv)
+        np.add.at(wv, cls, e[:, :, None] * h[:, None])
+        np.add.at(bv, cls, e)
+        dz = (d @ net.wc.T + np.einsum("ik,ikj->ij", e, net.wv[cls])) * (1 - h * h)
+        embed = np.zeros_like(net.embed)
+        np.add.at(embed, w.ravel(), (dz @ net.w1.T).reshape(-1, lm_score.DIM))
+        for name, want in (("wc", h.T @ d), ("bc", d.sum(0)), ("wv", wv), ("bv", bv), ("b1", dz.sum(0)),
+                           ("w1", net.embed[w].reshape(len(y), -1).T @ dz), ("embed", embed)):
+            assert np.allclose(getattr(grad, name), want, atol=1e-12), name
+
+
+def test_lm_words_are_those_of_python():
+    import random
+    import pyarrow as pa
+    rnd = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "A", "b", "\u0130", "\u03a3", "\xdf",
+             "\u201cx\u201d", "...", "|", "\xab", "\x00", "word", "I'M", "\u65e5", "\u200b"]
+    texts = [None, "", " "] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(3000)]
+    words, n = lm_score.split_words(pa.array(texts, pa.string()))
+    want = [lm_score.words_of(t) for t in texts]
+    assert n.tolist() == [len(x) for x in want] and words.to_pylist() == [w for x in want for w in x]
+    assert lm_score.bare_words(words).to_pylist() == [lm_score.bare(w) for x in want for w in x]
+
+
+def test_lm_texts_are_cut_twice_and_scores_do_not_depend_on_known(spark, monkeypatch, tmp_path):
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 9001}" for j in range(300))) for i in range(60)] + [(99, None), (98, "")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "read_table", lambda *_: docs.withColumn("text", F.udf(seen, "string")("text")))
+    got = {}
+    for known in (lm_score.KNOWN, 40, 0):
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        before = read.value
+        got[known] = {r["doc_id"]: r["pseudo_log_likelihood"] for r in lm_score.op4_lm_score(spark, str(tmp_path)).collect()}
+        assert read.value - before == 2 * len(rows)
+    assert len(got[0]) == len(rows) and all(np.allclose(got[0][i], got[k][i], rtol=1e-9) for k in got for i in got[0])
+
+
 def test_licences(spark):
     files = [("a", "p/LICENSE", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
              ("b", "p/x/y/code.py", "print(1)"), ("c", "p/x/head.py", "code\nLicensed under the Apache License, Version 2.0.\nmore"),
