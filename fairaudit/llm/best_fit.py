@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package, staged
-from .byte_tokens import encode_texts
+from .byte_tokens import encode_column
 from .registry import read_table, register
 from .tokens import vocabulary_path
 
@@ -58,10 +58,10 @@ def whole_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
         seen = [0] * (window + 1)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):       # a few documents at a time
+            ids = batch.column(0).to_pylist()
+            for at, stop_at, encoded in encode_column(batch.column(1).cast(pa.string()), path):
                 rows = []
-                for doc_id, data in zip(ids[at:at + 256], encode_texts(texts.slice(at, 256).to_pylist(), path)):
+                for doc_id, data in zip(ids[at:stop_at], encoded):
                     data += end
                     n = len(data) // 4
                     start, number = 0, 0

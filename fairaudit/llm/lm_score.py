@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package, staged
+from .columns import spans
 from .registry import read_table, register
 
 CLASSES = 64
@@ -109,16 +110,6 @@ def counted(words, n: np.ndarray | None = None) -> tuple:
     return coded.dictionary, total.astype(np.int64)
 
 
-def spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that reach ``most`` in sum; no row is cut."""
-    upto, at = np.cumsum(sizes), 0
-    while at < len(sizes):
-        before = upto[at - 1] if at else 0
-        end = min(int(np.searchsorted(upto, before + most)) + 1, len(sizes))
-        yield at, end
-        at = end
-
-
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of ``values``."""
     out, full = np.zeros(len(lengths)), lengths > 0

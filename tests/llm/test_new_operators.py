@@ -81,6 +81,34 @@ def test_byte_tokens_equal_the_tokenizer():
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
 
 
+def test_byte_tokens_look_up_a_distinct_part_once(monkeypatch):
+    class Counting(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            Counting.looked_up += 1
+            return super().get(*key)
+    byte_tokens.encode_texts(["any"], VOCABULARY)
+    monkeypatch.setitem(byte_tokens._STATE, "spaced", Counting())
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 7)}," for j in range(100)) for i in range(200)]
+    byte_tokens.encode_texts(texts, VOCABULARY)
+    assert 0 < Counting.looked_up <= 2 * 26 * 7         # 20,000 parts
+
+
+def test_byte_tokens_of_any_slices(monkeypatch):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(VOCABULARY)
+    rnd = random.Random(8)
+    parts = ["", " ", " ", "a", "Word", "two,", "three).", "don't", "x_", "\xe9t\xe9,", "\u65e5\u672c!", "7", "\n", "end.\nBegin", "  ", "\x1f", "\xa0", "<|", ",", "'", "q" * 70]
+    texts = [None, ""] + ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(0, 20))) for _ in range(2000)]
+    want = [byte_tokens._bytes(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for size, held in ((1, 5), (300, 50), (8_000_000, 800_000)):
+        monkeypatch.setattr(byte_tokens, "SLICE_BYTES", size)
+        monkeypatch.setattr(byte_tokens, "CACHE_MAX", held)
+        assert byte_tokens.encode_texts(texts, VOCABULARY) == want
+    assert byte_tokens.encode_texts([], VOCABULARY) == []
+
+
 def test_sums_follow_the_counts():
     rng = np.random.default_rng(2)
     for window in (12, 40):
