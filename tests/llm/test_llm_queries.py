@@ -18,7 +18,7 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 def test_pipeline_rows(spark):
