@@ -20,7 +20,10 @@ as the corpus has, stay a table that is joined on the word.
 A word that was not counted (other documents than those of the fit) counts once.
 
 Texts are cut into words twice: to count them, and once the vocabulary is known to
-replace them by ids. Training and scoring read the ids.
+replace them by ids. Training and scoring read the ids. Only the ids and each
+round's average are written to the shared folder: counts stay on the executors' disks,
+and copies are averaged by the shuffles of one job. A file costs a task a child process
+or more on a local file system, and many small tasks wrote many small files.
 
 Defined results: a null or blank text has 0 words, a sum of 0 and a null mean.
 Null ids, repeated rows and extra columns need no care: every row is scored by
@@ -35,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package, staged
+from ..session import materialize, on_disk, ship_package, staged
 from .columns import spans
 from .registry import read_table, register
 
@@ -453,12 +456,13 @@ def fit(docs: DataFrame) -> tuple[dict[str, int], Network, np.ndarray, DataFrame
 
 def _fit(docs: DataFrame) -> tuple[tuple[dict[str, int], Network, np.ndarray, DataFrame], DataFrame]:
     """What ``fit`` returns, and the documents it learned from as ids."""
-    counts = staged(word_counts(docs), "lm-words")
+    counts = on_disk(word_counts(docs))
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - RARE).collect()     # a fixed number
     vocab = {r["word"]: i for i, r in enumerate(top)}
     freq = np.zeros(VOCAB)
     freq[:len(top)] = [r["n"] for r in top]
-    rare = staged(rare_counts(counts, vocab), "lm-rare")
+    rare = on_disk(rare_counts(counts, vocab))
+    counts.unpersist()
     for b in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect():       # RARE rows
         freq[VOCAB - RARE + b["bucket"]] = b["n"]
     # a checkpoint keeps the tasks' shares of the documents, so each round trains the same copies
@@ -503,10 +507,12 @@ def _round(texts: DataFrame, net: Network, r: int) -> Network:
         n = pdf["n"].to_numpy()
         w = sum(np.frombuffer(b, np.float32) * (k / n.sum()) for b, k in zip(pdf["w"], n))
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "n": [n.sum()], "w": [w.astype(np.float32).tobytes()]})
-    copies = staged(texts.select("n_tokens", "ids").mapInArrow(work, "part long, n long, w binary"), "lm-copies")
-    while copies.limit(2).count() > 1:
-        copies = staged(copies.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(mean, "part long, n long, w binary"), "lm-copies")
-    got = copies.first()
+    copies = texts.select("n_tokens", "ids").mapInArrow(work, "part long, n long, w binary")
+    parts = texts.rdd.getNumPartitions()
+    while parts > 1:
+        copies = copies.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(mean, "part long, n long, w binary")
+        parts = -(-parts // FAN_IN)
+    got = staged(copies, "lm-copies").first()                                   # one row, or none without words
     return Network(np.frombuffer(got["w"], np.float32).copy()) if got else net
 
 
@@ -533,7 +539,7 @@ def _score(texts: DataFrame, fitted: tuple[dict[str, int], Network, np.ndarray,
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, end - at) for i in range(3)), pa.array(total)],
                                                  names=["uid", "doc_id", "n_tokens", "base"])
     # all but the words whose own counts are still to be found
-    base = staged(texts.drop("rare").mapInArrow(work, "uid long, doc_id long, n_tokens long, base double"), "lm-base")
+    base = texts.drop("rare").mapInArrow(work, "uid long, doc_id long, n_tokens long, base double")
     often = rare.filter("n > 1").select("word", F.log(F.col("n").cast("double")).alias("g"))       # log 1 adds nothing
     gain = (texts.select("uid", F.explode("rare").alias("word")).join(often, "word")
                 .groupBy(F.col("uid").alias("_uid")).agg(F.sum("g").alias("g")))

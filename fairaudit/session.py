@@ -177,6 +177,19 @@ def reuse(df: DataFrame) -> DataFrame:
     return out
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """``reuse`` on the executors' disks only, for tables that several steps read.
+
+    Makes no files in the shared folder: there a file per task and table costs more
+    than the rows when tasks are small. Meant for tables whose rows do not depend on
+    the order of their input, so that a block lost with an executor comes out the same.
+    """
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out.count()
+    return out
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Checkpoint a derived table and broadcast it only if its size is proven.
 

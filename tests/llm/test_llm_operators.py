@@ -454,3 +454,18 @@ def test_stop_words_bind_only_their_languages(spark):
     got = {r["doc_id"]: r["failed_rules"] for r in quality.with_quality(df).collect()}
     assert got == {1: "", 2: "", 3: "stop_words", 4: "stop_words", 5: "", 6: "stop_words", 7: "stop_words"}
     assert {r["failed_rules"] for r in quality.with_quality(df.drop("lang").filter("doc_id <= 2")).collect()} == {""}
+
+
+def test_lm_many_small_tasks_write_few_files(spark, monkeypatch):
+    # each file of a task costs a child process of the executor; only the ids need one per task
+    from pathlib import Path
+    from urllib.parse import urlparse
+    from fairaudit import session
+    docs = spark.createDataFrame([(i, f"one two three word{i % 7} five") for i in range(96)], "doc_id long, text string").repartition(24)
+    base = Path(urlparse(session.checkpoint_base(spark)).path)
+    before = set(base.rglob("part-*"))
+    out = lm_score.score(docs, lm_score.fit(docs)).collect()
+    assert len(out) == 96 and all(r["mean_log_prob"] < 0 for r in out)
+    tables = [p for p in set(base.rglob("part-*")) - before if p.suffix == ".parquet"]
+    # the average of each round, and an empty first file where the row is elsewhere
+    assert {p.parent.name.rsplit("-", 1)[0] for p in tables} == {"lm-copies"} and len(tables) <= 2 * lm_score.ROUNDS
