@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, ship_package
 from .bits import bit_table, may_hold
+from .columns import spans
 from .graph import components
 from .registry import read_table, register
 
@@ -53,6 +54,8 @@ STARS = 2
 SMALL = 16                   # members of a bucket that are paired by a join
 BLOCK = 256                  # members of a large bucket indexed together
 QUERIES = 512                # members looked up together
+BLOCK_KMERS = 1_000_000      # k-mers of a block and of a part of the members looked up, about
+MATCHES = 1_000_000          # postings of a document that are counted at once, about
 SLICE_WORDS = 150_000        # words sketched together
 PLACE = (1 << 24) - 1        # places of k-mers are told apart modulo this plus one
 CACHE_MAX = 500_000          # word hashes kept by a worker
@@ -226,15 +229,36 @@ def sketch(docs: DataFrame, place: Column | None = None) -> DataFrame:
         work, "uid long, doc_id long, cls binary, n int, bands array<long>, kmers binary, file string, row long")
 
 
+def _shares(rows: str, grams: str, most: int) -> Column:
+    """Into how many shares to cut so many rows, so that one has about ``most`` rows
+    and ``BLOCK_KMERS`` k-mers at most."""
+    return F.greatest(F.ceil(F.col(rows) / most), F.ceil(F.col(grams) / BLOCK_KMERS)).cast("int")
+
+
+def common_kmers(g: np.ndarray, post: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """How many k-mers of ``g`` each of ``docs`` documents has; ``post`` are their
+    sorted k-mers and ``owner`` the document of each."""
+    lo = np.searchsorted(post, g, "left")
+    n = np.searchsorted(post, g, "right") - lo
+    out = np.zeros(docs, np.int64)
+    for i, j in spans(n, MATCHES):
+        k = n[i:j]
+        at = np.repeat(lo[i:j] - np.concatenate(([0], np.cumsum(k)[:-1])), k)
+        at += np.arange(len(at))
+        out += np.bincount(owner[at], minlength=docs)
+    return out
+
+
 def _in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b`` between components of large buckets.
 
-    ``members`` holds ``band, uid, comp, main, size, outside``. One task gets one
-    block of a bucket and some of the members outside its main component.
+    ``members`` holds ``band, uid, comp, main, size, grams, outside, outside_grams``. One
+    group gets one block of a bucket and some of the members outside its main component;
+    both are bounded by rows and by k-mers, so that long texts do not fill a worker.
     """
     m = members.join(known, "uid")
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    nq = F.ceil(F.col("outside") / QUERIES).cast("int")
+    nb = _shares("size", "grams", BLOCK)
+    nq = _shares("outside", "outside_grams", QUERIES)
     h = F.xxhash64("uid")
     index = (m.withColumn("block", F.pmod(h, nb).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), nq - 1)))
               .select("band", "block", "part", "uid", "comp", "kmers"))
@@ -249,8 +273,9 @@ def _in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFr
             size = np.array([len(g) for g in grams])
             post = np.concatenate(grams)
             order = np.argsort(post, kind="stable")
-            owner = np.repeat(np.arange(len(grams)), size)[order]
+            owner = np.repeat(np.arange(len(grams), dtype=np.int32), size)[order]
             post = post[order]
+            del order
             uid, comp = left["uid"].to_numpy(), left["comp"].to_numpy()
             up: dict[int, int] = {}
 
@@ -260,10 +285,7 @@ def _in_blocks(members: DataFrame, known: DataFrame, threshold: float) -> DataFr
                 return c
             for me, mine, raw in zip(right["q_uid"], right["q_comp"], right["q_kmers"]):
                 g = np.frombuffer(raw, "<u4")
-                lo, hi = np.searchsorted(post, g, "left"), np.searchsorted(post, g, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                common = np.minimum(np.bincount(owner[at], minlength=len(grams)), np.minimum(size, len(g)))
+                common = np.minimum(common_kmers(g, post, owner, len(grams)), np.minimum(size, len(g)))
                 for k in np.flatnonzero((common >= threshold * (size + len(g) - common) - 1e-9) & (comp != mine)).tolist():
                     x, y = root(int(mine)), root(int(comp[k]))
                     if x != y and similarity(g, grams[k], threshold) >= threshold:
@@ -354,9 +376,11 @@ def _marks(sketches: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
             lead = lead.select("band", F.col("l.uid").alias("a"), F.col("l.n").alias("n2"), F.col("l.comp").alias("own"))
             pairs = state.join(lead, "band").filter(F.col("comp") != F.col("own")).filter(ratio).select("a", F.col("uid").alias("b"))
         else:
-            per = state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-            mixed = per.groupBy("band").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m"))
-            mixed = mixed.filter("comps > 1").select("band", "size", (F.col("size") - F.col("m.k")).alias("outside"), F.col("m.comp").alias("main"))
+            per = state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("g"))
+            mixed = per.groupBy("band").agg(F.sum("k").alias("size"), F.sum("g").alias("grams"), F.count(F.lit(1)).alias("comps"),
+                                            F.max(F.struct("k", "comp", "g")).alias("m"))
+            mixed = mixed.filter("comps > 1").select("band", "size", "grams", (F.col("size") - F.col("m.k")).alias("outside"),
+                                                     (F.col("grams") - F.col("m.g")).alias("outside_grams"), F.col("m.comp").alias("main"))
             mixed = staged(mixed, "omh-mixed-buckets")
             left = staged(state.join(mixed, "band"), "omh-mixed")
             large = _in_blocks(left.filter(F.col("size") > SMALL), known, threshold)

@@ -469,3 +469,22 @@ def test_lm_many_small_tasks_write_few_files(spark, monkeypatch):
     tables = [p for p in set(base.rglob("part-*")) - before if p.suffix == ".parquet"]
     # the average of each round, and an empty first file where the row is elsewhere
     assert {p.parent.name.rsplit("-", 1)[0] for p in tables} == {"lm-copies"} and len(tables) <= 2 * lm_score.ROUNDS
+
+
+def test_dedup_large_buckets_are_cut_by_kmers_too(spark, monkeypatch):
+    # common k-mers are counted a bounded number of postings at a time
+    rng = np.random.default_rng(5)
+    grams = [np.sort(rng.choice(60, 40, replace=False)).astype("<u4") for _ in range(9)]
+    post = np.concatenate(grams)
+    order = np.argsort(post, kind="stable")
+    owner = np.repeat(np.arange(9, dtype=np.int32), 40)[order]
+    largest, plain = [], np.bincount
+    monkeypatch.setattr(near_dedup, "MATCHES", 20)
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: largest.append(len(x)) or plain(x, *a, **k))
+    for g in [*grams, np.array([], "<u4"), np.array([99], "<u4")]:
+        assert near_dedup.common_kmers(g, post[order], owner, 9).tolist() == [len(np.intersect1d(g, x)) for x in grams]
+    assert max(largest) <= 20 + 9
+    # few long texts make as many shares as many short ones
+    monkeypatch.setattr(near_dedup, "BLOCK_KMERS", 1000)
+    rows = spark.createDataFrame([(20, 100), (600, 900), (20, 5001)], "size long, grams long")
+    assert [r[0] for r in rows.select(near_dedup._shares("size", "grams", 256)).collect()] == [1, 3, 6]
