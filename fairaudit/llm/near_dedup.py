@@ -39,11 +39,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, ship_package
+from ..session import Scratch, ship_package, small_batches
 from .bits import bit_table, may_hold
 from .columns import spans
 from .graph import components
 from .registry import read_table, register
+from .worker import keep_for
 
 K = 5
 SKETCHES = 32
@@ -58,7 +59,7 @@ BLOCK_KMERS = 1_000_000      # k-mers of a block and of a part of the members lo
 MATCHES = 1_000_000          # postings of a document that are counted at once, about
 SLICE_WORDS = 150_000        # words sketched together
 PLACE = (1 << 24) - 1        # places of k-mers are told apart modulo this plus one
-CACHE_MAX = 500_000          # word hashes kept by a worker
+CACHE_MAX = 200_000          # word hashes kept by a worker
 _WORDS: dict[str, int] = {}
 U = np.uint64
 _RNG = np.random.default_rng(20240501)
@@ -74,6 +75,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 def _word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
+    keep_for("words", _WORDS.clear)
     if len(_WORDS) > CACHE_MAX:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
@@ -332,7 +334,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the smallest doc_id with the same words, ``component_id``
     the smallest one reachable by verified links.
     """
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
         marks = scratch.staged(_marks(sketch(docs), scratch, threshold).drop("uid", "file", "row"), "omh-marks")
         scratch.keep("omh-marks")
     return marks
@@ -435,7 +437,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     none are kept or left out one by one. Rows that are not stored as they are
     get a stored copy first. The rows to leave out are the smaller table.
     """
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
         place = _place(docs)
         if place is None:
             docs = scratch.staged(docs, "omh-copy")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package, staged
+from ..session import ship_package, small_batches, staged
 from .registry import read_table, register
 from .tokens import encode_texts, vocabulary_path
 
@@ -247,7 +247,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``."""
     spark = docs.sparkSession
-    cut = staged(pieces(docs, path, window, end_id), "pack-pieces")
+    with small_batches(spark):
+        cut = staged(pieces(docs, path, window, end_id), "pack-pieces")
     per_length = cut.groupBy("length").count().collect()         # at most ``window`` rows
     table = plan_arrays(plan({r["length"]: r["count"] for r in per_length}, window))
     n = sum(r["count"] for r in per_length)

@@ -13,6 +13,8 @@ import os
 import re
 import unicodedata
 
+from .worker import keep_for
+
 CACHE_MAX = 800_000          # chunks kept by a worker
 LONG_CHUNK = 64              # longer chunks are encoded but not kept
 SLICE_CHARS = 1_000_000      # characters of text handled together
@@ -24,6 +26,13 @@ _AFFIXED = re.compile(r"([^\w\s']*)([^\W\d_]+)([^\w\s]*)$")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _forget() -> None:
+    """Drop the worker's tokenizer and its ids of chunks."""
+    for k in ("ends", "plain"):
+        _STATE.pop(k, None)
+    _STATE.update(name=None, tok=None, cache={})
+
+
 def tokenizer(path: str):
     """The worker's tokenizer for a vocabulary file."""
     if _STATE["name"] != path:
@@ -69,6 +78,7 @@ def _chunks(text: str) -> list[str] | None:
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text (null: none)."""
+    keep_for("chunks", _forget)
     tok = tokenizer(path)
     out: list[bytes] = []
     at = 0

@@ -12,6 +12,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,11 @@ DEFAULT_CONF = {
 # the bound is checked on the materialised aggregate, never assumed.
 BROADCAST_MAX_ROWS = 2_000_000
 
+# Bytes of rows, about, that a Python worker gets as one Arrow batch in passes over
+# long texts. The executor and the worker both hold a batch, once for each core.
+ARROW_BYTES = "4m"
+ARROW_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def build_session(master: str | None = None, app: str = "fairaudit",
                   shuffle_partitions: int | None = None,
@@ -153,6 +160,22 @@ class Scratch:
                 place.getFileSystem(conf).delete(place, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands rows to Python workers in batches of about ``ARROW_BYTES``.
+
+    Batches are bounded by rows and by 64 MB otherwise. A setting of the session stays.
+    """
+    found = spark.conf.get(ARROW_BYTES_CONF, None)
+    if found is None:
+        spark.conf.set(ARROW_BYTES_CONF, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        if found is None:
+            spark.conf.unset(ARROW_BYTES_CONF)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     return f"{checkpoint_base(spark)}/fairaudit/{name}-{uuid.uuid4().hex[:12]}"

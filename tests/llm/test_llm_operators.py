@@ -488,3 +488,55 @@ def test_dedup_large_buckets_are_cut_by_kmers_too(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_KMERS", 1000)
     rows = spark.createDataFrame([(20, 100), (600, 900), (20, 5001)], "size long, grams long")
     assert [r[0] for r in rows.select(near_dedup._shares("size", "grams", 256)).collect()] == [1, 3, 6]
+
+
+def test_worker_keeps_the_cache_of_one_kind_of_work():
+    texts, path = ["The quick (brown) fox, don't stop."], tokens.vocabulary_path()
+    want = tokens.encode_texts(texts, path)
+    assert tokens._STATE["cache"]
+    h = near_dedup.kmers([texts[0].lower().split()])[0]
+    assert near_dedup._WORDS and not tokens._STATE["cache"] and tokens._STATE["tok"] is None
+    assert tokens.encode_texts(texts, path) == want
+    assert tokens._STATE["cache"] and not near_dedup._WORDS
+    assert near_dedup.kmers([texts[0].lower().split()])[0].tolist() == h.tolist()
+
+
+def test_long_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    from fairaudit import session
+    docs = spark.range(0, 3_000, 1, 2).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), 1_000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], names=["n", "size"])
+
+    def largest():
+        rows = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in rows) == 3_000
+        return max(r["size"] for r in rows)
+    key = session.ARROW_BYTES_CONF
+    assert largest() > 6_000_000
+    with session.small_batches(spark):
+        assert largest() < 6_000_000
+    assert spark.conf.get(key, None) is None and largest() > 6_000_000
+    spark.conf.set(key, "2m")
+    try:
+        with session.small_batches(spark):
+            assert spark.conf.get(key) == "2m"
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key)
+
+    seen = {}
+    write = session.staged
+
+    def staged(df, name):
+        seen[name] = spark.conf.get(key, None)
+        return write(df, name)
+    monkeypatch.setattr(packing, "staged", staged)
+    monkeypatch.setattr(session.Scratch, "staged", lambda self, df, name: staged(df, name))
+    few = docs.limit(3)
+    assert packing.pack(few, tokens.vocabulary_path()).select("doc_id").distinct().count() == 3
+    assert near_dedup.deduplicate(few).count() == 3 and near_dedup.near_duplicates(few).count() == 3
+    assert seen["pack-pieces"] == seen["omh-sketches"] == seen["omh-known"] == session.ARROW_BYTES
+    assert spark.conf.get(key, None) is None
