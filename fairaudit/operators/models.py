@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import bounded_broadcast
 from . import mitigate as MI
 from . import mixed_thresholds as MX
+from .forest import cell_forest
 from .prepare import WIDE_PREFIXES
 from .saddle import Game
 
@@ -34,6 +35,7 @@ RF_TREES = 200
 RF_MAX_DEPTH = 12  # the source grows trees without a depth limit; Spark caps depth at 30
 FOREST_TASKS = 12  # tasks of a forest's passes, where each has rows enough
 FOREST_TASK_ROWS = (10_000, 250_000)  # least and most rows of such a task
+FOREST_CELL_ROWS = 20_000  # from here on forests grow on cells of rows alike; below, passes over the rows are short
 
 
 @dataclass
@@ -95,16 +97,20 @@ def fit(train: DataFrame, features: list[str], spec: ModelSpec = ModelSpec(), la
                                  predictionCol="_pred", probabilityCol="_prob",
                                  rawPredictionCol="_raw", **p)
     else:
-        # every level of the trees is a pass over all rows and trees; the rows come in as
-        # few tasks as their files have splits, so they are spread first
-        tasks = _forest_tasks(n)
-        if tasks > 1:
-            data = data.repartition(tasks)
         p = {"numTrees": RF_TREES, "maxDepth": RF_MAX_DEPTH, "seed": spec.seed, "cacheNodeIds": True}
         p.update(spec.params)
         clf = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w",
                                      predictionCol="_pred", probabilityCol="_prob",
                                      rawPredictionCol="_raw", **p)
+        if n >= FOREST_CELL_ROWS:
+            forest = cell_forest(data, features, label, "_w", clf)
+            if forest is not None:
+                return PipelineModel(stages=[asm, forest])
+        # every level of the trees is a pass over all rows and trees; the rows come in as
+        # few tasks as their files have splits, so they are spread first
+        tasks = _forest_tasks(n)
+        if tasks > 1:
+            data = data.repartition(tasks)
     return Pipeline(stages=[asm, clf]).fit(data.select(*features, label, "_w"))
 
 
