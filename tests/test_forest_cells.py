@@ -92,3 +92,26 @@ def test_values_are_told_apart_where_they_weigh(spark):
     at = np.array(cuts) * 7
     shares = np.where(at < 50_000, 2 * at, 50_000 + at) / 150_000
     assert len(cuts) == 31 and np.abs(shares - np.arange(1, 32) / 32).max() < 1 / 1000
+
+
+def write_orders(spark, path, files, n=30_000):
+    """The tables of ``order_audit``; the same rows whatever the number of files."""
+    u = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    spark.range(5).selectExpr("cast(id as int) r_regionkey", "concat('region ', id) r_name").write.parquet(f"{path}/region.parquet")
+    spark.range(10).selectExpr("cast(id as int) n_nationkey", "concat('nation ', id) n_name", "cast(id % 5 as int) n_regionkey").write.parquet(f"{path}/nation.parquet")
+    spark.range(1000).select(F.col("id").alias("c_custkey"), (u % 10).cast("int").alias("c_nationkey"), F.concat(F.lit("segment "), u % 3).alias("c_mktsegment"),
+                             (u % 9001 / 8).alias("c_acctbal")).repartition(files).write.parquet(f"{path}/customer.parquet")
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (u % 1000).alias("o_custkey"), (1000 + u % 499_001 + (u % 8) / 8).alias("o_totalprice"),
+                          F.expr("timestamp'2020-01-01 00:00:00'").alias("o_orderdate"), F.concat(F.lit("priority "), u % 4).alias("o_orderpriority")
+                          ).repartition(files).write.parquet(f"{path}/orders.parquet")
+    return str(path)
+
+
+def test_train_forest_gives_the_same_on_any_files(spark, tmp_path, monkeypatch):
+    """Rows that came in other files were drawn otherwise, and the importances differed."""
+    from fairaudit.plans.q_strategies import q_train_forest
+    monkeypatch.setattr(MO, "RF_TREES", 5)
+    monkeypatch.setattr(MO, "RF_MAX_DEPTH", 6)
+    one, five = ({r["feature"]: r["importance"] for r in q_train_forest(spark, write_orders(spark, tmp_path / str(k), k)).collect()} for k in (1, 5))
+    assert one == pytest.approx(five, abs=1e-12) and abs(sum(one.values()) - 1) < 1e-9 and len(one) == 14
+    assert max(one, key=one.get) == "o_totalprice"
