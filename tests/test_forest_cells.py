@@ -115,3 +115,18 @@ def test_train_forest_gives_the_same_on_any_files(spark, tmp_path, monkeypatch):
     one, five = ({r["feature"]: r["importance"] for r in q_train_forest(spark, write_orders(spark, tmp_path / str(k), k)).collect()} for k in (1, 5))
     assert one == pytest.approx(five, abs=1e-12) and abs(sum(one.values()) - 1) < 1e-9 and len(one) == 14
     assert max(one, key=one.get) == "o_totalprice"
+
+
+def test_train_many_fits_both_kinds_of_model(spark, monkeypatch):
+    """On many rows only the logistic regression iterates over the rows; a forest that cannot be grown leaves its reason."""
+    monkeypatch.setattr(MO, "RF_TREES", 6)
+    fits, fit = [], MO.Pipeline.fit
+    monkeypatch.setattr(MO.Pipeline, "fit", lambda self, data: fits.append(type(self.getStages()[-1]).__name__) or fit(self, data))
+    df = rows(spark, 24_000).drop("w").checkpoint()
+    models = MO.train_many(df, FEATURES)
+    assert sorted(models) == ["logistic_regression", "random_forest"] and fits == ["LogisticRegression"]
+    assert MO.score(models["random_forest"], df).where("y_pred = y").count() > 21_000
+    errors: dict[str, str] = {}
+    bad = df.withColumn("many", F.when(F.col("id") > 0, F.col("many")))
+    assert MO.train_many(bad, FEATURES, {"random_forest": MO.ModelSpec("random_forest")}, errors=errors) == {}
+    assert list(errors) == ["random_forest"] and "NaN" in errors["random_forest"]
